@@ -31,6 +31,15 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
+def utf8_binary(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]], offs - offs[0]
+
+
 def slices(batch: pa.RecordBatch, text: str, target: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``target`` bytes of text, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
