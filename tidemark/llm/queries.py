@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, imatch, langid, nearjoin, packing, secretscan, urlfilter
+from . import decontam, imatch, langid, nearjoin, packing, pii, secretscan, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), "a key for tests")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_url_filter": op3_url_filter,
     "op4_imatch_fingerprints": op4_imatch_fingerprints,
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
