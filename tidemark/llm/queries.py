@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, imatch, langid, nearjoin, packing, pii, secretscan, urlfilter
+from .runtime import shared_dir
+from . import chat, decontam, imatch, langid, nearjoin, packing, pii, rollup, secretscan, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,23 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in by one tokenizer; then those of low quality go and the others are counted anew by a second one; both batches are sent twice."""
+    old, new = rollup.COUNTERS
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "source", "lang", rollup.counted(docs, old).alias("old"), rollup.counted(docs, new).alias("new"))
+    poor = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
+    ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    second = rollup.deleted(rows.join(poor, "doc_id", "left_semi"), old, "old").unionByName(rollup.revised(rows.join(poor, "doc_id", "left_anti"), old, "old", new, "new"))
+    for batch, changes in [("0001", rollup.inserted(rows, old, "old")), ("0002", second), ("0001", rollup.inserted(rows, old, "old")), ("0002", second)]:
+        rollup.commit(ledger, batch, changes)
+    return rollup.totals(spark, ledger)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def held_out(key):
     """crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -76,11 +95,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_imatch_fingerprints": op4_imatch_fingerprints,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_token_rollup": op7_token_rollup,
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_chat_format": op10_chat_format,
 }
 
-LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        windows AS (SELECT item, len(w) AS item_words, least(len(w), 10) AS k, p, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS win, w FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM b WHERE len(w) > 0)),
+        lengths AS (SELECT DISTINCT k FROM windows),
+        places AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, lengths WHERE len(w) >= k)),
+        hits AS (SELECT places.doc_id, places.p, windows.k, windows.item, windows.p AS q FROM places JOIN windows ON places.win = windows.win AND places.k = windows.k),
+        words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS all_items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+        -- the longest verbatim match: hits on one diagonal of a document and an item, one after the other
+        diagonal AS (SELECT doc_id, item, p, q, k, p - q - row_number() OVER (PARTITION BY doc_id, item, p - q ORDER BY p) - (p - q) + q AS run FROM hits),
+        runs AS (SELECT doc_id, item, min(p) AS p, max(p) - min(p) + max(k) AS n FROM diagonal GROUP BY doc_id, item, p - q, run),
+        best AS (SELECT doc_id, n, item, p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p, TRY_CAST(item AS BIGINT)) AS r FROM runs) WHERE r = 1)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(words.n_hit, 0) AS n_hit, coalesce(items.n_items, 0) AS n_items, sha256(coalesce(items.all_items, '')) AS items_sha256, words.n_hit IS NOT NULL AS contaminated,
+            coalesce(best.n, 0) AS longest_match, best.item AS longest_item, best.p - 1 AS longest_at
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best USING (doc_id)
+    """,
+    "op7_token_rollup": r"""
+        SELECT source, lang, 'words-2' AS tokenizer_version, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[^A-Za-z0-9\x{80}-\x{10FFFF} \t\n\r\f]'))) AS BIGINT) AS n_tokens
+        FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL) GROUP BY source, lang
+    """,
+    "op10_chat_format": """
+        WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, md5(concat(role, '|', text)) AS h FROM conversations),
+        p AS (SELECT conv_id, k, string_agg(h, ',') OVER (PARTITION BY conv_id ORDER BY k) AS prefix, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+        whole AS (SELECT prefix, n, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE k = n GROUP BY prefix, n),
+        stay AS (SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k < p.n AND p.prefix = whole.prefix))
+        SELECT t.conv_id, CAST(floor(t.turn / 256.0) AS BIGINT) AS part, stay.n AS n_turns, stay.n_copies, string_agg(concat('<|', replace(t.role, '<|', '< |'), '|>\n', replace(t.text, '<|', '< |'), '<|end|>\n'), '' ORDER BY t.k) AS rendered
+        FROM t JOIN stay ON t.conv_id = stay.conv_id GROUP BY t.conv_id, part, stay.n, stay.n_copies
+    """.replace("\\n", "\n"),
+}
