@@ -58,10 +58,11 @@ def countries(locations: str = "locations") -> Column:
 def event_type(themes: Column, patterns: dict[str, tuple[str, ...]] = PATTERNS) -> Column:
     """The type most themes fall under (each theme counts once for a type); ties by the order of types; none is NULL."""
     upper = F.transform(themes, lambda t: F.upper(t))
-    counts = []
-    for rank, (name, needles) in enumerate(patterns.items()):
-        hit = lambda t, needles=needles: F.exists(F.array(*map(F.lit, needles)), lambda p: F.contains(t, p))
-        counts.append(F.struct(F.size(F.filter(upper, hit)).alias("n"), F.lit(-rank).alias("order"), F.lit(name).alias("type")))
+
+    def having(needles: tuple[str, ...]) -> Column:
+        return F.filter(upper, lambda t: F.exists(F.array(*map(F.lit, needles)), lambda p: F.contains(t, p)))
+
+    counts = [F.struct(F.size(having(needles)).alias("n"), F.lit(-rank).alias("order"), F.lit(name).alias("type")) for rank, (name, needles) in enumerate(patterns.items())]
     best = F.array_max(F.array(*counts))
     return F.when(best["n"] > 0, best["type"])
 

@@ -90,7 +90,7 @@ def heartbeat(checks: dict[str, Column], df: DataFrame) -> DataFrame:
 
 
 #: Counterparties by what their names hold, in this order.
-BUCKETS = (("public", r"(?i)\b(ministry|municipality|bakanl|belediye|kamu|t\.c\.)"), ("foreign", r"(?i)\b(gmbh|ltd|llc|inc|s\.a\.|b\.v\.|plc)\b"), ("corporate", r"(?i)(a\.ş|a\.s|holding|sanayi|san\.)"))
+BUCKETS = (("public", r"(?iu)\b(ministry|municipality|bakanl|belediye|kamu|t\.c\.)"), ("foreign", r"(?iu)\b(gmbh|ltd|llc|inc|s\.a\.|b\.v\.|plc)\b"), ("corporate", r"(?iu)(a\.ş|a\.s|holding|sanayi|san\.)"))
 
 
 def bucket(c: Column) -> Column:
