@@ -148,8 +148,8 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", dimensions
 class Model:
     def __init__(self, prototypes: dict[str, list[float]]):
         self.names = sorted(prototypes)
-        profiles = _unit(np.array([prototypes[n] for n in self.names], np.float64).reshape(len(self.names), -1))
-        self.centre = profiles.mean(0) if len(self.names) > 1 else np.zeros(profiles.shape[1] if profiles.size else DIMENSIONS)
+        profiles = _unit(np.array([prototypes[n] for n in self.names] or np.zeros((0, DIMENSIONS)), np.float64))
+        self.centre = profiles.mean(0) if len(self.names) > 1 else np.zeros(profiles.shape[1])
         self.profiles = _unit(profiles - self.centre).astype(np.float32)
         self.centre = self.centre.astype(np.float32)
 

@@ -117,6 +117,18 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(p), t) for groups in open_bins.values() for p, t in groups]
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's L2: bins that any packing needs."""
+    best = 0
+    for k in {0, *(s for s in counts if s <= capacity // 2)}:
+        big = sum(n for s, n in counts.items() if s > capacity - k)
+        half = {s: n for s, n in counts.items() if capacity // 2 < s <= capacity - k}
+        rest = sum(s * n for s, n in counts.items() if k <= s <= capacity // 2)
+        free = sum(half.values()) * capacity - sum(s * n for s, n in half.items())
+        best = max(best, big + sum(half.values()) + max(0, -(-(rest - free) // capacity)))
+    return best
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
     fixed, left = reduce_dominated(counts, capacity)
     return fixed + best_fit(left, capacity)
