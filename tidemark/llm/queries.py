@@ -101,7 +101,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
+
+
+def _spans_sql() -> str:
+    """Spans of each rule: lengths of matches and of the pieces between them, added up."""
+    parts = []
+    for n, rule in enumerate(secretscan.RULES):
+        form = rule.pattern.replace("'", "''")
+        parts.append(f"SELECT doc_id, {n} AS n, '{rule.kind}' AS kind, unnest(regexp_extract_all(coalesce(text, ''), '{form}')) AS m, unnest(string_split_regex(coalesce(text, ''), '{form}')) AS before, generate_subscripts(string_split_regex(coalesce(text, ''), '{form}'), 1) AS i FROM documents WHERE regexp_matches(coalesce(text, ''), '{form}')")
+    groups = " ".join(f"WHEN {n} THEN length(regexp_extract(m, '{rule.pattern.replace(chr(39), chr(39) * 2)}', {rule.group})) >= {rule.least}" for n, rule in enumerate(secretscan.RULES))
+    return f"""
+        WITH found AS ({' UNION ALL '.join(parts)}),
+        placed AS (SELECT doc_id, n, kind, m, CAST(sum(length(before)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM found WINDOW w AS (PARTITION BY doc_id, n ORDER BY i)),
+        spans AS (SELECT doc_id, n, s, concat(kind, ':', s, ':', s + length(m)) AS span FROM placed WHERE m IS NOT NULL AND CASE n {groups} END),
+        sums AS (SELECT doc_id, count(*) FILTER (n = 0) AS n_assign, count(*) FILTER (n = 1) AS n_access, count(*) FILTER (n = 2) AS n_hex, string_agg(span, ',' ORDER BY s, n) FILTER (n < {len(secretscan.BASE)}) AS base, string_agg(span, ',' ORDER BY s, n) AS spans FROM spans GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN sums USING (doc_id)
+    """
+
+
 SQL: dict[str, str] = {
+    "op2_secret_scan": _spans_sql(),
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM d WHERE len(w) > 0)),
+        sets AS (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS k, count(*) AS size FROM sh GROUP BY doc_id),
+        reps AS (SELECT k, min(doc_id) AS rep, any_value(size) AS size, count(*) AS n_copies FROM sets GROUP BY k),
+        rs AS (SELECT rep, s, size FROM sh JOIN reps ON doc_id = rep),
+        pairs AS (SELECT a.rep AS a, b.rep AS b FROM rs a JOIN rs b ON a.s = b.s AND a.rep < b.rep GROUP BY a.rep, b.rep, a.size, b.size HAVING count(*) >= 0.8 * (a.size + b.size - count(*)) - 1e-9),
+        e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+        walk AS (SELECT rep AS x, rep AS y FROM reps UNION SELECT walk.x, e.b FROM walk JOIN e ON e.a = walk.y),
+        classes AS (SELECT x AS rep, min(y) AS class_id FROM walk GROUP BY x),
+        degrees AS (SELECT a AS rep, count(*) AS n FROM e GROUP BY a)
+        SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(degrees.n, 0) AS n_links, coalesce(reps.n_copies, 1) AS n_copies FROM d LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN reps ON reps.k = sets.k LEFT JOIN classes ON classes.rep = reps.rep LEFT JOIN degrees ON degrees.rep = reps.rep
+    """,
     "op1_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
