@@ -203,7 +203,7 @@ def leg_coverage(t: Tables):
     return monitors.leg_coverage(_people(t))
 
 
-@add("bridge_health", f"WITH {_PEOPLE}, c AS (SELECT isin, count(*) AS n FROM co GROUP BY isin) SELECT CASE WHEN (SELECT avg(CASE WHEN lei IS NOT NULL THEN 1.0 ELSE 0 END) FROM co) >= 0.88 THEN 0 ELSE 1 END AS n_below_floor, count(*) FILTER (n > 1) AS n_collisions, coalesce(sum(n) FILTER (n > 1), 0) AS n_broken_round_trips, count(*) FILTER (n > 1) = 0 AND (SELECT avg(CASE WHEN lei IS NOT NULL THEN 1.0 ELSE 0 END) FROM co) >= 0.88 AS healthy FROM c")
+@add("bridge_health", f"WITH {_PEOPLE}, c AS (SELECT isin, count(*) AS n FROM co GROUP BY isin) SELECT CASE WHEN (SELECT avg(CASE WHEN lei IS NOT NULL THEN 1.0 ELSE 0 END) FROM co) >= 0.88 THEN 0::BIGINT ELSE 1::BIGINT END AS n_below_floor, count(*) FILTER (n > 1) AS n_collisions, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS n_broken_round_trips, count(*) FILTER (n > 1) = 0 AND (SELECT avg(CASE WHEN lei IS NOT NULL THEN 1.0 ELSE 0 END) FROM co) >= 0.88 AS healthy FROM c")
 def bridge_health(t: Tables):
     return monitors.bridge_health(_people(t))
 

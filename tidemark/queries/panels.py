@@ -64,9 +64,6 @@ def _wide(t: Tables) -> DataFrame:
     return factors.factor_panel(r_, ["MKT", "FX", "RATE"])
 
 
-_ONE_REGIME = F.lit("all")
-
-
 @add("rolling_betas_lw")
 def rolling_betas_lw(t: Tables):
     return factors.rolling_betas(t.returns(), _wide(t), ["MKT", "FX", "RATE"], window=WINDOW, least=LEAST, label=factors.regime(F.col("bar_date"), (("1998-01-01", "late"),), "early"))
@@ -75,18 +72,18 @@ def rolling_betas_lw(t: Tables):
 @add("rolling_betas_ols_single", f"WITH {_SINGLE} SELECT symbol, 'MKT' AS factor, bar_date, {r('beta')} AS beta, CAST({WINDOW} AS INTEGER) AS n_obs, 'all' AS regime FROM single WHERE n >= {WINDOW}", "returns market")
 def rolling_betas_ols_single(t: Tables):
     rets = t.returns().where("ret is not null")
-    return factors.rolling_betas(rets, market(t).where("ret is not null").withColumnRenamed("ret", "MKT"), ["MKT"], window=WINDOW, least=WINDOW, method="ols", label=_ONE_REGIME)
+    return factors.rolling_betas(rets, market(t).where("ret is not null").withColumnRenamed("ret", "MKT"), ["MKT"], window=WINDOW, least=WINDOW, method="ols", label=F.lit("all"))
 
 
 @add("rolling_residual_single", f"WITH {_SINGLE} SELECT symbol, bar_date, {r('residual')} AS residual, 'MKT' AS strip_order FROM single WHERE n >= {WINDOW}", "returns market")
 def rolling_residual_single(t: Tables):
     rets = t.returns().where("ret is not null")
-    return factors.rolling_residuals(rets, market(t).where("ret is not null").withColumnRenamed("ret", "MKT"), ["MKT"], window=WINDOW, least=WINDOW, label=_ONE_REGIME).drop("explained")
+    return factors.rolling_residuals(rets, market(t).where("ret is not null").withColumnRenamed("ret", "MKT"), ["MKT"], window=WINDOW, least=WINDOW, label=F.lit("all")).drop("explained")
 
 
 @add("residual_ladder")
 def residual_ladder(t: Tables):
-    return factors.rolling_residuals(t.returns(), _wide(t), ["MKT", "FX", "RATE"], window=WINDOW, least=LEAST, label=_ONE_REGIME)
+    return factors.rolling_residuals(t.returns(), _wide(t), ["MKT", "FX", "RATE"], window=WINDOW, least=LEAST, label=F.lit("all"))
 
 
 def _residuals(t: Tables) -> DataFrame:
@@ -181,7 +178,7 @@ def _window_edges(t: Tables) -> tuple[DataFrame, DataFrame]:
     return c.where("abs(corr) >= 0.1").select("w", "src", "dst", "corr"), c.groupBy("w").agg(F.count("*").alias("n_candidates"))
 
 
-@add("stability", f"WITH {_EDGES} SELECT w, k_a, k_b, shared, {r('jaccard')} AS jaccard, {r('expected')} AS expected, {r('CASE WHEN expected > 0 THEN jaccard / expected END')} AS lift, {r('rho')} AS rho FROM stab", "returns sectors")
+@add("stability", f"WITH {_EDGES} SELECT CAST(w AS INTEGER) AS w, k_a, k_b, shared, {r('jaccard')} AS jaccard, {r('expected')} AS expected, {r('CASE WHEN expected > 0 THEN jaccard / expected END')} AS lift, {r('rho')} AS rho FROM stab", "returns sectors")
 def stability(t: Tables):
     return network.stability(*_window_edges(t)).withColumn("lift", F.when(F.col("lift") < float("inf"), F.col("lift")))
 

@@ -11,13 +11,15 @@ from ..sources.store import Store
 
 def quarter_hours(stream: DataFrame, at: str = "ts", kind: str = "event_type", value: str = "value", late: str = "30 minutes") -> DataFrame:
     """(start, kind, n, total) of tumbling windows of 15 minutes; later rows than the watermark allows are dropped. Works on batches, too."""
-    df = stream.withWatermark(at, late) if stream.isStreaming else stream
+    df = stream.withColumn(at, F.col(at).cast("timestamp"))
+    df = df.withWatermark(at, late) if stream.isStreaming else df
     return df.groupBy(F.window(at, "15 minutes").alias("w"), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
 def first_seen(stream: DataFrame, key: str = "event_id", at: str = "ts", late: str = "1 hour") -> DataFrame:
     """Each event once, as long as its copies come within the watermark."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.dropDuplicates([key])
+    df = stream.withColumn(at, F.col(at).cast("timestamp"))
+    return df.withWatermark(at, late).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else df.dropDuplicates([key])
 
 
 def land(stream: DataFrame, store: Store, table: str, checkpoint: str) -> StreamingQuery:
