@@ -111,7 +111,7 @@ def cross_section(exposed: DataFrame, quantile: float = 0.3) -> DataFrame:
     """
     df = exposed.withColumn("_e", F.col("exposure") * F.col("shock_sign"))
     q = df.groupBy("event").agg(F.percentile("_e", F.lit(1 - quantile)).alias("hi"), F.percentile("_e", F.lit(quantile)).alias("lo"))
-    df = df.join(F.broadcast(q), "event")
+    df = df.join(q, "event")
     leg = F.when((F.col("hi") > F.col("lo")) & (F.col("_e") >= F.col("hi")), 1.0).when((F.col("hi") > F.col("lo")) & (F.col("_e") <= F.col("lo")), -1.0).otherwise(0.0)
     df = df.withColumn("_l", leg)
     gross = F.sum(F.abs("_l")).over(Window.partitionBy("event"))

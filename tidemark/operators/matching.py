@@ -32,7 +32,13 @@ def match(names: DataFrame, companies: DataFrame, *, threshold: float = 0.6, rar
     n = n.withColumn("lead", F.substring(F.try_element_at("own", F.lit(1)), 1, 5))
     mine = n.select("name", "itype", "lead", F.size("own").alias("n"), F.explode("own").alias("t")).select("name", "itype", "lead", "n", "t", F.substring("t", 1, 5).alias("prefix"))
     idx = index(companies, key, name)
-    pairs = mine.join(idx.select("key", F.col("name").alias("company"), "etype", "prefix").distinct(), "prefix").groupBy("name", "key", "company", "etype", "itype", "lead", "n").agg(F.count_distinct("t").alias("shared"), F.max((F.col("prefix") == F.col("lead")).cast("int")).alias("led"))
+    keys = idx.select("key", F.col("name").alias("company"), "etype", "prefix").distinct()
+    # who shares k of n tokens shares one of the n - k + 1 rarest: only these find candidates
+    rarity = keys.groupBy("prefix").agg(F.count("*").alias("r"))
+    order = F.row_number().over(Window.partitionBy("name").orderBy(F.coalesce("r", F.lit(0)), "t"))
+    seeds = mine.join(rarity, "prefix", "left").withColumn("i", order).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    found = seeds.select("name", "prefix").join(keys, "prefix").select("name", "key", "company", "etype").distinct()
+    pairs = found.join(mine, "name").join(keys.select("key", "prefix"), ["key", "prefix"]).groupBy("name", "key", "company", "etype", "itype", "lead", "n").agg(F.count_distinct("t").alias("shared"), F.max((F.col("prefix") == F.col("lead")).cast("int")).alias("led"))
     ok = pairs.where((F.col("led") == 1) & (F.col("shared") / F.col("n") >= threshold) & ~I.type_conflict(F.col("itype"), F.col("etype")))
     extra = ok.select("name", "key").join(idx.where(~F.col("token").isin(*SOFT)).select("key", "token", "prefix", "df"), "key").join(mine.select("name", "prefix").distinct(), ["name", "prefix"], "left_anti").groupBy("name", "key").agg(F.count("*").alias("extras"), F.min("df").alias("rarest"))
     fit = ok.join(extra, ["name", "key"], "left").where(F.col("rarest").isNull() | (F.col("rarest") > rare))
