@@ -174,7 +174,7 @@ class TokenCache(dict):
     The number of kept parts is bounded; a full cache starts anew.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -244,7 +244,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
         cache = _CACHES.setdefault(tokenizer, None) or TokenCache(tokenizer)
         _CACHES[tokenizer] = cache  # kept as long as the worker lives
         for batch in batches:
-            for part in TA.slices(batch, text, 2 << 20):
+            for part in TA.slices(batch, text, 1 << 20):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, t in enumerate(part.column(text).to_pylist()):
                     data = cache.encode(t or "") + end

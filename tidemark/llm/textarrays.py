@@ -40,7 +40,7 @@ def utf8_binary(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, target: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, target: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``target`` bytes of text, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
@@ -81,12 +81,13 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = inside.copy()
     starts[1:] &= ~inside[:-1] | edge[1:-1]
     at = np.flatnonzero(starts)
-    number = np.cumsum(starts) - 1
-    place = np.flatnonzero(inside)
-    within = place - at[number[place]]
-    powers = np.cumprod(np.full(int(within.max()) + 1, _BASE, np.uint64))
-    terms = low[place].astype(np.uint64) * powers[within]
-    first = np.searchsorted(place, at)
+    letters = low[inside]  # the words' bytes only, one word after the other
+    first = np.flatnonzero(starts[inside])
+    size = np.diff(np.append(first, len(letters)))
+    within = np.arange(len(letters), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+    powers = np.cumprod(np.full(int(size.max()), _BASE, np.uint64))
+    terms = powers[within]
+    terms *= letters
     return mix64(np.add.reduceat(terms, first)), np.searchsorted(at, offs)
 
 
