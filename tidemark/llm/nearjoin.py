@@ -240,9 +240,10 @@ def _arrays(t: pa.Table) -> dict[str, np.ndarray]:
     return {c: t.column(c).to_numpy() for c in t.column_names if c in ("path", "low", "high", "block", "before", "size")}
 
 
-def _join_small(left: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
-    """Broadcast the written table if its rows fit in BROADCAST_BYTES, else let both be shuffled."""
-    return left.join(F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small, on, how)
+def _join_small(left: DataFrame, small: DataFrame, on: str, how: str, row_bytes: F.Column) -> DataFrame:
+    """Broadcast the written table if its rows' bytes add up to BROADCAST_BYTES at most, else let both be shuffled."""
+    size = small.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
+    return left.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, on, how)
 
 
 def links(docs: DataFrame, reps: DataFrame, key: str, text: str, k: int, least: float) -> DataFrame:
@@ -263,7 +264,7 @@ def links(docs: DataFrame, reps: DataFrame, key: str, text: str, k: int, least:
 
     members = materialize(nodes.mapInArrow(choose, member_schema).groupBy("rep").agg(F.collect_list(F.struct(*unit, "block", "before", "sid")).alias("units")), "members")
     wanted = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).where(F.col("rep").isNotNull())
-    chosen = _join_small(wanted, members, "rep", "inner", 400)
+    chosen = _join_small(wanted, members, "rep", "inner", 64 + 72 * F.size("units"))
     set_schema = T._parse_datatype_string("path long, low int, high int, block int, before long, sid binary, tokens binary")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,5 +356,5 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k:
     """The documents, all columns as they are, without those in a class of a smaller key; of rows with equal keys one stays."""
     found = materialize(classes(docs, key=key, text=text, k=k, least=least), "classes")
     gone = materialize(found.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")), "keys")
-    kept = _join_small(docs, gone.where(F.col("class_id") < F.col(key)).select(key), key, "left_anti", 16)
+    kept = _join_small(docs, gone.where(F.col("class_id") < F.col(key)).select(key), key, "left_anti", F.lit(32))
     return kept if not gone.where("n > 1").head(1) else kept.where(F.col(key).isNull()).unionByName(kept.where(F.col(key).isNotNull()).dropDuplicates([key]))
