@@ -222,6 +222,28 @@ def test_cycles_of_control(spark):
     graph.refuse_cycles(e.where("src = 'c' and dst = 'd'"))
 
 
+def test_long_cycles_of_control(spark):
+    ring = [(i, i % 100 + 1) for i in range(1, 101)]
+    back = [(b + 1000, a + 1000) for a, b in ring]  # the other way round
+    e = spark.createDataFrame(ring + back + [(50, 1050), (2000, 1), (2001, 2002), (2002, 2001), (2002, 2003), (2003, 2003)], "src long, dst long")
+    want = {(i, 1) for i in range(1, 101)} | {(i, 1001) for i in range(1001, 1101)} | {(2001, 2001), (2002, 2001), (2003, 2003)}
+    assert {tuple(r) for r in graph.components(e).collect()} == want
+
+
+def test_components_are_mutual_reach(spark):
+    r = random.Random(11)
+    edges = {(r.randrange(40), r.randrange(40)) for _ in range(60)}
+    reached = {a: {a} for a in range(40)}
+    for _ in range(40):
+        for a, b in edges:
+            for seen in reached.values():
+                if a in seen:
+                    seen.add(b)
+    mutual = {a: [b for b in reached[a] if a in reached[b]] for a in range(40)}
+    want = {(a, min(m)) for a, m in mutual.items() if len(m) > 1 or (a, a) in edges}
+    assert {tuple(x) for x in graph.components(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()} == want
+
+
 def test_inheritance_does_not_chain(spark):
     parents = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c")], "child string, parent string")
     own = spark.createDataFrame([("a", "S1"), ("c", "S2")], "node string, sector string")

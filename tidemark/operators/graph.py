@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,17 +30,65 @@ def keep_existing(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.where("src != dst").dropDuplicates(["src", "dst"]).join(existing.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
-def components(edges: DataFrame, max_hops: int = 12) -> DataFrame:
-    """(node, component) of the strongly connected components with more than one node, or a self link."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    down = reach(edges, nodes, max_hops).select("origin", "node")
-    mutual = down.join(down.select(F.col("node").alias("origin"), F.col("origin").alias("node")), ["origin", "node"])
-    loops = edges.where("src = dst").select(F.col("src").alias("origin"), F.col("dst").alias("node"))
-    return mutual.union(loops).groupBy(F.col("origin").alias("node")).agg(F.least(F.min("node"), F.first("origin")).alias("component"))
-
-
-def refuse_cycles(edges: DataFrame, max_hops: int = 12) -> None:
-    found = components(edges, max_hops).limit(5).collect()
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to ``spark.checkpoint.dir`` (unset: a local folder) and read back: rounds neither repeat work nor lengthen plans."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _peeled(links: DataFrame) -> DataFrame:
+    """Without links from sources and into sinks, for as long as that takes away a tenth of them or more."""
+    n = links.count()
+    while n:
+        links = cut(links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, n = n, links.count()
+        if 10 * n > 9 * before:
+            break
+    return links
+
+
+def _least(links: DataFrame) -> DataFrame:
+    """(node, first, last): of the node and all that reach it, and of it and all it reaches, the one with the least hash. A label takes over its own label, so long ways take few rounds."""
+    ways = links.select(F.lit("first").alias("way"), "src", "dst").union(links.select(F.lit("last"), "dst", "src"))
+    nodes = ways.select("way", F.col("src").alias("node")).union(ways.select("way", "dst")).distinct()
+    labels = cut(nodes.select("way", "node", F.struct(F.xxhash64("node").alias("hash"), F.col("node").alias("id")).alias("label")))
+    while True:
+        step = labels.withColumnRenamed("node", "src").join(ways, ["way", "src"]).select("way", F.col("dst").alias("node"), "label")
+        own = labels.select("way", F.col("node").alias("id"), F.col("label").alias("next"))
+        jump = labels.select("way", "node", F.col("label.id").alias("id")).join(own, ["way", "id"]).select("way", "node", "next")
+        more = step.union(jump).withColumn("was", F.lit(None).cast(labels.schema["label"].dataType))
+        labels = cut(labels.withColumn("was", F.col("label")).union(more).groupBy("way", "node").agg(F.min("label").alias("label"), F.min("was").alias("was")))
+        if not labels.where("label != was").head(1):
+            return labels.groupBy("node").agg(*(F.max(F.when(F.col("way") == w, F.col("label.id"))).alias(w) for w in ("first", "last")))
+        labels = labels.drop("was")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the strongly connected components with more than one node, or a self link; exact for cycles of any length.
+
+    Nodes of one component have the same label from both directions; where the two are
+    one node, it reaches the others and is reached by them, which makes the component
+    whole. Links between different labels are on no cycle. Each round completes the
+    component of every group's node with the least hash.
+    """
+    found = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root")).distinct()
+    links = cut(edges.where("src != dst").select("src", "dst").distinct())
+    while (links := _peeled(links)).head(1):
+        both = cut(_least(links))
+        groups = both.groupBy("first", "last").agg(F.count("*").alias("n"))
+        whole = both.where("first = last").join(groups.where("n > 1"), ["first", "last"], "left_semi").select("node", F.col("first").alias("root"))
+        found = found.join(whole.select("node"), "node", "left_anti").union(whole)
+        a, b = (both.where("first != last").select(F.col("node").alias(end), F.col("first").alias(f"{end}_first"), F.col("last").alias(f"{end}_last")) for end in ("src", "dst"))
+        links = cut(links.join(a, "src").join(b, "dst").where("src_first = dst_first and src_last = dst_last").select("src", "dst"))
+    names = found.groupBy("root").agg(F.min("node").alias("component"))
+    return found.join(names, "root").select("node", "component")
+
+
+def refuse_cycles(edges: DataFrame) -> None:
+    found = components(edges).limit(5).collect()
     if found:
         raise ControlCycle(f"nodes on cycles of control: {[r['node'] for r in found]}")
 

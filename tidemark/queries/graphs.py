@@ -241,7 +241,7 @@ def control_cycles(t: Tables):
     ring = s.selectExpr("s_suppkey as src", "if(s_suppkey % 3 = 2, s_suppkey - 2, s_suppkey + 1) as dst")
     top = t.read("supplier").agg(F.max("s_suppkey").alias("m"))
     whole = ring.join(F.broadcast(top), F.expr("src div 3 * 3 + 2 <= m")).select("src", "dst")
-    return graph.components(whole, 4)
+    return graph.components(whole)
 
 
 @add("control_cycles_none", "SELECT s_suppkey AS node, s_suppkey AS component FROM supplier WHERE false")
