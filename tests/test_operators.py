@@ -193,6 +193,19 @@ def test_verdict_needs_every_check():
     assert judge.verdict(1.0, {"a": 1.5}, good, None)["failed_checks"] == ["beats_baselines", "pbo"]
 
 
+def test_candidates_are_judged_by_the_deflated_ratio(spark):
+    from tidemark.queries.books import _judged
+
+    days = [DAY + timedelta(i) for i in range(240)]
+    noise = np.random.default_rng(3).normal(size=(5, 240))
+    # one variant is ahead in every block, so choosing it is not overfitting
+    variants = spark.createDataFrame([(f"v{j}", d, float(noise[j, i] + (0.5 if j == 0 else 0))) for j in range(4) for i, d in enumerate(days)], "variant string, bar_date date, net double")
+    book = lambda mean: spark.createDataFrame([(d, float(noise[4, i] + mean)) for i, d in enumerate(days)], "bar_date date, net double")
+    good, bad = _judged(book(1.5), variants), _judged(book(0.0), variants)
+    assert good["promoted"] and good["failed_checks"] == [] and good["dsr"] > 0.95
+    assert not bad["promoted"] and "dsr" in bad["failed_checks"] and bad["dsr"] is not None
+
+
 def test_channel_stress_by_hand(spark):
     e = spark.createDataFrame([("AAA", "market", 1.2), ("AAA", "fx", -0.8), ("BBB", "market", 0.5), ("BBB", "fx", 0.3)], "symbol string, channel string, beta double")
     near(column(risk.channel_stress(e, {"market": -0.10, "fx": 0.05}), "pnl", "symbol"), [-0.16, -0.035])

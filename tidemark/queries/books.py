@@ -186,12 +186,19 @@ def deflated_sharpe(t: Tables):
     return t.spark.createDataFrame(out, "variant string, dsr double, sr_observed double, sr_benchmark double, n_obs long, n_trials int, passes boolean")
 
 
+def _judged(candidate: DataFrame, variants: DataFrame) -> dict:
+    """The verdict on a candidate's daily results, deflated by the variants tried; these are the baselines too."""
+    m = judge.moments(candidate.withColumn("all", F.lit(1)), "all").first()
+    base = {x["variant"]: x["sharpe"] for x in judge.moments(variants, "variant").collect()}  # one row a variant
+    known = m is not None and m["sharpe"] is not None and m["skew"] is not None and m["kurtosis"] is not None
+    dsr = judge.deflated_sharpe(m["sharpe"], m["n"], m["skew"], m["kurtosis"], len(base), trial_sharpes=list(base.values())) if known else None
+    pbo = judge.overfitting_summary(judge.overfitting(variants, 6)).first()["pbo"]
+    return judge.verdict(m["sharpe"] if m else None, base, dsr, pbo)
+
+
 @add("promotion_verdict")
 def promotion_verdict(t: Tables):
-    perf = {x["book"]: x["net_sharpe"] for x in books.performance(books.run_books(_weights(t), t.spark), "book").collect()}
-    base = {x["variant"]: x["sharpe"] for x in judge.moments(_variants(t), "variant").collect()}
-    pbo = judge.overfitting_summary(judge.overfitting(_variants(t), 6)).first()["pbo"]
-    v = judge.verdict(perf["venue_feasible"], base, None, pbo)
+    v = _judged(books.run_books(_weights(t), t.spark).where("book = 'venue_feasible'"), _variants(t))
     return t.spark.createDataFrame([(v["promoted"], ",".join(v["failed_checks"]), v["best_baseline"], v["candidate_net_sharpe"], v["pbo"])], "promoted boolean, failed string, best_baseline string, candidate double, pbo double")
 
 
