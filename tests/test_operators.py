@@ -263,6 +263,12 @@ def test_inheritance_does_not_chain(spark):
     assert {(r["node"], r["sector"], r["hops"]) for r in graph.inherit(own, parents).collect()} == {("b", "S1", 1), ("d", "S2", 1)}
 
 
+def test_inheritance_climbs_to_the_top(spark):
+    parents = spark.createDataFrame([(i, i - 1) for i in range(2, 17)] + [(30, 31), (31, 30), (16, 30)], "child long, parent long")
+    own = spark.createDataFrame([(1, "S")], "node long, sector string")
+    assert {tuple(r) for r in graph.inherit(own, parents).collect()} == {(i, "S", 1, i - 1) for i in range(2, 17)}
+
+
 def test_event_types_and_severity(spark):
     rows = [("1", "20250101120000", "TERROR_X;ATTACK;WAR", "1#x#TU#", "-12.5,1,2,3"), ("2", "20250101", "WAR;TERROR", "1#x#TU#;1#y#US#", "3,1,2"), ("3", "20250101", "ECON_TRADE", "1#x#US#", "0,0,0,0"), ("4", "2025", "WAR", "1#x#TU#", ""), ("5", "20250101", "SPORTS", "1#x#TU#", "")]
     got = {r["record_id"]: r for r in events.typed(spark.createDataFrame(rows, "record_id string, date string, themes string, locations string, tone string")).collect()}

@@ -112,13 +112,24 @@ def group_weight(rows: DataFrame) -> DataFrame:
     return rows.groupBy("portfolio").agg(F.round(F.sum(F.when(F.col("in_group"), F.col("weight")).otherwise(0.0)), 4).alias("group_weight"))
 
 
-def inherit(sectors: DataFrame, parents: DataFrame, max_hops: int = 12) -> DataFrame:
-    """(node, sector, source, hops): nodes without a sector take the nearest ancestor's own one (of equally near ones the smallest id's); what is inherited is not passed on."""
-    nodes = parents.select(F.col("child").alias("node")).distinct().join(sectors.select("node"), "node", "left_anti")
-    up = reach(parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")), nodes, max_hops)
-    known = up.join(sectors.select("node", "sector"), "node")
-    best = F.row_number().over(Window.partitionBy("origin").orderBy("hops", "node"))
-    return known.withColumn("_n", best).where("_n = 1").select(F.col("origin").alias("node"), "sector", F.col("node").alias("source"), "hops")
+def inherit(sectors: DataFrame, parents: DataFrame) -> DataFrame:
+    """(node, sector, source, hops): nodes without a sector take the nearest ancestor's own one, however far up (of equally near ones the smallest id's); what is inherited is not passed on."""
+    links = parents.select(F.col("child").alias("at"), "parent").where("at is not null and parent is not null").distinct()
+    own = sectors.select(F.col("node").alias("source"), "sector")
+    at = links.select(F.col("at").alias("node"), "at").distinct().join(sectors.select("node"), "node", "left_anti")
+    seen, found, hop = at, [], 0
+    while not found or at.head(1):
+        hop += 1
+        up = at.join(links, "at").select("node", F.col("parent").alias("at")).distinct().join(seen, ["node", "at"], "left_anti")
+        step = cut(up.join(own.withColumnRenamed("source", "at").withColumn("has", F.lit(True)), "at", "left"))
+        hit = step.where("has").groupBy("node").agg(F.min(F.struct("at", "sector")).alias("best"))
+        found.append(hit.select("node", "best.sector", F.col("best.at").alias("source"), F.lit(hop).alias("hops")))
+        at = step.join(hit.select("node"), "node", "left_anti").select("node", "at")
+        seen = cut(seen.union(at))
+    out = found[0]
+    for one in found[1:]:
+        out = out.union(one)
+    return out
 
 
 def sector_coverage(nodes: DataFrame, sectors: DataFrame, instruments: DataFrame) -> DataFrame:
