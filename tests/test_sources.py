@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
 import json
+import random
 import zipfile
 from datetime import date, timedelta
 
@@ -140,3 +142,16 @@ def test_planted_signal_passes_and_noise_does_not(spark):
     m = {x["variant"]: x for x in judge.moments(spark.createDataFrame(rows, "variant string, bar_date date, net double"), "variant").collect()}
     dsr = {v: judge.deflated_sharpe(x["sharpe"], x["n"], x["skew"], x["kurtosis"], 12) for v, x in m.items()}
     assert dsr["good"]["passes"] and not dsr["noise"]["passes"]
+
+
+def test_signals_are_searched_over_the_whole_grids(spark):
+    r = random.Random(4)
+    days = [date(2023, 1, 2) + timedelta(i) for i in range(72)]
+    rows = [(f"S{k}", d, r.gauss(0, 0.02)) for d in days for k in range(10)]
+    rets = spark.createDataFrame(rows, "symbol string, bar_date date, ret double")
+    betas = rets.selectExpr("symbol", "'fx' as channel", "bar_date", "ret * 10 as beta")
+    specs = spark.createDataFrame([(days[i], "fx", 1) for i in (8, 20, 33, 47, 60)], "event_date date, channel string, shock_sign int")
+    out = runs.event_signal(betas, rets, specs)
+    assert out["n_trials"] == 12 and {"promoted", "best_baseline", "pbo", "dsr"} <= set(out) and out["pbo"] is not None
+    grid = inspect.signature(runs.statarb).parameters
+    assert len(grid["accums"].default) * len(grid["thresholds"].default) * len(grid["least_corrs"].default) == 12 and grid["lookback"].default == 60

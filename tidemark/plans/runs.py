@@ -63,32 +63,47 @@ def survival_gate(residuals: DataFrame, sectors: DataFrame, *, window: int = 120
     return network.gate(network.stability_summary(network.stability(edges, c.groupBy("w").agg(F.count("*").alias("n_candidates")))))
 
 
-def statarb(residuals: DataFrame, rets: DataFrame, sectors: DataFrame, *, lookbacks: tuple[int, ...] = (20, 60), thresholds: tuple[float, ...] = (0.0, 1.0), accum: int = 5, least_corr: float = 0.0, n_splits: int = 5, purge: int = 5, embargo: int = 5, least: int = 60) -> dict:
+def statarb(residuals: DataFrame, rets: DataFrame, sectors: DataFrame, *, accums: tuple[int, ...] = (1, 5, 10), thresholds: tuple[float, ...] = (0.0, 1.0), least_corrs: tuple[float, ...] = (0.0, 0.2), lookback: int = 60, n_splits: int = 5, purge: int = 5, embargo: int = 5, least: int = 60) -> dict:
     """Spread signals of a grid of variants, picked walk-forward, and judged against luck.
 
     Edges come from the first ``least`` days' correlations onwards by the rolling
     schedule: each refit sees only the days before it is used.
     """
-    spark = residuals.sparkSession
     p = network.panel(residuals, "residual", least).withColumnRenamed("x", "ret")
     sched = books.schedule(p, 250, 60).select("refit", "first", "last", "effective", F.coalesce("until", F.lit("9999-12-31").cast("date")).alias("until"))
     spans = p.join(F.broadcast(sched), F.col("bar_date").between(F.col("first"), F.col("last")))  # refits are few
     c = network.correlations(spans.select("symbol", "bar_date", F.col("ret").alias("x"), "refit"), sectors, least, ("refit",))
-    edges = network.fdr_edges(c, least_corr=least_corr, by=("refit",))
+    c = c.persist()
     wide = books.dense(p, "ret")
     active = wide.join(F.broadcast(sched.select("refit", "effective", "until")), (F.col("bar_date") >= F.col("effective")) & (F.col("bar_date") < F.col("until")))
-    both = edges.select("refit", F.col("src").alias("symbol"), F.col("dst").alias("peer"), "corr").unionByName(edges.select("refit", F.col("dst").alias("symbol"), F.col("src").alias("peer"), "corr"))
     peers = active.select("refit", "bar_date", F.col("symbol").alias("peer"), F.col("ret").alias("v"))
-    predicted = both.join(peers, ["refit", "peer"]).groupBy("symbol", "bar_date").agg(F.try_divide(F.sum(F.col("corr") * F.coalesce("v", F.lit(0.0))), F.sum(F.abs("corr"))).alias("predicted"))
-    spread = wide.join(predicted, ["symbol", "bar_date"], "left").withColumn("spread", F.col("ret") - F.col("predicted"))
     forward = rets.select("symbol", "bar_date", F.col("ret").alias("fwd"))
-    research = books.books(spark).where("book = 'venue_feasible'")
-    pnl = None
-    for n in lookbacks:
-        for z in thresholds:
-            w = books.dollar_neutral(books.fade_signal(spread, accum=accum, lookback=n, least_z=z), "score").join(forward, ["symbol", "bar_date"], "left")
-            one = books.daily_pnl(books.constrain(w.join(F.broadcast(research)))).select(F.lit(f"n{n}|z{z}").alias("variant"), "bar_date", "net")
-            pnl = one if pnl is None else pnl.unionByName(one)
+    pnl, kept = None, [c]
+    for least_one in least_corrs:
+        edges = network.fdr_edges(c, least_corr=least_one, by=("refit",))
+        both = edges.select("refit", F.col("src").alias("symbol"), F.col("dst").alias("peer"), "corr").unionByName(edges.select("refit", F.col("dst").alias("symbol"), F.col("src").alias("peer"), "corr"))
+        predicted = both.join(peers, ["refit", "peer"]).groupBy("symbol", "bar_date").agg(F.try_divide(F.sum(F.col("corr") * F.coalesce("v", F.lit(0.0))), F.sum(F.abs("corr"))).alias("predicted"))
+        spread = wide.join(predicted, ["symbol", "bar_date"], "left").withColumn("spread", F.col("ret") - F.col("predicted")).persist()
+        kept.append(spread)
+        for n in accums:
+            for z in thresholds:
+                w = books.dollar_neutral(books.fade_signal(spread, accum=n, lookback=lookback, least_z=z), "score").join(forward, ["symbol", "bar_date"], "left")
+                one = _net(w).select(F.lit(f"a{n}|z{z}|c{least_one}").alias("variant"), "bar_date", "net")
+                pnl = one if pnl is None else pnl.unionByName(one)
+    out = _verdict(pnl, rets, n_splits, purge, embargo)
+    for df in kept:
+        df.unpersist()
+    return out
+
+
+def _net(weights: DataFrame) -> DataFrame:
+    """Daily results in the venue-feasible book."""
+    research = books.books(weights.sparkSession).where("book = 'venue_feasible'")
+    return books.daily_pnl(books.constrain(weights.join(F.broadcast(research))))  # one row
+
+
+def _verdict(pnl: DataFrame, rets: DataFrame, n_splits: int, purge: int, embargo: int) -> dict:
+    """The variants picked walk-forward, against luck, overfitting and the baselines."""
     pnl = pnl.persist()
     days = pnl.select("bar_date").distinct().count()
     splits = books.walk_forward(days, n_splits, purge, embargo)
@@ -98,31 +113,27 @@ def statarb(residuals: DataFrame, rets: DataFrame, sectors: DataFrame, *, lookba
     blocks = judge.safe_blocks(days)
     pbo = judge.overfitting_summary(judge.overfitting(pnl, blocks)).first() if blocks else None
     dsr = judge.deflated_sharpe(m["sharpe"], m["n"], m["skew"], m["kurtosis"], len(trial), trial_sharpes=trial) if m and m["sharpe"] is not None else None
-    base = {}
-    for name, scored in {"momentum": books.momentum(books.dense(rets, "ret")), "differential_exposure": books.trailing_beta(books.dense(rets, "ret")), "own_event": books.own_event(books.dense(rets, "ret"))}.items():
+    wide, base = books.dense(rets, "ret"), {}
+    for name, scored in {"momentum": books.momentum(wide), "differential_exposure": books.trailing_beta(wide), "own_event": books.own_event(wide)}.items():
         w = books.dollar_neutral(scored, "score").withColumn("fwd", F.col("ret"))
-        base[name] = books.performance(books.daily_pnl(books.constrain(w.join(F.broadcast(research)))), "book").first()["net_sharpe"]
+        base[name] = books.performance(_net(w), "book").first()["net_sharpe"]
     pnl.unpersist()
     return judge.verdict(m["sharpe"] if m else None, base, dsr, pbo and pbo["pbo"]) | {"n_trials": len(trial), "n_days": m["n"] if m else 0}
 
 
-def event_signal(betas: DataFrame, rets: DataFrame, specs: DataFrame, *, quantiles: tuple[float, ...] = (0.2, 0.3), drifts: tuple[int, ...] = (3, 5), lags: tuple[int, ...] = (1,), n_splits: int = 5, purge: int = 5, embargo: int = 5) -> dict:
-    """Differential exposure around events in a grid of variants, picked walk-forward; ``betas`` by channel."""
+def event_signal(betas: DataFrame, rets: DataFrame, specs: DataFrame, *, quantiles: tuple[float, ...] = (0.2, 0.3), drifts: tuple[int, ...] = (3, 5, 10), lags: tuple[int, ...] = (1, 2), n_splits: int = 5, purge: int = 5, embargo: int = 5) -> dict:
+    """Differential exposure around events in a grid of variants, picked walk-forward and judged; ``betas`` by channel. Days without an event are held flat."""
     pnl = None
-    forward = rets.select("symbol", "bar_date", F.col("ret").alias("fwd"))
+    forward = books.dense(rets, "ret").withColumnRenamed("ret", "fwd").persist()
     for q in quantiles:
         for d in drifts:
             for lag in lags:
-                w = events.drift_weights(betas, specs, drift=d, quantile=q, lag=lag).join(forward, ["symbol", "bar_date"], "left")
-                one = w.groupBy("bar_date").agg(F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0))).alias("net")).select(F.lit(f"q{q}|d{d}|l{lag}").alias("variant"), "bar_date", "net")
+                w = forward.join(events.drift_weights(betas, specs, drift=d, quantile=q, lag=lag), ["symbol", "bar_date"], "left")
+                one = _net(w).select(F.lit(f"q{q}|d{d}|l{lag}").alias("variant"), "bar_date", "net")
                 pnl = one if pnl is None else pnl.unionByName(one)
-    days = pnl.select("bar_date").distinct().count()
-    splits = books.walk_forward(days, n_splits, purge, embargo)
-    oos = books.spliced(pnl, books.pick_variants(pnl, splits), splits)
-    m = judge.moments(oos.withColumn("all", F.lit(1)), "all").first()
-    trial = [r["sharpe"] for r in judge.moments(pnl, "variant").collect()]
-    dsr = judge.deflated_sharpe(m["sharpe"], m["n"], m["skew"], m["kurtosis"], len(trial), trial_sharpes=trial) if m and m["sharpe"] is not None else None
-    return {"n_trials": len(trial), "n_days": m["n"] if m else 0, "net_sharpe": m["sharpe"] if m else None, "dsr": dsr and dsr["dsr"]}
+    out = _verdict(pnl, rets, n_splits, purge, embargo)
+    forward.unpersist()
+    return out
 
 
 def scenario_analysis(store: Store, *, as_of: str, weights: DataFrame | None = None, report_dir: str | None = None) -> dict:
