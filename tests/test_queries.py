@@ -36,6 +36,15 @@ def test_query_is_its_sql(spark, small, name):
     assert sorted((tuple(plain(r[c]) for c in df.columns) for r in df.collect()), key=repr) == want
 
 
+def test_every_customer_name_is_looked_up(spark, small):
+    from tidemark.queries.names import _names
+    from tidemark.views import Tables
+
+    names = {r["name"] for r in _names(Tables(spark, small)).collect()}
+    asked = {r["name"] for r in entry_module.queries()["name_match"](spark, small).collect()}
+    assert all(n in asked or n.removesuffix("A.Ş.") in asked for n in names)
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
