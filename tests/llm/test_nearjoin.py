@@ -75,3 +75,30 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"{i + 1:03d}".encode(), f"{i:03d}".encode()) for i in range(40)] + [(b"900", b"899")], "sid binary, root binary")
     got = {bytes(r["sid"]): bytes(r["root"]) for r in nearjoin.components(edges).collect()}
     assert got == {f"{i:03d}".encode(): b"000" for i in range(1, 41)} | {b"900": b"899"}
+
+
+def test_rows_of_equal_keys_are_told_apart_by_text(spark):
+    w, v = words(31, 50), words(32, 50)
+    docs = [(1, w, "a"), (2, w + " tail", "b"), (2, v, "c"), (2, v, "d"), (3, v + " end", "e"), (None, w, "f"), (4, "", "g"), (4, None, "h"), (2, v.replace(" ", ", "), "i")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, mark string")
+    kept = sorted((tuple(r) for r in nearjoin.one_of_each(df).collect() if r["doc_id"] is not None), key=repr)
+    assert kept[0] == docs[0] and {r[2] for r in kept} >= {"g", "h"}
+    assert len(kept) == 4 and kept[1][0] == 2 and kept[1][1] in (v, v.replace(" ", ", "))
+    assert sorted(map(tuple, nearjoin.classes(df.select("doc_id", "text")).collect()), key=repr) == brute([d[:2] for d in docs])
+
+
+def test_a_large_unit_is_compared_in_squares(spark, monkeypatch):
+    base = words(77, 60)
+    r = random.Random(8)
+    docs = [(i, edited(r, base, 0.02)) for i in range(150)] + [(900 + i, words(900 + i, 40)) for i in range(20)]
+    monkeypatch.setattr(nearjoin, "SMALL", 16)
+    monkeypatch.setattr(nearjoin, "EDGE", 32)
+    got = sorted(map(tuple, nearjoin.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    want = sorted(brute(docs))
+    assert [x[0] for x in got] == [x[0] for x in want] and sum(x[2] for x in got) >= 0.99 * sum(x[2] for x in want)
+
+
+def test_repetitions_meet_the_recall():
+    for least, recall in ((0.8, 0.99), (0.8, 0.9999), (0.6, 0.95)):
+        assert nearjoin.DEPTH * (1 - least) ** nearjoin.repetitions(least, recall) <= 1 - recall
+    assert nearjoin.agreeing(0.8) == 15
