@@ -91,3 +91,25 @@ def test_sequences_are_gapless_and_exact(spark, odd, none, cache):
         want += [(key, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
     assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows), key=repr) == sorted(want, key=repr)
     assert packing.pack(none, tokenizer_path()).count() == 0
+
+
+def test_added_tokens_are_the_librarys():
+    """Against a tokenizer of our own, with the library's defaults."""
+    from tokenizers import Tokenizer
+
+    plain, cache = Tokenizer.from_file(tokenizer_path()), packing.TokenCache(tokenizer_path())
+    assert plain.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    for text in ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b", " <|endoftext|>  x\n", "<|endoftext|><|endoftext|>", "<|endoftext", "plain words, here.\n\nand there", ""]:
+        assert np.frombuffer(cache.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_many_pieces_of_one_size_are_ranked_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN_ROWS", 7)
+    docs = spark.createDataFrame([(1, "one two three")] * 60 + [(2, "word " * 3000), (2, "word " * 3000), (3, None)], "doc_id long, text string")
+    places = {}
+    rows = packing.pack(docs, tokenizer_path(), capacity=16).collect()
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in places.values():
+        assert [o for o, _ in sorted(spans)] == [sum(n for _, n in sorted(spans)[:i]) for i in range(len(spans))] and sum(n for _, n in spans) <= 16
+    assert sum(r["doc_id"] == 1 for r in rows) == 60 and len(places) < len(rows)

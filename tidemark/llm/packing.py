@@ -9,10 +9,12 @@ the plan is made from a histogram of at most ``capacity`` rows, whatever the cor
 2. the remainder is packed best-fit decreasing, many equal bins at a time.
 
 The plan has at most a few patterns for each size. Pieces take their place in it by
-their rank among the pieces of their size; hot sizes are salted.
+their rank among the pieces of their size, sizes with many pieces in several runs
+(``RUN_ROWS``). A full piece is a sequence by itself and needs no place.
 
 Defined cases: a null text is an empty one and still is one end token; a text of any
-length is tokenized whole; repeated rows are packed once each; an empty table gives no
+length is tokenized whole; what the file lists as an added token is one token wherever
+its text occurs, as the library has it; repeated rows are packed once each; an empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -35,7 +37,8 @@ from . import textarrays as TA
 from .runtime import materialize
 
 END_ID = 2
-SALTS = 64
+#: Pieces of one size that are ranked in one window, on average.
+RUN_ROWS = 100_000
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -180,10 +183,14 @@ class TokenCache(dict):
 
         self.most = most
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.word = self._core(model) or self.whole
+            whole = json.load(f)
+        split = whole.get("pre_tokenizer") or {}
+        #: texts may be cut at white space by the rule above
+        self.cut = not whole.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.added = tuple(t["content"] for t in whole.get("added_tokens", []))
+        self.word = self._core(whole["model"]) if self.cut else self.whole
+        self.word = self.word or self.whole
 
     @staticmethod
     def _core(model: dict):
@@ -221,6 +228,8 @@ class TokenCache(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if not self.cut or any(t in text for t in self.added):
+            return self.whole(text)
         if len(self) > self.most:
             self.clear()
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in _RARE) or text[0] in SPACE or text[-1] in SPACE:
@@ -266,23 +275,32 @@ def pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
 
 def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence and its place there; places are gapless from 0."""
-    cut = materialize(pieces(docs, tokenizer, key=key, text=text, capacity=capacity, with_ids=with_ids).withColumn("_salt", F.pmod(F.xxhash64(F.col(key), F.col("piece")), F.lit(SALTS)).cast("int")), "pieces")
-    counts = cut.groupBy("length", "_salt").count().collect()  # at most capacity x SALTS rows
-    before, total = np.zeros((capacity + 1, SALTS), np.int64), {}
-    for r in sorted(counts):
-        before[r[0], r[1]] = total.get(r[0], 0)
-        total[r[0]] = total.get(r[0], 0) + r[2]
-    shared = docs.sparkSession.sparkContext.broadcast((slots(plan(total, capacity)), before))  # bounded by capacity, see above
-    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(key, "piece")))
-    schema = T.StructType([f for f in cut.schema.fields if f.name != "_salt"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    numbered = pieces(docs, tokenizer, key=key, text=text, capacity=capacity, with_ids=with_ids).withColumn("_n", F.monotonically_increasing_id())
+    cut = materialize(numbered, "pieces")  # with their numbers, so that they do not change
+    total = {r[0]: r[1] for r in cut.where(F.col("length") < capacity).groupBy("length").count().collect()}  # fewer than capacity rows
+    runs = [1 + total.get(n, 0) // RUN_ROWS for n in range(1, capacity + 1)]
+    salted = cut.withColumn("_salt", F.expr(f"cast(pmod(xxhash64(_n), element_at(array({', '.join(map(str, runs))}), cast(length as int))) as int)"))
+    # capacity rows, and one more for every RUN_ROWS pieces
+    counts = salted.where(F.col("length") < capacity).groupBy("length", "_salt").count().collect()
+    base = np.concatenate([[0, 0], np.cumsum(runs)])[: capacity + 1].astype(np.int64)
+    before, seen = np.zeros(int(sum(runs)) + 1, np.int64), {}
+    for n, salt, count in sorted(counts):
+        before[base[n] + salt] = seen.get(n, 0)
+        seen[n] = seen.get(n, 0) + count
+    patterns = plan(total, capacity)
+    shared = docs.sparkSession.sparkContext.broadcast((slots(patterns), base, before))  # bounded by capacity and the runs, see above
+    ranked = salted.where(F.col("length") < capacity).withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(key, "piece", "_n")))
+    names = [f for f in cut.schema.fields if f.name != "_n"]
+    schema = T.StructType([*names, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, ahead = shared.value
+        where, first, ahead = shared.value
         for batch in batches:
             length, salt, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_salt", "_rank"))
-            rank = ahead[length, salt] + rank - 1
-            run = np.searchsorted(runs["key"], length << 44 | rank, "right") - 1
-            sequence = runs["sequence"][run] + rank - runs["lo"][run]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-2]), pa.array(sequence), pa.array(runs["offset"][run])], names=schema.names)
+            rank = ahead[first[length] + salt] + rank - 1
+            run = np.searchsorted(where["key"], length << 44 | rank, "right") - 1
+            sequence = where["sequence"][run] + rank - where["lo"][run]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in names), pa.array(sequence), pa.array(where["offset"][run])], names=schema.names)
 
-    return ranked.mapInArrow(place, schema)
+    full = cut.where(F.col("length") == capacity).select(*(f.name for f in names), (F.col("_n") + sum(n for _, n in patterns)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.mapInArrow(place, schema).unionByName(full)
