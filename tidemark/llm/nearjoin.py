@@ -128,7 +128,7 @@ def _nodes(reps: DataFrame, runs: int) -> DataFrame:
     for depth in range(DEPTH):
         # the counts are a table of their own, so that the join may split a path with many rows; nodes of one set are dropped by it
         counts = materialize(now.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.max("parent").alias("parent_n")).where("n > 1"), "counts")
-        live = materialize(now.drop("parent").join(counts, "path"), "nodes")
+        live = materialize(now.drop("parent").join(counts.hint("shuffle_merge"), "path"), "nodes")  # alike at every size
         final = (F.col("n") <= SMALL) | (F.col("n") > F.col("parent_n") / 2) if depth < DEPTH - 1 else F.lit(True)
         final = F.coalesce(final, F.lit(False))
         done.append(live.where(final).drop("parent_n"))
