@@ -9,7 +9,13 @@ them back (``reveal``). Formats:
 - North American phone numbers: area code and exchange from 200 to 999, any line;
 - IPv4 addresses; social security numbers in groups of 3, 2 and 4 that can be assigned;
 - dates as year-month-day or day/month/year (read month first only where day first is
-  no date), from 1900-01-01 on for 72,900 days; day and month come back with two digits.
+  no date). What comes out is written with as many digits, and is read the same way: a
+  month-first date becomes one that is no date day first. Dates in the 72,900 days from
+  1900-01-01 on become such dates, others (years 1 to 9999) become others.
+
+Where a format's values are not all pairs of two ranges, the network is applied again
+until its result is one of them (cycle walking). At least one in five results is, so
+``WALK`` steps do not suffice for one date in 10**24; that one would stay.
 
 Numbers of a right form that are not valid stay as they are. E-mail addresses have no
 such format: they become keyed hashes of the address and of its domain, which keeps
@@ -19,7 +25,8 @@ Everything is DataFrame and SQL functions. Expressions are anchored at the start
 run of word characters and possessive, so time grows with the text's length only.
 
 Defined cases: a null text stays null, an empty one empty; texts are read whole;
-repeated rows get equal answers; a column of another name is never touched.
+repeated rows get equal answers; an empty table gives no rows; a column of another name
+is never touched, whatever it is called (helper columns take names that are free).
 """
 
 from __future__ import annotations
@@ -38,6 +45,9 @@ CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
 FORMS = (("mail", MAIL), ("address", ADDRESS), ("day", DAY), ("security", SECURITY), ("phone", PHONE), ("card", CARD))
 ANY = "|".join(f"(?:{form})" for _, form in FORMS)
 FIRST_DAY, DAY_SIDE = "1900-01-01", 270
+#: All days of the years 1 to 9999, and a square that holds them.
+OLDEST_DAY, ALL_DAYS, ALL_SIDE = "0001-01-01", 3_652_059, 1912
+WALK = 256
 
 
 def _quoted(text: str) -> str:
@@ -93,12 +103,7 @@ def replacement(m: str, key: str, back: bool = False) -> str:
         "f", permuted("(n[0] - 1 - cast(n[0] > 666 as int)) * 99 + n[1] - 1", "n[2] - 1", "88902", "9999", "security"),
         "concat(lpad(cast(f.l div 99 + 1 + cast(f.l div 99 >= 665 as int) as string), 3, '0'), '-', lpad(cast(f.l % 99 + 1 as string), 2, '0'), '-', lpad(cast(f.r + 1 as string), 4, '0'))",
     ) + ")")
-    side = DAY_SIDE
-    form = f"case when {m} like '____-%' then 'yyyy-MM-dd' when try_to_timestamp({m}, 'd/M/yyyy') is not null then if(length({m}) = 10, 'dd/MM/yyyy', 'd/M/yyyy') else if(length({m}) = 10, 'MM/dd/yyyy', 'M/d/yyyy') end"
-    day = _let("g", form, _let("n", f"datediff(cast(try_to_timestamp({m}, case when g like 'y%' then g when g like 'd%' then 'd/M/yyyy' else 'M/d/yyyy' end) as date), date'{FIRST_DAY}')", f"if(n between 0 and {side * side - 1}, " + _let(
-        "f", permuted(f"n div {side}", f"n % {side}", str(side), str(side), "day"),
-        f"date_format(date_add(date'{FIRST_DAY}', cast(f.l * {side} + f.r as int)), g)",
-    ) + f", {m})"))
+    day = _day(m, permuted)
     mail = m if back else f"concat(substr(sha2(concat({_quoted(key + '|mail|')}, lower({m})), 256), 1, 12), '@', substr(sha2(concat({_quoted(key + '|domain|')}, lower(substring_index({m}, '@', -1))), 256), 1, 8), '.invalid')"
     branches = {"mail": mail, "address": address, "day": day, "security": security, "phone": phone, "card": card}
     tests = {
@@ -111,31 +116,72 @@ def replacement(m: str, key: str, back: bool = False) -> str:
     return "case " + " ".join(f"when {tests[k]} then {branches[k]}" for k, _ in FORMS if k in tests) + f" else {card} end"
 
 
-def _changed(docs: DataFrame, text: str, key: str, back: bool) -> DataFrame:
-    """With _found, _new (matches before and after) and _out (the text)."""
+def _day(m: str, permuted) -> str:
+    """SQL: a date within the dates of its span that are written and read the same way."""
+    reading = f"case when {m} like '____-%' then 'yyyy-MM-dd' when try_to_timestamp({m}, 'd/M/yyyy') is not null then 'd/M/yyyy' else 'M/d/yyyy' end"
+    # two digits stand for any day or month, one digit for those below ten
+    digits = f"if(r like 'y%', array(2, 2), transform(slice(split({m}, '/'), 1, 2), x -> length(x)))"
+    written = "case when r like 'y%' then r when r like 'd%' then concat(repeat('d', w[0]), '/', repeat('M', w[1]), '/yyyy') else concat(repeat('M', w[0]), '/', repeat('d', w[1]), '/yyyy') end"
+
+    def walked(start: str, side: int, first: str, inside: str) -> str:
+        date = f"date_add(date'{first}', cast(x.n as int))"
+        of = _let("d", date, "(r not like 'M%' or day(d) > 12) and (r like 'y%' or (w[if(r like 'd%', 0, 1)] = 2 or day(d) < 10) and (w[if(r like 'd%', 1, 0)] = 2 or month(d) < 10))")
+        step = _let("f", permuted(f"x.n div {side}", f"x.n % {side}", str(side), str(side), f"day{side}"), f"f.l * {side} + f.r")
+        good = f"case when x.k = 0 then false when not ({inside}) then false else {of} end"
+        end = f"aggregate(sequence(1, {WALK}), named_struct('n', cast({start} as bigint), 'k', 0, 'ok', false), (x, i) -> if(x.ok, x, {_let('x', f'named_struct({chr(39)}n{chr(39)}, {step}, {chr(39)}k{chr(39)}, 1)', f'named_struct({chr(39)}n{chr(39)}, x.n, {chr(39)}k{chr(39)}, 1, {chr(39)}ok{chr(39)}, {good})')}))"
+        return _let("e", end, f"if(e.ok, date_format(date_add(date'{first}', cast(e.n as int)), {written}), {m})")
+
+    before = f"datediff(date'{FIRST_DAY}', date'{OLDEST_DAY}')"
+    span = DAY_SIDE * DAY_SIDE
+    recent = walked("n", DAY_SIDE, FIRST_DAY, "true")
+    other = walked(f"n + {before}", ALL_SIDE, OLDEST_DAY, f"x.n < {ALL_DAYS} and x.n not between {before} and {before} + {span - 1}")
+    valid = f"if(n is null or n < -{before} or n >= {ALL_DAYS} - {before}, {m}, if(n between 0 and {span - 1}, {recent}, {other}))"
+    return _let("r", reading, _let("w", digits, _let("n", f"datediff(cast(try_to_timestamp({m}, r) as date), date'{FIRST_DAY}')", valid)))
+
+
+def _free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column has."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def _changed(docs: DataFrame, text: str, key: str, back: bool) -> tuple[DataFrame, str, str, str]:
+    """With three more columns, whose names come too: the matches before and after, and the text."""
+    found, new, out = _free(docs.columns, "_found", "_new", "_out")
+    column = _column(text)
     # every form has a digit or an @, which most texts have not
-    found = docs.withColumn("_found", F.expr(f"case when {_column(text)} is null then null when {_column(text)} rlike '[0-9@]' then regexp_extract_all({_column(text)}, {_quoted(ANY)}, 0) else cast(array() as array<string>) end"))
-    new = found.withColumn("_new", F.expr(f"transform(_found, m -> {replacement('m', key, back)})"))
-    joined = f"array_join(zip_with(split({_column(text)}, {_quoted(ANY)}), concat(_new, array('')), (a, b) -> concat(a, b)), '')"
-    return new.withColumn("_out", F.expr(f"if(size(_found) > 0, {joined}, {_column(text)})"))
+    df = docs.withColumn(found, F.expr(f"case when {column} is null then null when {column} rlike '[0-9@]' then regexp_extract_all({column}, {_quoted(ANY)}, 0) else cast(array() as array<string>) end"))
+    df = df.withColumn(new, F.expr(f"transform({found}, m -> {replacement('m', key, back)})"))
+    joined = f"array_join(zip_with(split({column}, {_quoted(ANY)}), concat({new}, array('')), (a, b) -> concat(a, b)), '')"
+    return df.withColumn(out, F.expr(f"if(size({found}) > 0, {joined}, {column})")), found, new, out
 
 
 def _column(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
+def _replaced(docs: DataFrame, secret: str, text: str, back: bool) -> DataFrame:
+    changed, _, _, out = _changed(docs, text, secret, back)
+    return changed.select(*(F.col(out).alias(c) if c == text else F.col(_column(c)) for c in docs.columns))
+
+
 def pseudonymize(docs: DataFrame, secret: str, *, text: str = "text") -> DataFrame:
     """The documents, all columns as they are, with personal data in the text replaced."""
-    return _changed(docs, text, secret, False).withColumn(text, F.col("_out")).drop("_found", "_new", "_out")
+    return _replaced(docs, secret, text, False)
 
 
 def reveal(docs: DataFrame, secret: str, *, text: str = "text") -> DataFrame:
     """The way back, for all kinds but e-mail addresses."""
-    return _changed(docs, text, secret, True).withColumn(text, F.col("_out")).drop("_found", "_new", "_out")
+    return _replaced(docs, secret, text, True)
 
 
 def report(docs: DataFrame, secret: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document: its text with pseudonyms, how many places have a personal form and how many were valid and replaced."""
-    changed = _changed(docs.select(F.col(key), F.col(text)), text, secret, False)
-    size: Column = F.expr("size(filter(zip_with(_found, _new, (a, b) -> a != b), x -> x))")
-    return changed.select(key, F.col("_out").alias("text"), F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_found"), F.coalesce(size, F.lit(0)).cast("long").alias("n_replaced"))
+    changed, found, new, out = _changed(docs.select(F.col(key), F.col(text)), text, secret, False)
+    size: Column = F.expr(f"size(filter(zip_with({found}, {new}, (a, b) -> a != b), x -> x))")
+    return changed.select(key, F.col(out).alias("text"), F.coalesce(F.size(found), F.lit(0)).cast("long").alias("n_found"), F.coalesce(size, F.lit(0)).cast("long").alias("n_replaced"))
