@@ -11,9 +11,15 @@ A term is in the lexicon if at least ``low`` of all documents have it, so there
 most (mean distinct terms of a document) / low such terms at any size of the corpus; this
 bounded list is part of the query plan. Everything is DataFrame and SQL functions.
 
+The next document of each is found in ranges of keys bounded by their quantiles; a key
+with more rows than a range is dealt to several by a hash of its texts, so no range
+depends on how keys are spread.
+
 Defined cases: a null text is an empty one; a text with fewer than ``FEW`` lexicon terms
 is fingerprinted by all its terms, without any by its whole text; equal texts have equal
-fingerprints; extra columns are ignored.
+fingerprints; keys may be numbers, dates or strings; rows of equal keys follow each other
+by a hash of their texts (descending), null keys come behind all others; a table of one
+row is followed by itself; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import collect_bounded
 
@@ -100,23 +107,62 @@ def fingerprints(docs: DataFrame, words: list[list[int]], *, key: str = "doc_id"
     return df.select(key, shown(F.col("_print")).alias("fingerprint"))
 
 
-def neighbours(docs: DataFrame, key: str, bucket_rows: int = 2000, most_buckets: int = 20_000) -> DataFrame:
-    """The rows with columns _bucket and _ghost, so that a window by _bucket, descending key, has each row's next row.
-
-    Keys are dealt to ranges of equal width. A range's next row lies in another one; that
-    row is sent there too, as a ghost. The last row's next one is the first.
+def _place_of(keys: DataFrame) -> str:
+    """SQL for a number that never falls as column k grows."""
+    kind = keys.schema["k"].dataType
+    if isinstance(kind, T.NumericType):
+        return "cast(k as double)"
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return "cast(unix_micros(cast(k as timestamp)) as double)"
+    if not isinstance(kind, T.StringType):
+        raise TypeError(f"no ranges for keys of type {kind.simpleString()}")
+    low, high = keys.agg(F.min("k"), F.max("k")).first()
+    low, high = (low or "").encode(), (high or "").encode()
+    same = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    # six bytes behind what all keys begin with
+    return f"cast(conv(hex(rpad(substring(cast(k as binary), {same + 1}, 6), 6, x'00')), 16, 10) as double)"
+
+
+def neighbours(docs: DataFrame, bucket_rows: int = 2000, most_buckets: int = 20_000) -> DataFrame:
+    """The rows (k, t) with columns _g, _bucket and _ghost, so that a window by _bucket, descending k and _g, has each row's next row.
+
+    A range's next row lies in another one; that row is sent there too, as a ghost. The
+    last row's next one is the first. Ranges hold ``bucket_rows`` rows, more from
+    ``bucket_rows * most_buckets`` rows on; the driver gets a few numbers for each.
     """
-    low, high, rows = docs.agg(F.min(key), F.max(key), F.count(key)).first()
+    rows, nulls = docs.agg(F.count("*"), F.count_if(F.col("k").isNull())).first()
+    each = max(bucket_rows, rows // most_buckets)
+    place = _place_of(docs.select("k"))
+    shares = [i * each / rows for i in range(1, -(-rows // each))]
+    bounds = docs.where("k is not null").selectExpr(f"percentile_approx({place}, array({', '.join(map(repr, shares))}), {10 * len(shares) + 100})").first()[0] if shares else None
+    bounds = sorted(set(bounds or []))
+    often = docs.where("k is not null").groupBy("k").count().where(F.col("count") > each).withColumn("place", F.expr(place))
+    hot: dict[int, tuple] = {}  # the key with most rows of each range that has such keys
+    for k, n, at in sorted(often.collect(), key=lambda r: r[1]):  # rows / each at most
+        hot[sum(b <= at for b in bounds)] = (k, 1 + n // each)
+    parts = max([1, 1 + nulls // each, *(n for _, n in hot.values())])
+    table = f"from_json('{json.dumps(bounds)}', 'array<double>')"  # folded to a constant before execution
+    middle = "cast((s.l + s.h) div 2 as int)"
+    range_of = f"aggregate(sequence(1, {len(bounds).bit_length() + 1}), named_struct('l', 0, 'h', {len(bounds)}), (s, i) -> if(s.l >= s.h, s, if(element_at({table}, {middle} + 1) <= _m, named_struct('l', {middle} + 1, 'h', s.h), named_struct('l', s.l, 'h', {middle}))), s -> s.l)" if bounds else "0"
+    # hashes from above are dealt to 0, 1, ...: numbers go up as k and _g go down
+    part = lambda n: f"cast(({(1 << 63) - 1} - cast(_g as double)) / {float(1 << 64)!r} * {n} as bigint)"
+    side, own = F.lit(0), F.lit(0).cast("bigint")
+    for b, (k, n) in hot.items():
+        here = F.col("_range") == b
+        side = F.when(here, F.when(F.col("k") > F.lit(k), 0).when(F.col("k") == F.lit(k), 1).otherwise(2)).otherwise(side)
+        own = F.when(here & (F.col("k") == F.lit(k)), F.expr(f"least({part(n)}, {n - 1}L)")).otherwise(own)
+    last = (len(bounds) + 1) * 3 * parts
+    dealt = docs.withColumns({"_g": F.xxhash64("t"), "_m": F.expr(place)}).withColumn("_range", F.expr(range_of))
+    null_part = F.expr(f"{last}L + least({part(1 + nulls // each)}, {nulls // each}L)")
+    dealt = dealt.withColumn("_bucket", F.when(F.col("k").isNull(), null_part).otherwise((F.lit(len(bounds)) - F.col("_range")) * F.lit(3 * parts).cast("bigint") + side * F.lit(parts) + own)).select("k", "t", "_g", "_bucket")
     if not rows:
-        return docs.selectExpr("*", "0L as _bucket", "false as _ghost")
-    width = (high - low) // max(1, min(most_buckets, rows // bucket_rows)) + 1
-    dealt = docs.withColumn("_bucket", F.coalesce(F.floor((F.col(key) - low) / F.lit(width)), F.lit(-1)))
-    tops = dealt.groupBy("_bucket").agg(F.max(key).alias("top")).where(F.col("top").isNotNull())  # most_buckets rows at most
-    order = sorted(collect_bounded(tops, most_buckets + 2, "key ranges"), reverse=True)
-    target = [(order[i][1], order[i - 1][0]) for i in range(len(order))]  # the first row follows the last range
-    ghosts = docs.sparkSession.createDataFrame(target, f"{key} {docs.schema[key].dataType.simpleString()}, _to bigint")
-    extra = docs.join(F.broadcast(ghosts), key).dropDuplicates([key]).withColumnRenamed("_to", "_bucket")
-    return dealt.withColumn("_ghost", F.lit(False)).unionByName(extra.withColumn("_ghost", F.lit(True)))
+        return dealt.withColumn("_ghost", F.lit(False))
+    tops = dealt.groupBy("_bucket").agg(F.max(F.struct("k", "_g")).alias("top"))  # a row for each range and part
+    order = sorted(collect_bounded(tops, 8 * most_buckets, "key ranges"))
+    target = [(order[(i + 1) % len(order)][1][0], order[(i + 1) % len(order)][1][1], order[i][0]) for i in range(len(order))]
+    ghosts = docs.sparkSession.createDataFrame(target, T.StructType([T.StructField("gk", docs.schema["k"].dataType), T.StructField("gg", T.LongType()), T.StructField("_to", T.LongType())]))
+    extra = dealt.join(F.broadcast(ghosts), F.col("k").eqNullSafe(F.col("gk")) & (F.col("_g") == F.col("gg"))).groupBy("_to").agg(F.first("k").alias("k"), F.min("t").alias("t"), F.first("_g").alias("_g"))
+    return dealt.withColumn("_ghost", F.lit(False)).unionByName(extra.select("k", "t", "_g", F.col("_to").alias("_bucket"), F.lit(True).alias("_ghost")))
 
 
 def compare(docs: DataFrame, *, key: str = "doc_id", text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -128,12 +174,12 @@ def compare(docs: DataFrame, *, key: str = "doc_id", text: str = "text", low: fl
     mine = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     words = lexicon(mine, text="t", low=low, high=high)
     # a ghost sorts behind all rows of its range: it is the next of the last one
-    by = Window.partitionBy("_bucket").orderBy(F.col("_ghost").asc(), F.col("k").desc(), F.col("t"))
-    df = neighbours(mine, "k").withColumn("n_chars", F.length("t").cast("long")).withColumn("_next", F.lead("t").over(by))
+    by = Window.partitionBy("_bucket").orderBy(F.col("_ghost").asc(), F.col("k").desc(), F.col("_g").desc(), F.col("t"))
+    df = neighbours(mine).withColumn("n_chars", F.length("t").cast("long")).withColumn("_next", F.lead("t").over(by))
     df = df.withColumn("e", F.expr("concat(substr(t, 1, cast(n_chars - n_chars div 3 as int)), substr(coalesce(_next, t), 1, cast(n_chars div 3 as int)))"))
     for name, column in parts("t", words, "_print") + parts("e", words, "_edited"):
         df = df.withColumn(name, column)
-    df = df.select("_bucket", "_ghost", "k", "t", "n_chars", F.sha2("e", 256).alias("edited_sha256"), "_print", "_edited").withColumn("_after", F.lead("_print").over(by)).where(~F.col("_ghost"))
+    df = df.select("_bucket", "_ghost", "k", "t", "_g", "n_chars", F.sha2("e", 256).alias("edited_sha256"), "_print", "_edited").withColumn("_after", F.lead("_print").over(by)).where(~F.col("_ghost"))
     return df.select(
         F.col("k").alias(key), "n_chars", "edited_sha256", shown(F.col("_print")).alias("fingerprint"), shown(F.col("_edited")).alias("edited_fingerprint"),
         likeness("_print", "_edited").alias("near_edited"), likeness("_print", "coalesce(_after, _print)").alias("near_next"),
