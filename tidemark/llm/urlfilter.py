@@ -6,9 +6,13 @@ the samples' features, so the descent runs on one coefficient for each sample an
 table of their inner products, inside one SQL expression; everything is DataFrame and
 SQL functions.
 
+The labelled urls are made up; none is a page of a table that is judged.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule
-fits it, and the model judges it; equal urls get equal verdicts; of several rules that
-fit, the longest wins (of equally long ones, the first listed); extra columns are ignored.
+fits it, and the model judges it; a url of any length is read whole; equal urls get equal
+verdicts and repeated rows one each; of several rules that fit, the longest wins (of
+equally long ones, the first listed); an empty table gives no rows, an empty labelled
+table a model that says 0.5; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,8 +51,8 @@ https://university.example.com/en/2 http://m.lectures.example.net/watch https://
 http://mail.example.net/help https://www.farm-market.example.org/en/6 http://links.example.com/fr/3 https://village.example.net/de/19
 https://roads.example.com/map?id=7 http://trains.example.org/timetable.html https://harbour.example.net/en/21 http://www.theatre.example.org/es/5 https://blog.music.example.com/fr/6
 http://www.poetry.example.com/en/15 https://forest.example.org/de/2 http://puzzles.example.net/play https://www.winter.example.org/en/99
-https://bank.example.com/apply http://housing.example.net/en/12 https://clocks.example.org/fr/1 http://m.travel.example.com/de/13 https://thther.example.org/en/685
-http://blog.tionre.example.net/en/960 https://m.ththou.example.net/en/25#top http://www.onther.example.com/fr/825?page=2&ref=x https://blog.eren.example.com/en/853/ http://m.stha.example.com/en/474.html
+https://bank.example.com/apply http://housing.example.net/en/12 https://clocks.example.org/fr/1 http://m.travel.example.com/de/13 https://rivers.example.org/en/31
+http://blog.bakery.example.net/en/86 https://m.orchard.example.net/en/25#top http://www.lighthouse.example.com/fr/64?page=2&ref=x https://blog.telescope.example.com/en/18/ http://m.carpentry.example.com/en/47.html
 """,
 }
 
