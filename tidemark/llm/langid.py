@@ -9,7 +9,9 @@ to the prototype with the largest cosine.
 A word's edges count as a letter of their own. Letters are lower-cased. Vectors come
 from a letter's code point by a fixed hash, so no alphabet has to be known.
 
-Defined cases: a null text, or one without letters, is ``und`` with score 0; if no
+Defined cases: a null text, or one without letters, is ``und`` with score 0; of equally
+near languages the first by name is taken; repeated rows get one answer each; an empty
+table gives no rows; if no
 language could be learned, all are ``und``; texts of any length are read whole; equal
 texts get equal answers; rows with a null language teach nothing; extra columns are
 kept by ``keep`` and ignored by ``predict``.
@@ -167,18 +169,19 @@ class Model:
 def predict(docs: DataFrame, prototypes: dict[str, list[float]], *, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of each document with its language and score, from nothing but its text."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(prototypes))  # MAX_LANGUAGES x DIMENSIONS at most
-    mine = docs.select(*keep, F.col(text).alias("_text"))
-    schema = T.StructType([*(mine.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    # rows come as one struct of what is kept and the text, so that no name can clash
+    mine = docs.select(F.struct(*(F.col(c) for c in keep)).alias("kept"), F.col(text).alias("text"))
+    schema = T.StructType([*mine.schema["kept"].dataType.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in TA.slices(batch, "_text", 1 << 20):
+            for part in TA.slices(batch, "text", 1 << 20):
                 names, scores = [], []
-                for _, texts in _rows(part, "_text"):
+                for _, texts in _rows(part, "text"):
                     n, s = shared.value.predict(texts)
                     names += n
                     scores += s.tolist()
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.column("kept").flatten(), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return mine.mapInArrow(run, schema)
 
