@@ -240,6 +240,13 @@ class TokenCache(dict):
 _CACHES: dict[str, TokenCache] = {}
 
 
+def token_cache(path: str) -> TokenCache:
+    """This worker's cache for a tokenizers file; it is kept as long as the worker lives."""
+    if path not in _CACHES:
+        _CACHES[path] = TokenCache(path)
+    return _CACHES[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """The documents' pieces of at most ``capacity`` tokens; only the first piece of a longer document may be shorter.
 
@@ -250,8 +257,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _CACHES.setdefault(tokenizer, None) or TokenCache(tokenizer)
-        _CACHES[tokenizer] = cache  # kept as long as the worker lives
+        cache = token_cache(tokenizer)
         for batch in batches:
             for part in TA.slices(batch, text, 1 << 20):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []

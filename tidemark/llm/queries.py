@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import shared_dir
+from .runtime import materialize, shared_dir
 from . import chat, decontam, imatch, langid, nearjoin, packing, pii, rollup, secretscan, urlfilter
 
 
@@ -52,10 +52,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in by one tokenizer; then those of low quality go and the others are counted anew by a second one; both batches are sent twice."""
-    old, new = rollup.COUNTERS
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", "source", "lang", rollup.counted(docs, old).alias("old"), rollup.counted(docs, new).alias("new"))
+    """All documents come in by the ids of a tokenizer; then those of low quality go and the others are counted anew by words; both batches are sent twice."""
+    old, new = "byte_bpe_50k", "words-2"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rows = materialize(rollup.counts(docs.withColumn("new", rollup.counted(docs, new)), tokenizer_path(), "old"), "counts")
     poor = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
     ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     second = rollup.deleted(rows.join(poor, "doc_id", "left_semi"), old, "old").unionByName(rollup.revised(rows.join(poor, "doc_id", "left_anti"), old, "old", new, "new"))

@@ -1,29 +1,62 @@
 """Token counts kept as additive totals by source, language and tokenizer version.
 
-A batch of changes (inserted, deleted, revised documents) becomes signed rows, these are
-added up by key before anything is shuffled, and the few sums are written as one batch
-of a ledger. A batch is committed once: a second commit of the same batch id does
-nothing, and an attempt that broke off is written anew. Totals are sums over batches.
+Documents are counted once, when they come in, by a tokenizer of a known version; the
+counts are a table (``counts``), from which deletions and revisions take what was counted
+then, whatever the text is now. A batch of changes becomes signed rows, these are added
+up by key before anything is shuffled, and the few sums are written as one attempt of a
+batch of a ledger. The batch counts from when its mark is written; a second commit of the
+same batch id does nothing, and raises if its sums are others. An attempt that broke off
+has no mark and is never read; of two writers' marks one counts. Totals are sums over
+the marked attempts.
 
 Defined cases: null sources and languages are keys of their own; a null text has no
-tokens but is a document; repeated rows count each time; an empty batch is committed
-and changes nothing; keys whose documents and tokens have all gone are left out.
+tokens but is a document; a text of any length is counted whole; repeated rows count each
+time; an empty batch is committed and changes nothing; an empty ledger has no totals;
+keys whose documents and tokens have all gone are left out; extra columns stay in
+``counts``, whatever they are called, and are ignored by the batches.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import packing
+from . import textarrays as TA
 
 KEYS = ("source", "lang", "tokenizer_version")
-#: Counters by tokenizer version: runs of anything but white space; words and single marks.
+#: Counters by version that are one expression: runs of anything but white space; words and single marks.
 COUNTERS = {"runs-1": r"[^ \t\n\r\f]+", "words-2": r"[A-Za-z0-9\x{80}-\x{10FFFF}]+|[^A-Za-z0-9\x{80}-\x{10FFFF} \t\n\r\f]"}
+_ROWS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, batch string, attempt string"
+_MARK = "batch string, attempt string, n long, digest long"
 
 
 def counted(docs: DataFrame, version: str, *, text: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(COUNTERS[version])), F.lit(0)).cast("long")
 
 
+def counts(docs: DataFrame, tokenizer: str, name: str, *, text: str = "text") -> DataFrame:
+    """The documents' columns but the text, and ``name``: how many ids the tokenizers file (a path all machines have) gives for it."""
+    kept = [c for c in docs.columns if c != text]
+    mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("kept"), F.col(text).alias("text"))
+    schema = T.StructType([*mine.schema["kept"].dataType.fields, T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = packing.token_cache(tokenizer)
+        for batch in batches:
+            for part in TA.slices(batch, "text", 1 << 20):
+                n = [len(cache.encode(t or "")) // 4 for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.column("kept").flatten(), pa.array(n, pa.int64())], names=schema.names)
+
+    return mine.mapInArrow(run, schema)
+
+
 def inserted(docs: DataFrame, version: str, tokens: str) -> DataFrame:
     """Signed rows for new documents with columns source, lang and ``tokens``."""
     return docs.select("source", "lang", F.lit(version).alias("tokenizer_version"), F.lit(1).cast("long").alias("n_docs"), F.col(tokens).cast("long").alias("n_tokens"))
@@ -40,25 +73,48 @@ def revised(docs: DataFrame, old_version: str, old_tokens: str, version: str, to
     return docs.select("source", "lang", signs.alias("s")).select("source", "lang", F.col("s.v").alias("tokenizer_version"), F.col("s.d").alias("n_docs"), F.col("s.t").alias("n_tokens"))
 
 
-def _committed(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+def _marks(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_MARK).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _summed(changes: DataFrame) -> DataFrame:
+    return changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def _digest(sums: DataFrame) -> tuple[int, int]:
+    """How many rows, and a hash that does not depend on their order."""
+    return tuple(sums.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*KEYS, F.col("source").isNull(), F.col("lang").isNull(), "n_docs", "n_tokens")), F.lit(0))).first())
 
 
 def commit(ledger: str, batch: str, changes: DataFrame) -> bool:
     """Add a batch of signed rows to the ledger's folder; False if it had been committed before."""
     if not batch.replace("-", "").replace("_", "").isalnum():
         raise ValueError("a batch id has letters, digits, - and _ only")
-    spark, path = changes.sparkSession, f"{ledger}/batch={batch}"
-    if _committed(spark, path):
+    spark, mark = changes.sparkSession, f"{ledger}/committed/{batch}"
+    sums = _summed(changes)
+    known = _marks(spark, mark)
+    if known is not None and (found := known.orderBy("attempt").head(1)):
+        if _digest(sums) != (found[0]["n"], found[0]["digest"]):
+            raise ValueError(f"batch {batch} was committed with other sums")
         return False
-    sums = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    sums.coalesce(1).write.mode("overwrite").parquet(path)  # keys are few; what a broken attempt left is replaced
+    attempt = uuid.uuid4().hex
+    rows = f"{ledger}/rows/{batch}/{attempt}"
+    sums.select("*", F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt")).coalesce(1).write.parquet(rows)  # keys are few
+    n, digest = _digest(spark.read.schema(_ROWS).parquet(rows))
+    spark.createDataFrame([(batch, attempt, n, digest)], _MARK).coalesce(1).write.mode("append").parquet(mark)
     return True
 
 
 def totals(spark: SparkSession, ledger: str) -> DataFrame:
     """What all committed batches add up to."""
-    rows = spark.read.schema("source string, lang string, tokenizer_version string, n_docs long, n_tokens long").parquet(f"{ledger}/batch=*")
-    return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
+    marks = _marks(spark, f"{ledger}/committed/*")
+    if marks is None:
+        return spark.createDataFrame([], _ROWS).drop("batch", "attempt")
+    rows = spark.read.schema(_ROWS).parquet(f"{ledger}/rows/*/*")
+    counting = marks.groupBy("batch").agg(F.min("attempt").alias("attempt"))
+    return _summed(rows.join(counting, ["batch", "attempt"], "left_semi")).where("n_docs != 0 or n_tokens != 0")

@@ -14,9 +14,13 @@ _FALLBACK = os.path.join(tempfile.gettempdir(), "checkpoints")
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, a single machine) a folder of our own is used.
+    Only where it is unset on a single machine (tests) a folder of our own is used; on a
+    cluster that would be lost between machines, so it is an error there.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{_FALLBACK}").rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set; intermediate tables need a folder that all executors share")
+    return (found or f"file://{_FALLBACK}").rstrip("/")
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
