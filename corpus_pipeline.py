@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns
 its documents with the columns of ``documents``; the last one returns the places of the
 pieces in their sequences. SQL cannot express language profiles or tokens, so the
-result is tested against brute force.
+result is tested against brute force (tests/llm/test_pipeline.py).
+
+Defined cases: rows with a null, empty or letterless text are rejected by the first
+stage; rows with a null key stay, each by itself; of repeated rows one stays; rows with
+equal keys and different texts are documents of their own; texts of any length are read
+whole; an empty table gives no rows; further columns, whatever they are called, pass
+through all stages but the last.
 """
 
 from __future__ import annotations
