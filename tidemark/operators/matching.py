@@ -2,50 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity as I
 
 RARE = 3
+#: Tokens that share so many letters agree.
+PREFIX = 5
 #: Place words that a company may have and the name not.
 SOFT = ("TURK", "TURKIYE")
 
 
 def index(companies: DataFrame, key: str = "uuid", name: str = "name") -> DataFrame:
-    """(key, name, token, prefix, df, etype, n_tokens): one row for each identity token, with the number of companies that have it."""
-    c = companies.where(F.coalesce(F.col(name), F.lit("")) != "").select(F.col(key).alias("key"), F.col(name).alias("name"), I.identity_tokens(F.col(name)).alias("own"), I.entity_type(F.col(name)).alias("etype"))
-    t = c.select("key", "name", "etype", F.explode("own").alias("token"))
-    df = t.groupBy("token").agg(F.count("*").alias("df"))
-    return t.join(df, "token").select("key", "name", "etype", "token", F.substring("token", 1, 5).alias("prefix"), "df")
+    """(etype, tokens, company, key): companies with the same tokens and kind once, by the first name; tokens are structs (token, prefix, df) with the number of companies that have them."""
+    c = companies.where(F.coalesce(F.col(name), F.lit("")) != "").select(F.col(key).alias("key"), F.col(name).alias("name"), F.array_sort(I.identity_tokens(F.col(name))).alias("own"), I.entity_type(F.col(name)).alias("etype"))
+    alike = c.groupBy("own", "etype").agg(F.min(F.struct("name", "key")).alias("head"), F.count("*").alias("n")).where(F.size("own") > 0)
+    each = alike.select("own", "etype", "head", "n", F.explode("own").alias("token"))
+    df = each.groupBy("token").agg(F.sum("n").alias("df"))
+    tokens = F.array_sort(F.collect_list(F.struct("token", F.substring("token", 1, PREFIX).alias("prefix"), "df")))
+    # a set has few tokens
+    return each.join(df, "token").groupBy("own", "etype", "head").agg(tokens.alias("tokens")).select("etype", "tokens", F.col("head.name").alias("company"), F.col("head.key").alias("key"))
 
 
 def match(names: DataFrame, companies: DataFrame, *, threshold: float = 0.6, rare: int = RARE, key: str = "uuid", name: str = "name") -> DataFrame:
     """(name, key, score, status) for each distinct name.
 
     Two tokens agree if they are equal or share their first five letters, so agreement is
-    equality of these prefixes and the join a hash join. A company needs ``threshold`` of
-    the name's tokens and its leading one, a compatible type, and no rare token that the
-    name has not. The largest share wins, then fewest extra tokens, then the name.
+    equality of these prefixes. A company needs ``threshold`` of the name's tokens and its
+    leading one, a compatible type, and no rare token that the name has not. The largest
+    share wins, then fewest extra tokens, then the name.
+
+    Names and companies with the same tokens are looked up once. Who fits shares the
+    leading token and one more that is known beforehand: the company's rarest token, if
+    that is rare, as the name must have it; else any other of the name's (or none, for a
+    name of one token). The join is on both, so common words alone bring nobody together.
     """
     n = names.select("name").distinct().select("name", I.identity_tokens(F.col("name")).alias("own"), I.entity_type(F.col("name")).alias("itype"))
-    n = n.withColumn("lead", F.substring(F.try_element_at("own", F.lit(1)), 1, 5))
-    mine = n.select("name", "itype", "lead", F.size("own").alias("n"), F.explode("own").alias("t")).select("name", "itype", "lead", "n", "t", F.substring("t", 1, 5).alias("prefix"))
-    idx = index(companies, key, name)
-    keys = idx.select("key", F.col("name").alias("company"), "etype", "prefix").distinct()
-    # who shares k of n tokens shares one of the n - k + 1 rarest: only these find candidates
-    rarity = keys.groupBy("prefix").agg(F.count("*").alias("r"))
-    order = F.row_number().over(Window.partitionBy("name").orderBy(F.coalesce("r", F.lit(0)), "t"))
-    seeds = mine.join(rarity, "prefix", "left").withColumn("i", order).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    found = seeds.select("name", "prefix").join(keys, "prefix").select("name", "key", "company", "etype").distinct()
-    pairs = found.join(mine, "name").join(keys.select("key", "prefix"), ["key", "prefix"]).groupBy("name", "key", "company", "etype", "itype", "lead", "n").agg(F.count_distinct("t").alias("shared"), F.max((F.col("prefix") == F.col("lead")).cast("int")).alias("led"))
-    ok = pairs.where((F.col("led") == 1) & (F.col("shared") / F.col("n") >= threshold) & ~I.type_conflict(F.col("itype"), F.col("etype")))
-    extra = ok.select("name", "key").join(idx.where(~F.col("token").isin(*SOFT)).select("key", "token", "prefix", "df"), "key").join(mine.select("name", "prefix").distinct(), ["name", "prefix"], "left_anti").groupBy("name", "key").agg(F.count("*").alias("extras"), F.min("df").alias("rarest"))
-    fit = ok.join(extra, ["name", "key"], "left").where(F.col("rarest").isNull() | (F.col("rarest") > rare))
-    order = Window.partitionBy("name").orderBy(F.round(F.col("shared") / F.col("n"), 6).desc(), F.coalesce("extras", F.lit(0)), "company", "key")
-    best = fit.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("name", "key", F.round(F.col("shared") / F.col("n"), 3).alias("score"))
+    asked = n.where(F.size("own") > 0).select("own", "itype").distinct()
+    asked = asked.select("own", "itype", F.transform("own", lambda t: F.substring(t, 1, PREFIX)).alias("have")).withColumn("lead", F.element_at("have", F.lit(1)))
+    known = index(companies, key, name).withColumn("theirs", F.array_distinct(F.transform("tokens", lambda t: t["prefix"])))
+    must = F.array_min(F.transform(F.filter("tokens", lambda t: (t["df"] <= rare) & ~t["token"].isin(*SOFT)), lambda t: F.struct(t["df"].alias("df"), t["prefix"].alias("prefix"))))
+    known = known.withColumn("must", must["prefix"])
+    # a name asks under (leading token, each of its tokens), a company answers under (each of its tokens, the one that must be shared)
+    ask = asked.select("own", "itype", "have", "lead", F.explode(F.array_distinct("have")).alias("other"))
+    answer = known.withColumn("lead", F.explode("theirs")).withColumn("others", F.when(F.col("must").isNotNull(), F.array("must")).otherwise(F.col("theirs")))
+    pairs = ask.join(answer.select("etype", "tokens", "company", "key", "theirs", "must", "lead", F.explode("others").alias("other")), ["lead", "other"])
+    # without a rare token, the leading one alone brings only names of one token
+    pairs = pairs.where(F.col("must").isNotNull() | (F.col("other") != F.col("lead")) | (F.size(F.array_distinct("have")) == 1))
+    shared = F.size(F.filter("have", lambda p: F.array_contains("theirs", p)))
+    extra = F.filter("tokens", lambda t: ~F.array_contains("have", t["prefix"]) & ~t["token"].isin(*SOFT))
+    scored = pairs.select("own", "itype", "etype", "company", "key", (shared / F.size("own")).alias("share"), F.size(extra).alias("extras"), F.coalesce(F.array_min(F.transform(extra, lambda t: t["df"])), F.lit(rare + 1)).alias("rarest"))
+    fit = scored.where((F.col("share") >= threshold) & (F.col("rarest") > rare) & ~I.type_conflict(F.col("itype"), F.col("etype")))
+    best = fit.groupBy("own", "itype").agg(F.min(F.struct((-F.round("share", 6)).alias("o"), "extras", "company", "key", "share")).alias("b")).select("own", F.col("itype").alias("_itype"), F.col("b.key").alias("key"), F.round("b.share", 3).alias("score"))
     status = F.when(F.size("own") == 0, "no-identity-tokens").when(F.col("key").isNotNull(), "matched").otherwise("no-confident-match")
-    return n.join(best, "name", "left").select("name", "key", "score", status.alias("status"))
+    return n.join(best.withColumnRenamed("own", "_own"), (F.col("own") == F.col("_own")) & F.col("itype").eqNullSafe(F.col("_itype")), "left").select("name", "key", "score", status.alias("status"))
 
 
 def backfill(relations: DataFrame, companies: DataFrame, controls: DataFrame, *, threshold: float = 0.6) -> DataFrame:
