@@ -7,6 +7,7 @@ import json
 import random
 import zipfile
 from datetime import date, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -155,3 +156,20 @@ def test_signals_are_searched_over_the_whole_grids(spark):
     assert out["n_trials"] == 12 and {"promoted", "best_baseline", "pbo", "dsr"} <= set(out) and out["pbo"] is not None
     grid = inspect.signature(runs.statarb).parameters
     assert len(grid["accums"].default) * len(grid["thresholds"].default) * len(grid["least_corrs"].default) == 12 and grid["lookback"].default == 60
+
+
+def test_workbook_parts_by_their_relations(spark, tmp_path):
+    """The first listed sheet counts, whatever its part is called; runs are joined, readings left out, gaps filled."""
+    ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    for name in ("a.xlsx", "b.xlsm"):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="one" sheetId="2" r:id="rId9"/><sheet name="two" sheetId="1" r:id="rId1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId9" Target="/xl/worksheets/last.xml"/></Relationships>')
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}"><si><t>co</t></si><si><r><t>na</t></r><r><t>me</t></r><rPh><t>no</t></rPh></si></sst>')
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData><row><c r="A1"><v>wrong</v></c></row></sheetData></worksheet>')
+            z.writestr("xl/worksheets/last.xml", f'<worksheet xmlns="{ns}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="2"><c t="inlineStr"><is><t>x</t></is></c><c><v>7</v></c></row><row r="3"/></sheetData></worksheet>')
+    assert tabular.read_rows(str(tmp_path / "a.xlsx")) == [["co", "", "name"], ["x", "7"], []]
+    rows = tabular.grids(spark, str(tmp_path / "*.xls*")).collect()
+    assert sorted((Path(r["path"]).name, r["row"], r["cells"]) for r in rows)[:2] == [("a.xlsx", 0, ["co", "", "name"]), ("a.xlsx", 1, ["x", "7"])] and len(rows) == 6
+    (tmp_path / "c.tab").write_bytes("﻿a\tb\r\n1\t2\r\n3\r\n".encode())
+    assert sorted(map(tuple, tabular.frame(spark, str(tmp_path / "c.tab")).collect())) == [("1", "2"), ("3", "")]
