@@ -173,3 +173,21 @@ def test_workbook_parts_by_their_relations(spark, tmp_path):
     assert sorted((Path(r["path"]).name, r["row"], r["cells"]) for r in rows)[:2] == [("a.xlsx", 0, ["co", "", "name"]), ("a.xlsx", 1, ["x", "7"])] and len(rows) == 6
     (tmp_path / "c.tab").write_bytes("﻿a\tb\r\n1\t2\r\n3\r\n".encode())
     assert sorted(map(tuple, tabular.frame(spark, str(tmp_path / "c.tab")).collect())) == [("1", "2"), ("3", "")]
+
+
+def test_store_by_months(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "months"))
+    days = [date(2024, m, d) for m in (1, 2, 3) for d in (1, 15)]
+    rows = spark.createDataFrame([("A", d, 1.0, d) for d in days] + [("B", d, 2.0, d) for d in days], "symbol string, bar_date date, ret_usd double, knowledge_date date")
+    assert store.append("total_returns", rows) == 12 and store.append("total_returns", rows) == 12
+    assert sorted(p.name for p in (tmp_path / "months/total_returns").glob("month=*")) == ["month=2024-01", "month=2024-02", "month=2024-03"]
+    assert store.read("total_returns", months=["2024-02"]).count() == 4
+    old = sorted((tmp_path / "months/total_returns/month=2024-03").glob("*.parquet"))
+    new = spark.createDataFrame([("A", date(2024, 2, 15), 9.0, date(2024, 5, 1))], "symbol string, bar_date date, ret_usd double, knowledge_date date").withColumn("ret_real_try", F.lit(None).cast("double")).withColumn("ret_nominal_try", F.lit(None).cast("double")).withColumn("limit_lock_adj", F.lit(None).cast("boolean"))
+    store.overwrite_span("total_returns", new, new, "2024-02-01", "2024-02-28")
+    assert sorted((r["symbol"], r["bar_date"], r["ret_usd"]) for r in store.read("total_returns", months=["2024-02"]).collect()) == [("A", date(2024, 2, 15), 9.0), ("B", date(2024, 2, 1), 2.0), ("B", date(2024, 2, 15), 2.0)]
+    assert store.read("total_returns").count() == 11 and sorted((tmp_path / "months/total_returns/month=2024-03").glob("*.parquet")) == old
+    store.overwrite_span("total_returns", new.where("false"), rows, "2024-01-01", "2024-01-31")
+    assert store.read("total_returns").count() == 7
+    store.clear("total_returns")
+    assert store.read("total_returns").count() == 0 and store.append("total_returns", rows) == 12 and store.read("total_returns").count() == 12

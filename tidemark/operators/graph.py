@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ControlCycle
+from ..tables import cut
 from .risk import reach
 
 
+def _one_for_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The greatest row of each key, columns compared in their order."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Rows merged by key: what comes in wins where it is not NULL; rows without a key are left out."""
-    old, new = existing.alias("o"), incoming.where(F.col(key).isNotNull()).dropDuplicates([key]).alias("n")
+    """Rows merged by key: what comes in wins where it is not NULL; rows without a key are left out, of several with one key the greatest counts."""
+    new = _one_for_each(incoming.where(F.col(key).isNotNull()), [key])
+    old, new = existing.alias("o"), new.alias("n")
     cols = [F.coalesce(f"n.{c}", f"o.{c}").alias(c) if c in incoming.columns else F.col(f"o.{c}").alias(c) for c in existing.columns]
     return old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(*cols)
 
@@ -27,16 +34,7 @@ def link(rows: DataFrame, left: DataFrame, right: DataFrame, left_key: str = "uu
 
 def keep_existing(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """The incoming edges for pairs that have none yet; what is there stays untouched. Self links are left out."""
-    return incoming.where("src != dst").dropDuplicates(["src", "dst"]).join(existing.select("src", "dst"), ["src", "dst"], "left_anti")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to ``spark.checkpoint.dir`` (unset: a local folder) and read back: rounds neither repeat work nor lengthen plans."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _one_for_each(incoming.where("src != dst"), ["src", "dst"]).join(existing.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
 def _peeled(links: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ def visible(df: DataFrame, as_of: str) -> DataFrame:
 
 
 def latest_version(df: DataFrame, *key: str) -> DataFrame:
-    """For each key the row with the latest knowledge date; the key does not include it."""
-    newest = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("knowledge_date").desc()))
+    """For each key the row with the latest knowledge date; the key does not include it. Of rows known on the same day the one with the greatest values counts."""
+    rest = [F.col(f"`{c}`").desc() for c in df.columns if c not in (*key, "knowledge_date")]
+    newest = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("knowledge_date").desc(), *rest))
     return df.withColumn("_n", newest).where("_n = 1").drop("_n")
 
 

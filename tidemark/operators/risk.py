@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Fabrication, Refused
+from ..tables import cut
 from .factors import LADDER
 
 #: The factor whose beta stands for a channel.
@@ -99,11 +102,12 @@ def propagate(edges: DataFrame, shocks: DataFrame, max_hops: int = 6, least_conf
     paths = shocks.select(F.col("node").alias("at"), F.col("shock").alias("s"), F.array("node").alias("path"))
     reached, cycles = [], []
     for hop in range(1, max_hops + 2):
-        step = paths.join(kept, F.col("at") == F.col("dst"))
+        # every hop is written, so plans stay short and no hop is computed twice
+        step = cut(paths.join(kept, F.col("at") == F.col("dst")).select("s", "path", "src", "fraction"))
         cycles.append(step.where(F.array_contains("path", F.col("src"))).select(F.col("src").alias("node"), F.lit(hop).alias("hops")))
         paths = step.where(~F.array_contains("path", F.col("src"))).select(F.col("src").alias("at"), (F.col("s") * F.col("fraction")).alias("s"), F.concat("path", F.array("src")).alias("path"))
         reached.append(paths.select(F.col("at").alias("holder"), "s"))
-    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
     return union(reached).groupBy("holder").agg(F.sum("s").alias("shock"), F.count("*").alias("n_paths")), union(cycles).distinct()
 
 
@@ -119,11 +123,14 @@ def reach(edges: DataFrame, origins: DataFrame, max_hops: int = 12, direction: s
 
 
 def _reach(e: DataFrame, origins: DataFrame, max_hops: int) -> DataFrame:
-    seen = origins.select(F.col("node").alias("origin"), "node", F.lit(0).alias("hops"))
-    frontier = seen
+    """Hop by hop, each written: what is new comes by a join with the hop before, and is told apart from all that was seen."""
+    frontier = origins.select(F.col("node").alias("origin"), "node", F.lit(0).alias("hops")).distinct()
+    seen = [cut(frontier)]
     for hop in range(1, max_hops + 1):
-        nxt = frontier.join(e, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node")).distinct().join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("hops", F.lit(hop)).persist()
-        if not nxt.head(1):
+        known = reduce(DataFrame.unionByName, seen).select("origin", "node")
+        step = seen[-1].join(e, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node")).distinct()
+        new = cut(step.join(known, ["origin", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        if not new.head(1):
             break
-        seen, frontier = seen.unionByName(nxt), nxt
-    return seen.where("hops > 0")
+        seen.append(new)
+    return reduce(DataFrame.unionByName, seen).where("hops > 0")

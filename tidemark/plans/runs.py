@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import books, events, factors, judge, monitors, network, pit, returns, risk
 from ..sources.store import Store, write_report
+from ..tables import cut
+
+#: The families of variants that are searched.
+STATARB_GRID = {"accum": [1, 5, 10], "z_threshold": [0.0, 1.0], "least_corr": [0.0, 0.2]}
+EVENT_GRID = {"quantile": [0.2, 0.3], "drift": [3, 5, 10], "lag": [1, 2]}
 
 
 def build_returns(store: Store, *, as_of: str, fx: str = "USDTRY", cpi: str = "CPI", yields: DataFrame | None = None) -> DataFrame:
@@ -38,12 +43,13 @@ def factor_panel(store: Store, *, as_of: str, methods: dict[str, str] | None = N
 
 
 def refit(store: Store, *, as_of: str, methods: dict[str, str] | None = None, window: int = 60, least: int = 40, report_dir: str | None = None) -> dict:
-    """Betas and residuals of all symbols in one grouped job each, in place of the earlier fit."""
+    """Betas and residuals of all symbols in one grouped job each, in place of the earlier fit; that stays until both are computed."""
     panel, order = factor_panel(store, as_of=as_of, methods=methods)
     rets = pit.latest_version(pit.PitReader(as_of, store.read).table("total_returns"), "symbol", "bar_date").select("symbol", "bar_date", F.col("ret_usd").alias("ret"))
     known = F.lit(as_of).cast("date")
     betas = factors.rolling_betas(rets, panel, order, window=window, least=least)
     residuals = factors.rolling_residuals(rets, panel, order, window=window, least=least)
+    betas, residuals = cut(betas, "betas"), cut(residuals, "residuals")
     for table in ("betas", "residuals"):
         store.clear(table)
     store.append("betas", betas.select("symbol", "factor", "bar_date", "beta", F.lit("ledoit_wolf").alias("method"), F.lit(window).alias("window"), "regime", known.alias("knowledge_date")))
@@ -63,14 +69,14 @@ def survival_gate(residuals: DataFrame, sectors: DataFrame, *, window: int = 120
     return network.gate(network.stability_summary(network.stability(edges, c.groupBy("w").agg(F.count("*").alias("n_candidates")))))
 
 
-def statarb(residuals: DataFrame, rets: DataFrame, sectors: DataFrame, *, accums: tuple[int, ...] = (1, 5, 10), thresholds: tuple[float, ...] = (0.0, 1.0), least_corrs: tuple[float, ...] = (0.0, 0.2), lookback: int = 60, n_splits: int = 5, purge: int = 5, embargo: int = 5, least: int = 60) -> dict:
+def statarb(residuals: DataFrame, rets: DataFrame, sectors: DataFrame, *, accums: tuple[int, ...] = tuple(STATARB_GRID["accum"]), thresholds: tuple[float, ...] = tuple(STATARB_GRID["z_threshold"]), least_corrs: tuple[float, ...] = tuple(STATARB_GRID["least_corr"]), lookback: int = 60, window: int = 250, step: int = 60, n_splits: int = 5, purge: int = 5, embargo: int = 5, least: int = 60) -> dict:
     """Spread signals of a grid of variants, picked walk-forward, and judged against luck.
 
     Edges come from the first ``least`` days' correlations onwards by the rolling
     schedule: each refit sees only the days before it is used.
     """
     p = network.panel(residuals, "residual", least).withColumnRenamed("x", "ret")
-    sched = books.schedule(p, 250, 60).select("refit", "first", "last", "effective", F.coalesce("until", F.lit("9999-12-31").cast("date")).alias("until"))
+    sched = books.schedule(p, window, step).select("refit", "first", "last", "effective", F.coalesce("until", F.lit("9999-12-31").cast("date")).alias("until"))
     spans = p.join(F.broadcast(sched), F.col("bar_date").between(F.col("first"), F.col("last")))  # refits are few
     c = network.correlations(spans.select("symbol", "bar_date", F.col("ret").alias("x"), "refit"), sectors, least, ("refit",))
     c = c.persist()
@@ -121,7 +127,7 @@ def _verdict(pnl: DataFrame, rets: DataFrame, n_splits: int, purge: int, embargo
     return judge.verdict(m["sharpe"] if m else None, base, dsr, pbo and pbo["pbo"]) | {"n_trials": len(trial), "n_days": m["n"] if m else 0}
 
 
-def event_signal(betas: DataFrame, rets: DataFrame, specs: DataFrame, *, quantiles: tuple[float, ...] = (0.2, 0.3), drifts: tuple[int, ...] = (3, 5, 10), lags: tuple[int, ...] = (1, 2), n_splits: int = 5, purge: int = 5, embargo: int = 5) -> dict:
+def event_signal(betas: DataFrame, rets: DataFrame, specs: DataFrame, *, quantiles: tuple[float, ...] = tuple(EVENT_GRID["quantile"]), drifts: tuple[int, ...] = tuple(EVENT_GRID["drift"]), lags: tuple[int, ...] = tuple(EVENT_GRID["lag"]), n_splits: int = 5, purge: int = 5, embargo: int = 5) -> dict:
     """Differential exposure around events in a grid of variants, picked walk-forward and judged; ``betas`` by channel. Days without an event are held flat."""
     pnl = None
     forward = books.dense(rets, "ret").withColumnRenamed("ret", "fwd").persist()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import books, judge, network
+from ..plans import runs
 from ..views import Tables
 from .base import Catalog, r
 from .panels import _PANEL, _trail, dense_returns
@@ -64,9 +65,16 @@ def edge_schedule(t: Tables):
     return books.schedule(t.bars(), 120, 60)
 
 
-@add("variant_grid", "SELECT z_lookback, z_threshold, concat('z_lookback=', z_lookback, '|z_threshold=', z_threshold) AS variant FROM (VALUES (20), (60)) a(z_lookback) CROSS JOIN (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (1.5::DOUBLE)) b(z_threshold)")
+@add("variant_grid", "SELECT accum, z_threshold, least_corr, concat('accum=', accum, '|z_threshold=', z_threshold, '|least_corr=', least_corr) AS variant FROM (VALUES (1), (5), (10)) a(accum) CROSS JOIN (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) b(z_threshold) CROSS JOIN (VALUES (0.0::DOUBLE), (0.2::DOUBLE)) c(least_corr)")
 def variant_grid(t: Tables):
-    return books.grid(t.spark, z_lookback=[20, 60], z_threshold=[0.5, 1.0, 1.5])
+    """The grid that the stat-arb plan searches."""
+    return books.grid(t.spark, **runs.STATARB_GRID)
+
+
+@add("event_variant_grid", "SELECT quantile, drift, lag, concat('quantile=', quantile, '|drift=', drift, '|lag=', lag) AS variant FROM (VALUES (0.2::DOUBLE), (0.3::DOUBLE)) a(quantile) CROSS JOIN (VALUES (3), (5), (10)) b(drift) CROSS JOIN (VALUES (1), (2)) c(lag)")
+def event_variant_grid(t: Tables):
+    """The grid that the event plan searches."""
+    return books.grid(t.spark, **runs.EVENT_GRID)
 
 
 _N = "(SELECT max(n) FROM days)"

@@ -174,11 +174,11 @@ def _owned(t: Tables) -> DataFrame:
     return t.stakes().select("src", "dst", (F.col("pct") / 100).alias("fraction"), F.lit(1.0).alias("confidence"))
 
 
-_PATHS = "RECURSIVE paths AS (SELECT s_suppkey AS cur, -0.1::DOUBLE AS s, [s_suppkey] AS path, 0 AS hop FROM supplier WHERE s_suppkey % 10 = 7 UNION ALL SELECT src, s * pct / 100, list_append(path, src), hop + 1 FROM paths JOIN stakes ON dst = cur WHERE NOT list_contains(path, src) AND hop < 7)"
+_PATHS = "RECURSIVE paths AS (SELECT s_suppkey AS cur, -0.1::DOUBLE AS s, [s_suppkey] AS path, 0 AS hop FROM supplier UNION ALL SELECT src, s * pct / 100, list_append(path, src), hop + 1 FROM paths JOIN stakes ON dst = cur WHERE NOT list_contains(path, src) AND hop < 7)"
 
 
 def _shocked(t: Tables) -> DataFrame:
-    return t.read("supplier").where("s_suppkey % 10 = 7").select(F.col("s_suppkey").alias("node"), F.lit(-0.1).alias("shock"))
+    return t.read("supplier").select(F.col("s_suppkey").alias("node"), F.lit(-0.1).alias("shock"))
 
 
 @add("ownership_propagation", f"WITH {_PATHS} SELECT cur AS holder, {r('sum(s)')} AS shock, count(*) AS n_paths FROM paths WHERE hop > 0 GROUP BY cur", "stakes")
@@ -186,11 +186,11 @@ def ownership_propagation(t: Tables):
     return risk.propagate(_owned(t), _shocked(t))[0]
 
 
-_TREE = "RECURSIVE walk AS (SELECT s_suppkey AS origin, s_suppkey AS node, 0 AS hops FROM supplier WHERE s_suppkey <= 5 UNION ALL SELECT origin, {1}, hops + 1 FROM walk JOIN controls ON {0} = node WHERE hops < {2})"
+_TREE = "RECURSIVE walk AS (SELECT s_suppkey AS origin, s_suppkey AS node, 0 AS hops FROM supplier UNION ALL SELECT origin, {1}, hops + 1 FROM walk JOIN controls ON {0} = node WHERE hops < {2})"
 
 
 def _origins(t: Tables) -> DataFrame:
-    return t.read("supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("node"))
+    return t.read("supplier").select(F.col("s_suppkey").alias("node"))
 
 
 @add("blast_radius_down", f"WITH {_TREE.format('src', 'dst', 12)} SELECT origin, node, CAST(min(hops) AS INTEGER) AS hops FROM walk WHERE hops > 0 GROUP BY origin, node", "controls")
@@ -249,7 +249,7 @@ def control_cycles_none(t: Tables):
     return graph.components(t.controls())
 
 
-@add("sector_inherit", "WITH RECURSIVE own AS (SELECT s_suppkey AS node, s_nationkey AS sector FROM supplier WHERE s_suppkey % 4 = 1), walk AS (SELECT s_suppkey AS origin, s_suppkey AS node, 0 AS hops FROM supplier WHERE s_suppkey % 4 <> 1 AND s_suppkey > 1 UNION ALL SELECT origin, src, hops + 1 FROM walk JOIN controls ON dst = walk.node WHERE hops < 12) SELECT origin AS node, CAST(sector AS BIGINT) AS sector, source, CAST(hops AS INTEGER) AS hops FROM (SELECT origin, own.sector, walk.node AS source, hops, row_number() OVER (PARTITION BY origin ORDER BY hops, walk.node) AS k FROM walk JOIN own ON own.node = walk.node WHERE hops > 0) WHERE k = 1", "controls")
+@add("sector_inherit", "WITH RECURSIVE own AS (SELECT s_suppkey AS node, s_nationkey AS sector FROM supplier WHERE s_suppkey % 4 = 1), walk AS (SELECT s_suppkey AS origin, s_suppkey AS node, 0 AS hops FROM supplier WHERE s_suppkey % 4 <> 1 AND s_suppkey > 1 UNION ALL SELECT origin, src, hops + 1 FROM walk JOIN controls ON dst = walk.node) SELECT origin AS node, CAST(sector AS BIGINT) AS sector, source, CAST(hops AS INTEGER) AS hops FROM (SELECT origin, own.sector, walk.node AS source, hops, row_number() OVER (PARTITION BY origin ORDER BY hops, walk.node) AS k FROM walk JOIN own ON own.node = walk.node WHERE hops > 0) WHERE k = 1", "controls")
 def sector_inherit(t: Tables):
     own = t.read("supplier").where("s_suppkey % 4 = 1").selectExpr("s_suppkey as node", "cast(s_nationkey as bigint) as sector")
     return graph.inherit(own, t.controls().withColumnsRenamed({"src": "parent", "dst": "child"}))

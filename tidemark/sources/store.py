@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..errors import Refused
 from ..operators.pit import append_new
 from ..schemas import TABLES
+from ..tables import cut
 
 
 class Store:
-    """One folder for each table. Parquet is the store of record, so known keys are left out before the write."""
+    """One folder for each table, in partitions by the month of its day where it has one. Parquet is the store of record, so known keys are left out before the write."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -25,45 +26,81 @@ class Store:
             raise Refused(f"no stored table is called {table!r}")
         return f"{self.root}/{table}"
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    @property
+    def _files(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def read(self, table: str, where: str | None = None) -> DataFrame:
-        path, schema = self._path(table), TABLES[table][0]
-        df = self.spark.read.schema(schema).parquet(path) if self._exists(path) else self.spark.createDataFrame([], schema)
+    def _exists(self, path: str) -> bool:
+        files, at = self._files
+        return files.exists(at(path))
+
+    @staticmethod
+    def _day(table: str) -> str | None:
+        """The day by whose month a table is dealt."""
+        return next((d for d in ("bar_date", "event_date", "window_end") if f"{d} date" in TABLES[table][0]), None)
+
+    def read(self, table: str, where: str | None = None, months: list[str] | None = None) -> DataFrame:
+        """The rows; of the named months' partitions (yyyy-MM) only, where the table has them."""
+        path, schema, day = self._path(table), TABLES[table][0], self._day(table)
+        if self._exists(path):
+            df = self.spark.read.schema(schema + ", month string" * bool(day)).parquet(path)
+            df = df.where(F.col("month").isin(months)) if day and months is not None else df
+            df = df.drop("month")
+        else:
+            df = self.spark.createDataFrame([], schema)
         return df.where(where) if where else df
 
     def tables(self) -> list[str]:
         return [t for t in TABLES if self._exists(f"{self.root}/{t}")]
 
-    def append(self, table: str, df: DataFrame) -> None:
-        """Rows with new keys, by column name; sending rows again changes nothing."""
+    def _write(self, table: str, df: DataFrame, path: str, mode: str) -> None:
+        day = self._day(table)
+        if not day:
+            df.write.mode(mode).parquet(path)
+            return
+        # dealt by month first, so that a task writes few files
+        df.withColumn("month", F.date_format(day, "yyyy-MM")).repartition("month").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+    def append(self, table: str, df: DataFrame) -> int:
+        """Rows with new keys, by column name; sending rows again changes nothing. Known keys are looked for in the months that come in. How many rows came in is returned."""
         schema, key = TABLES[table]
         names = [c.strip().split(" ")[0] for c in schema.split(",")]
         kinds = dict(c.strip().split(" ") for c in schema.split(","))
-        shaped = df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in names))
+        shaped = cut(df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in names)), "incoming")
         if shaped.where(" or ".join(f"{k} is null" for k in key)).head(1):
             raise Refused(f"{table}: a key column is null")
-        append_new(self.read(table), shaped, list(key)).write.mode("append").parquet(self._path(table))
+        day = self._day(table)
+        months = [r[0] for r in shaped.select(F.date_format(day, "yyyy-MM")).distinct().collect()] if day else None  # a few for each year
+        self._write(table, append_new(self.read(table, months=months), shaped, list(key)), self._path(table), "append")
+        return shaped.count()
 
     def overwrite_span(self, table: str, df: DataFrame, symbols: DataFrame, start: str, end: str, day: str = "bar_date") -> None:
-        """Replace the stored rows of these symbols in a span by ``df``; written beside the table, then put in its place."""
-        old = self.read(table)
-        gone = F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+        """Replace the stored rows of these symbols in a span by ``df``; only the span's months are written anew."""
+        if day != self._day(table):
+            raise Refused(f"{table} is not dealt by {day}")
+        months = [r[0] for r in self.spark.sql(f"select explode(sequence(trunc(date'{start}', 'MM'), date'{end}', interval 1 month)) as d").selectExpr("date_format(d, 'yyyy-MM')").collect()]
+        old, gone = self.read(table, months=months), F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
         keep = old.where(~gone).unionByName(old.where(gone).join(symbols.select("symbol").distinct(), "symbol", "left_anti"))
-        self._swap(table, keep.unionByName(df.select(*keep.columns)))
+        if df.where(~gone).head(1):
+            raise Refused("new rows lie outside the span")
+        whole = cut(keep.unionByName(df.select(*keep.columns)), "span")
+        empty = [m for m in months if m not in {r[0] for r in whole.select(F.date_format(day, "yyyy-MM")).distinct().collect()}]
+        self._write(table, whole, self._path(table), "overwrite")
+        files, at = self._files
+        for m in empty:  # a month that has no rows left is not part of what was written
+            files.delete(at(f"{self._path(table)}/month={m}"), True)
 
     def clear(self, table: str) -> None:
-        self._swap(table, self.spark.createDataFrame([], TABLES[table][0]))
-
-    def _swap(self, table: str, df: DataFrame) -> None:
+        """An empty table in the place of the old one, which is moved aside first and only then taken away."""
         path = self._path(table)
-        df.write.mode("overwrite").parquet(f"{path}__next")
-        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(fs_path(path), True)
-        fs.rename(fs_path(f"{path}__next"), fs_path(path))
+        files, at = self._files
+        self._write(table, self.spark.createDataFrame([], TABLES[table][0]), f"{path}__next", "overwrite")
+        files.delete(at(f"{path}__old"), True)
+        if files.exists(at(path)):
+            files.rename(at(path), at(f"{path}__old"))
+        files.rename(at(f"{path}__next"), at(path))
+        files.delete(at(f"{path}__old"), True)
 
 
 def plain_json(x):
