@@ -192,4 +192,18 @@ def break_by_factor(breaks: DataFrame) -> DataFrame:
     return breaks.groupBy("factor").agg(F.count("*").alias("n"), F.median(F.abs("shift")).alias("median_shift"), F.median("ratio").alias("median_ratio"))
 
 
+#: Factors that hardly go together, on which a break shows.
+PRIMARY = ("XU100", "USDTRY", "TRCDS5Y")
+
+
+def regime_break_on(returns: DataFrame, factor_returns_: DataFrame, before: str, after: str, *, only: tuple[str, ...] = PRIMARY, window: int = 60, least: int = 40, least_days: int = 5, nearest: int | None = None, label: Column | None = None) -> DataFrame:
+    """(factor, n, median_shift, median_ratio) of betas fitted anew on a few factors that hardly go together, where the whole panel's betas are too noisy to show a break."""
+    order = [r[0] for r in factor_returns_.where(F.col("factor").isin(*only)).select("factor").distinct().collect()]  # as many as ``only`` at most
+    order = [f for f in only if f in order]
+    if not order:
+        return break_by_factor(regime_break(returns.sparkSession.createDataFrame([], "symbol string, factor string, bar_date date, beta double, regime string"), before, after))
+    panel = factor_panel(factor_returns_.where(F.col("factor").isin(*order)), order)
+    return break_by_factor(regime_break(rolling_betas(returns, panel, order, window=window, least=least, label=label), before, after, least_days, nearest))
+
+
 RegimeOf = Callable[[Column], Column]

@@ -98,3 +98,44 @@ def bucket(c: Column) -> Column:
     for name, form in reversed(BUCKETS):
         out = F.when(c.rlike(form), name).otherwise(out)
     return F.when(F.trim(c) == "", "unnamed").otherwise(F.when(c.isNull(), "unnamed").otherwise(out))
+
+
+#: The stages of taking a company in, in order, with what each does.
+STAGES = (
+    ("kap_identity", "seed the company and its security from the member list"),
+    ("gleif_identity", "fill in the entity and security identifiers"),
+    ("sector", "link the company to its sector"),
+    ("universe_prices", "pull bars, returns and the universe class"),
+    ("factor_refit", "fit betas and residuals"),
+)
+
+
+def market_data(found: DataFrame) -> DataFrame:
+    """(symbol, market_data, vendor_codes) of (symbol, codes): carried, carried under another code, or not yet (to be asked for again)."""
+    codes = F.filter(F.coalesce("codes", F.array().cast("array<string>")), lambda c: c.isNotNull() & (c != ""))
+    kind = F.when(F.size(codes) == 0, "not_carried_yet").when(F.array_contains(codes, F.col("symbol")), "carried").otherwise("carried_other_code")
+    return found.select("symbol", kind.alias("market_data"), F.slice(codes, 1, 8).alias("vendor_codes"))
+
+
+def onboarding_status(companies: DataFrame, returns: DataFrame, betas: DataFrame, universe: DataFrame) -> DataFrame:
+    """(filing_id, ticker, pending, next_step) of listed companies: which stages are still to come, an empty list where none is."""
+    df = companies.where("is_listed and ticker is not null")
+    for name, rows in (("_r", returns), ("_b", betas), ("_u", universe)):
+        df = df.join(rows.select(F.col("symbol").alias("ticker")).distinct().withColumn(name, F.lit(True)), "ticker", "left")
+    there = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    done = {"kap_identity": there("filing_id"), "gleif_identity": there("lei") & there("isin"), "sector": there("sector"), "universe_prices": F.col("_r").isNotNull() & F.col("_u").isNotNull(), "factor_refit": F.col("_b").isNotNull()}
+    pending = F.array_compact(F.array(*(F.when(~done[s], F.lit(s)) for s, _ in STAGES)))
+    return df.select("filing_id", "ticker", pending.alias("pending"), F.try_element_at(pending, F.lit(1)).alias("next_step"))
+
+
+def onboarding_plan(status: DataFrame) -> DataFrame:
+    """(ticker, step, stage, what): what is left to do for each company, in order."""
+    what = F.create_map(*(F.lit(x) for s in STAGES for x in s))
+    rows = status.select("ticker", F.posexplode("pending").alias("step", "stage"))
+    return rows.select("ticker", (F.col("step") + 1).alias("step"), "stage", what[F.col("stage")].alias("what"))
+
+
+def daily_plan(fresh: DataFrame, as_of: str, *, limit: int | None = None, full_start: str = "2023-01-01", overlap: int = 5, most_days: int = 900) -> DataFrame:
+    """(symbol, start, end): what one update fetches, in pieces the vendor allows; of the oldest ``limit`` symbols (none or 0: all)."""
+    windows = pull_windows(fresh, as_of, full_start, overlap)
+    return chunks(windows.limit(limit) if limit else windows, most_days)

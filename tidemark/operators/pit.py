@@ -59,6 +59,25 @@ class PitReader:
         return members(self.load("universe_membership"), self.as_of, universe).select("symbol").orderBy("symbol")
 
 
+def graph_asof(edges: DataFrame, as_of: str, *key: str) -> DataFrame:
+    """Edges as they were known and held on a day: of each (src, dst and key) the newest visible version, if its span is open then."""
+    day = F.lit(as_of).cast("date")
+    known = latest_version(visible(edges, as_of), "src", "dst", *key)
+    spans = [F.col("valid_from").isNull() | (F.col("valid_from") <= day)] * ("valid_from" in edges.columns) + [F.col("valid_to").isNull() | (F.col("valid_to") >= day)] * ("valid_to" in edges.columns)
+    for held in spans:
+        known = known.where(held)
+    return known
+
+
+def universe_classes(memberships: DataFrame, as_of: str) -> DataFrame:
+    """(symbol, universe_class): the class of the newest span that was known, by its newest version that has one (then the first by name)."""
+    seen = visible(memberships, as_of)
+    newest = seen.groupBy("symbol").agg(F.max("valid_from").alias("valid_from"))
+    rows = seen.where("universe_class is not null").join(newest, ["symbol", "valid_from"])
+    last = rows.groupBy("symbol").agg(F.max("knowledge_date").alias("knowledge_date"))
+    return rows.join(last, ["symbol", "knowledge_date"]).groupBy("symbol").agg(F.min("universe_class").alias("universe_class"))
+
+
 def legs(companies: DataFrame, uuid: str, fields: list[str]) -> DataFrame:
     """(uuid, field, value) of all identifiers that are there."""
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields)))

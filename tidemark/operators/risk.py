@@ -31,6 +31,34 @@ def scenarios(spark: SparkSession, library: dict[str, dict[str, float]] = SCENAR
     return spark.createDataFrame([(n, c, float(s)) for n, shocks in library.items() for c, s in shocks.items()], "scenario string, channel string, shock double")
 
 
+def prior_shock(event_type: str, severity: float = 1.0) -> dict[str, float]:
+    """The signs an event of this type is expected to have on channels, times its severity: as coarse as that prior."""
+    from .events import PRIOR
+
+    if event_type not in PRIOR:
+        raise Refused(f"no prior for events of type {event_type!r}")
+    if severity != severity or abs(severity) == float("inf"):
+        raise Refused("a severity has to be finite")
+    return {channel: sign * float(severity) for channel, sign in PRIOR[event_type].items()}
+
+
+def prior_shocks(events_: DataFrame) -> DataFrame:
+    """(scenario, channel, shock) of typed events with a severity: one scenario each."""
+    from .events import prior
+
+    rows = events_.where("severity is not null").join(F.broadcast(prior(events_.sparkSession)), "event_type")  # types times channels
+    return rows.select(F.col("event_id").alias("scenario"), "channel", (F.col("shock_sign") * F.col("severity")).alias("shock"))
+
+
+def empirical_scenario(levels: DataFrame, methods: dict[str, str], start: str, end: str, name: str, channel_factor: dict[str, str] = CHANNEL_FACTOR) -> DataFrame:
+    """(scenario, channel, shock) as a span of days really had it, by the factors that stand for the channels; without any it is refused."""
+    channel = F.create_map(*(F.lit(x) for c, f in channel_factor.items() for x in (f, c)))[F.col("factor")]
+    out = realized_shock(levels, {f: m for f, m in methods.items() if f in channel_factor.values()}, start, end).select(F.lit(name).alias("scenario"), channel.alias("channel"), "shock")
+    if not out.head(1):
+        raise Fabrication(f"no factor of a channel has values from {start} to {end}")
+    return out
+
+
 def exposures(betas: DataFrame, channel_factor: dict[str, str] = CHANNEL_FACTOR) -> DataFrame:
     """(symbol, channel, beta): the newest beta that is there."""
     channel = F.create_map(*(F.lit(x) for c, f in channel_factor.items() for x in (f, c)))[F.col("factor")]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import books, events, factors, judge, monitors, network, pit, returns, risk
+from ..sources import reference
 from ..sources.store import Store, write_report
 from ..tables import cut
 
@@ -61,6 +62,36 @@ def refit(store: Store, *, as_of: str, methods: dict[str, str] | None = None, wi
     return out
 
 
+def gate_diagnostics(store: Store, *, as_of: str, before: str, after: str, least: int = 20, window: int = 60, window_least: int = 40, report_dir: str | None = None) -> dict:
+    """What the landed fit explains by class, and the break between two regimes: of its betas, and of betas fitted anew on the primary factors near the break."""
+    reader = pit.PitReader(as_of, store.read)
+    rets = pit.latest_version(reader.table("total_returns"), "symbol", "bar_date").select("symbol", "bar_date", F.col("ret_usd").alias("ret"))
+    residuals = pit.latest_version(reader.table("residuals"), "symbol", "bar_date")
+    classes = pit.universe_classes(store.read("universe_membership"), as_of)
+    shares = factors.variance_share(rets, residuals, least, classes)
+    whole = factors.break_by_factor(factors.regime_break(pit.latest_version(reader.table("betas"), "symbol", "factor", "bar_date"), before, after))
+    levels = pit.latest_version(reader.table("factors"), "factor", "bar_date")
+    primary = factors.regime_break_on(rets, factors.factor_returns(levels, {f: m for f, m in factors.specs().items() if f in factors.PRIMARY}), before, after, window=window, least=window_least, nearest=window_least)
+    rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  a row for each class or factor
+    out = {"as_of": as_of, "variance_share_by_class": rows(factors.share_by_class(shares)), "n_names_scored": shares.count(), "regime_break": rows(whole), "regime_break_primary": rows(primary), "regimes": [before, after]}
+    if report_dir:
+        write_report(report_dir, "gate_diagnostics", out)
+    return out
+
+
+def robustness_grid(residuals: DataFrame, leaves: DataFrame, sectors: DataFrame, *, windows: tuple[int, ...] = (90, 120, 150), step: int = 60, least: int = 60, report_dir: str | None = None) -> list[dict]:
+    """The survival gate by leaf and by main sectors and over several windows; ``leaves`` has (symbol, sector), ``sectors`` (code, level, parent)."""
+    cells = []
+    for name, dealt in (("leaf", leaves), ("main", reference.rolled_up(leaves, sectors))):
+        n = dealt.select("sector").distinct().count()
+        for window in windows:
+            r = survival_gate(residuals, dealt, window=window, step=step, least=least).first().asDict()
+            cells.append({"granularity": name, "n_sectors": n, "window": window, **r})
+    if report_dir:
+        write_report(report_dir, "robustness", {"cells": cells})
+    return cells
+
+
 def survival_gate(residuals: DataFrame, sectors: DataFrame, *, window: int = 120, step: int = 60, alpha: float = 0.05, least: int = 60) -> DataFrame:
     """The gate's figures and decision over rolling windows of significant edges within sectors."""
     p = network.panel(residuals, "residual", least)

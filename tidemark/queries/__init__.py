@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import books, graphs, names, panels, reads
+from . import books, feeds, graphs, names, panels, reads
 from .base import Query
 
-PARTS = (reads, panels, books, graphs, names)
+PARTS = (reads, panels, books, graphs, names, feeds)
 
 
 def queries() -> dict[str, Query]:
