@@ -162,7 +162,9 @@ def neighbours(docs: DataFrame, bucket_rows: int = 2000, most_buckets: int = 20_
     target = [(order[(i + 1) % len(order)][1][0], order[(i + 1) % len(order)][1][1], order[i][0]) for i in range(len(order))]
     ghosts = docs.sparkSession.createDataFrame(target, T.StructType([T.StructField("gk", docs.schema["k"].dataType), T.StructField("gg", T.LongType()), T.StructField("_to", T.LongType())]))
     extra = dealt.join(F.broadcast(ghosts), F.col("k").eqNullSafe(F.col("gk")) & (F.col("_g") == F.col("gg"))).groupBy("_to").agg(F.first("k").alias("k"), F.min("t").alias("t"), F.first("_g").alias("_g"))
-    return dealt.withColumn("_ghost", F.lit(False)).unionByName(extra.select("k", "t", "_g", F.col("_to").alias("_bucket"), F.lit(True).alias("_ghost")))
+    whole = dealt.withColumn("_ghost", F.lit(False)).unionByName(extra.select("k", "t", "_g", F.col("_to").alias("_bucket"), F.lit(True).alias("_ghost")))
+    # as many tasks as ranges, so that none grows with the table
+    return whole.repartition(len(order), "_bucket")
 
 
 def compare(docs: DataFrame, *, key: str = "doc_id", text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
