@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import Refused
+from ..functions.identity import once
 from .factors import LADDER
 
 COUNTRY = "TU"
@@ -57,14 +58,10 @@ def countries(locations: str = "locations") -> Column:
 
 def event_type(themes: Column, patterns: dict[str, tuple[str, ...]] = PATTERNS) -> Column:
     """The type most themes fall under (each theme counts once for a type); ties by the order of types; none is NULL."""
-    upper = F.transform(themes, lambda t: F.upper(t))
-
-    def having(needles: tuple[str, ...]) -> Column:
-        return F.filter(upper, lambda t: F.exists(F.array(*map(F.lit, needles)), lambda p: F.contains(t, p)))
-
-    counts = [F.struct(F.size(having(needles)).alias("n"), F.lit(-rank).alias("order"), F.lit(name).alias("type")) for rank, (name, needles) in enumerate(patterns.items())]
-    best = F.array_max(F.array(*counts))
-    return F.when(best["n"] > 0, best["type"])
+    joined = F.upper(F.array_join(themes, ";"))
+    # a match begins with a theme and takes it in whole, so there is one for each and none is read twice
+    counts = [F.struct(F.regexp_count(joined, F.lit(f"(?<![^;])[^;]*?(?:{'|'.join(needles)})[^;]*+")).alias("n"), F.lit(-rank).alias("order"), F.lit(name).alias("type")) for rank, (name, needles) in enumerate(patterns.items())]
+    return once(F.array_max(F.array(*counts)), lambda best: F.when(best["n"] > 0, best["type"]))
 
 
 def severity(tone: str = "tone") -> Column:
@@ -76,7 +73,9 @@ def severity(tone: str = "tone") -> Column:
 
 def typed(records: DataFrame, country: str = COUNTRY) -> DataFrame:
     """Records (record_id, date, themes, locations, tone) with their status: event, other_country, untyped or undated."""
-    df = records.withColumns({"_codes": countries(), "event_type": event_type(parts("themes")), "event_date": F.try_to_timestamp(F.substring(F.trim("date"), 1, 8), F.lit("yyyyMMdd")).cast("date"), "severity": severity()})
+    read = F.struct(countries().alias("_codes"), event_type(parts("themes")).alias("event_type"), F.try_to_timestamp(F.substring(F.trim("date"), 1, 8), F.lit("yyyyMMdd")).cast("date").alias("event_date"), severity().alias("severity"))
+    # exploded, so that each record is read once, however often what follows uses the results
+    df = records.select("*", F.explode(F.array(read)).alias("_read")).select(*(F.col(c) for c in records.columns), "_read.*")
     status = F.when(~F.array_contains("_codes", country), "other_country").when(F.col("event_type").isNull(), "untyped").when(F.col("event_date").isNull(), "undated").otherwise("event")
     return df.withColumn("status", status).withColumn("geography", F.array_join(F.array_sort("_codes"), ";")).drop("_codes")
 

@@ -81,7 +81,7 @@ NEWS = {"record_id": 0, "date": 1, "source_name": 3, "document": 4, "themes": 7,
 def news(lines: DataFrame, line: str = "value") -> DataFrame:
     """Records of tab-separated lines; a line of fewer than 27 columns is dropped."""
     f = F.split(F.col(line), "\t")
-    return lines.where(F.size(f) >= 27).select(*(f[i].alias(n) for n, i in NEWS.items()))
+    return lines.where(F.size(f) >= 27).select(*(F.get(f, F.lit(i)).alias(n) for n, i in NEWS.items()))
 
 
 def news_or_drift(lines: DataFrame) -> DataFrame:
