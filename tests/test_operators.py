@@ -314,3 +314,27 @@ def test_manifests():
     assert factors.ladder_order()[:2] == ["XU100", "VIX"] and factors.blocked_factors() == ["MSCIEM"] and factors.weekly_factors() == ["FFLOW"]
     with pytest.raises(errors.Refused):
         factors.validate_manifest((*factors.MANIFEST, factors.MANIFEST[0]))
+
+
+@pytest.mark.parametrize("method", ["ledoit_wolf", "ols"])
+def test_many_windows_are_single_ones(method):
+    from tidemark.functions import linalg
+
+    r = np.random.default_rng(9)
+    x = r.normal(size=(40, 30, 6))
+    x[5, :, 3] = 2.0  # a factor that stands still
+    x[6, :, 4] = x[6, :, 2] * 3 + 1  # one that depends on another
+    x[7, 3, 1] = np.nan
+    mask = r.random((40, 30)) < 0.8
+    mask[:, -1] = True
+    mask[7, 3] = False
+    mask[8] = False
+    mask[8, -6:] = True  # hardly more rows than factors
+    betas = linalg.partial_betas_of_windows(x, mask, method)
+    residual, shares = linalg.strip_of_windows(x, mask)
+    for w in range(40):
+        own = x[w][mask[w]]
+        if method == "ledoit_wolf" or w not in (5, 6, 8):
+            assert np.allclose(betas[w], linalg.partial_betas(own[:, 1:], own[:, 0], method), atol=1e-8)
+        alone, part = linalg.strip(own[:, 0], own[:, 1:])
+        assert abs(residual[w] - alone[-1]) < 1e-7 and np.allclose(shares[w], part, atol=1e-7)

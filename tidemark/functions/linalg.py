@@ -47,6 +47,55 @@ def strip(y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return residual, shares
 
 
+def _centred(x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, windows less the means of their masked rows; the other rows are zero)."""
+    n = mask.sum(axis=1)
+    kept = np.where(mask[:, :, None], x, 0.0)
+    return n, np.where(mask[:, :, None], kept - kept.sum(axis=1, keepdims=True) / n[:, None, None], 0.0)
+
+
+def partial_betas_of_windows(x: np.ndarray, mask: np.ndarray, method: str = "ledoit_wolf") -> np.ndarray:
+    """``partial_betas`` of many windows at once: x is (windows, rows, 1 + factors) with y first, mask says which rows count."""
+    n, c = _centred(x, mask)
+    y, f = c[:, :, 0], c[:, :, 1:]
+    p = f.shape[2]
+    scale = np.sqrt((f**2).sum(axis=1) / (n - 1)[:, None])
+    scale = np.where(scale > 0, scale, 1.0)
+    z = f / scale[:, None, :]
+    cross = np.einsum("wnp,wn->wp", z, y) / (n - 1)[:, None]
+    products = z.transpose(0, 2, 1) @ z
+    if method == "ledoit_wolf":
+        s = products / n[:, None, None]
+        mu, size = np.trace(s, axis1=1, axis2=2) / p, (s**2).sum(axis=(1, 2))
+        d2 = (size - p * mu**2) / p
+        # the sum of all products of two squares of a row is the square of their sum
+        b2 = np.minimum(d2, ((((z**2).sum(axis=2)) ** 2).sum(axis=1) / n - size) / (n * p))
+        share = np.where((b2 > 0) & (d2 > 0), b2 / np.where(d2 > 0, d2, 1.0), 0.0)
+        inner = (1 - share)[:, None, None] * s + (share * mu)[:, None, None] * np.eye(p)
+    else:
+        inner = products / (n - 1)[:, None, None]
+    # the least solution by eigenvalues, those that are nothing left out
+    values, vectors = np.linalg.eigh(inner)
+    real = np.abs(values) > np.finfo(float).eps * p * np.abs(values).max(axis=1, keepdims=True)
+    turned = np.einsum("wij,wi->wj", vectors, cross)
+    return np.einsum("wij,wj->wi", vectors, np.where(real, turned / np.where(real, values, 1.0), 0.0)) / scale
+
+
+def strip_of_windows(x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``strip`` of many windows at once: the last rows' residuals and shares."""
+    n, c = _centred(x, mask)
+    y, f = c[:, :, 0], c[:, :, 1:]
+    q, r = np.linalg.qr(f)
+    sizes = np.abs(np.diagonal(r, axis1=1, axis2=2))
+    clear = (sizes > 1e-8 * np.maximum(1.0, np.sqrt((f**2).sum(axis=1)))).all(axis=1) & (n > f.shape[2] + 1)
+    shares = np.einsum("wnp,wn->wp", q, y) * q[:, -1, :]
+    residual = y[:, -1] - shares.sum(axis=1)
+    for w in np.flatnonzero(~clear):  # columns that nearly depend on those before: one by one
+        alone, shares[w] = strip(x[w][mask[w], 0], x[w][mask[w], 1:])
+        residual[w] = alone[-1]
+    return residual, shares
+
+
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised, by its continued fraction."""
     if x <= 0 or x >= 1:

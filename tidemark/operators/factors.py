@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,17 +110,20 @@ def factor_panel(returns: DataFrame, order: list[str]) -> DataFrame:
     return returns.groupBy("bar_date").pivot("factor", order).agg(F.last("ret", ignorenulls=True))
 
 
-def _window_rows(symbols: pd.DataFrame, order: list[str], window: int, least: int) -> Iterator[tuple]:
-    """(date, rows) for each date: the last ``window`` joined rows, of these the ones in the date's regime with all values."""
-    pdf = symbols.sort_values("bar_date")
+def _windows(symbol: pd.DataFrame, order: list[str], window: int, least: int, some: int = 512) -> Iterator[tuple]:
+    """(days, regimes, windows, mask, last row is whole) of a symbol's dates, some at a time: the last ``window`` joined rows of each, masked to those in the date's regime with all values; dates with too few are left out."""
+    pdf = symbol.sort_values("bar_date")
     values = pdf[["ret", *order]].to_numpy(float)
-    whole = ~pd.isna(values).any(axis=1)
-    names = pdf["regime"].to_numpy()
-    for i in range(window - 1, len(pdf)):
-        at = slice(i - window + 1, i + 1)
-        keep = whole[at] & (names[at] == names[i])
-        if keep.sum() >= max(least, 2):
-            yield pdf["bar_date"].iloc[i], names[i], values[at][keep], bool(whole[i])
+    whole = ~np.isnan(values).any(axis=1)
+    days, names = pdf["bar_date"].to_numpy(), pdf["regime"].to_numpy()
+    for low in range(window - 1, len(pdf), some):
+        ends = np.arange(low, min(low + some, len(pdf)))
+        at = ends[:, None] + np.arange(1 - window, 1)
+        mask = whole[at] & (names[at] == names[ends][:, None])
+        enough = mask.sum(axis=1) >= max(least, 2)
+        if enough.any():
+            ends, at, mask = ends[enough], at[enough], mask[enough]
+            yield days[ends], names[ends], values[at], mask, whole[ends]
 
 
 def _joined(returns: DataFrame, panel: DataFrame, order: list[str], label: Column | None) -> DataFrame:
@@ -131,10 +135,12 @@ def rolling_betas(returns: DataFrame, panel: DataFrame, order: list[str], *, win
     """(symbol, factor, bar_date, beta, n_obs, regime): partial betas within a regime; too few rows give none."""
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for day, name, x, _ in _window_rows(pdf, order, window, least):
-            rows += [(key[0], f, day, float(b), len(x), name) for f, b in zip(order, linalg.partial_betas(x[:, 1:], x[:, 0], method), strict=True)]
-        return pd.DataFrame(rows, columns=["symbol", "factor", "bar_date", "beta", "n_obs", "regime"])
+        parts = []
+        for days, names, x, mask, _ in _windows(pdf, order, window, least):
+            beta = linalg.partial_betas_of_windows(x, mask, method)
+            each = lambda v: np.repeat(v, len(order))
+            parts.append(pd.DataFrame({"symbol": key[0], "factor": np.tile(np.array(order, object), len(days)), "bar_date": each(days), "beta": beta.ravel(), "n_obs": each(mask.sum(axis=1)), "regime": each(names)}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["symbol", "factor", "bar_date", "beta", "n_obs", "regime"])
 
     return _joined(returns, panel, order, label).groupBy("symbol").applyInPandas(fit, "symbol string, factor string, bar_date date, beta double, n_obs int, regime string")
 
@@ -143,12 +149,11 @@ def rolling_residuals(returns: DataFrame, panel: DataFrame, order: list[str], *,
     """(symbol, bar_date, residual, strip_order, explained): the residual of each window's last row, which must be whole; explained has each rung's part."""
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for day, _, x, whole in _window_rows(pdf, order, window, least):
-            if whole:
-                residual, shares = linalg.strip(x[:, 0], x[:, 1:])
-                rows.append((key[0], day, float(residual[-1]), ">".join(order), [float(s) for s in shares]))
-        return pd.DataFrame(rows, columns=["symbol", "bar_date", "residual", "strip_order", "explained"])
+        parts = []
+        for days, _, x, mask, whole in _windows(pdf, order, window, least):
+            residual, shares = linalg.strip_of_windows(x[whole], mask[whole])
+            parts.append(pd.DataFrame({"symbol": key[0], "bar_date": days[whole], "residual": residual, "strip_order": ">".join(order), "explained": list(shares)}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["symbol", "bar_date", "residual", "strip_order", "explained"])
 
     return _joined(returns, panel, order, label).groupBy("symbol").applyInPandas(fit, "symbol string, bar_date date, residual double, strip_order string, explained array<double>")
 
