@@ -155,11 +155,44 @@ def benjamini_hochberg(t: Tables):
     return network.benjamini_hochberg(c.select("src", "dst", F.exp(-F.abs("corr") * F.sqrt("n_obs")).alias("p_value")))
 
 
-@add("fdr_edges")
+def _tail(t: str, df: str) -> str:
+    """SQL: two-sided tail of Student's t by its finite series for whole degrees of freedom, in powers of the squared cosine of atan(t / sqrt(df))."""
+    x, sine = f"({df} / ({df} + {t} * {t}))", f"(abs({t}) / sqrt({df} + {t} * {t}))"
+    even = f"{sine} * list_sum(list_transform(range(0, {df} // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * pow({x}, k)))"
+    odd = f"2 / pi() * (asin({sine}) + {sine} * sqrt({x}) * coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow({x}, k))), 0))"
+    return f"(1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def _fdr(pairs: str, where: str) -> str:
+    """SQL: the tested pairs with their tails and q-values."""
+    return f"tested AS (SELECT *, corr * sqrt((n_obs - 2) / (1 - corr * corr)) AS t FROM {pairs}), tails AS (SELECT *, {_tail('t', '(n_obs - 2)')} AS p_value FROM tested), ranked AS (SELECT *, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value) AS raw FROM tails), q AS (SELECT *, least(1, min(raw) OVER (ORDER BY p_value ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM ranked) SELECT src, dst, sector, {r('corr')} AS corr, n_obs, {r('t')} AS t, {r('p_value')} AS p_value, {r('q_value')} AS q_value, q_value <= 0.05 AS passed FROM q WHERE {where}"
+
+
+@add("fdr_edges", f"WITH {_PANEL}, {_fdr('pairs', 'q_value <= 0.05')}", "returns sectors")
 def fdr_edges(t: Tables):
     return network.fdr_edges(network.correlations(_panel(t), t.sectors()))
 
 
+#: Closes with the market's mean added have that in common, so some of their correlations pass.
+_CLOSES = "cp AS (SELECT symbol, bar_date, close + value AS x, sector FROM bars JOIN sectors USING (symbol) JOIN (SELECT bar_date, value FROM levels WHERE factor = 'MKT') USING (bar_date)), pairs AS (SELECT a.sector, a.symbol AS src, b.symbol AS dst, corr(a.x, b.x) AS corr, count(*) AS n_obs FROM cp a JOIN cp b ON a.bar_date = b.bar_date AND a.sector = b.sector AND a.symbol < b.symbol GROUP BY 1, 2, 3 HAVING count(*) >= 60)"
+
+
+def _closes(t: Tables) -> DataFrame:
+    common = t.factor_levels().where("factor = 'MKT'").select("bar_date", "value")
+    return network.correlations(network.panel(t.bars().join(common, "bar_date").withColumn("x", F.col("close") + F.col("value")).select("symbol", "bar_date", F.col("x").alias("close")), "close", 60), t.sectors())
+
+
+@add("pair_p_values", f"WITH {_CLOSES}, {_fdr('pairs', 'true')}", "bars levels sectors")
+def pair_p_values(t: Tables):
+    c = _closes(t).withColumn("t", network.t_statistic())
+    return network.benjamini_hochberg(c.withColumn("p_value", network.p_value(F.col("t"), (F.col("n_obs") - 2).cast("double"))))
+
+
+@add("fdr_edges_of_closes", f"WITH {_CLOSES}, {_fdr('pairs', 'q_value <= 0.05 AND abs(corr) >= 0.05')}", "bars levels sectors")
+def fdr_edges_of_closes(t: Tables):
+    return network.fdr_edges(_closes(t), least_corr=0.05)
+
+
 _EDGES = f"""{_PANEL}, nd AS (SELECT bar_date, row_number() OVER (ORDER BY bar_date) - 1 AS d, count(*) OVER () AS total FROM (SELECT DISTINCT bar_date FROM p)),
     w AS (SELECT bar_date, unnest(range(0, CAST(floor((total - 120) / 60) AS BIGINT) + 1)) AS w, d FROM nd),
     pw AS (SELECT ps.*, w.w FROM ps JOIN w USING (bar_date) WHERE w.w * 60 <= w.d AND w.d < w.w * 60 + 120),
@@ -197,7 +230,8 @@ def stability_gate(t: Tables):
     return network.gate(network.stability_summary(network.stability(*_window_edges(t))))
 
 
-@add("spanning_tree")
+#: A pair is in the tree unless its ends are connected by pairs that come before it.
+@add("spanning_tree", f"WITH RECURSIVE {_PANEL}, e AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY corr DESC, src, dst) AS k FROM pairs), ways AS (SELECT sector, k, src AS u, dst AS v FROM e UNION ALL SELECT sector, k, dst, src FROM e), walk AS (SELECT sector, k AS edge, src AS node FROM e UNION SELECT walk.sector, walk.edge, ways.v FROM walk JOIN ways ON ways.sector = walk.sector AND ways.u = walk.node AND ways.k < walk.edge) SELECT sector, src, dst, {r('corr')} AS corr FROM e WHERE NOT EXISTS (SELECT 1 FROM walk WHERE walk.sector = e.sector AND walk.edge = e.k AND walk.node = e.dst)", "returns sectors")
 def spanning_tree(t: Tables):
     return network.spanning_tree(network.correlations(_panel(t), t.sectors()))
 
@@ -218,7 +252,13 @@ def planar_filter_size(t: Tables):
     return planar_filter(t).groupBy("sector").agg(F.count("*").alias("n_edges"))
 
 
-@add("shrunk_corr")
+@add("shrunk_corr", f"""WITH {_PANEL}, size AS (SELECT sector, count(DISTINCT symbol) AS p FROM ps GROUP BY sector), whole AS (SELECT sector, bar_date FROM ps JOIN size USING (sector) GROUP BY sector, bar_date, p HAVING count(*) = p),
+    z AS (SELECT sector, symbol, bar_date, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS z FROM ps JOIN whole USING (sector, bar_date) WINDOW w AS (PARTITION BY sector, symbol)),
+    n AS (SELECT sector, count(*) AS n, sum(q * q) AS f FROM (SELECT sector, bar_date, sum(z * z) AS q FROM z GROUP BY 1, 2) GROUP BY 1),
+    s AS (SELECT a.sector, a.symbol AS src, b.symbol AS dst, sum(a.z * b.z) AS s FROM z a JOIN z b ON a.sector = b.sector AND a.bar_date = b.bar_date GROUP BY 1, 2, 3),
+    m AS (SELECT sector, n, p, f, sum(s / n * s / n) AS ss, sum(s / n) FILTER (src = dst) / p AS mu FROM s JOIN n USING (sector) JOIN size USING (sector) GROUP BY sector, n, p, f),
+    d AS (SELECT *, (ss - p * mu * mu) / p AS d2, (f / n - ss) / (n * p) AS b2 FROM m)
+    SELECT sector AS "group", src, dst, {r('(1 - CASE WHEN d2 > 0 AND b2 > 0 THEN least(b2, d2) / d2 ELSE 0 END) * s / n / mu')} AS corr FROM s JOIN d USING (sector) WHERE src < dst AND n >= 60 AND p >= 2""", "returns sectors")
 def shrunk_corr(t: Tables):
     return network.shrunk(_panel(t).join(t.sectors().withColumnRenamed("sector", "group"), "symbol"))
 
