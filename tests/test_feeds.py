@@ -173,3 +173,38 @@ def test_plans_of_pulls(spark):
     assert got == [("A", "2023-01-01"), ("B", "2024-04-26")] and monitors.daily_plan(fresh, "2024-06-01", limit=1).select("symbol").distinct().count() == 1
     classes = spark.createDataFrame([("A", None, date(2024, 1, 1), date(2024, 2, 1)), ("A", "x", date(2024, 1, 1), date(2024, 1, 1)), ("B", "y", date(2024, 1, 1), date(2025, 1, 1))], "symbol string, universe_class string, valid_from date, knowledge_date date")
     assert [tuple(r) for r in pit.universe_classes(classes, "2024-06-01").collect()] == [("A", "x")]
+
+
+def test_updates_and_onboarding(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "l2"))
+    symbols = spark.createDataFrame([("A",), ("B",)], "symbol string")
+
+    def fetch(plan):
+        got = [r["symbol"] for r in plan.collect()]
+        bars = [{"date": f"2024-01-{d:02d}", "close": 10.0 + d, "quantity": 1.0} for d in range(1, 6)]
+        return spark.createDataFrame([(json.dumps({"data": {"symbol": s, "bars": bars}}),) for s in got if s != "B"], "payload string")
+
+    dry = runs.daily_update(store, symbols, as_of="2024-01-06")
+    assert (dry["mode"], dry["freshness"], dry["n_to_pull"]) == ("dry-run", {"missing": 2}, 2) and store.read("prices").count() == 0
+    done = runs.daily_update(store, symbols, as_of="2024-01-06", fetch=fetch, report_dir=str(tmp_path))
+    assert done["landed"]["n"] == 5 and done["n_failed"] == 1
+    assert runs.daily_update(store, symbols, as_of="2024-01-06")["freshness"] == {"current": 1, "missing": 1}
+    market = monitors.market_data(spark.createDataFrame([("C", ["C"]), ("D", []), ("E", ["E"]), ("F", ["F"])], "symbol string, codes array<string>"))
+    bars = [{"date": f"2024-01-0{d}", "close": 1.0 + d, "quantity": 1.0} for d in (2, 3, 4)]
+    feed = spark.createDataFrame([(json.dumps({"data": {"symbol": s, "bars": bars}}),) for s in "CE"], "payload string")
+    got = runs.onboard(store, market, feed, spark.createDataFrame([("C", "HOLDİNGLER")], "symbol string, sector string"), as_of="2024-01-06", valid_from="2024-01-01")
+    assert {tuple(r) for r in got.collect()} == {("C", "quant_started"), ("D", "deferred_vendor_lag"), ("E", "prices_only_no_sector"), ("F", "no_bars")}
+    assert [(r["symbol"], r["universe_class"]) for r in store.read("universe_membership").collect()] == [("C", "holding")]
+    assert store.read("total_returns").where("symbol = 'C'").count() == 2
+
+
+def test_event_inputs_from_a_floor(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "l2"))
+    days = [date(2024, 1, d) for d in range(1, 11)]
+    store.append("total_returns", spark.createDataFrame([("A", d, 0.1, d) for d in days], "symbol string, bar_date date, ret_usd double, knowledge_date date"))
+    store.append("betas", spark.createDataFrame([("A", f, d, 1.0, d) for d in days for f in ("XU100", "OTHER")], "symbol string, factor string, bar_date date, beta double, knowledge_date date"))
+    store.append("events", spark.createDataFrame([("e", days[4], "pandemic", days[4])], "event_id string, event_date date, event_type string, knowledge_date date"))
+    store.append("event_targets", spark.createDataFrame([("e", "market", -1, days[4])], "event_id string, channel string, shock_sign int, knowledge_date date"))
+    specs, betas, rets = runs.event_inputs(store, as_of="2024-01-08", panel_start="2024-01-05")
+    assert [tuple(r) for r in specs.collect()] == [(days[4], "market", -1)] and rets.count() == 4
+    assert {(r["channel"], r["bar_date"]) for r in betas.collect()} == {("market", d) for d in days[4:8]}

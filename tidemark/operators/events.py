@@ -98,7 +98,7 @@ def targets(found: DataFrame) -> DataFrame:
 
 def event_specs(events_: DataFrame, targets_: DataFrame) -> DataFrame:
     """Distinct (event_date, channel, shock_sign) of the newest version of each event."""
-    newest = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("knowledge_date")))
+    newest = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("knowledge_date"), F.desc("event_date")))
     last = events_.withColumn("_n", newest).where("_n = 1").select("event_id", "event_date")
     return last.join(targets_.select("event_id", "channel", "shock_sign"), "event_id").select("event_date", "channel", "shock_sign").distinct()
 

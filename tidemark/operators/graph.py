@@ -136,3 +136,40 @@ def sector_coverage(nodes: DataFrame, sectors: DataFrame, instruments: DataFrame
     a = nodes.select("node").distinct().join(have, "node", "left").agg(F.round(F.avg(F.coalesce("has", F.lit(0))), 4).alias("by_company"))
     b = instruments.select("node").join(have, "node", "left").agg(F.round(F.avg(F.coalesce("has", F.lit(0))), 4).alias("by_instrument"))
     return a.join(b)  # one row each
+
+
+def _named(companies: DataFrame, end: str) -> DataFrame:
+    return companies.select(F.col("uuid").alias(end), F.coalesce("ticker", "name").alias(f"{end}_name"), F.col("ticker").isNotNull().alias(f"{end}_listed"))
+
+
+def control_links(companies: DataFrame, controls: DataFrame, listed_only: bool = False) -> DataFrame:
+    """(src, dst): controls between companies by their ticker, else their name; ends without either are left out."""
+    df = controls.select("src", "dst").join(_named(companies, "src"), "src").join(_named(companies, "dst"), "dst")
+    df = df.where("src_listed and dst_listed") if listed_only else df
+    return df.select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst")).where("src != '' and dst != ''")
+
+
+def ownership_links(companies: DataFrame, stakes: DataFrame, listed_only: bool = False) -> DataFrame:
+    """(src, dst, fraction, confidence): stakes by ticker or name as fractions; one without a percentage is none, an unknown confidence is whole."""
+    df = stakes.join(_named(companies, "src"), "src").join(_named(companies, "dst"), "dst")
+    df = df.where("src_listed and dst_listed") if listed_only else df
+    known = F.coalesce("confidence", F.lit(1.0)) if "confidence" in stakes.columns else F.lit(1.0)
+    return df.where("src_name is not null and dst_name is not null and pct is not null").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), (F.col("pct") / 100).alias("fraction"), known.alias("confidence"))
+
+
+def seed(members: DataFrame, listed_only: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(companies, securities, issues) of members (filing_id, ticker, name, is_listed): identifiers follow from the filing's, the first of several codes is the security's."""
+    m = members.where("is_listed") if listed_only else members
+    first = F.upper(F.trim(F.element_at(F.split("ticker", ","), 1)))
+    m = m.where("filing_id is not null").select(F.concat(F.lit("co-"), F.lower("filing_id")).alias("uuid"), "filing_id", F.nullif(first, F.lit("")).alias("ticker"), "name", "is_listed")
+    companies = m.select("uuid", "ticker", "name", "filing_id", F.lit("TR").alias("jurisdiction"), "is_listed")
+    traded = m.where("is_listed and ticker is not null").select(F.concat(F.lit("se-"), F.lower("filing_id"), F.lit("-"), F.lower("ticker")).alias("security"), "uuid", "ticker")
+    return companies, traded.select(F.col("security").alias("uuid"), "ticker", F.lit("EQUITY").alias("type"), F.lit("TRY").alias("currency")), traded.select(F.col("uuid").alias("src"), F.col("security").alias("dst"))
+
+
+def disclosures(found: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of disclosures (filing_id, index, subject, type, published): one node for each index, the last published, linked to every member it was found under."""
+    known = found.join(members.select("filing_id").distinct(), "filing_id", "left_semi").where("index is not null")
+    last = known.groupBy("index").agg(F.max(F.struct("published", "subject", "type")).alias("d"))
+    nodes = last.select("index", F.col("d.subject").alias("subject"), F.col("d.type").alias("type"), F.to_date("d.published").alias("published"))
+    return nodes, known.select(F.concat(F.lit("co-"), F.lower("filing_id")).alias("src"), F.col("index").alias("dst")).distinct()

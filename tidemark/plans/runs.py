@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import books, events, factors, judge, monitors, network, pit, returns, risk
-from ..sources import reference
+from ..sources import landing, reference
 from ..sources.store import Store, write_report
 from ..tables import cut
 
@@ -205,3 +207,50 @@ def keep_current(companies: DataFrame, upstream: DataFrame, store: Store, symbol
     if report_dir:
         write_report(report_dir, "keep_current", out)
     return out
+
+
+def event_inputs(store: Store, *, as_of: str, panel_start: str | None = None, channel_factor: dict[str, str] = risk.CHANNEL_FACTOR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(specs, betas by channel, returns) as known on a day; returns and betas from ``panel_start`` on, as years before the first event only dilute a signal that fires on events."""
+    reader = pit.PitReader(as_of, store.read)
+    specs = events.event_specs(reader.table("events"), reader.table("event_targets"))
+    floor = F.col("bar_date") >= F.lit(panel_start or "0001-01-01").cast("date")
+    rets = pit.latest_version(reader.table("total_returns"), "symbol", "bar_date").where(floor).select("symbol", "bar_date", F.col("ret_usd").alias("ret"))
+    channel = F.create_map(*(F.lit(x) for c, f in channel_factor.items() for x in (f, c)))[F.col("factor")]
+    betas = pit.latest_version(reader.table("betas"), "symbol", "factor", "bar_date").where(floor & F.col("factor").isin(*channel_factor.values()))
+    return specs, betas.select("symbol", channel.alias("channel"), "bar_date", "beta"), rets
+
+
+def daily_update(store: Store, symbols: DataFrame, *, as_of: str, fetch: Callable[[DataFrame], DataFrame] | None = None, max_age: int = 7, overlap: int = 5, limit: int | None = None, report_dir: str | None = None) -> dict:
+    """Brings the stale symbols up to date, each from a little before its last bar; without ``fetch`` it only says what it would do.
+
+    ``fetch`` takes (symbol, start, end) and gives (symbol, payload), such as a feed
+    source reads them. Symbols that gave nothing are reported, the others are landed.
+    """
+    fresh = monitors.freshness(symbols, monitors.latest_bars(pit.visible(store.read("prices"), as_of)), as_of, max_age)
+    plan = cut(monitors.daily_plan(fresh, as_of, overlap=overlap, limit=limit), "plan")
+    out = {"as_of": as_of, "mode": "execute" if fetch else "dry-run", "freshness": {r["status"]: r["count"] for r in fresh.groupBy("status").count().collect()}, "n_to_pull": plan.select("symbol").distinct().count()}
+    if fetch:
+        got = cut(fetch(plan), "feed")
+        rows = landing.price_rows(got)
+        out["landed"] = landing.land(store, "prices", rows)
+        out["n_failed"] = plan.select("symbol").distinct().join(rows.select("symbol").distinct(), "symbol", "left_anti").count()
+    if report_dir:
+        write_report(report_dir, "daily_update", out)
+    return out
+
+
+def onboard(store: Store, market: DataFrame, payloads: DataFrame, sectors: DataFrame, *, as_of: str, valid_from: str) -> DataFrame:
+    """(symbol, status): new symbols' bars, returns and universe class are landed; one the vendor has not yet waits, one without a sector has prices only and no class is guessed.
+
+    ``market`` is what ``monitors.market_data`` says of them. Betas wait for the next
+    refit, for which a new symbol has too few days.
+    """
+    carried = market.where("market_data != 'not_carried_yet'").select("symbol")
+    bars = cut(landing.price_rows(payloads).join(carried, "symbol", "left_semi"), "bars")
+    landing.land(store, "prices", bars)
+    build_returns(store, as_of=as_of)
+    classes = cut(landing.class_rows(bars.select("symbol"), sectors), "classes")
+    known = classes.where("status = 'derived'")
+    landing.land(store, "universe_membership", known.select("symbol", F.lit("listed").alias("universe"), "universe_class", F.lit(valid_from).cast("date").alias("valid_from"), F.lit("sector").alias("source"), F.lit(as_of).cast("date").alias("knowledge_date")), day="valid_from")
+    status = F.when(F.col("market_data") == "not_carried_yet", "deferred_vendor_lag").when(F.col("status").isNull(), "no_bars").when(F.col("status") == "derived", "quant_started").otherwise("prices_only_no_sector")
+    return market.join(classes.select("symbol", "status"), "symbol", "left").select("symbol", status.alias("status"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import entities, monitors, network, pit, probes, risk
-from ..sources import landing, reference
+from ..operators import entities, graph, monitors, network, pit, probes, risk
+from ..sources import landing, parsers, reference
 from ..views import Tables
-from . import graphs
+from . import graphs as graph_queries
 from .base import AS_OF, Catalog, r
 from .graphs import _typed
 from .names import _CODES, _isins, _names, _payloads
@@ -44,7 +44,7 @@ def land_regimes(t: Tables):
     return landing.regime_rows(periods)
 
 
-@add("land_events", f"SELECT status, n FROM ({graphs.CATALOG.sql['news_status']}) x WHERE status <> 'event'")
+@add("land_events", f"SELECT status, n FROM ({graph_queries.CATALOG.sql['news_status']}) x WHERE status <> 'event'")
 def land_events(t: Tables):
     """What is skipped, by its reason."""
     return landing.event_rows(_records(t))[2]
@@ -290,3 +290,72 @@ def new_business_coverage(t: Tables):
 def listed_words(t: Tables):
     c = t.read("customer")
     return probes.listed_words(c.select(F.concat(F.lit("T"), "c_custkey").alias("ticker"), F.concat(F.lit("Fırma"), "c_custkey", F.lit(" Holding A.Ş.")).alias("name"), (F.col("c_custkey") % 12 == 4).alias("is_listed")))
+
+
+@add("query_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN strftime(o_orderdate, '%d-%m-%Y') END AS day FROM orders")
+def query_dates(t: Tables):
+    given = "case o_orderkey % 5 when 0 then date_format(o_orderdate, 'yyyy-MM-dd') when 1 then date_format(o_orderdate, 'dd-MM-yyyy') when 2 then date_format(o_orderdate, 'yyyy-M-d') when 3 then date_format(o_orderdate, 'yyyy-MM-d') else date_format(o_orderdate, 'yyyyMMdd') end as given"
+    return t.read("orders").selectExpr("o_orderkey", given).select("o_orderkey", parsers.query_date(F.col("given")).alias("day"))
+
+
+@add("ticker_lookup", "SELECT concat('T', c_custkey) AS ticker, CASE WHEN c_custkey % 3 < 2 THEN concat('F', lpad(CAST(c_custkey // 3 * 3 AS VARCHAR), 9, '0')) END AS filing_id, CASE WHEN c_custkey % 3 < 2 THEN 'found' ELSE 'unknown' END AS status FROM customer")
+def ticker_lookup(t: Tables):
+    c = t.read("customer").select("c_custkey")
+    members = c.where("c_custkey % 3 = 0").selectExpr("concat('F', lpad(c_custkey, 9, '0')) as filing_id", "concat('t', c_custkey, ' , T', c_custkey + 1) as ticker")
+    return parsers.find_tickers(members, c.selectExpr("concat(' t', c_custkey) as ticker"))
+
+
+_FIRMS = "firms AS (SELECT s_suppkey AS uuid, CASE WHEN s_suppkey % 3 = 0 THEN concat('T', s_suppkey) END AS ticker, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS name FROM supplier)"
+
+
+def _firms(t: Tables) -> DataFrame:
+    return t.read("supplier").selectExpr("s_suppkey as uuid", "if(s_suppkey % 3 = 0, concat('T', s_suppkey), null) as ticker", "if(s_suppkey % 7 != 0, s_name, null) as name")
+
+
+@add("control_links", f"WITH {_FIRMS} SELECT coalesce(a.ticker, a.name) AS src, coalesce(b.ticker, b.name) AS dst FROM controls JOIN firms a ON a.uuid = src JOIN firms b ON b.uuid = dst WHERE coalesce(a.ticker, a.name) IS NOT NULL AND coalesce(b.ticker, b.name) IS NOT NULL", "controls")
+def control_links(t: Tables):
+    return graph.control_links(_firms(t), t.controls())
+
+
+@add("ownership_links", f"WITH {_FIRMS} SELECT a.ticker AS src, b.ticker AS dst, {r('pct / 100')} AS fraction, 1.0::DOUBLE AS confidence FROM stakes JOIN firms a ON a.uuid = src JOIN firms b ON b.uuid = dst WHERE a.ticker IS NOT NULL AND b.ticker IS NOT NULL", "stakes")
+def ownership_links(t: Tables):
+    return graph.ownership_links(_firms(t), t.stakes(), listed_only=True)
+
+
+def _members(t: Tables) -> DataFrame:
+    return t.read("customer").selectExpr("concat('OID', c_custkey) as filing_id", "if(c_custkey % 4 = 0, '', concat('T', c_custkey, if(c_custkey % 5 = 0, ', X', ''))) as ticker", "c_name as name", "c_custkey % 4 != 0 as is_listed")
+
+
+@add("seed_companies", "SELECT concat('co-oid', c_custkey) AS uuid, CASE WHEN c_custkey % 4 <> 0 THEN concat('T', c_custkey) END AS ticker, c_name AS name, concat('OID', c_custkey) AS filing_id, 'TR' AS jurisdiction, c_custkey % 4 <> 0 AS is_listed FROM customer")
+def seed_companies(t: Tables):
+    return graph.seed(_members(t), listed_only=False)[0]
+
+
+@add("seed_issues", "SELECT concat('co-oid', c_custkey) AS src, concat('se-oid', c_custkey, '-t', c_custkey) AS dst FROM customer WHERE c_custkey % 4 <> 0")
+def seed_issues(t: Tables):
+    return graph.seed(_members(t))[2]
+
+
+def _filings(t: Tables) -> DataFrame:
+    return t.read("orders").selectExpr("concat('OID', o_custkey) as filing_id", "o_orderkey div 2 as index", "o_orderpriority as subject", "o_orderstatus as type", "o_orderdate as published")
+
+
+@add("disclosure_nodes", "WITH x AS (SELECT o_orderkey // 2 AS index, o_orderdate, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_orderkey // 2 ORDER BY o_orderdate DESC, o_orderpriority DESC, o_orderstatus DESC) AS k FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) SELECT index, o_orderpriority AS subject, o_orderstatus AS type, CAST(o_orderdate AS DATE) AS published FROM x WHERE k = 1")
+def disclosure_nodes(t: Tables):
+    return graph.disclosures(_filings(t), _members(t))[0]
+
+
+@add("disclosure_links", "SELECT DISTINCT concat('co-oid', o_custkey) AS src, o_orderkey // 2 AS dst FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+def disclosure_links(t: Tables):
+    return graph.disclosures(_filings(t), _members(t))[1]
+
+
+_FORMS = "f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders), a AS (SELECT * FROM f WHERE k <= 5), rows_ AS (SELECT a.*, l_suppkey AS child, CAST(l_quantity AS DOUBLE) AS pct FROM a JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0), b AS (SELECT o_custkey, min(k) AS k FROM rows_ GROUP BY 1), nw AS (SELECT o_custkey AS parent, child, max(pct) AS pct, CAST(max(o_orderdate) AS DATE) AS as_of FROM rows_ JOIN b USING (o_custkey, k) GROUP BY 1, 2), kn AS (SELECT c_custkey AS parent, c_custkey % 10 AS child, 1.0::DOUBLE AS pct, DATE '1990-01-01' AS as_of FROM customer)"
+
+
+@add("harvested_relations", f"WITH {_FORMS} SELECT parent, child, {r('pct')} AS pct, as_of FROM nw UNION ALL SELECT parent, child, {r('pct')}, as_of FROM kn WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.parent = kn.parent AND nw.child = kn.child)")
+def harvested_relations(t: Tables):
+    forms = t.read("orders").selectExpr("o_custkey as company", "o_orderkey as index", "o_orderdate as published")
+    relations = t.read("lineitem").where("l_orderkey % 3 = 0").selectExpr("l_orderkey as index", "l_suppkey as child", "cast(l_quantity as double) as pct")  # a third of the forms has the table
+    known = t.read("customer").selectExpr("c_custkey as parent", "c_custkey % 10 as child", "1.0D as pct", "date'1990-01-01' as as_of")
+    return reference.harvested(forms, relations, known)

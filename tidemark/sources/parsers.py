@@ -129,3 +129,17 @@ def custody_codes(df: DataFrame) -> DataFrame:
     """(bucket, code, problem): codes of three letters or digits, each in one bucket."""
     n = df.groupBy("code").agg(F.count_distinct("bucket").alias("n"))
     return df.join(n, "code").select("bucket", "code", F.when(~F.col("code").rlike("^[A-Z0-9]{3}$"), "malformed").when(F.col("n") > 1, "in_several_buckets").alias("problem"))
+
+
+def query_date(c: Column) -> Column:
+    """A day as the central bank's queries want it, DD-MM-YYYY, from that or from an ISO day; NULL for anything else."""
+    iso = F.try_to_timestamp(F.when(c.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), c), F.lit("yyyy-M-d"))
+    return F.coalesce(F.date_format(iso, "dd-MM-yyyy"), F.when(c.rlike("^[0-9]{2}-[0-9]{2}-[0-9]{4}$"), c))
+
+
+def find_tickers(members_: DataFrame, asked: DataFrame) -> DataFrame:
+    """(ticker, filing_id, status) of each distinct ticker asked for, among the members' lists of codes; of several members the first by id."""
+    code = F.explode(F.transform(F.split("ticker", ","), lambda x: F.upper(F.trim(x))))
+    have = members_.where("ticker is not null").select(code.alias("ticker"), "filing_id").groupBy("ticker").agg(F.min("filing_id").alias("filing_id"))
+    want = asked.select(F.upper(F.trim("ticker")).alias("ticker")).distinct()
+    return want.join(have, "ticker", "left").select("ticker", "filing_id", F.when(F.col("filing_id").isNull(), "unknown").otherwise("found").alias("status"))

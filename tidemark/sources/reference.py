@@ -6,7 +6,7 @@ several only if somebody has confirmed it, and every refusal carries its reason.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import Refused
@@ -102,3 +102,22 @@ def backfill_sectors(companies: DataFrame, sectors: DataFrame, memberships: Data
     got = inherit(own, local).select(F.col("node").alias("uuid"), F.col("sector"), F.lit("inherited").alias("basis"))
     linked = own.select(F.col("node").alias("uuid"), "sector", F.lit("reference").alias("basis")).unionByName(got)
     return companies.select("uuid").join(linked, "uuid", "left").select("uuid", "sector", "basis", F.when(F.col("sector").isNull(), "no-sector").otherwise("linked").alias("status"))
+
+
+def newest_forms(forms: DataFrame, most: int = 5) -> DataFrame:
+    """(company, index, published, k): each company's newest forms, at most so many, as only these are asked for."""
+    newest = F.row_number().over(Window.partitionBy("company").orderBy(F.desc("published"), F.desc("index")))
+    return forms.select("company", "index", "published").distinct().withColumn("k", newest).where(F.col("k") <= most)
+
+
+def harvested(forms: DataFrame, relations: DataFrame, known: DataFrame, most: int = 5) -> DataFrame:
+    """(parent, child, pct, as_of): the relations of each company's newest form that has any, in place of what was known of the same pairs; other known pairs stay.
+
+    ``forms`` has (company, index, published), ``relations`` (index, child, pct) as read
+    from the forms, ``known`` (parent, child, pct, as_of).
+    """
+    asked = newest_forms(forms, most)
+    rows = asked.join(relations, "index")
+    best = rows.groupBy("company").agg(F.min("k").alias("k"))
+    new = rows.join(best, ["company", "k"]).groupBy(F.col("company").alias("parent"), "child").agg(F.max(F.struct("pct", "published")).alias("r")).select("parent", "child", "r.pct", F.to_date("r.published").alias("as_of"))
+    return known.select("parent", "child", "pct", "as_of").join(new, ["parent", "child"], "left_anti").unionByName(new)
