@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import Refused
 from ..functions import identity as I
+from ..tables import cut
 
 
 def _clean(c: str) -> Column:
@@ -97,7 +98,7 @@ def backfill_sectors(companies: DataFrame, sectors: DataFrame, memberships: Data
 
     refuse_bad_sectors(sectors, memberships)
     found = lookup_sectors(companies.select("ticker"), sectors, memberships).where("status = 'found'").select("ticker", "leaf")
-    own = companies.withColumn("_t", _clean("ticker")).join(found.withColumnRenamed("ticker", "_t"), "_t").where("_t != ''").select(F.col("uuid").alias("node"), F.col("leaf").alias("sector")).cache()
+    own = cut(companies.withColumn("_t", _clean("ticker")).join(found.withColumnRenamed("ticker", "_t"), "_t").where("_t != ''").select(F.col("uuid").alias("node"), F.col("leaf").alias("sector")))
     local = parents.join(companies.where(~F.coalesce("external", F.lit(False))).select(F.col("uuid").alias("child")), "child", "left_semi")
     got = inherit(own, local).select(F.col("node").alias("uuid"), F.col("sector"), F.lit("inherited").alias("basis"))
     linked = own.select(F.col("node").alias("uuid"), "sector", F.lit("reference").alias("basis")).unionByName(got)
