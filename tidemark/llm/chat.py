@@ -14,8 +14,9 @@ before it is known which conversations stay. Everything is DataFrame and SQL fun
 
 Defined cases: turns are ordered by number, then by content; a null turn number comes
 first; null roles and texts differ from empty ones in comparisons and are rendered
-empty; rows with a null id are one conversation; a repeated row is a repeated turn; extra
-columns are ignored.
+empty; rows with a null id are one conversation; a repeated row is a repeated turn; of
+equal conversations the smallest id stays; texts of any length are rendered whole; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ state; only these few stretches are read again by the rule's own expression, to
 groups and leftmost, non-overlapping spans. Spans are in code points, end exclusive.
 
 Defined cases: a null text is an empty one and has no spans; texts of any length are
-scanned whole; copies get the same spans; extra columns are kept by ``redact`` and
-ignored by ``report``.
+scanned whole; copies get the same spans; of spans that begin at one place the rule
+listed first comes first; an empty table gives no rows; extra columns are kept by
+``redact`` and ignored by ``report``.
 """
 
 from __future__ import annotations
