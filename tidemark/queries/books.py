@@ -186,7 +186,21 @@ def pbo_summary(t: Tables):
     return judge.overfitting_summary(judge.overfitting(_variants(t), 6))
 
 
-@add("deflated_sharpe")
+def _normal(x: str) -> str:
+    """SQL: the normal distribution function by the series of positive terms of the error function."""
+    z = f"(abs({x}) / sqrt(2))"
+    erf = f"2 / sqrt(pi()) * exp(-{z} * {z}) * list_sum(list_transform(range(0, 200), lambda k: CASE WHEN {z} > 0 THEN exp(2 * k * ln(2) + (2 * k + 1) * ln({z}) + lgamma(k + 1) - lgamma(2 * k + 2)) ELSE 0 END))"
+    return f"(0.5 + 0.5 * sign({x}) * ({erf}))"
+
+
+#: Of four variants the best is expected at so many deviations.
+_BEST = judge.expected_best(1.0, 4)
+_DEFLATED = f"""{_VARIANTS}, m AS (SELECT variant, count(net) AS n, {_SHARPE.format('net')} AS sharpe, avg(net) AS mu FROM vp GROUP BY variant), g AS (SELECT variant, any_value(n) AS n, any_value(sharpe) AS sharpe, avg((net - mu) ** 2) AS m2, avg((net - mu) ** 3) AS m3, avg((net - mu) ** 4) AS m4 FROM vp JOIN m USING (variant) GROUP BY variant),
+    h AS (SELECT variant, n, sharpe, m3 / m2 ** 1.5 * sqrt(n * (n - 1.0)) / (n - 2) AS skew, (n - 1.0) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2 ** 2 - 3) + 6) + 3 AS kurtosis, stddev_samp(sharpe) OVER () * {_BEST!r} AS best FROM g),
+    x AS (SELECT *, (sharpe - best) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) AS x FROM h), ds AS (SELECT *, {_normal('x')} AS dsr FROM x)"""
+
+
+@add("deflated_sharpe", f"WITH {_DEFLATED} SELECT variant, {r('dsr')} AS dsr, {r('sharpe')} AS sr_observed, {r('best')} AS sr_benchmark, n AS n_obs, CAST(4 AS INTEGER) AS n_trials, dsr > 0.95 AS passes FROM ds", "panel")
 def deflated_sharpe(t: Tables):
     rows = judge.moments(_variants(t), "variant").collect()  # one row a variant
     trial = [x["sharpe"] for x in rows]
