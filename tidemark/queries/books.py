@@ -218,7 +218,15 @@ def _judged(candidate: DataFrame, variants: DataFrame) -> dict:
     return judge.verdict(m["sharpe"] if m else None, base, dsr, pbo)
 
 
-@add("promotion_verdict")
+_VERDICT = f"""{_WEIGHTS}, {_PBO}, cm AS (SELECT count(net) AS n, {_SHARPE.format('net')} AS sharpe, avg(net) AS mu FROM pnl WHERE book = 'venue_feasible'),
+    cg AS (SELECT any_value(n) AS n, any_value(sharpe) AS sharpe, avg((net - mu) ** 2) AS m2, avg((net - mu) ** 3) AS m3, avg((net - mu) ** 4) AS m4 FROM pnl, cm WHERE book = 'venue_feasible'),
+    bl AS (SELECT variant, {_SHARPE.format('net')} AS sharpe FROM vp GROUP BY variant), bs_ AS (SELECT max(sharpe) AS top, arg_max(variant, sharpe) AS best, stddev_samp(sharpe) * {_BEST!r} AS against FROM bl),
+    ch AS (SELECT n, sharpe, m3 / m2 ** 1.5 * sqrt(n * (n - 1.0)) / (n - 2) AS skew, (n - 1.0) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2 ** 2 - 3) + 6) + 3 AS kurtosis FROM cg),
+    cx AS (SELECT sharpe, top, best, (sharpe - against) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) AS x, (SELECT avg(CASE WHEN logit <= 0 THEN 1 ELSE 0 END) FROM pbo) AS pbo FROM ch, bs_),
+    cv AS (SELECT *, sharpe > top AS beats, {_normal('x')} > 0.95 AS deflated FROM cx)"""
+
+
+@add("promotion_verdict", f"WITH {_VERDICT} SELECT beats AND deflated AND pbo < 0.5 AS promoted, concat_ws(',', CASE WHEN NOT beats THEN 'beats_baselines' END, CASE WHEN NOT deflated THEN 'dsr' END, CASE WHEN pbo >= 0.5 THEN 'pbo' END) AS failed, best AS best_baseline, {r('sharpe')} AS candidate, {r('pbo')} AS pbo FROM cv", "panel")
 def promotion_verdict(t: Tables):
     v = _judged(books.run_books(_weights(t), t.spark).where("book = 'venue_feasible'"), _variants(t))
     return t.spark.createDataFrame([(v["promoted"], ",".join(v["failed_checks"]), v["best_baseline"], v["candidate_net_sharpe"], v["pbo"])], "promoted boolean, failed string, best_baseline string, candidate double, pbo double")
