@@ -40,7 +40,7 @@ REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 #: More benchmark text than this in one driver collect is refused; split it into several calls.
 MAX_BENCHMARK_CHARS = 256 << 20
 #: Bytes of text in one suffix array.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 _NONE = np.zeros(0, np.int64)
 _PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
