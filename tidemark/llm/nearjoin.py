@@ -51,7 +51,7 @@ BLOCK = 400
 #: A block has no more tokens than this on average, so that a unit of long texts fits in memory.
 BLOCK_TOKENS = 4_000_000
 #: Pairs are compared in squares of so many rows a side.
-EDGE = 1024
+EDGE = 512
 #: A table of ids of up to so many bytes may be broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -232,7 +232,7 @@ def _shared(tokens: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     (left, i), (right, j) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
     if len(a) > 4 * (len(left) + len(right)) and len(left) <= EDGE and len(right) <= EDGE:
         union = TA.unique(np.concatenate([tokens[r] for r in (*left, *right)]))
-        width = max(1, (8 << 20) // (len(left) + len(right)))
+        width = max(1, (2 << 20) // (len(left) + len(right)))
         both = np.zeros((len(left), len(right)), np.float64)
         for low in range(0, len(union), width):
             part = union[low : low + width]
