@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import materialize, shared_dir
-from . import chat, decontam, imatch, langid, nearjoin, packing, pii, rollup, secretscan, tokenfile, urlfilter
+from . import chat, decontam, imatch, langid, nearjoin, packing, pii, resample, rollup, secretscan, tokenfile, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.classes(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -107,10 +111,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_rans_token_files": op13_rans_token_files,
 }
 
 
+#: CRC-32 in DuckDB: one row with the table of 256 values in t, and the value of the UTF-8 bytes of an expression.
+CRC_TABLE = "SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))"
+
+
+def crc_sql(text: str) -> str:
+    """With the table's row at hand as ``crc``."""
+    each = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {each}), lambda c, y: xor(c >> 8, crc.t[(xor(c, y) & 255) + 1])), 4294967295)"
+
 
 def _spans_sql() -> str:
     """Spans of each rule: lengths of matches and of the pieces between them, added up."""
@@ -164,6 +178,22 @@ SQL: dict[str, str] = {
         SELECT source, lang, 'words-2' AS tokenizer_version, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[^A-Za-z0-9\x{80}-\x{10FFFF} \t\n\r\f]'))) AS BIGINT) AS n_tokens
         FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL) GROUP BY source, lang
     """,
+    "op12_importance_resampling": rf"""
+        WITH crc AS ({CRC_TABLE}),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        dw AS (SELECT doc_id, unnest(w) AS x FROM d),
+        bw AS (SELECT unnest(w) AS x FROM b),
+        k AS (SELECT x, {crc_sql("x")} % 10000 AS k FROM (SELECT x FROM dw UNION SELECT x FROM bw), crc),
+        s AS (SELECT k, count(*) AS s FROM dw JOIN k USING (x) GROUP BY k),
+        t AS (SELECT k, count(*) AS t FROM bw JOIN k USING (x) GROUP BY k),
+        totals AS (SELECT (SELECT count(*) FROM dw) AS cs, (SELECT count(*) FROM bw) AS ct),
+        gain AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (cs + 10000.0::DOUBLE) / ((coalesce(s, 0) + 1.0::DOUBLE) * (ct + 10000.0::DOUBLE)))) AS BIGINT) AS g FROM (SELECT DISTINCT k FROM k) LEFT JOIN s USING (k) LEFT JOIN t USING (k), totals),
+        means AS (SELECT doc_id, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM dw JOIN k USING (x) JOIN gain USING (k) GROUP BY doc_id),
+        scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(concat('2024:', doc_id)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN means USING (doc_id)),
+        ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+        SELECT scored.doc_id, n_features, weight, score, ranks.rank FROM scored LEFT JOIN ranks ON ranks.doc_id = scored.doc_id AND ranks.rank <= 10 * n // 100
+    """,
     "op10_chat_format": """
         WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, md5(concat(role, '|', text)) AS h FROM conversations),
         p AS (SELECT conv_id, k, string_agg(h, ',') OVER (PARTITION BY conv_id ORDER BY k) AS prefix, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
