@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import materialize, shared_dir
-from . import chat, decontam, imatch, langid, nearjoin, packing, pii, resample, rollup, secretscan, tokenfile, urlfilter
+from . import chat, decontam, imatch, langid, nearjoin, packing, pii, repair, resample, rollup, secretscan, tokenfile, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,20 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.classes(table(spark, sf_dir, "documents"))
 
 
+def damaged(chats: DataFrame) -> tuple[DataFrame, Column]:
+    """Turns with made-up faults by a checksum of their ids, and how often each is there."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.pmod(F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn")).cast("binary")), F.lit(20))
+    text = F.when(code == 1, "").when(code == 2, F.translate(known("text"), ".!?", "")).otherwise(known("text"))
+    rows = chats.select("conv_id", "turn", F.when(code == 4, "user").otherwise(known("role")).alias("role"), text.alias("text"), F.when(code == 0, 0).when(code == 3, 2).otherwise(1).alias("times"))
+    return rows, F.col("times")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, times = damaged(table(spark, sf_dir, "conversations"))
+    return repair.report(rows, times=times)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -111,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_rans_token_files": op13_rans_token_files,
 }
@@ -126,6 +141,42 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {each}), lambda c, y: xor(c >> 8, crc.t[(xor(c, y) & 255) + 1])), 4294967295)"
 
 
+def _repair_sql() -> str:
+    """The layers of the Viterbi pass by recursion; a state is its cost in nine digits and the audit string."""
+    plus = lambda x, cost, edit: f"lpad(CAST(CAST(substr({x}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({x}, 10) || '{edit}'"
+    before_u = "least(l.e, l.s, l.a)"
+    layer = f"""
+        SELECT f.conv_id, f.k, {plus("l.e", 3, "D")} AS e,
+            CASE WHEN must OR initial <> 's' THEN {plus("l.s", 3, "D")} ELSE least({plus("l.s", 3, "D")}, {plus("l.e", "late", "K")}) END AS s,
+            CASE WHEN must THEN {plus("l.u", 3, "D")} WHEN initial = 'u' THEN least({plus("l.u", 3, "D")}, {plus(before_u, "late", "K")}) ELSE least({plus("l.u", 3, "D")}, {plus(before_u, "(2 + late)", "R")}) END AS u,
+            CASE WHEN must THEN {plus("l.a", 3, "D")} WHEN initial = 'a' THEN least({plus("l.a", 3, "D")}, {plus("l.u", "late", "K")}) ELSE least({plus("l.a", 3, "D")}, {plus("l.u", "(2 + late)", "R")}) END AS a
+        FROM layers AS l JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.k = l.k + 1
+    """
+    return rf"""
+        WITH RECURSIVE crc AS ({CRC_TABLE}),
+        ids AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS id FROM conversations),
+        coded AS (SELECT conv_id, turn, role, text, {crc_sql("id")} % 20 AS code FROM ids, crc),
+        damaged AS (SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM coded, (VALUES (1), (2)) AS copies(i) WHERE code <> 0 AND (i = 1 OR code = 3)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare, substr(role, 1, 1) AS initial FROM damaged),
+        known AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN NOT regexp_matches(bare, '[.!?]$') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM placed),
+        f AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CAST(fault = 'truncated' AS BIGINT) AS late FROM known),
+        counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (k > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+        layers AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS k, '000000000' AS e, '900000000' AS s, '000000002I' AS u, '000000004II' AS a FROM counts
+            UNION ALL
+            SELECT conv_id, k, e, s, u, least(a, {plus("u", 2, "I")}) AS a FROM (SELECT conv_id, k, e, s, least(u, {plus("least(e, s, a)", 2, "I")}) AS u, a FROM ({layer}))
+        ),
+        best AS (SELECT counts.*, CAST(substr(least(e, a), 1, 9) AS BIGINT) AS cost, substr(least(e, a), 10) AS audit FROM layers JOIN counts ON counts.conv_id IS NOT DISTINCT FROM layers.conv_id AND counts.n = layers.k),
+        edits AS (SELECT conv_id, i, substr(audit, i, 1) AS edit FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM best)),
+        numbered AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS k FROM edits),
+        outs AS (SELECT numbered.conv_id, i, edit, role, text, row_number() OVER (PARTITION BY numbered.conv_id ORDER BY i) AS o FROM numbered LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM numbered.conv_id AND f.k = numbered.k WHERE edit <> 'D'),
+        roled AS (SELECT *, CAST(first_value(edit = 'K' AND substr(role, 1, 1) = 's') OVER (PARTITION BY conv_id ORDER BY i) AS BIGINT) AS lead FROM outs),
+        lines AS (SELECT conv_id, string_agg(concat(CASE WHEN edit = 'K' THEN role WHEN (o - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END, ':', CASE edit WHEN 'I' THEN '' ELSE text END), chr(10) ORDER BY i) AS lines FROM roled GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM c.conv_id
+    """
+
+
 def _spans_sql() -> str:
     """Spans of each rule: lengths of matches and of the pieces between them, added up."""
     parts = []
@@ -178,6 +229,7 @@ SQL: dict[str, str] = {
         SELECT source, lang, 'words-2' AS tokenizer_version, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[^A-Za-z0-9\x{80}-\x{10FFFF} \t\n\r\f]'))) AS BIGINT) AS n_tokens
         FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL) GROUP BY source, lang
     """,
+    "op11_conversation_repair": _repair_sql(),
     "op12_importance_resampling": rf"""
         WITH crc AS ({CRC_TABLE}),
         d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
