@@ -191,3 +191,103 @@ def test_store_by_months(spark, tmp_path):
     assert store.read("total_returns").count() == 7
     store.clear("total_returns")
     assert store.read("total_returns").count() == 0 and store.append("total_returns", rows) == 12 and store.read("total_returns").count() == 12
+
+
+BARS = "symbol string, bar_date date, close double, quantity double, knowledge_date date"
+
+
+def _returns(store):
+    return {(r["symbol"], r["bar_date"]): round(r["ret_nominal_try"], 9) for r in store.read("total_returns").collect()}
+
+
+def test_a_corrected_bar_changes_the_stored_return(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "l2"))
+    days = [date(2024, m, d) for m in (1, 2, 3) for d in (1, 2, 3)]
+    store.append("prices", spark.createDataFrame([(s, d, 100.0 + i, 1.0, d) for s in "AB" for i, d in enumerate(days)], BARS))
+    first = runs.build_returns(store, as_of="2024-12-31")
+    assert first.count() == 16 and first.where("knowledge_date != bar_date").count() == 0
+    before, parts = _returns(store), [p for p in store._manifest("total_returns")["parts"]]
+    number = store.number("total_returns")
+    # the same run again changes no row, without overwriting adds none
+    runs.build_returns(store, as_of="2024-12-31")
+    runs.build_returns(store, as_of="2024-12-31", overwrite=False)
+    assert _returns(store) == before
+    # a later version of one bar changes the returns into and out of it, and nothing else
+    store.append("prices", spark.createDataFrame([("A", days[4], 50.0, 1.0, date(2024, 6, 1))], BARS))
+    runs.build_returns(store, as_of="2024-05-31")
+    assert _returns(store) == before
+    runs.build_returns(store, as_of="2024-12-31", symbols=spark.createDataFrame([("A",)], "symbol string"))
+    after = _returns(store)
+    assert {k for k in before if before[k] != after[k]} == {("A", days[4]), ("A", days[5])} and len(after) == 16
+    assert after["A", days[4]] == round(50 / 103 - 1, 9)
+    # readers of an earlier manifest still see what was there
+    assert {(r["symbol"], r["bar_date"]): round(r["ret_nominal_try"], 9) for r in store.read("total_returns", number=number).collect()} == before and parts
+
+
+def test_a_killed_write_leaves_the_old_rows(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "l2"))
+    schema = "symbol string, bar_date date, ret_usd double, knowledge_date date"
+    days = [date(2024, m, 1) for m in (1, 2, 3)]
+    store.append("total_returns", spark.createDataFrame([("A", d, 1.0, d) for d in days], schema))
+    new = spark.createDataFrame([("A", d, 2.0, d) for d in days], schema)
+    state = lambda: sorted((r["bar_date"], r["ret_usd"]) for r in store.read("total_returns").collect())
+    old = state()
+    with pytest.raises(Exception, match="stopped"):  # a task fails
+        store.overwrite_recomputed("total_returns", new.withColumn("ret_usd", F.when(F.col("bar_date") == days[2], F.raise_error(F.lit("stopped")).cast("double")).otherwise(2.0)))
+    assert state() == old
+    commit = Store._commit
+    monkeypatch.setattr(Store, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))  # the driver dies behind the write
+    for change in (lambda: store.overwrite_recomputed("total_returns", new), lambda: store.replace("total_returns", new), lambda: store.overwrite_span("total_returns", new, new, "2024-01-01", "2024-03-31"), lambda: store.clear("total_returns")):
+        with pytest.raises(RuntimeError):
+            change()
+        assert state() == old
+    monkeypatch.setattr(Store, "_commit", commit)
+    # of two writers that began with one state the second is refused
+    begun = store._begin("total_returns")[0]
+    store.overwrite_recomputed("total_returns", new)
+    with pytest.raises(errors.Refused, match="another writer"):
+        store._commit("total_returns", begun, [])
+    assert state() == [(d, 2.0) for d in days]
+    assert store.sweep("total_returns") > 0 and state() == [(d, 2.0) for d in days]
+
+
+def test_commits_are_made_one(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "l2"))
+    schema = "symbol string, bar_date date, ret_usd double, knowledge_date date"
+    for k in range(5):
+        store.append("total_returns", spark.createDataFrame([(f"S{k}", date(2024, m, 1), float(k), date(2024, m, 1)) for m in (1, 2)], schema))
+    rows = sorted(map(tuple, store.read("total_returns").collect()))
+    assert store.compact("total_returns", least=6) == 0 and store.compact("total_returns", least=5) == 2
+    assert sorted(map(tuple, store.read("total_returns").collect())) == rows and len(store._manifest("total_returns")["parts"]) == 2
+    for k in range(3):
+        store.append("universe_membership", spark.createDataFrame([(f"S{k}", "listed", date(2024, 1, 1), date(2024, 1, 1))], "symbol string, universe string, valid_from date, knowledge_date date"))
+    assert store.compact("universe_membership", least=2) == 1 and store.read("universe_membership").count() == 3
+
+
+def test_a_store_of_version_1_at_version_2(spark, tmp_path):
+    old = Store(spark, str(tmp_path / "g"), version=1)
+    securities = spark.createDataFrame([(f"u{i}", f"I{i}", f"T{i}") for i in range(3)], "uuid string, isin string, ticker string")
+    old.append("security", securities)
+    old.append("issues", spark.createDataFrame([("c", "u0")], "src string, dst string"))
+    assert "nominal" not in old.read("security").columns and old.ledger().count() == 0
+    new = Store(spark, str(tmp_path / "g"))
+    assert new.read("security").where("nominal is null and is_amortizing is null").count() == 3  # read before anything is applied
+    new.append("security", spark.createDataFrame([("u3", "I3", 5.0, True)], "uuid string, isin string, nominal double, is_amortizing boolean"))
+    assert {(r["uuid"], r["nominal"]) for r in new.read("security").collect()} == {("u0", None), ("u1", None), ("u2", None), ("u3", 5.0)}
+    applied = new.migrate()
+    assert sorted(applied) == sorted(("issues", 2, c) for c in ("instrument_class", "source", "extraction_method", "confidence"))
+    number = new.number("issues")
+    assert new.migrate() == [] and new.number("issues") == number and new.ledger().count() == 16
+    assert new.read("issues").where("confidence is null").count() == 1
+    assert old.read("security").count() == 4  # an old reader takes the columns it knows
+    with pytest.raises(errors.Refused, match="version 2"):
+        old.append("security", securities)
+
+
+def test_folders_without_manifests_are_taken_over(spark, tmp_path):
+    rows = spark.createDataFrame([("A", date(2024, m, 1), 1.0, date(2024, m, 1)) for m in (1, 2)], "symbol string, bar_date date, ret_usd double, knowledge_date date")
+    rows.withColumn("month", F.date_format("bar_date", "yyyy-MM")).write.partitionBy("month").parquet(str(tmp_path / "l2/total_returns"))
+    store = Store(spark, str(tmp_path / "l2"))
+    assert store.read("total_returns").count() == 2 and store.read("total_returns", months=["2024-01"]).count() == 1
+    store.append("total_returns", rows.withColumn("symbol", F.lit("B")))
+    assert store.read("total_returns").count() == 4 and store.read("total_returns", months=["2024-02"]).count() == 2

@@ -17,13 +17,25 @@ STATARB_GRID = {"accum": [1, 5, 10], "z_threshold": [0.0, 1.0], "least_corr": [0
 EVENT_GRID = {"quantile": [0.2, 0.3], "drift": [3, 5, 10], "lag": [1, 2]}
 
 
-def build_returns(store: Store, *, as_of: str, fx: str = "USDTRY", cpi: str = "CPI", yields: DataFrame | None = None) -> DataFrame:
-    """Total returns of all symbols at once from what was known; appended to the store."""
+def build_returns(store: Store, *, as_of: str, fx: str = "USDTRY", cpi: str = "CPI", yields: DataFrame | None = None, symbols: DataFrame | None = None, overwrite: bool = True) -> DataFrame:
+    """Total returns of all symbols at once (or of some) from what was known, landed in the store.
+
+    Returns are derived: each is known on its bar's day, and computing it again is no new
+    version. With ``overwrite`` the recomputed span of each symbol gives way in one step,
+    so a corrected bar, or a rate that came late, changes the stored return; without it
+    only days that are not there yet are added.
+    """
     reader = pit.PitReader(as_of, store.read)
-    bars = pit.latest_version(reader.table("prices"), "symbol", "bar_date")
+    prices = reader.table("prices")
+    prices = prices if symbols is None else prices.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    bars = pit.latest_version(prices, "symbol", "bar_date")
     levels = pit.latest_version(reader.table("factors"), "factor", "bar_date")
     out = returns.total_returns(bars.drop("is_limit_lock"), levels.where(F.col("factor") == fx), levels.where(F.col("factor") == cpi), yields)
-    store.append("total_returns", out.withColumn("knowledge_date", F.lit(as_of).cast("date")))
+    rows = out.withColumn("knowledge_date", F.col("bar_date"))
+    if overwrite:
+        store.overwrite_recomputed("total_returns", rows)
+    else:
+        store.append("total_returns", rows)
     return store.read("total_returns")
 
 
@@ -53,10 +65,8 @@ def refit(store: Store, *, as_of: str, methods: dict[str, str] | None = None, wi
     betas = factors.rolling_betas(rets, panel, order, window=window, least=least)
     residuals = factors.rolling_residuals(rets, panel, order, window=window, least=least)
     betas, residuals = cut(betas, "betas"), cut(residuals, "residuals")
-    for table in ("betas", "residuals"):
-        store.clear(table)
-    store.append("betas", betas.select("symbol", "factor", "bar_date", "beta", F.lit("ledoit_wolf").alias("method"), F.lit(window).alias("window"), "regime", known.alias("knowledge_date")))
-    store.append("residuals", residuals.select("symbol", "bar_date", "residual", "strip_order", known.alias("knowledge_date")))
+    store.replace("betas", betas.select("symbol", "factor", "bar_date", "beta", F.lit("ledoit_wolf").alias("method"), F.lit(window).alias("window"), "regime", known.alias("knowledge_date")))
+    store.replace("residuals", residuals.select("symbol", "bar_date", "residual", "strip_order", known.alias("knowledge_date")))
     n = {t: store.read(t).count() for t in ("betas", "residuals")}
     out = {"as_of": as_of, "factors": order, "n_betas": n["betas"], "n_residuals": n["residuals"]}
     if report_dir:
@@ -248,7 +258,7 @@ def onboard(store: Store, market: DataFrame, payloads: DataFrame, sectors: DataF
     carried = market.where("market_data != 'not_carried_yet'").select("symbol")
     bars = cut(landing.price_rows(payloads).join(carried, "symbol", "left_semi"), "bars")
     landing.land(store, "prices", bars)
-    build_returns(store, as_of=as_of)
+    build_returns(store, as_of=as_of, symbols=bars)
     classes = cut(landing.class_rows(bars.select("symbol"), sectors), "classes")
     known = classes.where("status = 'derived'")
     landing.land(store, "universe_membership", known.select("symbol", F.lit("listed").alias("universe"), "universe_class", F.lit(valid_from).cast("date").alias("valid_from"), F.lit("sector").alias("source"), F.lit(as_of).cast("date").alias("knowledge_date")), day="valid_from")

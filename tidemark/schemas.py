@@ -1,4 +1,4 @@
-"""Stored tables: columns and primary keys. Reads and writes map columns by name."""
+"""Stored tables: columns and primary keys, and the steps by which columns came later. Reads and writes map columns by name."""
 
 from __future__ import annotations
 
@@ -36,3 +36,34 @@ EDGES: dict[str, str] = {
     "holds": "src string, dst string, weight double, qty double",
     "issues": "src string, dst string",
 }
+
+#: Keys of the graph's tables.
+NODE_KEYS: dict[str, tuple[str, ...]] = {"company": ("uuid",), "person": ("uuid",), "security": ("uuid",), "sector": ("code",), "portfolio": ("uuid",), "disclosure": ("index",)}
+EDGE_KEYS: dict[str, tuple[str, ...]] = {name: ("src", "dst") for name in EDGES}
+
+#: All stored tables, as they were at version 1.
+STORED: dict[str, tuple[str, tuple[str, ...]]] = TABLES | {t: (NODES[t], k) for t, k in NODE_KEYS.items()} | {t: (EDGES[t], k) for t, k in EDGE_KEYS.items()}
+
+#: Columns added since, by version of the schema; they are only ever added.
+SCHEMA_VERSION = 2
+STEPS: tuple[tuple[int, str, str, str], ...] = (
+    (2, "company", "listing_status", "string"),
+    (2, "security", "issuer_name", "string"),
+    (2, "security", "description", "string"),
+    (2, "security", "maturity_date", "date"),
+    (2, "security", "maturity_confidence", "double"),
+    (2, "security", "nominal", "double"),
+    (2, "security", "nominal_currency", "string"),
+    (2, "security", "nominal_source", "string"),
+    (2, "security", "nominal_as_of", "date"),
+    (2, "security", "nominal_confidence", "double"),
+    (2, "security", "nominal_basis", "string"),
+    (2, "security", "is_amortizing", "boolean"),
+    (2, "security", "issue_date", "date"),
+    (2, "issues", "instrument_class", "string"),
+    (2, "issues", "source", "string"),
+    (2, "issues", "extraction_method", "string"),
+    (2, "issues", "confidence", "double"),
+    (2, "in_sector", "source", "string"),
+    (2, "in_sector", "as_of", "date"),
+)
