@@ -64,10 +64,21 @@ def test_frequencies():
     assert rans.quantize(np.array([5])).tolist() == [1 << 12]
 
 
-def test_parts_are_the_library_s(path, library):
-    cache = tokenfile.WordTokens(path)
+def test_cores():
+    """A token that its own bytes cannot become by the merges before its own rules the core out."""
+    assert tokenfile.same_by_bytes([("a", "b"), ("ab", "c")]) and not tokenfile.same_by_bytes([("a", "b"), ("b", "c"), ("a", "bc")])
+
+
+@pytest.mark.parametrize("core", [True, False])
+def test_parts_are_the_library_s(path, library, core):
+    assert tokenfile.by_bytes(path)
+    cache = tokenfile.WordTokens(path, core=core)
     assert cache.cut
-    texts = ["", " ", "Plain words, and more.", "don't I'll we've 's", "Größe Straße ÉTÉ ÿ Ÿ", "é å ́x", "x y z\tq\r\n w\x1cv", "İstanbul ΣΑΣ ς", "<|endoftext|> tail", "a<|startoftext|>b", "12 345,6 ½ ²", "東京 тест 😀 a", "...!!!", "A" * 5000, words(3, 400), "\n\n a  b \n", "naïve.", "fin,", "﻿bom", "ﬁ ligature ǅ"]
+    r = np.random.default_rng(5)
+    syllables = ["th", "e", "ing", "ö", "ñ", "ei", "qu", "s", "t", "re", "x", "ç", "É", "Sch", "an", "ß", "z"]
+    for part in {"".join(r.choice(syllables, r.integers(1, 9))) for _ in range(3000)}:
+        assert np.frombuffer(cache.encode(part) + b"\x02\0\0\0", "<u4").tolist() == library(part), part
+    texts = ["", " ", "Plain words, and more.", "don't I'll we've 's", "Größe Straße ÉTÉ ÿ Ÿ", "é å ́x", "x y z\tq\r\n w\x1cv", "İstanbul ΣΑΣ ς", "<|endoftext|> tail", "a<|startoftext|>b", "12 345,6 ½ ²", "東京 тест 😀 a", "...!!!", "A" * 5000, words(3, 400), "\n\n a  b \n", "naïve.", "que.%%% wo### a$+<b `x` y~_ z[]{} it's x'##", "fin,", "﻿bom", "ﬁ ligature ǅ"]
     for t in texts:
         assert np.frombuffer(cache.encode(t) + b"\x02\0\0\0", "<u4").tolist() == library(t), t
 

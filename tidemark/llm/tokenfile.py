@@ -25,10 +25,13 @@ are ignored. Damaged bytes are an error, never other ids.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -49,46 +52,103 @@ BLOCK = 16384
 TOGETHER = 32
 
 
+def same_by_bytes(merges: list[tuple[str, str]]) -> bool:
+    """Whether a merge core that joins any two neighbours whose bytes are a token makes the same tokens as these merges.
+
+    It does if each token, alone, falls to just the two parts of its merge by the merges
+    before it: then no other two neighbours with its bytes can ever come up.
+    """
+    rank = {pair: r for r, pair in enumerate(merges)}
+    for r, (a, b) in enumerate(merges):
+        word = a + b
+        final = word.endswith("</w>")
+        parts = list(word.removesuffix("</w>"))
+        parts[-1] += "</w>" * final
+        while len(parts) > 2:
+            known = [(rank.get(pair, r), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False))]
+            least, i = min(known)
+            if least >= r:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if parts != [a, b]:
+            return False
+    return True
+
+
+def _file(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+@cache
+def by_bytes(path: str) -> bool:
+    """Whether words of this file may go through tiktoken's merge core: see ``same_by_bytes``; ids must also be in the order of merges."""
+    model = _file(path)["model"]
+    merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", [])]
+    ids = [model["vocab"].get(a + b) for a, b in merges]
+    ends = model.get("end_of_word_suffix") == "</w>" and all(model["vocab"].get(c + "</w>", len(ids)) < (ids or [0])[0] for c in _bytes_of_characters())
+    return bool(ids) and ends and None not in ids and ids == sorted(set(ids)) and same_by_bytes(merges)
+
+
 class WordTokens(dict):
-    """Token ids (little-endian, unsigned 32-bit) of parts of texts between white space, made when first asked for.
+    """Token ids (little-endian, unsigned, of ``width``) of parts of texts between white space, made when first asked for.
 
     The file is one whose pre-tokenizer drops white space, so a text's ids are those of its
-    parts; any other file is run over whole texts. Parts of plain Latin letters, lower-cased,
-    go to the library's model at once, without the steps before it, which would leave them
-    as they are. The number of kept parts is bounded; a full cache starts anew.
+    parts; any other file is run over whole texts. Words of plain Latin letters are
+    lower-cased and go to the model's merges at once, without the steps before it, which
+    would leave them as they are: by tiktoken's core if ``core`` says that it makes the
+    same ids (a space, that no part holds, stands for the end of a word there), else by
+    the library. The number of kept parts is bounded; a full cache starts anew.
     """
 
-    LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+    #: letters, and signs behind them, which the pre-tokenizer parts from them (but for an apostrophe)
+    LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, width: str = "<u4", core: bool = False, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import json
-
         from tokenizers import Tokenizer
 
-        self.most = most
+        self.most, self.width = most, width
+        self.code = {"<u2": "H", "<u4": "I"}[width]
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            whole = json.load(f)
+        whole = _file(path)
         normal = [n["type"] for n in (whole.get("normalizer") or {}).get("normalizers", [])]
         split = (whole.get("pre_tokenizer") or {}).get("pretokenizers", [])
         dropped = bool(split) and split[0].get("type") == "Split" and split[0].get("behavior") == "Removed" and split[0].get("invert") and r"[^\s\p{L}\p{N}]+" in split[0]["pattern"].get("Regex", "")
         #: white space parts words
         self.cut = dropped and normal == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in split[1:]] == ["ByteLevel"] and not split[1].get("add_prefix_space")
         self.added = tuple(t["content"] for t in whole.get("added_tokens", []))
-        character = {b: c for c, b in _bytes_of_characters().items()}
+        byte = _bytes_of_characters()
+        character = {b: c for c, b in byte.items()}
         self.byte_level = {i: "".join(character[b] for b in chr(i).encode()) for i in range(0xC0, 0x100)}
+        self.core = None
+        if core and self.cut:
+            import tiktoken
+
+            ranks = {bytes(byte[c] for c in token.removesuffix("</w>")) + b" " * token.endswith("</w>"): i for token, i in whole["model"]["vocab"].items()}
+            self.core = tiktoken.Encoding("own", pat_str=r"\p{L}+|[^\p{L}]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, low: str) -> bytes:
+        if self.core:
+            return self._bytes(self.core(f"{low} ".encode()))
+        return self._bytes([t.id for t in self.tokenizer.model.tokenize(low.translate(self.byte_level))])
 
     def __missing__(self, part: str) -> bytes:
         letters = self.LETTERS(part)
         if letters:
             word, mark = letters.groups()
-            model = self.tokenizer.model
-            found = [t.id for t in model.tokenize(word.lower().translate(self.byte_level))]
-            out = np.array(found + [t.id for t in model.tokenize(mark)] if mark else found, "<u4").tobytes()
+            low = word.lower()
+            out = self.get(low)
+            if out is None:
+                out = self[low] = self._word(low)
+            if mark:
+                out += self[mark]
         else:
             out = self.whole(part)
         self[part] = out
@@ -102,33 +162,37 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_CACHES: dict[str, WordTokens] = {}
+_CACHES: dict[tuple, WordTokens] = {}
 
 
-def _cache(path: str) -> WordTokens:
-    if path not in _CACHES:
-        _CACHES[path] = WordTokens(path)
-    return _CACHES[path]
+def _words(path: str, width: str, core: bool) -> WordTokens:
+    """This worker's cache; it is kept as long as the worker lives."""
+    if (path, width, core) not in _CACHES:
+        _CACHES[path, width, core] = WordTokens(path, width, core)
+    return _CACHES[path, width, core]
 
 
 def tokens(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, mark, ids) with the end id behind each document's; ids are unsigned 32-bit, little-endian, or 16-bit where all of the file's fit."""
     mine = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     schema = T.StructType([mine.schema["key"], *T._parse_datatype_string("mark long, ids binary").fields])
-    width = _width(tokenizer)
+    width, core = _width(tokenizer), by_bytes(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = _cache(tokenizer), np.array([END_ID], "<u4").tobytes()
+        words, end = _words(tokenizer, width, core), np.array([END_ID], width).tobytes()
         for batch in batches:
             for part in TA.slices(batch, "text", 1 << 20):
-                ids = [np.frombuffer(cache.encode(t or "") + end, "<u4").astype(width).tobytes() for t in part.column("text").to_pylist()]
+                ids = [words.encode(t or "") + end for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("mark"), pa.array(ids, pa.binary())], names=schema.names)
 
     return mine.mapInArrow(run, schema)
 
 
+@cache
 def _width(tokenizer: str) -> str:
-    return "<u2" if _cache(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def _count(ids: DataFrame, width: str) -> DataFrame:
