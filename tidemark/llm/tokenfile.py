@@ -50,6 +50,8 @@ END_ID = 2
 BLOCK = 16384
 #: Blocks coded side by side in a task.
 TOGETHER = 32
+#: Bytes of ids that a task has in hand at once, a document at least.
+SLICE = 1 << 20
 
 
 def same_by_bytes(merges: list[tuple[str, str]]) -> bool:
@@ -104,7 +106,7 @@ class WordTokens(dict):
     #: letters, and signs behind them, which the pre-tokenizer parts from them (but for an apostrophe)
     LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
-    def __init__(self, path: str, width: str = "<u4", core: bool = False, most: int = 500_000):
+    def __init__(self, path: str, width: str = "<u4", core: bool = False, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -201,10 +203,11 @@ def _count(ids: DataFrame, width: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            data, _ = TA.utf8_binary(batch.column("ids"))
-            own = np.bincount(np.frombuffer(data.tobytes(), width), minlength=len(total))
-            own[: len(total)] += total
-            total = own
+            for part in TA.slices(batch, "ids", SLICE):
+                data, _ = TA.utf8_binary(part.column("ids"))
+                own = np.bincount(np.frombuffer(data.tobytes(), width), minlength=len(total))
+                own[: len(total)] += total
+                total = own
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["token_id", "n"])
 
@@ -270,10 +273,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id", te
         for batch in batches:
             if shard is None:
                 shard = _Shard(TaskContext.get().partitionId(), rans.Table(*shared.value), batch.column("key").type, fields)
-            data, offs = TA.utf8_binary(batch.column("ids"))
-            flat = np.frombuffer(data.tobytes(), width)
-            shard.add(batch.column("key"), flat, np.diff(offs) // flat.itemsize)
-            yield from shard.blocks(False)
+            for part in TA.slices(batch, "ids", SLICE):
+                data, offs = TA.utf8_binary(part.column("ids"))
+                flat = np.frombuffer(data.tobytes(), width)
+                shard.add(part.column("key"), flat, np.diff(offs) // flat.itemsize)
+                yield from shard.blocks(False)
         if shard:
             yield from shard.blocks(True)
 
