@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 from datetime import date, timedelta
 
 import numpy as np
@@ -10,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import errors
-from tidemark.operators import entities, factors, monitors, pit, probes, risk
-from tidemark.plans import runs
-from tidemark.sources import adapter, landing, reference
+from tidemark.operators import entities, factors, graph, monitors, pit, probes, risk
+from tidemark.plans import onboarding, runs
+from tidemark.sources import adapter, archives, landing, members, parsers, reference
 from tidemark.sources.store import Store
 
 
@@ -208,3 +210,244 @@ def test_event_inputs_from_a_floor(spark, tmp_path):
     specs, betas, rets = runs.event_inputs(store, as_of="2024-01-08", panel_start="2024-01-05")
     assert [tuple(r) for r in specs.collect()] == [(days[4], "market", -1)] and rets.count() == 4
     assert {(r["channel"], r["bar_date"]) for r in betas.collect()} == {("market", d) for d in days[4:8]}
+
+
+class Slots(adapter.Adapter):
+    """One slot is not there, one comes at the second try, one is an archive."""
+
+    name = "slots"
+    tried: dict = {}
+
+    def fetch(self, request):
+        k = request["slot"]
+        self.tried[k] = self.tried.get(k, 0) + 1
+        if k == 1:
+            raise adapter.Absent("404")
+        if k == 2 and self.tried[k] % 2:
+            raise ConnectionError("reset")
+        if k == 3:
+            raise adapter.Transient("503")
+        if k == 4:
+            raise ValueError("403")
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
+            z.writestr("a.csv", f"slot {k}".encode() + b"\xff")
+        return packed.getvalue() if k == 0 else f"slot {k}"
+
+
+class Codes(adapter.Adapter):
+    """Five pages of codes; the third one decides for most."""
+
+    name = "codes"
+    asked: list = []
+
+    def page(self, request, cursor):
+        k = cursor or 0
+        self.asked.append(k)
+        codes = [f"TRF{request['ticker']}{k}"] + ["TRA" + request["ticker"]] * (k == 2 and request["ticker"] != "ZZ")
+        return adapter.Page(json.dumps({"codes": codes}), k + 1 if k < 4 else None)
+
+    def enough(self, request, payload):
+        return any(c.startswith("TRA") and request["ticker"] in c for c in json.loads(payload)["codes"])
+
+
+class Site(adapter.Adapter):
+    name, markup = "site", True
+
+    def fetch(self, request):
+        return "<table><tr><td>Pay</td><td>12,5</td></tr></table>"
+
+
+def _feed(spark, name, requests, **options):
+    spark.dataSource.register(adapter.FeedSource)
+    return spark.read.format("tidemark_feed").option("adapter", f"tests.test_feeds:{name}").option("requests", json.dumps(requests)).options(wait="0", **options).load()
+
+
+def test_absent_is_not_unreachable(spark):
+    found = _feed(spark, "Slots", [{"slot": k} for k in range(3)])
+    got = sorted((json.loads(r["request"])["slot"], r["outcome"], r["payload"]) for r in found.collect())
+    assert got == [(0, "found", "slot 0�"), (1, "absent", None), (2, "found", "slot 2")]
+    assert sorted(r["payload"] for r in adapter.whole(found).collect()) == ["slot 0�", "slot 2"]
+    assert tuple(adapter.account(found).first()) == ("slots", 3, 2, 1, 0, 2, 0)
+    with pytest.raises(Exception, match="Unreachable"):
+        _feed(spark, "Slots", [{"slot": 0}, {"slot": 3}]).collect()
+    reported = _feed(spark, "Slots", [{"slot": k} for k in (0, 3, 4)], unreachable="report")
+    assert {(json.loads(r["request"])["slot"], r["outcome"]) for r in reported.collect()} == {(0, "found"), (3, "unreachable"), (4, "unreachable")}
+    assert tuple(adapter.account(reported).first())[1:5] == (3, 1, 0, 2)
+    with pytest.raises(adapter.Unreachable, match="503"):
+        adapter.whole(reported.where("request like '%3%' or request like '%0%'"))
+    waits = []
+    with pytest.raises(adapter.Unreachable, match="after 3 tries"):
+        adapter.patient(Slots(), {"slot": 3}, tries=3, sleep=waits.append)
+    assert waits == [1.0, 2.0]
+    with pytest.raises(adapter.Unreachable, match="403"):
+        adapter.patient(Slots(), {"slot": 4}, sleep=waits.append)
+    assert len(waits) == 2
+    with pytest.raises(errors.Drift):
+        adapter.unzipped(b"PK no archive")
+
+
+def test_pages_until_one_decides(spark):
+    Codes.asked.clear()
+    got = list(adapter.pages(Codes(), {"ticker": "AB"}))
+    assert [g[0] for g in got] == [0, 1, 2] and got[-1][3] == "enough" and Codes.asked == [0, 1, 2]
+    assert [g[3] for g in adapter.pages(Codes(), {"ticker": "ZZ"})] == [None] * 4 + ["end"]
+    few = Codes()
+    few.most_pages = 2
+    assert [g[3] for g in adapter.pages(few, {"ticker": "AB"})] == [None, "most"]
+    feed = _feed(spark, "Codes", [{"ticker": "AB"}, {"ticker": "ZZ"}])
+    rows = feed.groupBy("request").agg(F.count("*").alias("n"), F.max("ended").alias("ended"))
+    assert {(json.loads(r["request"])["ticker"], r["n"], r["ended"]) for r in rows.collect()} == {("AB", 3, "enough"), ("ZZ", 5, "end")}
+    assert tuple(adapter.account(feed).first())[1:6] == (2, 2, 0, 0, 8)
+
+
+def test_pages_of_markup_are_read_where_they_are_meant(spark):
+    feed = _feed(spark, "Site", [{}])
+    assert feed.select(parsers.cell(F.col("payload"), "Pay")).first()[0] == "12,5"
+
+
+def test_archives_parse_like_plain_lines(spark, tmp_path):
+    good = ["\t".join([f"id{k}", "20250101", "", "s", "d", "", "", "WAR", "", "1#x#TU#", *[""] * 5, "1,2,3,4", *[""] * 11]) for k in range(3)]
+    for name, text in (("a.zip", "\n".join(good[:2]) + "\nbad\tline\n"), ("b.zip", good[2] + "\r\n"), ("empty.zip", "")):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("x.csv", text)
+    whole = (tmp_path / "a.zip").read_bytes()
+    (tmp_path / "broken.zip").write_bytes(whole[:40] + b"\x00\x00\x00" + whole[43:])
+    (tmp_path / "none.zip").write_bytes(b"<html>sorry</html>")
+    (tmp_path / "other.txt").write_text("not asked for")
+    found = archives.lines(spark, str(tmp_path))
+    said = {r["path"].rsplit("/", 1)[1]: (r["n_lines"], r["problem"]) for r in archives.account(found).collect()}
+    assert said["a.zip"] == (3, None) and said["b.zip"] == (1, None) and said["broken.zip"][0] == 0 and said["broken.zip"][1] and "BadZipFile" in said["none.zip"][1]
+    plain = parsers.news(spark.createDataFrame([(g,) for g in [*good, "bad\tline"]], "value string"))
+    assert sorted(map(str, parsers.news(found.where("problem is null").select("value")).collect())) == sorted(map(str, plain.collect()))
+    with pytest.raises(errors.Drift, match="none.zip|broken.zip"):
+        archives.whole(found)
+    big = [f"line {k}" for k in range(25_000)]
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x", "\n".join(big))
+    rows = archives.whole(archives.lines(spark, str(tmp_path), "big.zip")).orderBy("k").collect()
+    assert [r["value"] for r in rows] == big and [r["k"] for r in rows] == list(range(25_000))
+
+
+def test_members_are_fetched_weekly(spark, tmp_path):
+    store, calls = Store(spark, str(tmp_path / "l2")), []
+
+    def fetch(name="Alfa"):
+        calls.append(name)
+        return spark.createDataFrame([("o1", "AAA, AAB", name, "IGS"), ("o2", "BBB", "Beta", "IGS"), (None, "X", "no code", "IGS"), ("o3", "BBB ", "Gamma", "DDK")], "code string, ticker string, name string, member_type string")
+
+    with pytest.raises(errors.Refused):
+        members.members(store, as_of="2024-03-01")
+    first = members.members(store, as_of="2024-03-01", fetch=fetch)
+    assert sorted(r["code"] for r in first.collect()) == ["o1", "o2", "o3"] and calls == ["Alfa"]
+    assert members.members(store, as_of="2024-03-08", fetch=fetch).count() == 3 and calls == ["Alfa"]
+    members.members(store, as_of="2024-03-09", fetch=lambda: fetch("Alfa Yeni"))
+    assert calls == ["Alfa", "Alfa Yeni"]
+    name = lambda day: members.members(store, as_of=day).where("code = 'o1'").first()["name"]
+    assert (name("2024-03-08"), name("2024-03-09"), name("2025-01-01")) == ("Alfa", "Alfa Yeni", "Alfa Yeni")
+    members.members(store, as_of="2024-03-09", fetch=lambda: fetch("Alfa Son"), refresh=True)
+    assert (name("2024-03-08"), name("2024-03-09")) == ("Alfa", "Alfa Son") and store.read("listed_members").count() == 6
+
+    def fails():
+        raise adapter.Unreachable("down")
+
+    with pytest.raises(adapter.Unreachable):
+        members.members(store, as_of="2024-06-01", fetch=fails)
+    with pytest.raises(errors.Refused, match="empty"):
+        members.members(store, as_of="2024-06-01", fetch=lambda: fetch().where("false"))
+    assert name("2024-06-01") == "Alfa Son"
+
+
+def test_isins_by_class_and_by_exclusion(spark):
+    common, other, right, debt = "TRAGARAN91N1", "TRAAKBNK91N6", "TREAKBN00011", "TRSAKBN00014"
+
+    def checked(stem):
+        digits = "".join(str(int(c, 36)) for c in stem)
+        total = sum(sum(divmod(int(d) * (2 if i % 2 == 0 else 1), 10)) for i, d in enumerate(reversed(digits)))
+        return stem + str(-total % 10)
+
+    common, other, right, debt, foreign = (checked(x[:11]) for x in (common, other, right, debt, "US037833100"))
+    rows = [
+        ("one", common, "GARANTİ", 1), ("One ", common.lower(), "GARANTİ", 2),
+        ("two", common, "AKBANK ADİ", 1), ("two", other, "Akbank imtiyazlı A grubu", 2),
+        ("both", common, "x", 1), ("both", other, "y", 2),
+        ("none", common, "İMTİYAZLI", 1), ("none", other, "imtiyazli", 2),
+        ("debt", debt, "tahvil", 1), ("far", foreign, "Apple", 1), ("bad", common[:-1] + str((int(common[-1]) + 1) % 10), "z", 1), ("far", "US", "short", 1),
+        ("", common, "no ticker", 1), (None, common, None, 1), ("gone", None, None, 1),
+        ("last", common, "A", 1), ("last", other, "imtiyazlı", 1), ("last", other, "adi", 2),
+    ]
+    df = spark.createDataFrame(rows, "ticker string, isin string, description string, row int")
+    got, left = reference.imported_isins(df, order="row")
+    assert {(r["ticker"], r["isin"], r["status"]) for r in got.collect()} == {("ONE", common, "single"), ("TWO", common, "unique-after-exclude"), ("BOTH", None, "ambiguous"), ("NONE", None, "ambiguous"), ("LAST", None, "ambiguous")}
+    assert {(r["ticker"], r["reason"]) for r in left.collect()} == {("DEBT", "non-equity"), ("FAR", "foreign"), ("BAD", "malformed")}
+    assert sorted(got.where("ticker = 'BOTH'").first()["candidates"]) == sorted([common, other])
+    every, _ = reference.imported_isins(df, order="row", every_class=True)
+    assert every.where("ticker = 'DEBT'").first()["status"] == "single"
+    off, _ = reference.imported_isins(df, order="row", exclude=None)
+    assert off.where("ticker = 'TWO'").first()["status"] == "ambiguous"
+    answered = reference.lookup_isins(df.select("ticker"), got.where("isin is not null"), got.where("isin is null"), spark.createDataFrame([], "ticker string, chosen string, confirmed boolean, candidates array<string>"))
+    assert {r["ticker"]: r["status"] for r in answered.collect() if r["ticker"] in ("TWO", "BOTH", "GONE")} == {"TWO": "found", "BOTH": "ambiguous", "GONE": "not-in-reference"}
+
+
+CUSTODY = {"schema_version": 1, "source": "by hand", "fetched_iso": "2026-01-01", "foreign_custody_members": {"codes": {"AAA": "a", "AB1": "b"}}, "foreign_execution_brokers": {"codes": {"XXX": "x"}}, "domestic_despite_foreign_parent": {"codes": {"DDD": "d", "XXX": "x"}}}
+
+
+def test_custody_reference(spark):
+    read = lambda doc: reference.custody(spark.createDataFrame([(json.dumps(doc),)], "payload string"))
+    assert {tuple(r) for r in read(CUSTODY).select("bucket", "code", "name").collect()} == {("custody", "AAA", "a"), ("custody", "AB1", "b"), ("execution", "XXX", "x"), ("domestic", "DDD", "d"), ("domestic", "XXX", "x")}
+    assert {r["code"] for r in reference.custody_set(read(CUSTODY), "custody").collect()} == {"AAA", "AB1"}
+    for change, said in (
+        ({"schema_version": 2}, "version 2"), ({"schema_version": None}, "version None"),
+        ({"foreign_execution_brokers": {"codes": {"AAA": "a"}}}, "both custody and execution"),
+        ({"domestic_despite_foreign_parent": {"codes": {"AB1": "b"}}}, "both custody and domestic"),
+        ({"foreign_custody_members": {"codes": {"AAAA": "a"}}}, "malformed"), ({"foreign_custody_members": {"codes": {"aaa": "a"}}}, "malformed"),
+        ({"foreign_custody_members": {"codes": {}}}, "no custody"),
+    ):
+        with pytest.raises(errors.Refused, match=said):
+            read(CUSTODY | change)
+    with pytest.raises(errors.Refused, match="one document"):
+        reference.custody(spark.createDataFrame([("x",), ("y",)], "payload string"))
+
+
+def test_interlocks(spark, monkeypatch):
+    seats = [("p1", c) for c in "ABC"] + [("p2", c) for c in "AB"] + [("p2", "A"), ("p3", "C"), (None, "A"), ("p4", None)] + [("hub", f"X{k:03}") for k in range(40)]
+    df = spark.createDataFrame(seats, "src string, dst string")
+    want = {("A", "B", 2), ("A", "C", 1), ("B", "C", 1)} | {(f"X{i:03}", f"X{j:03}", 1) for i in range(40) for j in range(i + 1, 40)}
+    for block in (1000, 7, 1):
+        assert {tuple(r) for r in graph.interlocks(df, block=block).select("a", "b", "n_people").collect()} == want
+    people = graph.interlocks(df, names=True).where("a = 'A' and b = 'B'").first()["people"]
+    assert people == ["p1", "p2"]
+    assert graph.interlocks(df.where("false")).count() == 0
+    roles = spark.createDataFrame([("p1", "A", "chair", date(2020, 1, 1)), ("p1", "B", "member", date(2021, 1, 1)), ("p9", "A", "member", None), ("p1", "Z", "member", None)], "src string, dst string, role string, since date")
+    nodes = lambda *x: spark.createDataFrame([(i,) for i in x], "uuid string")
+    assert {tuple(r) for r in graph.board_seats(roles, nodes("p1"), nodes("A", "B")).collect()} == {("p1", "A", "chair", date(2020, 1, 1)), ("p1", "B", "member", date(2021, 1, 1))}
+
+
+def test_onboarding_goes_on_where_it_broke(spark, tmp_path):
+    store, calls, down = Store(spark, str(tmp_path / "l2")), [], [True]
+
+    def step(name, only=None):
+        def run(store, waiting):
+            calls.append((name, sorted(r[0] for r in waiting.collect())))
+            if name == "prices" and down[0]:
+                raise adapter.Unreachable("vendor is down")
+            return waiting if only is None else waiting.where(F.col("symbol").isin(only))
+
+        return run
+
+    steps = [("identity", step("identity")), ("prices", step("prices")), ("sector", step("sector", ["A"])), ("refit", step("refit"))]
+    entities = spark.createDataFrame([("A",), ("B",), ("B",), (None,)], "symbol string")
+    dry = onboarding.run(store, entities, steps, as_of="2024-01-01", execute=False)
+    assert calls == [] and {(r["symbol"], r["next_step"], r["complete"]) for r in dry.collect()} == {("A", "identity", False), ("B", "identity", False)}
+    broken = {r["symbol"]: r for r in onboarding.run(store, entities, steps, as_of="2024-01-01").collect()}
+    assert [c[0] for c in calls] == ["identity", "prices"] and broken["A"]["next_step"] == "prices" and "down" in broken["A"]["detail"]
+    down[0] = False
+    calls.clear()
+    again = {r["symbol"]: r for r in onboarding.run(store, entities.union(spark.createDataFrame([("C",)], "symbol string")), steps, as_of="2024-01-02").collect()}
+    assert calls == [("identity", ["C"]), ("prices", ["A", "B", "C"]), ("sector", ["A", "B", "C"]), ("refit", ["A"])]
+    assert again["A"]["complete"] and again["A"]["detail"] is None and (again["B"]["next_step"], again["B"]["complete"]) == ("sector", False)
+    calls.clear()
+    onboarding.run(store, entities, steps, as_of="2024-01-03")
+    assert calls == [("sector", ["B"])]
+    history = store.read("onboarding").where("symbol = 'A' and step = 'prices'").orderBy("attempt").collect()
+    assert [(r["attempt"], r["status"]) for r in history] == [(1, "failed"), (2, "done")]

@@ -173,3 +173,31 @@ def disclosures(found: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFr
     last = known.groupBy("index").agg(F.max(F.struct("published", "subject", "type")).alias("d"))
     nodes = last.select("index", F.col("d.subject").alias("subject"), F.col("d.type").alias("type"), F.to_date("d.published").alias("published"))
     return nodes, known.select(F.concat(F.lit("co-"), F.lower("filing_id")).alias("src"), F.col("index").alias("dst")).distinct()
+
+
+def board_seats(rows: DataFrame, people: DataFrame, companies: DataFrame) -> DataFrame:
+    """(src, dst, role, since): seats of known people on known companies' boards, one for each pair (the one held longest, then the greatest role)."""
+    ok = rows.join(people.select(F.col("uuid").alias("src")).distinct(), "src", "left_semi").join(companies.select(F.col("uuid").alias("dst")).distinct(), "dst", "left_semi")
+    first = F.min_by(F.struct("role", "since"), F.struct(F.coalesce("since", F.lit("9999-12-31").cast("date")), F.col("role").isNull(), F.col("role")))
+    return ok.groupBy("src", "dst").agg(first.alias("r")).select("src", "dst", "r.role", "r.since")
+
+
+def interlocks(seats: DataFrame, *, block: int = 200, names: bool = False) -> DataFrame:
+    """(a, b, n_people), and with ``names`` people: pairs of companies that share board members, from (src person, dst company).
+
+    A person's seats are dealt into blocks of about ``block``, and each pair of blocks is a
+    unit of work of its own, so a person with very many seats is spread over tasks; pairs
+    are added up where they arise before they are shuffled. The pairs of such a person
+    themselves grow with the square of the seats: they are the result.
+    """
+    held = cut(seats.where("src is not null and dst is not null").select("src", "dst").distinct(), "seats")
+    blocks = held.groupBy("src").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 0")
+    dealt = held.join(blocks, "src").withColumn("own", F.pmod(F.xxhash64("dst"), F.col("blocks")).cast("int"))
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("src", "dst", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    one, two = units.where("own = low").alias("x"), units.where("own = high").alias("y")
+    unit = (F.col("x.src") == F.col("y.src")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    # within a block each pair comes from both sides; between two blocks from one
+    met = one.join(two, unit).where("x.dst != y.dst and (x.low != x.high or x.dst < y.dst)")
+    pairs = met.select(F.least("x.dst", "y.dst").alias("a"), F.greatest("x.dst", "y.dst").alias("b"), F.col("x.src").alias("person"))
+    count = [F.count("*").alias("n_people")]
+    return pairs.groupBy("a", "b").agg(*count, *([F.array_sort(F.collect_list("person")).alias("people")] if names else []))

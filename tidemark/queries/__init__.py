@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import books, feeds, graphs, names, panels, reads
+from . import books, feeds, graphs, names, panels, reads, stored
 from .base import Query
 
-PARTS = (reads, panels, books, graphs, names, feeds)
+PARTS = (reads, panels, books, graphs, names, feeds, stored)
 
 
 def queries() -> dict[str, Query]:

@@ -15,6 +15,8 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "short_eligible": ("symbol string, bar_date date, short_eligible boolean, source string, knowledge_date date", ("symbol", "bar_date", "knowledge_date")),
     "signal_registry": ("signal_id string, hypothesis string, feature_family string, train_start date, train_end date, test_start date, test_end date, n_trials int, cost_model string, purge_embargo string, deflated_sharpe double, pbo double, beat_baselines boolean, book string, promoted boolean, knowledge_date date", ("signal_id", "knowledge_date")),
     "events": ("event_id string, event_date date, date_precision string, event_type string, actors string, geography string, severity double, source string, knowledge_date date", ("event_id", "knowledge_date")),
+    "listed_members": ("code string, ticker string, name string, member_type string, knowledge_date date", ("code", "knowledge_date")),
+    "onboarding": ("symbol string, step string, attempt int, status string, detail string, knowledge_date date", ("symbol", "step", "attempt")),
     "event_targets": ("event_id string, channel string, shock_sign int, shock_magnitude double, confidence double, evidence_tier string, uncertainty double, source string, knowledge_date date", ("event_id", "channel", "knowledge_date")),
 }
 

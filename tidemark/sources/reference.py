@@ -43,6 +43,80 @@ def lookup_isins(tickers: DataFrame, mappings: DataFrame, ambiguous: DataFrame,
     return df.select("ticker", "isin", F.coalesce(I.equity_isin(F.col("isin")), F.lit(False)).alias("is_equity"), (F.col("status").isin("found", "disambiguated", "ambiguous") | F.coalesce("several", F.lit(False))).alias("is_traded"), "status")
 
 
+#: Fixed value: what the description of a line that is not traded holds.
+NOT_TRADED = "İMTİYAZL"
+
+
+def _folded(c: Column) -> Column:
+    """Upper case without Turkish marks, for comparing descriptions."""
+    return F.upper(F.translate(c, "İıŞşÇçĞğÖöÜü", "IISSCCGGOOUU"))
+
+
+def imported_isins(rows: DataFrame, *, order: str | None = None, exclude: str | None = NOT_TRADED, every_class: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(ticker, isin, status, candidates), and (ticker, isin, reason) of the rows left out, from an export of (ticker, isin, description).
+
+    A ticker with one valid equity code has it. Of several, those whose description holds
+    ``exclude`` (whatever its case and marks) are dropped; if one is left, it is the
+    ticker's (``unique-after-exclude``), else the ticker is ambiguous and nothing is
+    guessed. A code sent twice has its last description by ``order`` (else the greatest).
+    With ``every_class`` codes of other classes count too.
+    """
+    text = F.coalesce(F.col("description"), F.lit("")) if "description" in rows.columns else F.lit("")
+    said = rows.select(_clean("ticker").alias("ticker"), _clean("isin").alias("isin"), text.alias("description"), (F.col(order) if order else F.lit(0)).alias("_o")).where("ticker != '' and isin != ''")
+    valid = I.isin_ok(F.col("isin"))
+    counted = valid if every_class else valid & I.equity_isin(F.col("isin"))
+    one = said.where(counted).groupBy("ticker", "isin").agg(F.max(F.struct("_o", "description")).alias("d"))
+    traded = F.lit(True) if exclude is None else ~F.contains(_folded(F.col("d.description")), _folded(F.lit(exclude)))
+    of = one.groupBy("ticker").agg(F.array_sort(F.collect_list("isin")).alias("candidates"), F.count_if(traded).alias("n"), F.min(F.when(traded, F.col("isin"))).alias("left"))
+    status = F.when(F.size("candidates") == 1, "single").when(F.col("n") == 1, "unique-after-exclude").otherwise("ambiguous")
+    isin = F.when(status == "single", F.col("candidates")[0]).when(status == "unique-after-exclude", F.col("left"))
+    reason = F.when(F.col("isin").rlike("^[A-Z]{2}") & ~F.startswith("isin", F.lit("TR")), "foreign").when(valid, "non-equity").otherwise("malformed")
+    return of.select("ticker", isin.alias("isin"), status.alias("status"), "candidates"), said.where(~counted).select("ticker", "isin", reason.alias("reason")).distinct()
+
+
+#: Version of the custody reference that is read, and its maps: the field, and the bucket's name here.
+CUSTODY_VERSION = 1
+CUSTODY_MAPS = {"foreign_custody_members": "custody", "foreign_execution_brokers": "execution", "domestic_despite_foreign_parent": "domestic"}
+
+
+def custody(documents: DataFrame) -> DataFrame:
+    """(bucket, code, name, source, fetched) of the custody reference: one document of JSON in ``payload``.
+
+    Refused as a whole, rather than half trusted: another version, a code that is not
+    three capital letters or digits, no custody codes at all, and a custody code that is
+    also an execution broker's or a domestic one, which would count its flow twice or with
+    the wrong sign.
+    """
+    form = "struct<schema_version:int,source:string,fetched_iso:string," + ",".join(f"{m}:struct<codes:map<string,string>>" for m in CUSTODY_MAPS) + ">"
+    found = documents.select(F.from_json("payload", form).alias("d")).limit(2).collect()
+    if len(found) != 1 or found[0]["d"] is None:
+        raise Refused("a custody reference is one document")
+    version = found[0]["d"]["schema_version"]
+    if version != CUSTODY_VERSION:
+        raise Refused(f"the custody reference has version {version}, not {CUSTODY_VERSION}")
+    doc = documents.select(F.from_json("payload", form).alias("d"))
+    rows = None
+    for field, bucket in CUSTODY_MAPS.items():
+        part = doc.select(F.lit(bucket).alias("bucket"), F.explode(f"d.{field}.codes").alias("code", "name"), F.col("d.source").alias("source"), F.to_date("d.fetched_iso").alias("fetched"))
+        rows = part if rows is None else rows.unionByName(part)
+    n = lambda b: F.count_if(F.col("bucket") == b)
+    codes = rows.groupBy("code").agg(n("custody").alias("custody"), n("execution").alias("execution"), n("domestic").alias("domestic"))
+    problem = F.when(~F.col("code").rlike("^[A-Z0-9]{3}$"), "malformed").when((F.col("custody") > 0) & (F.col("execution") > 0), "in both custody and execution").when((F.col("custody") > 0) & (F.col("domestic") > 0), "in both custody and domestic")
+    bad = [f"{r['code']}: {r['problem']}" for r in codes.select("code", problem.alias("problem")).where("problem is not null").orderBy("code").limit(5).collect()]
+    if bad:
+        raise Refused("; ".join(bad))
+    if not rows.where("bucket = 'custody'").head(1):
+        raise Refused("no custody codes; the foreign leg would be empty")
+    return rows
+
+
+def custody_set(reference: DataFrame, bucket: str) -> DataFrame:
+    """(code, name) of one bucket: custody, execution or domestic."""
+    if bucket not in CUSTODY_MAPS.values():
+        raise Refused(f"no bucket is called {bucket!r}")
+    return reference.where(F.col("bucket") == bucket).select("code", "name")
+
+
 def candidate_isins(instruments: DataFrame) -> DataFrame:
     """(lei, isins): the valid equity codes among each entity's picked code and candidates."""
     every = F.explode(F.array_union(F.array("isin"), F.coalesce("candidates", F.array().cast("array<string>"))))
