@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import re
 import struct
+import time
 
 import numpy as np
 import xxhash
@@ -80,3 +81,24 @@ def test_an_empty_labelled_table_says_half(spark):
     weights = urlfilter.train(spark.createDataFrame([], "url string, bad double"))
     assert set(weights) == {0.0}
     assert urlfilter.judge(spark.createDataFrame([(1, "http://a/b")], "page_id long, url string"), [], weights).first()["bad"] == 0.5
+
+
+def test_very_long_urls_take_seconds(spark):
+    weights = urlfilter.train(urlfilter.labelled(spark))
+    urls = ["http://" + "a-b." * 500 + "net/" + "pä/" * 100_000 + "?q", "x" * 300_000, "http://h/" + "😀" * 1000]
+    began = time.time()
+    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.URL_RULES, weights).collect()}
+    assert time.time() - began < 30
+    for i, u in enumerate(urls):
+        host, path = split(u)
+        assert (got[i]["host"], got[i]["path"]) == (host, path)
+        b = np.array(buckets(host, path))
+        assert abs(got[i]["bad"] - 1 / (1 + np.exp(-(np.array(weights)[b].sum() / np.sqrt(len(b)) + weights[-1])))) < 2e-6
+    assert got[0]["rule"] == "net/"
+
+
+def test_ties_of_rules_go_to_the_first(spark):
+    rules = [urlfilter.Rule("allow", "net", "/ab"), urlfilter.Rule("block", "a.net", "/"), urlfilter.Rule("block", "net", "/ab")]
+    pages = spark.createDataFrame([(1, "http://a.net/abc"), (2, "http://a.net/x")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(pages, rules, [0.0] * (urlfilter.BUCKETS + 1)).collect()}
+    assert got == {1: ("net/ab", "allow"), 2: ("a.net/", "block")}

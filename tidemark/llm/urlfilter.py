@@ -71,9 +71,24 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(url, form, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.regexp_extract(url, form, 2)
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body with name standing for value, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def buckets(host: str, path: str) -> str:
-    """SQL for the array of bucket numbers (from 1) of all n-grams, edges marked, host and path told apart."""
-    parts = [f"transform(sequence(1, greatest(length({c}) - {n - 3}, 1)), i -> pmod(xxhash64('{mark}', substr(concat('^', {c}, '$'), i, {n})), {BUCKETS}) + 1)" for c, mark in ((host, "h"), (path, "p")) for n in GRAMS]
+    """SQL for the array of bucket numbers (from 1) of all n-grams, edges marked, host and path told apart.
+
+    A string is split once; an n-gram is put together from its characters, so time grows
+    with the length.
+    """
+    parts = []
+    for c, mark in ((host, "h"), (path, "p")):
+        grams = []
+        for n in GRAMS:
+            gram = ", ".join(f"coalesce(get(a, i + {k}), '')" for k in range(n))
+            grams.append(f"transform(sequence(0, greatest(size(a) - {n}, 0)), i -> pmod(xxhash64('{mark}', concat({gram})), {BUCKETS}) + 1)")
+        parts.append(_let("a", f"regexp_extract_all(concat('^', {c}, '$'), '(?s).', 0)", f"concat({', '.join(grams)})"))
     return f"concat({', '.join(parts)})"
 
 
@@ -107,8 +122,7 @@ def train(samples: DataFrame) -> list[float]:
 def probability(weights: list[float], host: str = "host", path: str = "path") -> Column:
     """That a url is bad."""
     array = f"array({', '.join(f'{w!r}D' for w in weights[:-1])})"
-    grams = buckets(host, path)
-    total = f"aggregate({grams}, 0D, (t, b) -> t + element_at({array}, cast(b as int))) / sqrt(size({grams}))"
+    total = _let("g", buckets(host, path), f"aggregate(g, 0D, (t, b) -> t + element_at({array}, cast(b as int))) / sqrt(size(g))")
     return F.expr(f"1 / (1 + exp(-({total} + {weights[-1]!r}D)))")
 
 
