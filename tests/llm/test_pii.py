@@ -52,9 +52,12 @@ def card(m):
 def phone(m):
     d = re.sub(r"\D", "", m)
     p = d[-10:]
-    if p[0] < "2" or p[3] < "2":
-        return m
-    left, right = network((int(p[:3]) - 200) * 800 + int(p[3:6]) - 200, int(p[6:]), 640000, 10000, "phone")
+    area, exchange = int(p[:3]), int(p[3:6])
+    if area < 200 or exchange < 200:
+        code, line = network(area * 1000 + exchange if area < 200 else 200_000 + (area - 200) * 200 + exchange, int(p[6:]), 360_000, 10_000, "phone0")
+        area, exchange = divmod(code, 1000) if code < 200_000 else (200 + (code - 200_000) // 200, (code - 200_000) % 200)
+        return refilled(m, d[:-10] + f"{area:03d}{exchange:03d}{line:04d}")
+    left, right = network((area - 200) * 800 + exchange - 200, int(p[6:]), 640000, 10000, "phone")
     return refilled(m, d[:-10] + f"{200 + left // 800}{200 + left % 800}{right:04d}")
 
 
@@ -153,3 +156,23 @@ def test_columns_of_any_name_stay(spark):
     rows = {r["doc_id"]: r for r in out.collect()}
     assert rows[1][2:] == (5, 6, 7, "z") and rows[1]["text"] == "call " + phone("743-555-3824") and rows[2]["text"] is None
     assert sorted(map(tuple, pii.reveal(out, KEY).collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_phones_of_any_code_are_replaced_within_their_class(spark):
+    codes = ["+1 (017) 555-5036", "+1 (152) 555-8590", "000-000-0000", "199-999-9999", "200-199-0001", "999-000-1234", "200-200-0000", "999-999-9999", "1 212.155.0100"]
+    df = spark.createDataFrame([(i, f"call {c} or {c}") for i, c in enumerate(codes)], "doc_id long, text string")
+    report = pii.report(df, KEY).collect()
+    assert all((r["n_found"], r["n_replaced"]) == (2, 2) for r in report)
+    out = pii.pseudonymize(df, KEY)
+    real = lambda c: all(int(x) >= 200 for x in (re.sub(r"\D", "", c)[-10:-7], re.sub(r"\D", "", c)[-7:-4]))
+    for r in out.collect():
+        one, two = r["text"].removeprefix("call ").split(" or ")
+        was = codes[r["doc_id"]]
+        assert one == two == phone(was) != was and re.sub(r"\d", "9", one) == re.sub(r"\d", "9", was) and real(one) == real(was)
+    assert sorted(map(tuple, pii.reveal(out, KEY).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_very_long_texts(spark):
+    long = "no number here " * 100_000 + "+1 (017) 555-5036 " + "1" * 200_000 + " a@b.example" + " 4" * 100_000
+    got = pii.report(spark.createDataFrame([(1, long)], "doc_id long, text string"), KEY).first()
+    assert phone("+1 (017) 555-5036") in got["text"] and "a@b.example" not in got["text"] and len(got["text"]) > 1_700_000

@@ -6,7 +6,9 @@ equal values become equal pseudonyms in all documents. Whoever has the key can t
 them back (``reveal``). Formats:
 
 - payment cards of 13 to 19 digits with a right check digit, which is made anew;
-- North American phone numbers: area code and exchange from 200 to 999, any line;
+- North American phone numbers: area code and exchange from 200 to 999, any line; and
+  numbers so written with other codes, which are no real ones but may stand for one: they
+  become such numbers again;
 - IPv4 addresses; social security numbers in groups of 3, 2 and 4 that can be assigned;
 - dates as year-month-day or day/month/year (read month first only where day first is
   no date). What comes out is written with as many digits, and is read the same way: a
@@ -17,7 +19,7 @@ Where a format's values are not all pairs of two ranges, the network is applied
 until its result is one of them (cycle walking). At least one in five results is, so
 ``WALK`` steps do not suffice for one date in 10**24; that one would stay.
 
-Numbers of a right form that are not valid stay as they are. E-mail addresses have no
+Other numbers of a right form that are not valid stay as they are. E-mail addresses have no
 such format: they become keyed hashes of the address and of its domain, which keeps
 equal ones linked but cannot be turned back.
 
@@ -91,10 +93,11 @@ def replacement(m: str, key: str, back: bool = False) -> str:
         _let("f", permuted("left(p, h)", "substr(p, h + 1)", "cast(power(10, h) as bigint)", "cast(power(10, length(p) - h) as bigint)", "card"),
              _let("q", "concat(lpad(cast(f.l as string), h, '0'), lpad(cast(f.r as string), length(p) - h, '0'))", _refilled(m, f"concat(q, {check('q')})"))),
     ) + f", {m})"))
-    phone = _let("d", digits, _let("p", "right(d, 10)", f"if(left(p, 1) >= '2' and substr(p, 4, 1) >= '2', " + _let(
-        "f", permuted("(cast(left(p, 3) as bigint) - 200) * 800 + cast(substr(p, 4, 3) as bigint) - 200", "right(p, 4)", "640000", "10000", "phone"),
-        _refilled(m, "concat(left(d, length(d) - 10), cast(200 + f.l div 800 as string), cast(200 + f.l % 800 as string), lpad(cast(f.r as string), 4, '0'))"),
-    ) + f", {m})"))
+    # area and exchange as one number of a class: both from 200 on; else by the area below 200, then by the exchange
+    line = lambda area, exchange: _refilled(m, f"concat(left(d, length(d) - 10), lpad(cast({area} as string), 3, '0'), lpad(cast({exchange} as string), 3, '0'), lpad(cast(f.r as string), 4, '0'))")
+    known = _let("f", permuted("(a - 200) * 800 + x - 200", "right(d, 4)", "640000", "10000", "phone"), line("200 + f.l div 800", "200 + f.l % 800"))
+    other = _let("f", permuted("if(a < 200, a * 1000 + x, 200000 + (a - 200) * 200 + x)", "right(d, 4)", "360000", "10000", "phone0"), f"if(f.l < 200000, {line('f.l div 1000', 'f.l % 1000')}, {line('200 + (f.l - 200000) div 200', '(f.l - 200000) % 200')})")
+    phone = _let("d", digits, _let("a", "cast(left(right(d, 10), 3) as bigint)", _let("x", "cast(left(right(d, 7), 3) as bigint)", f"if(a >= 200 and x >= 200, {known}, {other})")))
     address = _let("o", f"transform(split({m}, '[.]'), x -> cast(x as bigint))", f"if(exists(o, x -> x > 255), {m}, " + _let(
         "f", permuted("o[0] * 256 + o[1]", "o[2] * 256 + o[3]", "65536", "65536", "address"),
         "concat_ws('.', f.l div 256, f.l % 256, f.r div 256, f.r % 256)",
