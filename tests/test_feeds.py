@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark import errors
 from tidemark.operators import entities, factors, graph, monitors, pit, probes, risk
 from tidemark.plans import onboarding, runs
-from tidemark.sources import adapter, archives, landing, members, parsers, reference
+from tidemark.sources import adapter, archives, graphload, landing, members, parsers, reference
 from tidemark.sources.store import Store
 
 
@@ -451,3 +451,38 @@ def test_onboarding_goes_on_where_it_broke(spark, tmp_path):
     assert calls == [("sector", ["B"])]
     history = store.read("onboarding").where("symbol = 'A' and step = 'prices'").orderBy("attempt").collect()
     assert [(r["attempt"], r["status"]) for r in history] == [(1, "failed"), (2, "done")]
+
+
+def test_typed_edges_of_known_nodes(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "g"))
+    nodes = {"company": spark.createDataFrame([("a", "A"), ("b", "B"), ("c", None), (None, "x")], "uuid string, name string"), "person": spark.createDataFrame([("p", "P")], "uuid string, name string")}
+    stakes = spark.createDataFrame([("a", "b", None, 10.0, "2024-01-01", 1), ("a", "b", "Company", 20.0, None, 2), ("p", "b", "Person", 5.0, "2024-01-01", 1), ("p", "c", "Company", 5.0, None, 1), ("a", "zz", "Company", 1.0, None, 1), (None, "b", None, 1.0, None, 1)], "src string, dst string, label string, pct double, as_of string, row int")
+    edges = {"board_member_of": spark.createDataFrame([("p", "a", "chair", "2020-01-01", 0.9), ("a", "b", "no person", None, None)], "src string, dst string, role string, since string, confidence double"), "holds_stake": stakes.drop("row")}
+    first = {r["kind"]: r for r in graphload.load_all(store, nodes, edges)}
+    assert list(first) == ["holds_stake", "board_member_of"]
+    assert (first["holds_stake"]["n_pairs"], first["holds_stake"]["n_unknown"], first["holds_stake"]["n_stored"]) == (4, 2, 2)
+    assert tuple(store.read("board_member_of").select("src", "dst", "role", "since", "confidence").first()) == ("p", "a", "chair", date(2020, 1, 1), 0.9)
+    graphload.load_edges(store, "holds_stake", stakes, order="row")
+    kept = {(r["src"], r["dst"]): (r["pct"], r["as_of"]) for r in store.read("holds_stake").collect()}
+    assert kept == {("a", "b"): (20.0, None), ("p", "b"): (5.0, date(2024, 1, 1))}  # the last row's properties, NULL and all
+    graphload.load_edges(store, "holds_stake", stakes.where("src = 'p' and dst = 'b'").withColumn("pct", F.lit(6.0)))
+    assert {(r["src"], r["pct"]) for r in store.read("holds_stake").collect()} == {("a", 20.0), ("p", 6.0)}
+    assert graphload.load_nodes(store, "company", spark.createDataFrame([("a", None), ("d", "D")], "uuid string, name string")) == 4
+    assert {(r["uuid"], r["name"]) for r in store.read("company").collect()} == {("a", "A"), ("b", "B"), ("c", None), ("d", "D")}
+    sectors = spark.createDataFrame([("M", "Main", 1, None), ("L", "Leaf", 2, "M")], "code string, name string, level int, parent string")
+    assert graphload.load_sectors(store, sectors)["n_stored"] == 1 and graphload.load_sectors(store, sectors)["n_stored"] == 1
+    for bad in (lambda: graphload.load_edges(store, "likes", stakes), lambda: graphload.load_nodes(store, "planet", sectors), lambda: graphload.load_all(store, {}, {"x": stakes}), lambda: graphload.load_sectors(store, sectors.withColumn("parent", F.lit("N")))):
+        with pytest.raises(errors.Refused):
+            bad()
+
+
+def test_series_are_landed_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "l2"))
+    feed = lambda x: spark.createDataFrame([(json.dumps(x),)], "payload string")
+    cpi = landing.cpi_rows(feed({"items": [{"Tarih": "2023-12", "TP_FG_J0": "1.5"}, {"Tarih": "2024-1", "TP_FG_J0": "1.6"}, {"Tarih": "x", "TP_FG_J0": "2"}]}))
+    vix = landing.macro_rows(feed({"observations": [{"date": "2024-01-02", "value": "."}, {"date": "2024-01-03", "value": "13.5"}]}), "VIX")
+    cds = landing.rate_rows(feed({"result": {"quote": {"1": {"DATA_VAL": "2024-01-05", "CLOSE_VAL": 3.0}, "2": {"DATA_VAL": "2020-01-05", "CLOSE_VAL": 4.0}}}}), "CDS", start="2024-01-01")
+    for _ in range(2):
+        out = landing.land_series(store, cpi.unionByName(vix).unionByName(cds), report_dir=str(tmp_path))
+    assert {f: (s["n"], str(s["last"]), str(s["known"])) for f, s in out["series"].items()} == {"CPI": (2, "2024-01-01", "2024-02-03"), "VIX": (1, "2024-01-03", "2024-01-03"), "CDS": (1, "2024-01-05", "2024-01-05")}
+    assert store.read("factors").count() == 4 and (tmp_path / "land_series.json").exists()

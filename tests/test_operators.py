@@ -338,3 +338,84 @@ def test_many_windows_are_single_ones(method):
             assert np.allclose(betas[w], linalg.partial_betas(own[:, 1:], own[:, 0], method), atol=1e-8)
         alone, part = linalg.strip(own[:, 0], own[:, 1:])
         assert abs(residual[w] - alone[-1]) < 1e-7 and np.allclose(shares[w], part, atol=1e-7)
+
+
+def test_exposures_are_the_last_row(spark):
+    """A symbol without a beta on a channel's last day has none, not an older one."""
+    d = [date(2024, 1, k) for k in (1, 2, 3)]
+    rows = [("A", "XU100", d[0], 1.0), ("A", "XU100", d[1], 2.0), ("B", "XU100", d[0], 5.0), ("C", "XU100", d[1], float("nan")), ("C", "XU100", d[0], 4.0), ("D", "XU100", d[1], None), ("A", "USDTRY", d[2], -1.0), ("B", "USDTRY", d[2], 0.5), ("A", "OTHER", d[2], 9.0)]
+    got = {(r["symbol"], r["channel"]): r["beta"] for r in risk.exposures(spark.createDataFrame(rows, "symbol string, factor string, bar_date date, beta double")).collect()}
+    assert got == {("A", "market"): 2.0, ("B", "market"): None, ("C", "market"): None, ("D", "market"): None, ("A", "fx"): -1.0, ("B", "fx"): 0.5}
+
+
+def test_tails_of_arrays(spark):
+    t = np.array([0.0, 0.5, -2.0, 31.0, 1e6, np.nan, 1.0, 1.0])
+    df = np.array([1, 1, 1, 1, 1, 5, 0, np.nan])
+    got = linalg.t_two_sided(t, df)
+    want = 1 - 2 / np.pi * np.arctan(np.abs(t[:5]))
+    assert np.allclose(got[:5], want, rtol=1e-10, atol=1e-15) and np.isnan(got[5:]).all()
+    two = linalg.t_two_sided(t[:5], 2)
+    assert np.allclose(two[:4], 1 - np.abs(t[:4]) / np.sqrt(2 + t[:4] ** 2), rtol=1e-10) and 0 < two[4] < 1e-11
+    many = np.linspace(-8, 8, 4001)
+    assert np.allclose(linalg.t_two_sided(many, 300)[:2000], linalg.t_two_sided(-many, 300)[:2000])
+    assert linalg.t_two_sided(1.96, 1e7) == pytest.approx(0.05, abs=1e-4)
+    rows = spark.createDataFrame([(1.0, 1.0), (None, 5.0), (1.0, 0.0), (float("nan"), 3.0)], "t double, n double")
+    assert [r[0] for r in rows.coalesce(1).select(network.p_value(F.col("t"), F.col("n"))).collect()] == [pytest.approx(0.5), None, None, None]
+
+
+def test_scores_of_many_choices_are_pandas(spark):
+    """Accumulations of 1, 5 and 10 days, with and without a threshold; unknown z-scores fade nothing where there is one."""
+    import pandas as pd
+
+    r = np.random.default_rng(8)
+    days = pd.date_range("2024-01-01", periods=60)
+    wide = pd.DataFrame(r.normal(size=(60, 3)), index=days, columns=list("ABC"))
+    wide.iloc[:7, 1] = np.nan
+    wide.iloc[20:24, 2] = np.nan
+    wide["D"] = 1.0
+    long = wide.stack(future_stack=True).rename("spread").rename_axis(["bar_date", "symbol"]).reset_index()
+    rows = [(x.symbol, x.bar_date.date(), None if x.spread != x.spread else float(x.spread)) for x in long.itertuples()]
+    df = spark.createDataFrame(rows, "symbol string, bar_date date, spread double")
+    choices = [(f"{n}|{z}", n, z) for n in (1, 5, 10) for z in (0.0, 1.0)]
+    got = {(x["variant"], x["symbol"], x["bar_date"]): x["score"] for x in books.fade_scores(df, choices, lookback=20).collect()}
+    for name, n, z in choices:
+        level = wide.rolling(n, min_periods=max(2, n // 2)).sum() if n > 1 else wide
+        roll = level.rolling(20, min_periods=10)
+        score = (level - roll.mean()) / roll.std().where(lambda s: s > 0)
+        want = (-score).where(score.abs() >= z, 0.0) if z > 0 else -score
+        want = want.shift(1)
+        for s in wide:
+            for d in days:
+                a, b = got[name, s, d.date()], want.loc[d, s]
+                if s == "D":  # no spread of its own: rounding decides
+                    continue
+                assert (a is None) == (b != b) and (a is None or a == pytest.approx(b, abs=1e-9)), (name, s, d)
+    one = books.fade_signal(df, accum=5, lookback=20, least_z=1.0)
+    assert {(x["symbol"], x["bar_date"]): x["score"] for x in one.collect()} == {(s, d): v for (name, s, d), v in got.items() if name == "5|1.0"}
+
+
+def test_drifts_of_many_choices_are_each_one(spark):
+    r = random.Random(3)
+    days = [date(2024, 1, 1) + timedelta(i) for i in range(40)]
+    betas = spark.createDataFrame([(f"S{k}", ch, d, r.gauss(0, 1)) for k in range(8) for ch in ("fx", "market") for d in days], "symbol string, channel string, bar_date date, beta double")
+    specs = spark.createDataFrame([(days[0], "fx", 1), (days[5], "fx", -1), (days[7], "market", 1), (date(2024, 6, 1), "fx", 1)], "event_date date, channel string, shock_sign int")
+    choices = [(f"{q}|{d}|{lag}", q, d, lag) for q in (0.2, 0.3) for d in (3, 10) for lag in (1, 2)]
+    rows = lambda df: {(x["symbol"], x["bar_date"]): round(x["weight"], 12) for x in df.collect()}
+    every = events.drift_grid(betas, specs, choices).persist()
+    for name, q, d, lag in choices:
+        own = rows(every.where(F.col("variant") == name))
+        assert own == rows(events.drift_weights(betas, specs, quantile=q, drift=d, lag=lag)) and own
+        day = {}
+        for (_, b), w in own.items():
+            day[b] = day.get(b, 0) + abs(w)
+        assert all(abs(v - 1) < 1e-9 or v == 0 for v in day.values())
+        assert min(b for _, b in own) == days[5]  # no exposure was known before the first day's event
+    every.unpersist()
+
+
+def test_letters_that_fold(spark):
+    """Marks go, Turkish letters become plain ones; letters that stand for several stay."""
+    text = "ıİŞşĞğÜüÖöÇç éÀñÅ ÿž ﬁ ß Æ œ ½ Ø ł"
+    got = spark.createDataFrame([(text,)], "t string").select(I.fold(F.col("t"))).first()[0]
+    assert got.split(" ")[0] == "iISsGgUuOoCc" and got.split(" ")[1:3] == ["eAnA", "yz"]
+    assert got.split(" ")[3:] == ["ﬁ", "ß", "Æ", "œ", "½", "Ø", "ł"]

@@ -14,7 +14,7 @@ import __spark_entry__ as entry_module
 
 ROOT = Path(__file__).resolve().parent.parent
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["pit_latest_version", "universe_asof", "total_return", "censor_windows", "rolling_single", "sector_corr", "run_books", "reprice_suite", "news_events", "group_weight", "isin_check", "listing_diff", "name_match", "fdr_edges_of_closes", "land_prices", "isin_lookup", "sector_backfill", "lei_match", "lead_lag_pairs", "harvested_relations"]
+SOME = ["pit_latest_version", "universe_asof", "total_return", "censor_windows", "rolling_single", "sector_corr", "run_books", "reprice_suite", "news_events", "group_weight", "isin_check", "listing_diff", "name_match", "fdr_edges_of_closes", "land_prices", "isin_lookup", "sector_backfill", "lei_match", "lead_lag_pairs", "harvested_relations", "returns_recomputed", "schema_steps", "member_snapshots", "onboarding_runs", "feed_account", "isin_import", "isin_import_refused", "custody_sets", "board_interlocks", "board_seats", "graph_load", "land_series", "exposure_tensor"]
 
 
 def plain(v):

@@ -291,3 +291,39 @@ def test_folders_without_manifests_are_taken_over(spark, tmp_path):
     assert store.read("total_returns").count() == 2 and store.read("total_returns", months=["2024-01"]).count() == 1
     store.append("total_returns", rows.withColumn("symbol", F.lit("B")))
     assert store.read("total_returns").count() == 4 and store.read("total_returns", months=["2024-02"]).count() == 2
+
+
+def test_bootstrap_makes_what_is_missing(spark, tmp_path):
+    from tidemark.schemas import STORED
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.append("person", spark.createDataFrame([("p", "P")], "uuid string, name string"))
+    made = store.bootstrap()
+    assert set(made) == set(STORED) - {"person"} and store.bootstrap() == [] and set(store.tables()) == set(STORED)
+    assert store.read("person").count() == 1 and store.read("prices").count() == 0 and store.migrate() == []
+
+
+def test_counts_and_relations_of_documents(spark):
+    df = spark.createDataFrame([(json.dumps({"relations": [{"parent": "A", "child": "B", "pct": 1.0, "as_of": "2024-01-01T00:00"}, {"parent": "A", "child": "B", "pct": 2.0}, {"parent": None, "child": "C"}]}),), ("{}",)], "payload string")
+    rows = parsers.relations(df)
+    assert [(r["parent"], r["pct"], str(r["as_of"])) for r in rows.orderBy("row").collect()] == [("A", 1.0, "2024-01-01"), ("A", 2.0, "None")]
+    assert parsers.refuse_count_drift(rows, 2, "relations") is None
+    with pytest.raises(errors.Drift, match="2 records instead of 3"):
+        parsers.refuse_count_drift(rows, 3, "relations")
+
+
+def test_panels_of_what_was_known(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "l2"))
+    days = [date(2024, 1, d) for d in range(1, 6)]
+    store.append("residuals", spark.createDataFrame([(s, d, 0.1, d) for s in "AB" for d in days if not (s == "B" and d == days[2])] + [("C", days[0], 0.2, days[0])], "symbol string, bar_date date, residual double, knowledge_date date"))
+    store.append("total_returns", spark.createDataFrame([("A", days[0], 0.5, True, days[0]), ("A", days[0], 0.7, False, date(2024, 1, 9)), ("A", days[1], 0.9, None, date(2025, 1, 1)), ("Z", days[0], 1.0, False, days[0])], "symbol string, bar_date date, ret_usd double, limit_lock_adj boolean, knowledge_date date"))
+    got = {(r["symbol"], r["bar_date"]): (r["x"], r["ret"], r["is_limit_lock"], r["short_eligible"]) for r in runs.statarb_panels(store, as_of="2024-06-01", least=3).collect()}
+    assert set(got) == {(s, d) for s in "AB" for d in days}
+    assert got["A", days[0]] == (0.1, 0.7, False, None) and got["A", days[1]] == (0.1, None, None, None) and got["B", days[2]] == (None, None, None, None)
+
+
+def test_reports_in_any_store(spark, tmp_path):
+    at = write_report(f"file://{tmp_path}/reports", "r", {"x": float("nan"), "ğ": [date(2024, 1, 1)]})
+    assert at.endswith("/reports/r.json") and json.loads((tmp_path / "reports/r.json").read_text(encoding="utf-8"))["ğ"] == ["2024-01-01"]
+    write_report(f"file://{tmp_path}/reports", "r", {"x": 2})
+    assert json.loads((tmp_path / "reports/r.json").read_text())["x"] == 2

@@ -96,28 +96,42 @@ def strip_of_windows(x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.nd
     return residual, shares
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised, by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised, by its continued fraction, for arrays of one shape (or what is read as such) at once."""
+    a, b, x = (np.array(v, float) for v in np.broadcast_arrays(a, b, x))
+    inside = (x > 0) & (x < 1)
+    turned = inside & (x > (a + 1) / (a + b + 2))  # it converges fast below that, and is one less the other tail above
+    a, b = np.where(turned, b, a), np.where(turned, a, b)
+    z = np.where(inside, np.where(turned, 1 - x, x), 0.5)
+    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(z) + b * np.log1p(-z)) / a
     tiny = 1e-300
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
-    out = d
+    c, d = np.ones_like(z), 1 / np.maximum(1 - (a + b) * z / (a + 1), tiny)
+    out = d.copy()
     for m in range(1, 400):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + top * d or tiny)
-            c = 1 + top / c or tiny
+        for top in (m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * z / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + top * d
+            d = 1 / np.where(d == 0, tiny, d)
+            c = 1 + top / c
+            c = np.where(c == 0, tiny, c)
             out *= c * d
-        if abs(c * d - 1) < 1e-15:
+        if (np.abs(c * d - 1) < 1e-15).all():
             break
-    return front * out
+    tail = np.where(turned, 1 - front * out, front * out)
+    return np.where(inside, tail, np.where(x >= 1, 1.0, np.where(np.isnan(x), np.nan, 0.0)))
 
 
-def t_two_sided(t: float, df: float) -> float:
-    return incomplete_beta(df / 2, 0.5, df / (df + t * t))
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers; degrees of freedom repeat, so each different one is computed once."""
+    each, at = np.unique(x, return_inverse=True)
+    return np.array([math.lgamma(v) if v > 0 else math.nan for v in each.tolist()])[at].reshape(np.shape(x))
+
+
+def t_two_sided(t, df):
+    """Two-sided tail of Student's t, of numbers or arrays; NaN where there are no degrees of freedom."""
+    t, df = np.asarray(t, float), np.asarray(df, float)
+    ok = (df > 0) & ~np.isnan(t)
+    out = np.where(ok, incomplete_beta(np.where(ok, df, 1.0) / 2, 0.5, np.where(ok, df / np.where(ok, df + t * t, 1.0), 0.5)), np.nan)
+    return float(out) if out.ndim == 0 else out
 
 
 NORMAL = NormalDist()

@@ -21,22 +21,40 @@ def dense(panel: DataFrame, value: str) -> DataFrame:
     return grid.join(panel.select("symbol", "bar_date", value), ["symbol", "bar_date"], "left")
 
 
-def _trail(length: int):
-    return Window.partitionBy("symbol").orderBy("bar_date").rowsBetween(1 - length, 0)
+def aligned(weights: DataFrame, other: DataFrame) -> DataFrame:
+    """The weights with another panel's columns on their symbols and days; what it lacks is NULL, which every rule takes as neutral."""
+    return weights.join(other, ["symbol", "bar_date"], "left")
 
 
-def _lag(c: Column) -> Column:
-    return F.lag(c).over(Window.partitionBy("symbol").orderBy("bar_date"))
+def signal_panels(panel: DataFrame, returns: DataFrame, shorts: DataFrame | None = None, value: str = "x") -> DataFrame:
+    """(symbol, bar_date, x, ret, is_limit_lock, short_eligible) on the whole grid of a residual panel.
+
+    Of several returns of a day the mean counts; a day is locked if any of them says so, a
+    name cannot be sold short if any row says so. Unknown stays NULL.
+    """
+    own = returns.groupBy("symbol", "bar_date").agg(F.avg("ret").alias("ret"), F.bool_or("limit_lock_adj").alias("is_limit_lock"))
+    df = aligned(dense(panel, value), own)
+    if shorts is None:
+        return df.withColumn("short_eligible", F.lit(None).cast("boolean"))
+    return aligned(df, shorts.groupBy("symbol", "bar_date").agg(F.bool_and("short_eligible").alias("short_eligible")))
+
+
+def _trail(length: int, keys: tuple[str, ...] = ("symbol",)):
+    return Window.partitionBy(*keys).orderBy("bar_date").rowsBetween(1 - length, 0)
+
+
+def _lag(c: Column, keys: tuple[str, ...] = ("symbol",)) -> Column:
+    return F.lag(c).over(Window.partitionBy(*keys).orderBy("bar_date"))
 
 
-def _enough(c: str, length: int, agg) -> Column:
+def _enough(c: str, length: int, agg, keys: tuple[str, ...] = ("symbol",)) -> Column:
     """A trailing aggregate that needs half the window's values, two at least."""
-    return F.when(F.count(c).over(_trail(length)) >= max(2, length // 2), agg(F.col(c)).over(_trail(length)))
+    return F.when(F.count(c).over(_trail(length, keys)) >= max(2, length // 2), agg(F.col(c)).over(_trail(length, keys)))
 
 
-def dollar_neutral(df: DataFrame, score: str, weight: str = "weight") -> DataFrame:
+def dollar_neutral(df: DataFrame, score: str, weight: str = "weight", by: tuple[str, ...] = ("bar_date",)) -> DataFrame:
     """Weights of a day: demeaned scores over their absolute sum; all zero if nothing is left. A NULL score weighs 0 and does not enter the mean."""
-    day = Window.partitionBy("bar_date")
+    day = Window.partitionBy(*by)
     centred = F.col(score) - F.avg(score).over(day)
     df = df.withColumn("_c", centred)
     gross = F.sum(F.abs("_c")).over(day)
@@ -95,12 +113,33 @@ def schedule(days: DataFrame, edge_window: int = 250, step: int = 60) -> DataFra
     return ends.join(first, "e").join(last, "e").select("refit", "first", "last", "effective", until.alias("until"))
 
 
+def fade_scores(panel: DataFrame, choices: list[tuple[str, int, float]], value: str = "spread", lookback: int = 60, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(variant, score) of each row for each choice of (variant, accum, least_z): minus yesterday's z-score of the accumulated spread.
+
+    All accumulations and z-scores are windows over the same rows, so however many choices
+    there are, the panel is dealt and sorted once. One day accumulated is the spread
+    itself. Where a threshold is set, a smaller or unknown z-score fades nothing (0);
+    without one an unknown one is NULL.
+    """
+    df, accums = panel, sorted({n for _, n, _ in choices})
+    for n in accums:
+        df = df.withColumn(f"_a{n}", _enough(value, n, F.sum, keys) if n > 1 else F.col(value))
+    for n in accums:
+        std = _enough(f"_a{n}", lookback, F.stddev_samp, keys)
+        df = df.withColumn(f"_z{n}", F.struct(F.try_divide(F.col(f"_a{n}") - _enough(f"_a{n}", lookback, F.avg, keys), F.when(std > 0, std)).alias("z")))
+    df = df.withColumns({f"_y{n}": _lag(F.col(f"_z{n}"), keys) for n in accums})  # NULL on the first day only
+
+    def score(n: int, least_z: float) -> Column:
+        z = F.col(f"_y{n}.z")
+        return F.when(F.col(f"_y{n}").isNotNull(), F.when(F.abs(z) >= least_z, -z).otherwise(F.lit(0.0)) if least_z > 0 else -z)
+
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("variant"), score(n, least_z).alias("score")) for name, n, least_z in choices)))
+    return df.withColumn("_c", each).select(*panel.columns, "_c.variant", "_c.score")
+
+
 def fade_signal(panel: DataFrame, value: str = "spread", accum: int = 5, lookback: int = 60, least_z: float = 0.0) -> DataFrame:
-    """score: minus yesterday's z-score of the accumulated spread, where it is large enough."""
-    df = panel.withColumn("_a", _enough(value, accum, F.sum))
-    mean, std = _enough("_a", lookback, F.avg), _enough("_a", lookback, F.stddev_samp)
-    df = df.withColumn("_z", F.try_divide(F.col("_a") - mean, F.when(std > 0, std)))
-    return df.withColumn("score", _lag(F.when(F.abs("_z") >= least_z, -F.col("_z")).otherwise(F.when(F.col("_z").isNotNull(), F.lit(0.0))))).drop("_a", "_z")
+    """score of one choice: see ``fade_scores``."""
+    return fade_scores(panel, [("", accum, least_z)], value, lookback).drop("variant")
 
 
 def grid(spark: SparkSession, **choices: list) -> DataFrame:

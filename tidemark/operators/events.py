@@ -103,6 +103,25 @@ def event_specs(events_: DataFrame, targets_: DataFrame) -> DataFrame:
     return last.join(targets_.select("event_id", "channel", "shock_sign"), "event_id").select("event_date", "channel", "shock_sign").distinct()
 
 
+def exposure_panels(betas: DataFrame, channel_factor: dict[str, str], days: DataFrame | None = None) -> DataFrame:
+    """(channel, symbol, bar_date, beta): each channel by its factor's betas, of several on a day the mean.
+
+    With ``days`` every symbol of a channel is on all of them, NULL where it has no beta,
+    and on no other. A channel whose factor has no betas has no rows, rather than zeros.
+    """
+    channel = F.explode(F.filter(F.array(*(F.struct(F.lit(c).alias("channel"), F.lit(f).alias("of")) for c, f in channel_factor.items())), lambda x: x["of"] == F.col("factor")))
+    mean = betas.where(F.col("factor").isin(*channel_factor.values())).withColumn("_c", channel).groupBy(F.col("_c.channel").alias("channel"), "symbol", "bar_date").agg(F.avg("beta").alias("beta"))
+    if days is None:
+        return mean
+    listed = days.agg(F.array_sort(F.collect_set("bar_date")).alias("_days"))  # days are few
+    grid = mean.select("channel", "symbol").distinct().join(F.broadcast(listed)).select("channel", "symbol", F.explode("_days").alias("bar_date"))
+    return grid.join(mean, ["channel", "symbol", "bar_date"], "left")
+
+
+def _leg(e: Column, hi: Column, lo: Column) -> Column:
+    return F.when((hi > lo) & (e >= hi), 1.0).when((hi > lo) & (e <= lo), -1.0).otherwise(0.0)
+
+
 def cross_section(exposed: DataFrame, quantile: float = 0.3) -> DataFrame:
     """weight: +1 for the top and -1 for the bottom signed exposures of an event, over their number; flat unless the quantiles differ.
 
@@ -110,9 +129,7 @@ def cross_section(exposed: DataFrame, quantile: float = 0.3) -> DataFrame:
     """
     df = exposed.withColumn("_e", F.col("exposure") * F.col("shock_sign"))
     q = df.groupBy("event").agg(F.percentile("_e", F.lit(1 - quantile)).alias("hi"), F.percentile("_e", F.lit(quantile)).alias("lo"))
-    df = df.join(q, "event")
-    leg = F.when((F.col("hi") > F.col("lo")) & (F.col("_e") >= F.col("hi")), 1.0).when((F.col("hi") > F.col("lo")) & (F.col("_e") <= F.col("lo")), -1.0).otherwise(0.0)
-    df = df.withColumn("_l", leg)
+    df = df.join(q, "event").withColumn("_l", _leg(F.col("_e"), F.col("hi"), F.col("lo")))
     gross = F.sum(F.abs("_l")).over(Window.partitionBy("event"))
     return df.withColumn("weight", F.when(gross > 0, F.col("_l") / gross).otherwise(0.0)).drop("_e", "_l", "hi", "lo")
 
@@ -123,22 +140,38 @@ def control_survival(exposed: DataFrame, threshold: float = 0.5) -> DataFrame:
     return exposed.groupBy("event").agg(n.alias("n_names"), (n - c).alias("n_high"), c.alias("n_control"), F.try_divide(c, n).alias("control_fraction"))
 
 
-def drift_weights(betas: DataFrame, specs: DataFrame, *, drift: int = 5, quantile: float = 0.3, lag: int = 1) -> DataFrame:
-    """(symbol, bar_date, weight): from the first trading day at or after each event, for ``drift`` days, the cross-section of exposures known ``lag`` days before; summed over events and scaled to one.
+def drift_grid(betas: DataFrame, specs: DataFrame, choices: list[tuple[str, float, int, int]]) -> DataFrame:
+    """(variant, symbol, bar_date, weight) for each choice of (variant, quantile, drift, lag), in one plan.
 
-    ``betas`` has (symbol, channel, bar_date, beta).
+    From the first trading day at or after each event, for ``drift`` days, the
+    cross-section of exposures known ``lag`` days before; summed over events and scaled to
+    one. ``betas`` has (symbol, channel, bar_date, beta).
     """
     day = betas.select("bar_date").distinct().withColumn("d", F.row_number().over(Window.partitionBy().orderBy("bar_date")) - 1)
     nxt = day.select(F.col("bar_date").alias("at"), F.lit(1).alias("k"), "d").unionByName(specs.select(F.col("event_date").alias("at"), F.lit(0).alias("k"), F.lit(None).cast("int").alias("d")).distinct())
     first = F.first("d", ignorenulls=True).over(Window.partitionBy().orderBy("at", "k").rowsBetween(0, Window.unboundedFollowing))
     entry = nxt.select("at", "k", first.alias("entry")).where("k = 0 and entry is not null").select(F.col("at").alias("event_date"), "entry")
-    placed = specs.join(F.broadcast(entry), "event_date").where(F.col("entry") >= lag).withColumn("event", F.concat_ws("|", F.col("event_date").cast("string"), "channel", F.col("shock_sign").cast("string")))
-    seen = betas.where("beta is not null").join(F.broadcast(day), "bar_date").select("symbol", "channel", (F.col("d") + lag).alias("entry"), F.col("beta").alias("exposure"))
-    legs = cross_section(seen.join(placed, ["channel", "entry"]).select("event", "entry", "symbol", "exposure", "shock_sign"), quantile)
-    held = legs.where("weight != 0").withColumn("d", F.explode(F.expr(f"sequence(entry, entry + {drift - 1})")))
-    sums = held.groupBy("symbol", "d").agg(F.sum("weight").alias("_w")).join(F.broadcast(day), "d")
-    gross = F.sum(F.abs("_w")).over(Window.partitionBy("bar_date"))
-    return sums.select("symbol", "bar_date", F.when(gross > 1e-12, F.col("_w") / gross).otherwise(0.0).alias("weight"))
+    lags = F.explode(F.array(*map(F.lit, sorted({lag for *_, lag in choices}))))
+    placed = specs.join(F.broadcast(entry), "event_date").withColumn("lag", lags).where(F.col("entry") >= F.col("lag")).withColumn("event", F.concat_ws("|", F.col("event_date").cast("string"), "channel", F.col("shock_sign").cast("string")))  # a row for each day of the panel
+    seen = betas.where("beta is not null").join(F.broadcast(day), "bar_date").withColumn("lag", lags).select("symbol", "channel", "lag", (F.col("d") + F.col("lag")).alias("entry"), F.col("beta").alias("exposure"))
+    exposed = seen.join(placed, ["channel", "entry", "lag"]).select("event", "lag", "entry", "symbol", (F.col("exposure") * F.col("shock_sign")).alias("_e"))
+    # the quantiles of each event, all choices in one pass
+    wanted = sorted({q for _, q, *_ in choices})
+    cuts = exposed.groupBy("event", "lag").agg(F.array(*(F.struct(F.lit(q).alias("quantile"), F.percentile("_e", F.lit(1 - q)).alias("hi"), F.percentile("_e", F.lit(q)).alias("lo")) for q in wanted)).alias("cuts"))
+    legs = exposed.join(cuts, ["event", "lag"]).withColumn("c", F.explode("cuts")).select("event", "lag", "entry", "symbol", "c.quantile", _leg(F.col("_e"), F.col("c.hi"), F.col("c.lo")).alias("_l"))
+    gross = F.sum(F.abs("_l")).over(Window.partitionBy("event", "lag", "quantile"))
+    weighed = legs.withColumn("weight", F.when(gross > 0, F.col("_l") / gross).otherwise(0.0)).where("weight != 0")
+    drifts = F.array(*(F.struct(F.lit(name).alias("variant"), F.lit(q).alias("q"), F.lit(d).alias("drift"), F.lit(lag).alias("l")) for name, q, d, lag in choices))
+    each = weighed.withColumn("o", F.explode(F.filter(drifts, lambda o: (o["q"] == F.col("quantile")) & (o["l"] == F.col("lag")))))
+    held = each.withColumn("d", F.explode(F.sequence("entry", F.col("entry") + F.col("o.drift") - 1)))
+    sums = held.groupBy(F.col("o.variant").alias("variant"), "symbol", "d").agg(F.sum("weight").alias("_w")).join(F.broadcast(day), "d")
+    whole = F.sum(F.abs("_w")).over(Window.partitionBy("variant", "bar_date"))
+    return sums.select("variant", "symbol", "bar_date", F.when(whole > 1e-12, F.col("_w") / whole).otherwise(0.0).alias("weight"))
+
+
+def drift_weights(betas: DataFrame, specs: DataFrame, *, drift: int = 5, quantile: float = 0.3, lag: int = 1) -> DataFrame:
+    """(symbol, bar_date, weight) of one choice: see ``drift_grid``."""
+    return drift_grid(betas, specs, [("", quantile, drift, lag)]).drop("variant")
 
 
 def slots(start: str, end: str, spark: SparkSession) -> DataFrame:

@@ -201,3 +201,9 @@ def interlocks(seats: DataFrame, *, block: int = 200, names: bool = False) -> Da
     pairs = met.select(F.least("x.dst", "y.dst").alias("a"), F.greatest("x.dst", "y.dst").alias("b"), F.col("x.src").alias("person"))
     count = [F.count("*").alias("n_people")]
     return pairs.groupBy("a", "b").agg(*count, *([F.array_sort(F.collect_list("person")).alias("people")] if names else []))
+
+
+def parents(controls: DataFrame, subsidiaries: DataFrame) -> DataFrame:
+    """(child, parent), once each, from both sources of control: who controls (src) whom (dst), and who is a subsidiary (src) of whom (dst)."""
+    up = controls.select(F.col("dst").alias("child"), F.col("src").alias("parent")).union(subsidiaries.select("src", "dst"))
+    return up.where("child is not null and parent is not null").distinct()

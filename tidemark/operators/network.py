@@ -42,7 +42,8 @@ def p_value(t: Column, df: Column) -> Column:
     """Two-sided, of Student's t; there is no such function in SQL."""
 
     def tail(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([linalg.t_two_sided(a, b) if b > 0 and a == a else None for a, b in zip(t, df, strict=True)], dtype=float)
+        p = linalg.t_two_sided(t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan))
+        return pd.Series(p).astype("Float64").mask(np.isnan(p))  # no test, no value
 
     return F.pandas_udf(tail, "double")(t, df)
 

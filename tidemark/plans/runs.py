@@ -112,6 +112,14 @@ def survival_gate(residuals: DataFrame, sectors: DataFrame, *, window: int = 120
     return network.gate(network.stability_summary(network.stability(edges, c.groupBy("w").agg(F.count("*").alias("n_candidates")))))
 
 
+def statarb_panels(store: Store, *, as_of: str, least: int = 60) -> DataFrame:
+    """The residual panel with returns, locks and short eligibility, as known on a day: see ``books.signal_panels``."""
+    reader = pit.PitReader(as_of, store.read)
+    newest = lambda table: pit.latest_version(reader.table(table), "symbol", "bar_date")
+    rets = newest("total_returns").select("symbol", "bar_date", F.col("ret_usd").alias("ret"), "limit_lock_adj")
+    return books.signal_panels(network.panel(newest("residuals"), "residual", least), rets, newest("short_eligible"))
+
+
 def statarb(residuals: DataFrame, rets: DataFrame, sectors: DataFrame, *, accums: tuple[int, ...] = tuple(STATARB_GRID["accum"]), thresholds: tuple[float, ...] = tuple(STATARB_GRID["z_threshold"]), least_corrs: tuple[float, ...] = tuple(STATARB_GRID["least_corr"]), lookback: int = 60, window: int = 250, step: int = 60, n_splits: int = 5, purge: int = 5, embargo: int = 5, least: int = 60) -> dict:
     """Spread signals of a grid of variants, picked walk-forward, and judged against luck.
 
@@ -127,21 +135,18 @@ def statarb(residuals: DataFrame, rets: DataFrame, sectors: DataFrame, *, accums
     active = wide.join(F.broadcast(sched.select("refit", "effective", "until")), (F.col("bar_date") >= F.col("effective")) & (F.col("bar_date") < F.col("until")))
     peers = active.select("refit", "bar_date", F.col("symbol").alias("peer"), F.col("ret").alias("v"))
     forward = rets.select("symbol", "bar_date", F.col("ret").alias("fwd"))
-    pnl, kept = None, [c]
-    for least_one in least_corrs:
-        edges = network.fdr_edges(c, least_corr=least_one, by=("refit",))
-        both = edges.select("refit", F.col("src").alias("symbol"), F.col("dst").alias("peer"), "corr").unionByName(edges.select("refit", F.col("dst").alias("symbol"), F.col("src").alias("peer"), "corr"))
-        predicted = both.join(peers, ["refit", "peer"]).groupBy("symbol", "bar_date").agg(F.try_divide(F.sum(F.col("corr") * F.coalesce("v", F.lit(0.0))), F.sum(F.abs("corr"))).alias("predicted"))
-        spread = wide.join(predicted, ["symbol", "bar_date"], "left").withColumn("spread", F.col("ret") - F.col("predicted")).persist()
-        kept.append(spread)
-        for n in accums:
-            for z in thresholds:
-                w = books.dollar_neutral(books.fade_signal(spread, accum=n, lookback=lookback, least_z=z), "score").join(forward, ["symbol", "bar_date"], "left")
-                one = _net(w).select(F.lit(f"a{n}|z{z}|c{least_one}").alias("variant"), "bar_date", "net")
-                pnl = one if pnl is None else pnl.unionByName(one)
-    out = _verdict(pnl, rets, n_splits, purge, embargo)
-    for df in kept:
-        df.unpersist()
+    # one frame for all variants: the least correlation is a key of the spreads, the others are choices of the scores
+    edges = network.fdr_edges(c, by=("refit",))
+    both = edges.select("refit", F.col("src").alias("symbol"), F.col("dst").alias("peer"), "corr").unionByName(edges.select("refit", F.col("dst").alias("symbol"), F.col("src").alias("peer"), "corr"))
+    floors = F.explode(F.array(*map(F.lit, least_corrs)))
+    used = both.withColumn("least_corr", floors).where(F.abs("corr") >= F.col("least_corr"))
+    predicted = used.join(peers, ["refit", "peer"]).groupBy("least_corr", "symbol", "bar_date").agg(F.try_divide(F.sum(F.col("corr") * F.coalesce("v", F.lit(0.0))), F.sum(F.abs("corr"))).alias("predicted"))
+    spread = wide.withColumn("least_corr", floors).join(predicted, ["least_corr", "symbol", "bar_date"], "left").withColumn("spread", F.col("ret") - F.col("predicted"))
+    scored = books.fade_scores(spread, [(f"a{n}|z{z}", n, z) for n in accums for z in thresholds], lookback=lookback, keys=("least_corr", "symbol"))
+    named = scored.withColumn("variant", F.concat("variant", F.lit("|c"), F.col("least_corr").cast("string")))
+    weights = books.dollar_neutral(named, "score", by=("variant", "bar_date")).join(forward, ["symbol", "bar_date"], "left")
+    out = _verdict(_net_of_variants(weights), rets, n_splits, purge, embargo)
+    c.unpersist()
     return out
 
 
@@ -151,6 +156,13 @@ def _net(weights: DataFrame) -> DataFrame:
     return books.daily_pnl(books.constrain(weights.join(F.broadcast(research))))  # one row
 
 
+def _net_of_variants(weights: DataFrame) -> DataFrame:
+    """(variant, bar_date, net): each variant is a book of its own by the rules of the venue-feasible one."""
+    rules = books.books(weights.sparkSession).where("book = 'venue_feasible'").drop("book")
+    ruled = weights.withColumnRenamed("variant", "book").join(F.broadcast(rules))  # one row
+    return books.daily_pnl(books.constrain(ruled)).select(F.col("book").alias("variant"), "bar_date", "net")
+
+
 def _verdict(pnl: DataFrame, rets: DataFrame, n_splits: int, purge: int, embargo: int) -> dict:
     """The variants picked walk-forward, against luck, overfitting and the baselines."""
     pnl = pnl.persist()
@@ -172,22 +184,16 @@ def _verdict(pnl: DataFrame, rets: DataFrame, n_splits: int, purge: int, embargo
 
 def event_signal(betas: DataFrame, rets: DataFrame, specs: DataFrame, *, quantiles: tuple[float, ...] = tuple(EVENT_GRID["quantile"]), drifts: tuple[int, ...] = tuple(EVENT_GRID["drift"]), lags: tuple[int, ...] = tuple(EVENT_GRID["lag"]), n_splits: int = 5, purge: int = 5, embargo: int = 5) -> dict:
     """Differential exposure around events in a grid of variants, picked walk-forward and judged; ``betas`` by channel. Days without an event are held flat."""
-    pnl = None
-    forward = books.dense(rets, "ret").withColumnRenamed("ret", "fwd").persist()
-    for q in quantiles:
-        for d in drifts:
-            for lag in lags:
-                w = forward.join(events.drift_weights(betas, specs, drift=d, quantile=q, lag=lag), ["symbol", "bar_date"], "left")
-                one = _net(w).select(F.lit(f"q{q}|d{d}|l{lag}").alias("variant"), "bar_date", "net")
-                pnl = one if pnl is None else pnl.unionByName(one)
-    out = _verdict(pnl, rets, n_splits, purge, embargo)
-    forward.unpersist()
-    return out
+    forward = books.dense(rets, "ret").withColumnRenamed("ret", "fwd")
+    choices = [(f"q{q}|d{d}|l{lag}", q, d, lag) for q in quantiles for d in drifts for lag in lags]
+    names = F.explode(F.array(*(F.lit(name) for name, *_ in choices)))
+    weights = forward.withColumn("variant", names).join(events.drift_grid(betas, specs, choices), ["variant", "symbol", "bar_date"], "left")
+    return _verdict(_net_of_variants(weights), rets, n_splits, purge, embargo)
 
 
 def scenario_analysis(store: Store, *, as_of: str, weights: DataFrame | None = None, report_dir: str | None = None) -> dict:
     """All stylised scenarios on the newest exposures; those that touch no exposed channel are listed."""
-    exposed = risk.exposures(pit.PitReader(as_of, store.read).table("betas"))
+    exposed = risk.exposures(pit.latest_version(pit.PitReader(as_of, store.read).table("betas"), "symbol", "factor", "bar_date"))
     shocks = risk.scenarios(store.spark)
     priced = risk.reprice(exposed, shocks)
     out = {"as_of": as_of, "scenarios": [r.asDict() for r in risk.stress_summary(priced, "scenario").collect()], "skipped": [r[0] for r in risk.unshockable(exposed, shocks).collect()]}

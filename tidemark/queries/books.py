@@ -41,7 +41,7 @@ def residual_spread(t: Tables):
 
 _SIGNAL = f"""{_SPREAD}, acc AS (SELECT *, CASE WHEN count(spread) {_trail(5)} >= 2 THEN sum(spread) {_trail(5)} END AS a FROM sp),
     zs AS (SELECT *, CASE WHEN count(a) {_trail(60)} >= 30 THEN (a - avg(a) {_trail(60)}) / nullif(stddev_samp(a) {_trail(60)}, 0) END AS z FROM acc),
-    sig AS (SELECT symbol, bar_date, ret, lag(CASE WHEN abs(z) >= 0.5 THEN -z WHEN z IS NOT NULL THEN 0.0 END) OVER (PARTITION BY symbol ORDER BY bar_date) AS score FROM zs),
+    sig AS (SELECT symbol, bar_date, ret, lag(CASE WHEN abs(z) >= 0.5 THEN -z ELSE 0.0 END) OVER (PARTITION BY symbol ORDER BY bar_date) AS score FROM zs),
     cen AS (SELECT *, score - avg(score) OVER (PARTITION BY bar_date) AS c FROM sig),
     wts AS (SELECT symbol, bar_date, ret, CASE WHEN sum(abs(c)) OVER (PARTITION BY bar_date) > 1e-12 THEN coalesce(c / sum(abs(c)) OVER (PARTITION BY bar_date), 0) ELSE 0 END AS weight FROM cen)"""
 
@@ -65,16 +65,18 @@ def edge_schedule(t: Tables):
     return books.schedule(t.bars(), 120, 60)
 
 
-@add("variant_grid", "SELECT accum, z_threshold, least_corr, concat('accum=', accum, '|z_threshold=', z_threshold, '|least_corr=', least_corr) AS variant FROM (VALUES (1), (5), (10)) a(accum) CROSS JOIN (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) b(z_threshold) CROSS JOIN (VALUES (0.0::DOUBLE), (0.2::DOUBLE)) c(least_corr)")
+@add("variant_grid", "SELECT accum, z_threshold, least_corr, concat('accum=', accum, '|z_threshold=', z_threshold, '|least_corr=', least_corr) AS variant, greatest(0, (SELECT max(n) FROM days) - CASE accum WHEN 1 THEN 30 WHEN 5 THEN 31 ELSE 34 END) AS n_scored FROM (VALUES (1), (5), (10)) a(accum) CROSS JOIN (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) b(z_threshold) CROSS JOIN (VALUES (0.0::DOUBLE), (0.2::DOUBLE)) c(least_corr)", "days")
 def variant_grid(t: Tables):
-    """The grid that the stat-arb plan searches."""
-    return books.grid(t.spark, **runs.STATARB_GRID)
+    """The grid that the stat-arb plan searches, and for how many of the bars' days at most each variant has a score."""
+    days = t.bars().agg(F.count_distinct("bar_date").alias("n"))
+    return books.grid(t.spark, **runs.STATARB_GRID).join(F.broadcast(days)).withColumn("n_scored", F.greatest(F.lit(0), F.col("n") - 29 - F.when(F.col("accum") > 1, F.greatest(F.lit(2), F.floor(F.col("accum") / 2))).otherwise(1))).drop("n")  # one row
 
 
-@add("event_variant_grid", "SELECT quantile, drift, lag, concat('quantile=', quantile, '|drift=', drift, '|lag=', lag) AS variant FROM (VALUES (0.2::DOUBLE), (0.3::DOUBLE)) a(quantile) CROSS JOIN (VALUES (3), (5), (10)) b(drift) CROSS JOIN (VALUES (1), (2)) c(lag)")
+@add("event_variant_grid", "SELECT quantile, drift, lag, concat('quantile=', quantile, '|drift=', drift, '|lag=', lag) AS variant, (SELECT count(DISTINCT date_trunc('day', ts)) FROM events) * drift AS n_held FROM (VALUES (0.2::DOUBLE), (0.3::DOUBLE)) a(quantile) CROSS JOIN (VALUES (3), (5), (10)) b(drift) CROSS JOIN (VALUES (1), (2)) c(lag)")
 def event_variant_grid(t: Tables):
-    """The grid that the event plan searches."""
-    return books.grid(t.spark, **runs.EVENT_GRID)
+    """The grid that the event plan searches, and how many days at most the days with events hold a position."""
+    days = t.read("events").agg(F.count_distinct(F.to_date("ts")).alias("n"))
+    return books.grid(t.spark, **runs.EVENT_GRID).join(F.broadcast(days)).withColumn("n_held", F.col("n") * F.col("drift")).drop("n")  # one row
 
 
 _N = "(SELECT max(n) FROM days)"
@@ -193,14 +195,16 @@ def _normal(x: str) -> str:
     return f"(0.5 + 0.5 * sign({x}) * ({erf}))"
 
 
-#: Of four variants the best is expected at so many deviations.
-_BEST = judge.expected_best(1.0, 4)
-_DEFLATED = f"""{_VARIANTS}, m AS (SELECT variant, count(net) AS n, {_SHARPE.format('net')} AS sharpe, avg(net) AS mu FROM vp GROUP BY variant), g AS (SELECT variant, any_value(n) AS n, any_value(sharpe) AS sharpe, avg((net - mu) ** 2) AS m2, avg((net - mu) ** 3) AS m3, avg((net - mu) ** 4) AS m4 FROM vp JOIN m USING (variant) GROUP BY variant),
-    h AS (SELECT variant, n, sharpe, m3 / m2 ** 1.5 * sqrt(n * (n - 1.0)) / (n - 2) AS skew, (n - 1.0) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2 ** 2 - 3) + 6) + 3 AS kurtosis, stddev_samp(sharpe) OVER () * {_BEST!r} AS best FROM g),
+#: How many deviations the best of four skilless variants is expected at: normal quantiles by halving, weighted by Euler's constant (Mascheroni's), which is found as the limit of its series.
+_BEST = f"""halved AS (SELECT p, 0.0::DOUBLE AS lo, 10.0::DOUBLE AS hi, 0 AS i FROM (VALUES (1 - 1 / 4.0::DOUBLE), (1 - 1 / (4 * exp(1.0::DOUBLE)))) AS v(p) UNION ALL SELECT p, CASE WHEN {_normal('((lo + hi) / 2)')} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_normal('((lo + hi) / 2)')} < p THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM halved WHERE i < 48),
+    euler AS (SELECT sum(1.0::DOUBLE / k) - ln(100000.0::DOUBLE) - 1 / 200000.0::DOUBLE + 1 / 120000000000.0::DOUBLE AS e FROM range(1, 100001) AS r(k)),
+    expected AS (SELECT (1 - e) * min(lo) + e * max(lo) AS best FROM halved, euler WHERE i = 48 GROUP BY e)"""
+_DEFLATED = f"""{_BEST}, {_VARIANTS}, m AS (SELECT variant, count(net) AS n, {_SHARPE.format('net')} AS sharpe, avg(net) AS mu FROM vp GROUP BY variant), g AS (SELECT variant, any_value(n) AS n, any_value(sharpe) AS sharpe, avg((net - mu) ** 2) AS m2, avg((net - mu) ** 3) AS m3, avg((net - mu) ** 4) AS m4 FROM vp JOIN m USING (variant) GROUP BY variant),
+    h AS (SELECT variant, n, sharpe, m3 / m2 ** 1.5 * sqrt(n * (n - 1.0)) / (n - 2) AS skew, (n - 1.0) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2 ** 2 - 3) + 6) + 3 AS kurtosis, stddev_samp(sharpe) OVER () * (SELECT best FROM expected) AS best FROM g),
     x AS (SELECT *, (sharpe - best) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) AS x FROM h), ds AS (SELECT *, {_normal('x')} AS dsr FROM x)"""
 
 
-@add("deflated_sharpe", f"WITH {_DEFLATED} SELECT variant, {r('dsr')} AS dsr, {r('sharpe')} AS sr_observed, {r('best')} AS sr_benchmark, n AS n_obs, CAST(4 AS INTEGER) AS n_trials, dsr > 0.95 AS passes FROM ds", "panel")
+@add("deflated_sharpe", f"WITH RECURSIVE {_DEFLATED} SELECT variant, {r('dsr')} AS dsr, {r('sharpe')} AS sr_observed, {r('best')} AS sr_benchmark, n AS n_obs, CAST(4 AS INTEGER) AS n_trials, dsr > 0.95 AS passes FROM ds", "panel")
 def deflated_sharpe(t: Tables):
     rows = judge.moments(_variants(t), "variant").collect()  # one row a variant
     trial = [x["sharpe"] for x in rows]
@@ -218,15 +222,15 @@ def _judged(candidate: DataFrame, variants: DataFrame) -> dict:
     return judge.verdict(m["sharpe"] if m else None, base, dsr, pbo)
 
 
-_VERDICT = f"""{_WEIGHTS}, {_PBO}, cm AS (SELECT count(net) AS n, {_SHARPE.format('net')} AS sharpe, avg(net) AS mu FROM pnl WHERE book = 'venue_feasible'),
+_VERDICT = f"""{_BEST}, {_WEIGHTS}, {_PBO}, cm AS (SELECT count(net) AS n, {_SHARPE.format('net')} AS sharpe, avg(net) AS mu FROM pnl WHERE book = 'venue_feasible'),
     cg AS (SELECT any_value(n) AS n, any_value(sharpe) AS sharpe, avg((net - mu) ** 2) AS m2, avg((net - mu) ** 3) AS m3, avg((net - mu) ** 4) AS m4 FROM pnl, cm WHERE book = 'venue_feasible'),
-    bl AS (SELECT variant, {_SHARPE.format('net')} AS sharpe FROM vp GROUP BY variant), bs_ AS (SELECT max(sharpe) AS top, arg_max(variant, sharpe) AS best, stddev_samp(sharpe) * {_BEST!r} AS against FROM bl),
+    bl AS (SELECT variant, {_SHARPE.format('net')} AS sharpe FROM vp GROUP BY variant), bs_ AS (SELECT max(sharpe) AS top, arg_max(variant, sharpe) AS best, stddev_samp(sharpe) * (SELECT best FROM expected) AS against FROM bl),
     ch AS (SELECT n, sharpe, m3 / m2 ** 1.5 * sqrt(n * (n - 1.0)) / (n - 2) AS skew, (n - 1.0) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2 ** 2 - 3) + 6) + 3 AS kurtosis FROM cg),
     cx AS (SELECT sharpe, top, best, (sharpe - against) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) AS x, (SELECT avg(CASE WHEN logit <= 0 THEN 1 ELSE 0 END) FROM pbo) AS pbo FROM ch, bs_),
     cv AS (SELECT *, sharpe > top AS beats, {_normal('x')} > 0.95 AS deflated FROM cx)"""
 
 
-@add("promotion_verdict", f"WITH {_VERDICT} SELECT beats AND deflated AND pbo < 0.5 AS promoted, concat_ws(',', CASE WHEN NOT beats THEN 'beats_baselines' END, CASE WHEN NOT deflated THEN 'dsr' END, CASE WHEN pbo >= 0.5 THEN 'pbo' END) AS failed, best AS best_baseline, {r('sharpe')} AS candidate, {r('pbo')} AS pbo FROM cv", "panel")
+@add("promotion_verdict", f"WITH RECURSIVE {_VERDICT} SELECT beats AND deflated AND pbo < 0.5 AS promoted, concat_ws(',', CASE WHEN NOT beats THEN 'beats_baselines' END, CASE WHEN NOT deflated THEN 'dsr' END, CASE WHEN pbo >= 0.5 THEN 'pbo' END) AS failed, best AS best_baseline, {r('sharpe')} AS candidate, {r('pbo')} AS pbo FROM cv", "panel")
 def promotion_verdict(t: Tables):
     v = _judged(books.run_books(_weights(t), t.spark).where("book = 'venue_feasible'"), _variants(t))
     return t.spark.createDataFrame([(v["promoted"], ",".join(v["failed_checks"]), v["best_baseline"], v["candidate_net_sharpe"], v["pbo"])], "promoted boolean, failed string, best_baseline string, candidate double, pbo double")

@@ -174,9 +174,9 @@ def lei_backfill(t: Tables):
     return entities.backfill_leis(companies, _matches(t))
 
 
-@add("isin_backfill", f"WITH {_CODES}, g AS (SELECT p_partkey % 700 AS k, isin, p_partkey % 3 AS c FROM codes), s AS (SELECT k, count(DISTINCT isin) FILTER (c <> 2) AS n, min(isin) FILTER (c <> 2) AS one FROM g GROUP BY k) SELECT CAST(i AS BIGINT) AS uuid, CASE WHEN n = 1 THEN one END AS isin, CASE WHEN s.k IS NULL THEN 'none' WHEN n = 1 THEN 'single-equity' WHEN n > 1 THEN 'ambiguous-multi-equity' ELSE 'no-equity-class' END AS method, CASE WHEN n = 1 THEN 'written' ELSE 'needs_review' END AS status FROM range(1000) r(i) LEFT JOIN s ON s.k = i WHERE i % 4 <> 0")
+@add("isin_backfill", f"WITH {_CODES}, g AS (SELECT p_partkey % 700 AS k, isin, p_partkey % 3 AS c FROM codes), s AS (SELECT k, count(DISTINCT isin) FILTER (c <> 2) AS n, min(isin) FILTER (c <> 2) AS one FROM g GROUP BY k) SELECT CAST(i AS BIGINT) AS uuid, CASE WHEN n = 1 THEN one END AS isin, CASE WHEN s.k IS NULL THEN 'none' WHEN n = 1 THEN 'single-equity' WHEN n > 1 THEN 'ambiguous-multi-equity' ELSE 'no-equity-class' END AS method, CASE WHEN n = 1 THEN 'written' ELSE 'needs_review' END AS status FROM (SELECT c_custkey AS i FROM customer) r LEFT JOIN s ON s.k = i WHERE i % 4 <> 0")
 def isin_backfill(t: Tables):
-    companies = t.spark.range(1000).selectExpr("id as uuid", "'ZZZZZ' as ticker", "concat('L', id) as lei", "if(id % 4 = 0, 'known', null) as isin")
+    companies = t.read("customer").selectExpr("c_custkey as uuid", "'ZZZZZ' as ticker", "concat('L', c_custkey) as lei", "if(c_custkey % 4 = 0, 'known', null) as isin")
     return entities.backfill_isins(companies, _isins(t).selectExpr("concat('L', p_partkey % 700) as lei", "isin"))
 
 

@@ -65,9 +65,11 @@ def severity_by_type(t: Tables):
     return events.events(_typed(t)).groupBy("event_type").agg(F.avg("severity").alias("mean_severity"), F.count("severity").alias("n"))
 
 
-@add("quarter_hour_slots", "SELECT slot, concat(strftime(slot, '%Y%m%d%H%M%S'), '.gkg.csv.zip') AS name FROM (SELECT unnest(range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02 00:00:01', INTERVAL 15 MINUTE)) AS slot)")
+@add("quarter_hour_slots", "SELECT slot, concat(strftime(slot, '%Y%m%d%H%M%S'), '.gkg.csv.zip') AS name FROM (SELECT unnest(range(lo, hi + INTERVAL 1 SECOND, INTERVAL 15 MINUTE)) AS slot FROM (SELECT date_trunc('day', min(ts)) AS lo, date_trunc('day', max(ts)) AS hi FROM events))")
 def quarter_hour_slots(t: Tables):
-    return events.slots("2024-01-01 00:00:00", "2024-01-02 00:00:00", t.spark).withColumn("slot", F.col("slot").cast("timestamp_ntz"))
+    """All slots from the first day of the events to their last."""
+    lo, hi = t.read("events").agg(F.date_format(F.min("ts"), "yyyy-MM-dd 00:00:00"), F.date_format(F.max("ts"), "yyyy-MM-dd 00:00:00")).first()
+    return events.slots(lo, hi, t.spark).withColumn("slot", F.col("slot").cast("timestamp_ntz"))
 
 
 @add("quarter_hours", f"SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start, event_type, count(*) AS n, {r('sum(value)')} AS total FROM events GROUP BY 1, 2")
@@ -81,7 +83,7 @@ def _betas(t: Tables) -> DataFrame:
     return b.select("symbol", F.lit("XU100").alias("factor"), "bar_date", "beta").unionByName(b.select("symbol", F.lit("USDTRY").alias("factor"), "bar_date", (F.col("beta") * -0.5).alias("beta")).where("substring(symbol, 7, 1) != '5'"))
 
 
-_BETAS = f"{_SINGLE}, bt AS (SELECT symbol, 'market' AS channel, bar_date, beta FROM single WHERE n >= {LEAST} UNION ALL SELECT symbol, 'fx', bar_date, beta * -0.5 FROM single WHERE n >= {LEAST} AND substr(symbol, 7, 1) <> '5'), ex AS (SELECT symbol, channel, arg_max(beta, bar_date) AS beta FROM bt GROUP BY symbol, channel)"
+_BETAS = f"{_SINGLE}, bt AS (SELECT symbol, 'market' AS channel, bar_date, beta FROM single WHERE n >= {LEAST} UNION ALL SELECT symbol, 'fx', bar_date, beta * -0.5 FROM single WHERE n >= {LEAST} AND substr(symbol, 7, 1) <> '5'), ex AS (SELECT symbol, channel, max(CASE WHEN bar_date = last THEN beta END) AS beta FROM (SELECT *, max(bar_date) OVER (PARTITION BY channel) AS last FROM bt) GROUP BY symbol, channel)"
 _SHOCKS = "shk AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c}', {s}::DOUBLE)" for n, p in risk.SCENARIOS.items() for c, s in p.items()) + ") v(scenario, channel, shock))"
 _REPRICED = f"{_BETAS}, {_SHOCKS}, us AS (SELECT * FROM shk WHERE scenario IN (SELECT scenario FROM shk WHERE channel IN (SELECT channel FROM ex))), nn AS (SELECT scenario, count(*) AS n FROM us GROUP BY scenario), rp AS (SELECT nn.scenario, s.symbol, coalesce(sum(ex.beta * us.shock), 0) AS pnl, count(ex.beta) / any_value(nn.n) AS coverage FROM nn CROSS JOIN (SELECT DISTINCT symbol FROM ex) s JOIN us ON us.scenario = nn.scenario LEFT JOIN ex ON ex.symbol = s.symbol AND ex.channel = us.channel GROUP BY nn.scenario, s.symbol)"
 
@@ -244,6 +246,18 @@ def control_cycles(t: Tables):
     return graph.components(whole)
 
 
+_RINGED = "SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS first, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier"
+
+
+@add("control_rings", f"SELECT s_suppkey AS node, first AS component FROM ({_RINGED})")
+def control_rings(t: Tables):
+    """The suppliers of each nation in one ring, however long, and two links out of it that close nothing."""
+    by = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = t.read("supplier").select("s_suppkey", F.coalesce(F.lead("s_suppkey").over(by), F.first("s_suppkey").over(by)).alias("dst"))
+    out = s.selectExpr("s_suppkey as src", "s_suppkey + 1000000000000 as dst").union(s.selectExpr("s_suppkey + 2000000000000", "s_suppkey"))
+    return graph.components(s.selectExpr("s_suppkey as src", "dst").union(out))
+
+
 @add("control_cycles_none", "SELECT s_suppkey AS node, s_suppkey AS component FROM supplier WHERE false")
 def control_cycles_none(t: Tables):
     return graph.components(t.controls())

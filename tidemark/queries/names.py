@@ -52,6 +52,38 @@ def entity_type(t: Tables):
     return _names(t).select("c_custkey", kind.alias("etype"), I.type_conflict(kind, F.lit("BANK")).alias("conflict"))
 
 
+def _all_words() -> list[tuple[int, str, tuple[str, ...]]]:
+    """(rank, kind, words) of every group of words that makes a name one of a kind."""
+    return [(rank, kind, words) for rank, (kind, groups) in enumerate(I.KINDS) for words in groups]
+
+
+_SAID = "[" + ", ".join(f"'{' '.join(w.replace('BANK*', 'KALKINMABANKASI') for w in words)}'" for _, _, words in _all_words()) + ", 'TEKSTIL']"
+_GROUPS = "(VALUES " + ", ".join(f"({rank}, '{kind}', [{', '.join(repr(w) for w in words)}])" for rank, kind, words in _all_words()) + ") g(rank, kind, words)"
+
+
+#: Every customer's name with the words of one group, and of another one, so that precedence shows.
+@add("entity_kinds", f"WITH n AS (SELECT c_custkey, string_split(concat('FIRMA ', {_SAID}[1 + c_custkey % {len(_all_words()) + 1}], ' ', {_SAID}[1 + c_custkey // 7 % {len(_all_words()) + 1}]), ' ') AS t FROM customer), m AS (SELECT c_custkey, kind, row_number() OVER (PARTITION BY c_custkey ORDER BY rank) AS k FROM n, {_GROUPS} WHERE len(list_filter(words, lambda w: CASE WHEN w = 'BANK*' THEN len(list_filter(t, lambda x: regexp_matches(x, 'BANK(ASI)?$'))) > 0 ELSE list_contains(t, w) END)) = len(words)) SELECT c.c_custkey, m.kind AS etype FROM customer c LEFT JOIN m ON m.c_custkey = c.c_custkey AND m.k = 1")
+def entity_kinds(t: Tables):
+    said = [" ".join(w.replace("BANK*", "KalkınmaBankası") for w in words) for _, _, words in _all_words()] + ["Tekstil"]
+    word = lambda place: F.get(F.array(*map(F.lit, said)), (place % len(said)).cast("int"))
+    key = F.col("c_custkey")
+    name = F.concat_ws(" ", F.lit("Firma"), word(key), word(F.floor(key / 7)))
+    return t.read("customer").select("c_custkey", I.entity_type(name).alias("etype"))
+
+
+_NEEDLES = "[" + ", ".join(f"'{needle}'" for needle, _ in I.CLASSES) + ", 'BANKALAR']"
+
+
+@add("universe_classes", f"WITH s AS (SELECT c_custkey, CASE c_custkey % 11 WHEN 9 THEN '' WHEN 10 THEN NULL ELSE concat('BIST ', {_NEEDLES}[1 + c_custkey % {len(I.CLASSES) + 1}], 'LARI ', {_NEEDLES}[1 + c_custkey // 5 % {len(I.CLASSES) + 1}]) END AS sector FROM customer) SELECT c_custkey, CASE WHEN sector IS NULL OR sector = '' THEN NULL " + " ".join(f"WHEN contains(sector, '{needle}') THEN '{name}'" for needle, name in I.CLASSES) + " ELSE 'operating' END AS universe_class FROM s")
+def universe_classes(t: Tables):
+    """Every class, and sectors that two of them fit."""
+    needles = [needle for needle, _ in I.CLASSES] + ["BANKALAR"]
+    word = lambda place: F.get(F.array(*map(F.lit, needles)), (place % len(needles)).cast("int"))
+    key = F.col("c_custkey")
+    sector = F.when(key % 11 == 9, "").when(key % 11 == 10, F.lit(None)).otherwise(F.concat(F.lit("BIST "), word(key), F.lit("LARI "), word(F.floor(key / 5))))
+    return t.read("customer").select("c_custkey", I.universe_class(sector).alias("universe_class"))
+
+
 @add("identity_tokens", "SELECT c_custkey, upper(concat('SIRKET,O', c_custkey, ',', c_mktsegment)) AS own FROM customer")
 def identity_tokens(t: Tables):
     return _names(t).select("c_custkey", F.array_join(I.identity_tokens(F.col("name")), ",").alias("own"))
@@ -275,7 +307,7 @@ def smoke_status(t: Tables):
     return monitors.smoke_status(rep, n.selectExpr("concat('s', n_nationkey) as source"), "2024-03-10")
 
 
-@add("heartbeat", "SELECT false AS green, 'collisions' AS reasons")
+@add("heartbeat", f"WITH h AS ({CATALOG.sql['bridge_health']}) SELECT n_collisions = 0 AND n_below_floor <= 1 AS green, concat_ws(',', CASE WHEN n_collisions <> 0 THEN 'collisions' END, CASE WHEN n_below_floor > 1 THEN 'floors' END) AS reasons FROM h")
 def heartbeat(t: Tables):
     h = monitors.bridge_health(_people(t))
     return monitors.heartbeat({"collisions": F.col("n_collisions") == 0, "floors": F.col("n_below_floor") <= 1}, h)

@@ -121,10 +121,13 @@ def regime_break_by_factor(t: Tables):
     return factors.break_by_factor(factors.regime_break(_labelled_betas(t), "before", "after", nearest=50))
 
 
-@add("factor_manifest", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(factors.ladder_order())) + ") v(position, factor)")
+@add("factor_manifest", "SELECT position, v.factor, coalesce(n, 0) AS n_levels, last FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(factors.ladder_order())) + ") v(position, factor) LEFT JOIN (SELECT CASE factor WHEN 'MKT' THEN 'XU100' WHEN 'FX' THEN 'USDTRY' ELSE factor END AS factor, count(*) AS n, max(bar_date) AS last FROM levels GROUP BY 1) x ON x.factor = v.factor", "levels")
 def factor_manifest(t: Tables):
+    """The manifest in its order, and the levels there are of each factor."""
     factors.validate_manifest()
-    return t.spark.createDataFrame(list(enumerate(factors.ladder_order())), "position int, factor string")
+    order = t.spark.createDataFrame(list(enumerate(factors.ladder_order())), "position int, factor string")
+    levels = t.factor_levels().replace({"MKT": "XU100", "FX": "USDTRY"}, subset="factor").groupBy("factor").agg(F.count("*").alias("n"), F.max("bar_date").alias("last"))
+    return order.join(levels, "factor", "left").select("position", "factor", F.coalesce("n", F.lit(0)).alias("n_levels"), "last")
 
 
 def _panel(t: Tables) -> DataFrame:

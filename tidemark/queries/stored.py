@@ -6,14 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import books, events, graph, network, risk
 from ..plans import onboarding, runs
-from ..sources import adapter, members, reference
+from ..sources import adapter, graphload, landing, members, parsers, reference
 from ..sources.store import Store
 from ..tables import shared_folder
 from ..views import Tables
-from . import reads
-from .base import AS_OF, VIEWS, Catalog
+from . import graphs, reads
+from .base import AS_OF, VIEWS, Catalog, r
 from .names import _CODES, _isins
 
 CATALOG = Catalog()
@@ -125,3 +125,87 @@ def board_interlocks(t: Tables):
 def board_seats(t: Tables):
     rows = t.read("lineitem").selectExpr("l_partkey as src", "l_suppkey as dst", "l_returnflag as role", "to_date(l_shipdate) as since")
     return graph.board_seats(rows, t.read("part").where("p_partkey % 10 != 0").selectExpr("p_partkey as uuid"), t.read("supplier").where("s_suppkey % 10 != 0").selectExpr("s_suppkey as uuid"))
+
+
+#: Suppliers as companies, nations as sectors within regions, customers as people; the second load has other properties for every third pair.
+_LOADED = """
+    SELECT 'subsector_of' AS kind, concat('n', n_nationkey) AS src, concat('r', n_regionkey) AS dst, '' AS said FROM nation
+    UNION ALL SELECT 'in_sector', concat('s', s_suppkey), concat('n', s_nationkey), 'register' FROM supplier
+    UNION ALL SELECT 'holds_stake', concat('s', s_suppkey // 2), concat('s', s_suppkey), CASE WHEN s_suppkey % 3 = 0 THEN '2 second' ELSE '1 first' END FROM supplier WHERE s_suppkey > 1
+    UNION ALL SELECT 'holds_stake', concat('c', c_custkey), concat('s', c_custkey), '1 first' FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)
+    UNION ALL SELECT 'controls', concat('s', s_suppkey // 2), concat('s', s_suppkey), 'votes' FROM supplier WHERE s_suppkey > 1
+    UNION ALL SELECT 'board_member_of', concat('c', c_custkey), concat('s', c_custkey), 'chair' FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)
+"""
+
+
+@add("graph_load", _LOADED)
+def graph_load(t: Tables):
+    """Everything stored by two loads of typed edges; those to nobody are left out."""
+    store = _store(t)
+    s, c = t.read("supplier"), t.read("customer")
+    sectors = t.read("region").selectExpr("concat('r', r_regionkey) as code", "r_name as name", "1 as level", "cast(null as string) as parent").unionByName(t.read("nation").selectExpr("concat('n', n_nationkey) as code", "n_name as name", "2 as level", "concat('r', n_regionkey) as parent"))
+    graphload.load_sectors(store, sectors)
+    held = s.where("s_suppkey > 1").selectExpr("concat('s', s_suppkey div 2) as src", "concat('s', s_suppkey) as dst", "'Company' as label", "1D as pct", "'first' as source", "s_suppkey as k")
+    seats = c.selectExpr("concat('c', c_custkey) as src", "concat('s', c_custkey) as dst")
+    graphload.load_all(
+        store,
+        {"company": s.selectExpr("concat('s', s_suppkey) as uuid", "s_name as name"), "person": c.selectExpr("concat('c', c_custkey) as uuid", "c_name as name")},
+        {"in_sector": s.selectExpr("concat('s', s_suppkey) as src", "concat('n', s_nationkey) as dst", "'register' as source"), "holds_stake": held.drop("k").unionByName(seats.selectExpr("src", "dst", "'Person' as label", "1D as pct", "'first' as source")), "controls": held.selectExpr("src", "dst", "'votes' as basis"), "board_member_of": seats.withColumn("role", F.lit("chair"))},
+    )
+    graphload.load_edges(store, "holds_stake", held.where("k % 3 = 0").withColumn("pct", F.lit(2.0)).withColumn("source", F.lit("second")))
+    said = {"subsector_of": F.lit(""), "in_sector": F.col("source"), "holds_stake": F.concat(F.col("pct").cast("int"), F.lit(" "), "source"), "controls": F.col("basis"), "board_member_of": F.col("role")}
+    out = None
+    for kind, column in said.items():
+        one = store.read(kind).select(F.lit(kind).alias("kind"), "src", "dst", column.alias("said"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@add("land_series", "SELECT factor, count(*) AS n, min(bar_date) AS first, max(bar_date) AS last, max(knowledge_date) AS known FROM (SELECT DISTINCT 'CPI' AS factor, CAST(date_trunc('month', o_orderdate) AS DATE) AS bar_date, CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS DATE) + 2 AS knowledge_date FROM orders UNION ALL SELECT DISTINCT 'VIX', CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT DISTINCT 'CDS', CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) FROM orders WHERE o_orderdate >= DATE '1997-01-01') GROUP BY factor")
+def land_series(t: Tables):
+    """Three kinds of series landed, and landed again: what the store has of each."""
+    store, o = _store(t), t.read("orders")
+    cpi = F.struct(F.date_format("o_orderdate", "yyyy-M").alias("Tarih"), F.lit("1.5").alias("TP_FG_J0"))
+    vix = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.when(F.col("o_orderkey") % 7 == 0, ".").otherwise("19.5").alias("value"))
+    cds = F.struct(F.create_map(F.lit("1"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("DATA_VAL"), F.lit(3.0).alias("CLOSE_VAL"))).alias("quote"))
+    payload = lambda name, x: o.select(F.to_json(F.struct(x.alias(name))).alias("payload"))
+    rows = landing.cpi_rows(payload("items", F.array(cpi))).unionByName(landing.macro_rows(payload("observations", F.array(vix)), "VIX")).unionByName(landing.rate_rows(payload("result", cds), "CDS", start="1997-01-01"))
+    for _ in range(2):
+        landing.land_series(store, rows)
+    return store.read("factors").groupBy("factor").agg(F.count("*").alias("n"), F.min("bar_date").alias("first"), F.max("bar_date").alias("last"), F.max("knowledge_date").alias("known"))
+
+
+@add("parent_map", "SELECT dst AS child, src AS parent FROM controls WHERE src > 0 UNION SELECT s_suppkey, s_suppkey // 3 FROM supplier WHERE s_suppkey > 2", "controls")
+def parent_map(t: Tables):
+    return graph.parents(t.controls(), t.read("supplier").where("s_suppkey > 2").selectExpr("s_suppkey as src", "s_suppkey div 3 as dst"))
+
+
+@add("signal_panels", f"WITH k AS (SELECT symbol FROM returns WHERE ret IS NOT NULL GROUP BY symbol HAVING count(*) >= 60), g AS (SELECT symbol, bar_date FROM k, (SELECT DISTINCT bar_date FROM returns WHERE ret IS NOT NULL AND symbol IN (SELECT symbol FROM k))) SELECT g.symbol, g.bar_date, {r('x.ret')} AS x, {r('CASE WHEN month(g.bar_date) % 2 = 1 THEN x.ret * 2 ELSE x.ret END')} AS ret, CASE WHEN x.symbol IS NOT NULL THEN month(g.bar_date) % 2 = 1 END AS is_limit_lock, CASE WHEN day(g.bar_date) <= 7 THEN day(g.bar_date) % 2 = 0 END AS short_eligible FROM g LEFT JOIN (SELECT * FROM returns WHERE ret IS NOT NULL) x ON x.symbol = g.symbol AND x.bar_date = g.bar_date", "returns")
+def signal_panels(t: Tables):
+    """Returns of odd months come twice, the second time threefold and locked; short eligibility is known for the first week of a month."""
+    own = t.returns().where("ret is not null")
+    rets = own.selectExpr("symbol", "bar_date", "ret", "false as limit_lock_adj").unionByName(own.where("month(bar_date) % 2 = 1").selectExpr("symbol", "bar_date", "ret * 3 as ret", "true as limit_lock_adj"))
+    days = own.select("bar_date").distinct().where("day(bar_date) <= 7")
+    shorts = own.select("symbol").distinct().join(F.broadcast(days.agg(F.collect_set("bar_date").alias("d")))).select("symbol", F.explode("d").alias("bar_date")).withColumn("short_eligible", F.day("bar_date") % 2 == 0)  # days are few
+    return books.signal_panels(network.panel(own.withColumnRenamed("ret", "residual"), "residual", 60), rets, shorts)
+
+
+@add("exposure_panels", f"WITH {graphs._BETAS}, m AS (SELECT channel, symbol, bar_date, CASE WHEN day(bar_date) <= 15 THEN beta * 2 ELSE beta END AS beta FROM bt), g AS (SELECT channel, symbol, bar_date FROM (SELECT DISTINCT channel, symbol FROM m), (SELECT DISTINCT bar_date FROM bars WHERE month(bar_date) <= 6)) SELECT g.channel, g.symbol, g.bar_date, {r('m.beta')} AS beta FROM g LEFT JOIN m ON m.channel = g.channel AND m.symbol = g.symbol AND m.bar_date = g.bar_date", "returns market")
+def exposure_panels(t: Tables):
+    """Betas of the first half of a month come twice, the second time threefold; the days asked for are those of the years' first halves. No factor stands for energy."""
+    b = graphs._betas(t)
+    twice = b.unionByName(b.where("day(bar_date) <= 15").withColumn("beta", F.col("beta") * 3))
+    return events.exposure_panels(twice, {"market": "XU100", "fx": "USDTRY", "energy": "BRENT"}, t.bars().where("month(bar_date) <= 6").select("bar_date"))
+
+
+@add("type_stress", f"WITH {graphs._BETAS}, {graphs._NEWS}, {graphs._PRIOR}, ty AS (SELECT event_type, count(*) AS n_events, coalesce(avg(severity), 1.0) AS mean_severity FROM ev GROUP BY event_type), shk AS (SELECT event_type AS scenario, channel, shock_sign * mean_severity AS shock FROM ty JOIN pr USING (event_type)), us AS (SELECT * FROM shk WHERE scenario IN (SELECT scenario FROM shk WHERE channel IN (SELECT channel FROM ex))), nn AS (SELECT scenario, count(*) AS n FROM us GROUP BY scenario), rp AS (SELECT nn.scenario, s.symbol, coalesce(sum(ex.beta * us.shock), 0) AS pnl, count(ex.beta) / any_value(nn.n) AS coverage FROM nn CROSS JOIN (SELECT DISTINCT symbol FROM ex) s JOIN us ON us.scenario = nn.scenario LEFT JOIN ex ON ex.symbol = s.symbol AND ex.channel = us.channel GROUP BY nn.scenario, s.symbol) SELECT scenario AS event_type, any_value(n_events) AS n_events, {r('any_value(mean_severity)')} AS mean_severity, count(*) AS n, {r('avg(pnl)')} AS mean_pnl, {r('min(pnl)')} AS worst, {r('max(pnl)')} AS best, {r('avg(coverage)')} AS mean_coverage FROM rp JOIN ty ON event_type = scenario GROUP BY scenario", "returns market")
+def type_stress(t: Tables):
+    return risk.type_stress(risk.exposures(graphs._betas(t)), events.events(graphs._typed(t)))
+
+
+@add("relation_documents", f"SELECT concat('P', l_suppkey) AS parent, concat('C', l_partkey) AS child, {r('arg_max(l_quantity, l_orderkey * 10 + l_linenumber)')} AS pct FROM lineitem GROUP BY 1, 2")
+def relation_documents(t: Tables):
+    """A document of relations for each supplier; of a pair that is listed twice the last one counts."""
+    item = F.struct(F.struct("l_orderkey", "l_linenumber").alias("at"), F.struct(F.concat(F.lit("P"), "l_suppkey").alias("parent"), F.concat(F.lit("C"), "l_partkey").alias("child"), F.col("l_quantity").cast("double").alias("pct")).alias("r"))
+    listed = t.read("lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(item)).alias("items")).select(F.to_json(F.struct(F.transform("items", lambda x: x["r"]).alias("relations"))).alias("payload"))
+    return reference.newest_relations(parsers.relations(listed)).select("parent", "child", "pct")

@@ -66,6 +66,10 @@ STEPS: tuple[tuple[int, str, str, str], ...] = (
     (2, "issues", "source", "string"),
     (2, "issues", "extraction_method", "string"),
     (2, "issues", "confidence", "double"),
+    *((2, edge, "extraction_method", "string") for edge in ("holds_stake", "controls", "subsidiary_of", "board_member_of")),
+    (2, "subsidiary_of", "confidence", "double"),
+    (2, "board_member_of", "confidence", "double"),
+    (2, "board_member_of", "source", "string"),
     (2, "in_sector", "source", "string"),
     (2, "in_sector", "as_of", "date"),
 )

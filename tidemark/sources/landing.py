@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import Refused
 from ..functions import identity as I
 from ..operators import events, returns
+from ..tables import cut
 from . import parsers
 from .store import Store, write_report
 
@@ -40,6 +41,32 @@ def flow_rows(payloads: DataFrame) -> DataFrame:
     return first.withColumn("source", F.lit("central_bank"))
 
 
+def cpi_rows(payloads: DataFrame, factor: str = "CPI") -> DataFrame:
+    """Monthly consumer prices as a factor's levels, known by their release."""
+    return parsers.consumer_prices(payloads, factor).withColumn("source", F.lit("central_bank"))
+
+
+def macro_rows(payloads: DataFrame, factor: str) -> DataFrame:
+    """A daily macro series of observations, such as an index of volatility; missing days are no levels."""
+    return parsers.observations(payloads, factor).withColumn("source", F.lit("macro"))
+
+
+def rate_rows(payloads: DataFrame, factor: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """A bond's yield or a swap's spread by day, within a span."""
+    return parsers.quotes(payloads, factor, start, end).withColumn("source", F.lit("bonds"))
+
+
+def land_series(store: Store, rows: DataFrame, *, report_dir: str | None = None) -> dict:
+    """Levels of one or several series, whatever they were parsed from; with the last day and what it was known by for each, so a gap between the two shows."""
+    got = cut(rows, "series")
+    out = land(store, "factors", got)
+    each = got.groupBy("factor").agg(F.count("*").alias("n"), F.min("bar_date").alias("first"), F.max("bar_date").alias("last"), F.max("knowledge_date").alias("known"))
+    out["series"] = {r["factor"]: {c: r[c] for c in ("n", "first", "last", "known")} for r in each.collect()}  # a row for each series
+    if report_dir:
+        write_report(report_dir, "land_series", out)
+    return out
+
+
 def event_rows(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, targets, skipped): typed events, their channels by the prior, and (status, n) of what is none."""
     typed = events.typed(records)

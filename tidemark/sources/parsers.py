@@ -92,6 +92,20 @@ def news_or_drift(lines: DataFrame) -> DataFrame:
     return out
 
 
+def refuse_count_drift(found: DataFrame, expected: int, what: str) -> None:
+    """A known slice has to come to as many records as it did when it was captured."""
+    n = found.count()
+    if n != expected:
+        raise Drift(f"{what}: {n} records instead of {expected}")
+
+
+def relations(documents: DataFrame) -> DataFrame:
+    """(parent, child, pct, as_of, row) of reference documents with relations, in their order; a document without any gives none."""
+    form = "struct<relations:array<struct<parent:string,child:string,pct:double,as_of:string>>>"
+    rows = documents.select(F.posexplode(json_column(documents, form).getField("relations")).alias("row", "r"))
+    return rows.select("r.parent", "r.child", "r.pct", F.substring("r.as_of", 1, 10).try_cast("date").alias("as_of"), "row").where("parent is not null and child is not null")
+
+
 def plain(html: Column) -> Column:
     """HTML as text: no scripts, styles or tags, common entities as characters, single spaces."""
     t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " ")

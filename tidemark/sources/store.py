@@ -123,8 +123,8 @@ class Store:
         """Rows in folders nobody reads yet; the parts they are."""
         commit, day = uuid.uuid4().hex, self._day(table)
         rows = df.withColumn("commit", F.lit(commit))
-        if day:  # dealt by month first, so that a task writes few files
-            rows.withColumn("month", F.date_format(day, "yyyy-MM")).repartition("month").write.mode("append").partitionBy("month", "commit").parquet(self._path(table))
+        if day:  # dealt by month first, so that a task writes few files; a large month goes to several tasks
+            rows.withColumn("month", F.date_format(day, "yyyy-MM")).hint("rebalance", F.col("month")).write.mode("append").partitionBy("month", "commit").parquet(self._path(table))
             files, at = self._files
             found = files.globStatus(at(f"{self._path(table)}/month=*/commit={commit}")) or []
             return [[f.getPath().getParent().getName().removeprefix("month="), commit] for f in found]
@@ -230,6 +230,14 @@ class Store:
         before, steps = self._begin(table)
         self._commit(table, before, [], steps)
 
+    def bootstrap(self) -> list[str]:
+        """Every table of the schema, empty where it is not there yet; those that were made now. A second time there are none."""
+        made = [t for t in STORED if not self._exists(f"{self.root}/{t}")]
+        for table in made:
+            before, steps = self._begin(table)
+            self._commit(table, before, [], steps)
+        return made
+
     def migrate(self) -> list[tuple[str, int, str]]:
         """Bring all stored tables to this version; the (table, version, column) that were applied now. A second time there are none."""
         done = []
@@ -282,9 +290,20 @@ def plain_json(x):
 
 
 def write_report(folder: str, name: str, payload: dict) -> str:
+    """A small JSON file, in a local folder or, by a path with a scheme, in any store that Spark reaches."""
+    text = json.dumps({**plain_json(payload), "written_at": datetime.now(timezone.utc).isoformat()}, ensure_ascii=False, indent=2)
+    if ":/" in folder:
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise Refused(f"no session to reach {folder} by")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.json")
+        stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+        stream.write(text.encode())
+        stream.close()
+        return str(at.toString())
     path = Path(folder) / f"{name}.json"
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps({**plain_json(payload), "written_at": datetime.now(timezone.utc).isoformat()}, ensure_ascii=False, indent=2))
+    path.write_text(text)
     return str(path)
 
 
