@@ -97,3 +97,28 @@ def test_odd_rows_and_small_tables(spark, odd, none):
     assert imatch.compare(none).count() == 0
     with pytest.raises(TypeError):
         imatch.compare(spark.createDataFrame([(b"x", "a")], "doc_id binary, text string"))
+
+
+@pytest.mark.parametrize("names", [["ftp://x", "zeta", "it's", "back\\slash", "Ü"], []])
+def test_ranges_of_keys_that_begin_alike(spark, names):
+    keys = [f"https://site.example/{i}" for i in range(1000)] + names
+    df = spark.createDataFrame([(k, f"text {k}") for k in keys], "k string, t string")
+    sizes = [r["count"] for r in imatch.neighbours(df, bucket_rows=201).where("not _ghost").groupBy("_bucket").count().collect()]
+    assert len(sizes) == 5 and sum(sizes) == len(keys) and max(sizes) < 1.5 * min(sizes)
+
+
+def test_ranges_of_one_key(spark):
+    df = spark.createDataFrame([("same", f"text {i}") for i in range(1000)] + [(None, f"other {i}") for i in range(500)], "k string, t string")
+    sizes = [r["count"] for r in imatch.neighbours(df, bucket_rows=150).where("not _ghost").groupBy("_bucket").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 2 * min(sizes)
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "decimal(20,3)", "int"])
+def test_other_kinds_of_keys(spark, monkeypatch, kind):
+    whole = imatch.neighbours
+    monkeypatch.setattr(imatch, "neighbours", lambda d: whole(d, bucket_rows=7))
+    docs = spark.range(60).selectExpr(f"cast(id * 7 % 61 as {'timestamp' if kind == 'timestamp' else kind}) as doc_id", "concat('a word ', id, ' and ', id % 7, ' more of them') as text")
+    got = imatch.compare(docs, low=0.02, high=0.5)
+    plain = imatch.compare(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), low=0.02, high=0.5)
+    drop = lambda df: sorted(tuple(r)[1:] for r in df.collect())
+    assert drop(got) == drop(plain)

@@ -11,9 +11,10 @@ A term is in the lexicon if at least ``low`` of all documents have it, so there
 most (mean distinct terms of a document) / low such terms at any size of the corpus; this
 bounded list is part of the query plan. Everything is DataFrame and SQL functions.
 
-The next document of each is found in ranges of keys bounded by their quantiles; a key
-with more rows than a range is dealt to several by a hash of its texts, so no range
-depends on how keys are spread.
+The next document of each is found in ranges of keys and, within a key, of a hash of the
+text. Bounds are keys of the table itself, from Spark's range partitioning, so no range
+depends on how keys are spread or what they look like, and a key with many rows is dealt
+to several. (Rows of equal key and text are the same row; they stay together.)
 
 Defined cases: a null text is an empty one; a text with fewer than ``FEW`` lexicon terms
 is fingerprinted by all its terms, without any by its whole text; equal texts have equal
@@ -25,6 +26,7 @@ row is followed by itself; an empty table gives no rows; extra columns are ignor
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,20 +109,17 @@ def fingerprints(docs: DataFrame, words: list[list[int]], *, key: str = "doc_id"
     return df.select(key, shown(F.col("_print")).alias("fingerprint"))
 
 
-def _place_of(keys: DataFrame) -> str:
-    """SQL for a number that never falls as column k grows."""
-    kind = keys.schema["k"].dataType
-    if isinstance(kind, T.NumericType):
-        return "cast(k as double)"
-    if isinstance(kind, (T.DateType, T.TimestampType)):
-        return "cast(unix_micros(cast(k as timestamp)) as double)"
-    if not isinstance(kind, T.StringType):
-        raise TypeError(f"no ranges for keys of type {kind.simpleString()}")
-    low, high = keys.agg(F.min("k"), F.max("k")).first()
-    low, high = (low or "").encode(), (high or "").encode()
-    same = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-    # six bytes behind what all keys begin with
-    return f"cast(conv(hex(rpad(substring(cast(k as binary), {same + 1}, 6), 6, x'00')), 16, 10) as double)"
+def _bounds(keyed: DataFrame, ranges: int) -> list[tuple]:
+    """Where the ranges of (k, _g) but the first begin: Spark's own range partitioning of the keys, without texts."""
+    if ranges < 2:
+        return []
+    firsts = keyed.repartitionByRange(ranges, F.col("k").asc_nulls_first(), "_g").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("k", "_g")).alias("first"))
+    return [tuple(r["first"]) for r in firsts.orderBy("p").collect()][1:]  # a row for each range
+
+
+def _plain(key):
+    """A key as JSON; a bound need not be exact, only the same everywhere."""
+    return key if isinstance(key, (int, float, str, type(None))) else float(key) if isinstance(key, Decimal) else key.isoformat()
 
 
 def neighbours(docs: DataFrame, bucket_rows: int = 2000, most_buckets: int = 20_000) -> DataFrame:
@@ -128,45 +127,37 @@ def neighbours(docs: DataFrame, bucket_rows: int = 2000, most_buckets: int = 20_
 
     A range's next row lies in another one; that row is sent there too, as a ghost. The
     last row's next one is the first. Ranges hold ``bucket_rows`` rows, more from
-    ``bucket_rows * most_buckets`` rows on; the driver gets a few numbers for each.
+    ``bucket_rows * most_buckets`` rows on; the driver gets one key for each.
     """
-    rows, nulls = docs.agg(F.count("*"), F.count_if(F.col("k").isNull())).first()
+    kind = docs.schema["k"].dataType
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.StringType)):
+        raise TypeError(f"no ranges for keys of type {kind.simpleString()}")
+    rows = docs.count()
     each = max(bucket_rows, rows // most_buckets)
-    place = _place_of(docs.select("k"))
-    shares = [i * each / rows for i in range(1, -(-rows // each))]
-    bounds = docs.where("k is not null").selectExpr(f"percentile_approx({place}, array({', '.join(map(repr, shares))}), {10 * len(shares) + 100})").first()[0] if shares else None
-    bounds = sorted(set(bounds or []))
-    often = docs.where("k is not null").groupBy("k").count().where(F.col("count") > each).withColumn("place", F.expr(place))
-    hot: dict[int, tuple] = {}  # the key with most rows of each range that has such keys
-    for k, n, at in sorted(often.collect(), key=lambda r: r[1]):  # rows / each at most
-        hot[sum(b <= at for b in bounds)] = (k, 1 + n // each)
-    parts = max([1, 1 + nulls // each, *(n for _, n in hot.values())])
-    table = f"from_json('{json.dumps(bounds)}', 'array<double>')"  # folded to a constant before execution
+    keyed = docs.withColumn("_g", F.xxhash64("t"))
+    bounds = _bounds(keyed.select("k", "_g"), -(-rows // each))
+    text = json.dumps([{"k": _plain(k), "g": g} for k, g in bounds])
+    table = f"from_json({_quoted(text)}, 'array<struct<k:{kind.simpleString()},g:bigint>>')"  # folded to a constant before execution
     middle = "cast((s.l + s.h) div 2 as int)"
-    range_of = f"aggregate(sequence(1, {len(bounds).bit_length() + 1}), named_struct('l', 0, 'h', {len(bounds)}), (s, i) -> if(s.l >= s.h, s, if(element_at({table}, {middle} + 1) <= _m, named_struct('l', {middle} + 1, 'h', s.h), named_struct('l', s.l, 'h', {middle}))), s -> s.l)" if bounds else "0"
-    # hashes from above are dealt to 0, 1, ...: numbers go up as k and _g go down
-    part = lambda n: f"cast(({(1 << 63) - 1} - cast(_g as double)) / {float(1 << 64)!r} * {n} as bigint)"
-    side, own = F.lit(0), F.lit(0).cast("bigint")
-    for b, (k, n) in hot.items():
-        here = F.col("_range") == b
-        side = F.when(here, F.when(F.col("k") > F.lit(k), 0).when(F.col("k") == F.lit(k), 1).otherwise(2)).otherwise(side)
-        own = F.when(here & (F.col("k") == F.lit(k)), F.expr(f"least({part(n)}, {n - 1}L)")).otherwise(own)
-    last = (len(bounds) + 1) * 3 * parts
-    dealt = docs.withColumns({"_g": F.xxhash64("t"), "_m": F.expr(place)}).withColumn("_range", F.expr(range_of))
-    null_part = F.expr(f"{last}L + least({part(1 + nulls // each)}, {nulls // each}L)")
-    dealt = dealt.withColumn("_bucket", F.when(F.col("k").isNull(), null_part).otherwise((F.lit(len(bounds)) - F.col("_range")) * F.lit(3 * parts).cast("bigint") + side * F.lit(parts) + own)).select("k", "t", "_g", "_bucket")
+    step = f"if(element_at({table}, {middle} + 1) <= struct(k, _g as g), named_struct('l', {middle} + 1, 'h', s.h), named_struct('l', s.l, 'h', {middle}))"
+    range_of = f"aggregate(sequence(1, {len(bounds).bit_length() + 1}), named_struct('l', 0, 'h', {len(bounds)}), (s, i) -> if(s.l >= s.h, s, {step}), s -> s.l)" if bounds else "0"
+    dealt = keyed.withColumn("_bucket", F.lit(len(bounds)).cast("bigint") - F.expr(range_of)).select("k", "t", "_g", "_bucket")
     if not rows:
         return dealt.withColumn("_ghost", F.lit(False))
-    tops = dealt.groupBy("_bucket").agg(F.max(F.struct("k", "_g")).alias("top"))  # a row for each range and part
-    order = sorted(collect_bounded(tops, 8 * most_buckets, "key ranges"))
+    tops = dealt.groupBy("_bucket").agg(F.max(F.struct("k", "_g")).alias("top"))  # a row for each range
+    order = sorted(collect_bounded(tops, 2 * most_buckets, "key ranges"))
     target = [(order[(i + 1) % len(order)][1][0], order[(i + 1) % len(order)][1][1], order[i][0]) for i in range(len(order))]
-    ghosts = docs.sparkSession.createDataFrame(target, T.StructType([T.StructField("gk", docs.schema["k"].dataType), T.StructField("gg", T.LongType()), T.StructField("_to", T.LongType())]))
+    ghosts = docs.sparkSession.createDataFrame(target, T.StructType([T.StructField("gk", kind), T.StructField("gg", T.LongType()), T.StructField("_to", T.LongType())]))
     extra = dealt.join(F.broadcast(ghosts), F.col("k").eqNullSafe(F.col("gk")) & (F.col("_g") == F.col("gg"))).groupBy("_to").agg(F.first("k").alias("k"), F.min("t").alias("t"), F.first("_g").alias("_g"))
     whole = dealt.withColumn("_ghost", F.lit(False)).unionByName(extra.select("k", "t", "_g", F.col("_to").alias("_bucket"), F.lit(True).alias("_ghost")))
     # as many tasks as ranges, so that none grows with the table
     return whole.repartition(len(order), "_bucket")
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def compare(docs: DataFrame, *, key: str = "doc_id", text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness, and that to the next document's.
 
