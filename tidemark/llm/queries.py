@@ -51,15 +51,22 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: The tokenizer's file that documents are counted by, and the version that labelled ones are revised to.
+OLD_VERSION, NEW_VERSION = "byte_bpe_50k", "words-2"
+
+
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in by the ids of a tokenizer; then those of low quality go and the others are counted anew by words; both batches are sent twice."""
-    old, new = "byte_bpe_50k", "words-2"
+    """All documents come in by the ids of a tokenizer; those labelled as poor go, the other labelled ones are counted anew by words; both batches are sent twice, the ledger is folded between."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    rows = materialize(rollup.counts(docs.withColumn("new", rollup.counted(docs, new)), tokenizer_path(), "old"), "counts")
-    poor = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
+    rows = materialize(rollup.counts(docs.withColumn("new", rollup.counted(docs, NEW_VERSION)), tokenizer_path(), "old"), "counts")
+    marks = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labelled = materialize(rows.join(marks, "doc_id"), "labelled")
     ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
-    second = rollup.deleted(rows.join(poor, "doc_id", "left_semi"), old, "old").unionByName(rollup.revised(rows.join(poor, "doc_id", "left_anti"), old, "old", new, "new"))
-    for batch, changes in [("0001", rollup.inserted(rows, old, "old")), ("0002", second), ("0001", rollup.inserted(rows, old, "old")), ("0002", second)]:
+    first = rollup.inserted(rows, OLD_VERSION, "old")
+    second = rollup.deleted(labelled.where("quality = 0"), OLD_VERSION, "old").unionByName(rollup.revised(labelled.where("quality != 0 or quality is null"), OLD_VERSION, "old", NEW_VERSION, "new"))
+    rollup.commit(ledger, "0001", first)
+    rollup.fold(spark, ledger)
+    for batch, changes in [("0002", second), ("0001", first), ("0002", second)]:
         rollup.commit(ledger, batch, changes)
     return rollup.totals(spark, ledger)
 
@@ -225,10 +232,6 @@ SQL: dict[str, str] = {
             coalesce(best.n, 0) AS longest_match, best.item AS longest_item, best.p - 1 AS longest_at
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best USING (doc_id)
     """,
-    "op7_token_rollup": r"""
-        SELECT source, lang, 'words-2' AS tokenizer_version, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[^A-Za-z0-9\x{80}-\x{10FFFF} \t\n\r\f]'))) AS BIGINT) AS n_tokens
-        FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL) GROUP BY source, lang
-    """,
     "op11_conversation_repair": _repair_sql(),
     "op12_importance_resampling": rf"""
         WITH crc AS ({CRC_TABLE}),

@@ -9,6 +9,11 @@ same batch id does nothing, and raises if its sums are others. An attempt that b
 has no mark and is never read; of two writers' marks one counts. Totals are sums over
 the marked attempts.
 
+``fold`` writes what all batches so far add up to, with their ids and digests, so that
+totals read one table and the batches since; a folded batch that is sent again still does
+nothing. A fold counts from when its list of batches is written; ``sweep`` takes away
+what it has made superfluous.
+
 Defined cases: null sources and languages are keys of their own; a null text has no
 tokens but is a document; a text of any length is counted whole; repeated rows count each
 time; an empty batch is committed and changes nothing; an empty ledger has no totals;
@@ -29,12 +34,14 @@ from pyspark.sql import types as T
 
 from . import packing
 from . import textarrays as TA
+from .runtime import materialize
 
 KEYS = ("source", "lang", "tokenizer_version")
 #: Counters by version that are one expression: runs of anything but white space; words and single marks.
 COUNTERS = {"runs-1": r"[^ \t\n\r\f]+", "words-2": r"[A-Za-z0-9\x{80}-\x{10FFFF}]+|[^A-Za-z0-9\x{80}-\x{10FFFF} \t\n\r\f]"}
 _ROWS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, batch string, attempt string"
 _MARK = "batch string, attempt string, n long, digest long"
+_FOLDED = "number int, attempt string, batch string, n long, digest long"
 
 
 def counted(docs: DataFrame, version: str, *, text: str = "text") -> F.Column:
@@ -91,14 +98,31 @@ def _digest(sums: DataFrame) -> tuple[int, int]:
     return tuple(sums.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*KEYS, F.col("source").isNull(), F.col("lang").isNull(), "n_docs", "n_tokens")), F.lit(0))).first())
 
 
+def _folds(spark: SparkSession, ledger: str) -> tuple[int, str | None, DataFrame | None]:
+    """Number, folder of the totals and (batch, n, digest) of the newest fold; 0, None and None without any."""
+    try:
+        lists = spark.read.schema(_FOLDED).parquet(f"{ledger}/folded/*/batches")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, None, None
+    newest = lists.agg(F.max(F.struct("number", "attempt"))).first()[0]
+    if newest is None:
+        return 0, None, None
+    number, attempt = newest
+    return number, f"{ledger}/folded/{number:08d}/totals-{attempt}", lists.where(F.col("number") == number).select("batch", "n", "digest")
+
+
 def commit(ledger: str, batch: str, changes: DataFrame) -> bool:
     """Add a batch of signed rows to the ledger's folder; False if it had been committed before."""
     if not batch.replace("-", "").replace("_", "").isalnum():
         raise ValueError("a batch id has letters, digits, - and _ only")
     spark, mark = changes.sparkSession, f"{ledger}/committed/{batch}"
     sums = _summed(changes)
-    known = _marks(spark, mark)
-    if known is not None and (found := known.orderBy("attempt").head(1)):
+    marks, (_, _, folded) = _marks(spark, mark), _folds(spark, ledger)
+    found = [] if folded is None else folded.where(F.col("batch") == batch).head(1)
+    found = found or ([] if marks is None else marks.orderBy("attempt").head(1))
+    if found:
         if _digest(sums) != (found[0]["n"], found[0]["digest"]):
             raise ValueError(f"batch {batch} was committed with other sums")
         return False
@@ -110,11 +134,55 @@ def commit(ledger: str, batch: str, changes: DataFrame) -> bool:
     return True
 
 
-def totals(spark: SparkSession, ledger: str) -> DataFrame:
-    """What all committed batches add up to."""
+def _since(spark: SparkSession, ledger: str, folded: DataFrame | None) -> DataFrame | None:
+    """The marks that count and are in no fold: (batch, attempt, n, digest)."""
     marks = _marks(spark, f"{ledger}/committed/*")
     if marks is None:
-        return spark.createDataFrame([], _ROWS).drop("batch", "attempt")
-    rows = spark.read.schema(_ROWS).parquet(f"{ledger}/rows/*/*")
-    counting = marks.groupBy("batch").agg(F.min("attempt").alias("attempt"))
-    return _summed(rows.join(counting, ["batch", "attempt"], "left_semi")).where("n_docs != 0 or n_tokens != 0")
+        return None
+    counting = marks.groupBy("batch").agg(F.min(F.struct("attempt", "n", "digest")).alias("m")).select("batch", "m.*")
+    return counting if folded is None else counting.join(folded.select("batch"), "batch", "left_anti")
+
+
+def _added_up(spark: SparkSession, ledger: str, fold: str | None, marks: DataFrame | None) -> DataFrame:
+    """Sums of a fold's totals and of the attempts of some marks."""
+    keys = _ROWS.split(", batch")[0]
+    base = spark.read.schema(keys).parquet(fold) if fold else spark.createDataFrame([], keys)
+    if marks is not None and marks.head(1):
+        rows = spark.read.schema(_ROWS).parquet(f"{ledger}/rows/*/*").join(marks, ["batch", "attempt"], "left_semi")
+        base = base.unionByName(rows.drop("batch", "attempt"))
+    return _summed(base).where("n_docs != 0 or n_tokens != 0")
+
+
+def totals(spark: SparkSession, ledger: str) -> DataFrame:
+    """What all committed batches add up to."""
+    _, at, folded = _folds(spark, ledger)
+    return _added_up(spark, ledger, at, _since(spark, ledger, folded))
+
+
+def fold(spark: SparkSession, ledger: str) -> int:
+    """Write the totals so far as one table, with the batches that are in it; how many batches came in anew."""
+    number, at, folded = _folds(spark, ledger)
+    marks = _since(spark, ledger, folded)
+    if marks is None or not marks.head(1):
+        return 0
+    marks = materialize(marks, "marks")  # a batch that is committed meanwhile is not in this fold
+    attempt, path = uuid.uuid4().hex, f"{ledger}/folded/{number + 1:08d}"
+    _added_up(spark, ledger, at, marks).coalesce(1).write.parquet(f"{path}/totals-{attempt}")
+    new = marks.select("batch", "n", "digest")
+    every = new if folded is None else folded.unionByName(new)
+    every.select(F.lit(number + 1).alias("number"), F.lit(attempt).alias("attempt"), "batch", "n", "digest").coalesce(1).write.parquet(f"{path}/batches")  # of two writers of one fold the second fails
+    return marks.count()
+
+
+def sweep(spark: SparkSession, ledger: str) -> None:
+    """Take away the rows and marks of folded batches, and older folds. Not while somebody commits a batch that is being folded."""
+    number, _, folded = _folds(spark, ledger)
+    if folded is None:
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = at(ledger).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in folded.select("batch").toLocalIterator():
+        for part in ("committed", "rows"):
+            files.delete(at(f"{ledger}/{part}/{row['batch']}"), True)
+    for k in range(1, number):
+        files.delete(at(f"{ledger}/folded/{k:08d}"), True)
