@@ -46,7 +46,7 @@ EDGE_KEYS: dict[str, tuple[str, ...]] = {name: ("src", "dst") for name in EDGES}
 #: All stored tables, as they were at version 1.
 STORED: dict[str, tuple[str, tuple[str, ...]]] = TABLES | {t: (NODES[t], k) for t, k in NODE_KEYS.items()} | {t: (EDGES[t], k) for t, k in EDGE_KEYS.items()}
 
-#: Columns added since, by version of the schema; they are only ever added.
+#: Columns added since, by version of the schema; they are only ever added.
 SCHEMA_VERSION = 2
 STEPS: tuple[tuple[int, str, str, str], ...] = (
     (2, "company", "listing_status", "string"),

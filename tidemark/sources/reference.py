@@ -74,7 +74,7 @@ def imported_isins(rows: DataFrame, *, order: str | None = None, exclude: str |
     return of.select("ticker", isin.alias("isin"), status.alias("status"), "candidates"), said.where(~counted).select("ticker", "isin", reason.alias("reason")).distinct()
 
 
-#: Version of the custody reference that is read, and its maps: the field, and the bucket's name here.
+#: The version of the custody reference that is read, and its maps: the field, and the name of the bucket here.
 CUSTODY_VERSION = 1
 CUSTODY_MAPS = {"foreign_custody_members": "custody", "foreign_execution_brokers": "execution", "domestic_despite_foreign_parent": "domestic"}
 

@@ -135,16 +135,19 @@ class Store:
 
     def read(self, table: str, where: str | Column | None = None, months: list[str] | None = None, number: int | None = None) -> DataFrame:
         """The rows; of the named months (yyyy-MM) only, where the table has them; at an earlier manifest's number if asked for."""
-        manifest, schema = self._manifest(table), self.schema(table)
-        if number is not None:
-            manifest = self._numbered(table, number)
+        df = self._of(table, self._manifest(table) if number is None else self._numbered(table, number), months)
+        return df.where(where) if where is not None else df
+
+    def _of(self, table: str, manifest: dict, months: list[str] | None = None) -> DataFrame:
+        """The rows that a manifest lists."""
+        schema = self.schema(table)
         if manifest["plain"]:
             df = self.spark.read.schema(schema + ", month string" * bool(self._day(table))).parquet(self._path(table))
             df = (df.where(F.col("month").isin(months)) if self._day(table) and months is not None else df).drop("month")
         else:
             paths = [self._folder(table, p) for p in manifest["parts"] if months is None or p[0] is None or p[0] in months]
             df = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        return df.where(where) if where is not None else df
+        return df
 
     def _numbered(self, table: str, number: int) -> dict:
         path = f"{self._path(table)}/_log/{number:08d}.json"
@@ -162,31 +165,30 @@ class Store:
 
     # changes
 
-    def _shaped(self, table: str, df: DataFrame) -> DataFrame:
-        fields = [c.strip().split(" ") for c in self.schema(table).split(",")]
+    def _shaped(self, table: str, df: DataFrame) -> tuple[DataFrame, int, list[str] | None]:
+        """The rows in the table's columns, written once; how many they are, and their months (a few for each year)."""
+        fields, day = [c.strip().split(" ") for c in self.schema(table).split(",")], self._day(table)
         shaped = cut(df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields)), "incoming")
-        if shaped.where(" or ".join(f"{k} is null" for k in STORED[table][1])).head(1):
+        without = F.count_if(F.expr(" or ".join(f"{k} is null" for k in STORED[table][1])))
+        n, bad, months = shaped.agg(F.count("*"), without, F.collect_set(F.date_format(day, "yyyy-MM") if day else F.lit(None).cast("string"))).first()
+        if bad:
             raise Refused(f"{table}: a key column is null")
-        return shaped
-
-    def _months(self, table: str, df: DataFrame) -> list[str] | None:
-        day = self._day(table)
-        return sorted(r[0] for r in df.select(F.date_format(day, "yyyy-MM")).distinct().collect()) if day else None  # a few for each year
+        return shaped, n, sorted(months) if day else None
 
     def append(self, table: str, df: DataFrame) -> int:
         """Rows with new keys, by column name; sending rows again changes nothing. Known keys are looked for in the months that come in. How many rows came in is returned."""
         before, steps = self._begin(table)
-        shaped = self._shaped(table, df)
-        new = append_new(self.read(table, months=self._months(table, shaped)), shaped, list(STORED[table][1]))
-        parts = self._write(table, new)
+        shaped, n, months = self._shaped(table, df)
+        parts = self._write(table, append_new(self._of(table, before, months), shaped, list(STORED[table][1]))) if n else []
         if parts or steps != before["steps"]:
             self._commit(table, before, before["parts"] + parts, steps)
-        return shaped.count()
+        return n
 
     def replace(self, table: str, df: DataFrame) -> None:
         """``df`` in the place of all rows, in one step."""
         before, steps = self._begin(table)
-        self._commit(table, before, self._write(table, append_new(self.spark.createDataFrame([], self.schema(table)), self._shaped(table, df), list(STORED[table][1]))), steps)
+        shaped, n, _ = self._shaped(table, df)
+        self._commit(table, before, self._write(table, append_new(shaped.limit(0), shaped, list(STORED[table][1]))) if n else [], steps)
 
     def _rewritten(self, table: str, before: dict, steps: list, months: list[str], rows: DataFrame) -> None:
         """``rows`` in the place of all of these months."""
@@ -197,8 +199,8 @@ class Store:
         if day != self._day(table):
             raise Refused(f"{table} is not dealt by {day}")
         before, steps = self._begin(table)
-        months = [m for m in sorted({p[0] for p in before["parts"]} | set(self._months(table, df))) if start[:7] <= m <= end[:7]]
-        old, gone = self.read(table, months=months), F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+        months = [m for m in sorted({p[0] for p in before["parts"]}) if start[:7] <= m <= end[:7]]
+        old, gone = self._of(table, before, months), F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
         keep = old.where(~gone).unionByName(old.where(gone).join(symbols.select("symbol").distinct(), "symbol", "left_anti"))
         if df.where(~gone).head(1):
             raise Refused("new rows lie outside the span")
@@ -213,17 +215,16 @@ class Store:
         if not day:
             raise Refused(f"{table} has no day")
         before, steps = self._begin(table)
-        new = self._shaped(table, df)
-        spans = cut(new.groupBy(by).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi")), "spans")
-        ends = spans.agg(F.date_format(F.min("_lo"), "yyyy-MM"), F.date_format(F.max("_hi"), "yyyy-MM")).first()
-        if ends[0] is None:
+        new, n, months = self._shaped(table, df)
+        if not n:
             return 0
-        months = sorted({p[0] for p in before["parts"] if ends[0] <= p[0] <= ends[1]} | set(self._months(table, new)))
+        spans = new.groupBy(by).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
+        months = sorted({p[0] for p in before["parts"] if months[0] <= p[0] <= months[-1]} | set(months))
         outside = F.col("_lo").isNull() | ~F.col(day).between(F.col("_lo"), F.col("_hi"))
-        old = self.read(table, months=months)
+        old = self._of(table, before, months)
         keep = old.join(spans, by, "left").where(outside).select(*old.columns)
         self._rewritten(table, before, steps, months, keep.unionByName(append_new(old.limit(0), new, list(STORED[table][1]))))
-        return new.count()
+        return n
 
     def clear(self, table: str) -> None:
         """No rows from now on; what was there stays to be read by its manifest's number until it is swept."""
@@ -258,7 +259,7 @@ class Store:
         before, steps = self._begin(table)
         many = sorted({p[0] for p in before["parts"] if sum(q[0] == p[0] for q in before["parts"]) >= least}, key=str)
         if many:
-            self._rewritten(table, before, steps, many, self.read(table, months=many if many != [None] else None))
+            self._rewritten(table, before, steps, many, self._of(table, before, many if many != [None] else None))
         return len(many)
 
     def sweep(self, table: str, keep: int = 1) -> int:
