@@ -121,3 +121,11 @@ def test_snapshots_collapse(spark):
 
 def test_shared_dir_is_the_sessions(spark):
     assert shared_dir(spark).startswith(("file:", "/"))
+
+
+def test_very_long_turns_are_rendered_whole(spark):
+    long = "word " * 300_000
+    chats = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "x" * 500_000), (2, 0, "user", long)], "conv_id long, turn long, role string, text string")
+    got = chat.render(chats).collect()  # the second is a prefix of the first
+    assert [(r["conv_id"], r["n_turns"]) for r in got] == [(1, 2)]
+    assert got[0]["rendered"] == f"<|user|>\n{long}<|end|>\n<|assistant|>\n{'x' * 500_000}<|end|>\n"
