@@ -7,10 +7,12 @@ import json
 import zipfile
 from datetime import date, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from tidemark import errors
 from tidemark.operators import entities, factors, graph, monitors, pit, probes, risk
 from tidemark.plans import onboarding, runs
@@ -409,6 +411,26 @@ def test_custody_reference(spark):
         reference.custody(spark.createDataFrame([("x",), ("y",)], "payload string"))
 
 
+def test_custody_editions(spark):
+    docs = lambda *x: reference.custody(spark.createDataFrame([(e, json.dumps(d)) for e, d in x], "year int, payload string"), "year")
+    turned = CUSTODY | {"foreign_custody_members": {"codes": {"XXX": "x2"}}, "foreign_execution_brokers": {"codes": {"AAA": "a2"}}, "domestic_despite_foreign_parent": {"codes": {}}}
+    brokers = CUSTODY | {"foreign_custody_members": {"codes": {}}}
+    got = {tuple(r) for r in docs((1, CUSTODY), (2, turned), (3, brokers)).select("year", "bucket", "code", "name").where("year > 1").collect()}
+    assert got == {(2, "custody", "XXX", "x2"), (2, "execution", "AAA", "a2"), (3, "execution", "XXX", "x"), (3, "domestic", "DDD", "d"), (3, "domestic", "XXX", "x")}
+    for x, said in (([(1, CUSTODY), (1, turned)], "one document"), ([(1, CUSTODY), (2, CUSTODY | {"schema_version": 3})], "version 3"), ([(1, CUSTODY), (2, CUSTODY | {"foreign_execution_brokers": {"codes": {"AAA": "a"}}})], "both custody and execution"), ([(1, brokers)], "no custody")):
+        with pytest.raises(errors.Refused, match=said):
+            docs(*x)
+
+
+def test_custody_sets_beyond_the_codes(spark, tmp_path):
+    keys = [0, 1, 2, 3, 39999, 40000, 40001, 40003, 80003]
+    spark.createDataFrame([(k, f"S{k}") for k in keys], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    want = sorted(con.execute(entry_module.oracle_sql()["custody_sets"]).fetchall())
+    assert len(want) > len(keys) and sorted(tuple(r) for r in entry_module.queries()["custody_sets"](spark, str(tmp_path)).select("bucket", "code", "name").collect()) == want
+
+
 def test_interlocks(spark, monkeypatch):
     seats = [("p1", c) for c in "ABC"] + [("p2", c) for c in "AB"] + [("p2", "A"), ("p3", "C"), (None, "A"), ("p4", None)] + [("hub", f"X{k:03}") for k in range(40)]
     df = spark.createDataFrame(seats, "src string, dst string")

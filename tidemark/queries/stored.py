@@ -108,11 +108,11 @@ def isin_import_refused(t: Tables):
 
 @add("custody_sets", "WITH s AS (SELECT to_base(s_suppkey % 40000, 36, 3) AS code, s_name AS name, s_suppkey % 6 AS k FROM supplier) SELECT 'custody' AS bucket, code, name FROM s WHERE k % 3 = 0 UNION ALL SELECT 'execution', code, name FROM s WHERE k % 3 = 1 UNION ALL SELECT 'domestic', code, name FROM s WHERE k % 3 = 2 OR k = 1")
 def custody_sets(t: Tables):
-    """The three maps of a reference document, checked as a whole; brokers may be domestic as well."""
-    s = t.read("supplier").selectExpr("lpad(conv(s_suppkey % 40000, 10, 36), 3, '0') as code", "s_name as name", "s_suppkey % 6 as k")
+    """The three maps of a reference document, checked as a whole; brokers may be domestic as well. Codes are used again after 40,000 suppliers, in the next edition."""
+    s = t.read("supplier").selectExpr("s_suppkey div 40000 as edition", "lpad(conv(s_suppkey % 40000, 10, 36), 3, '0') as code", "s_name as name", "s_suppkey % 6 as k")
     codes = lambda held: F.struct(F.map_from_entries(F.collect_list(F.when(F.expr(held), F.struct("code", "name")))).alias("codes"))
-    doc = s.agg(F.lit(1).alias("schema_version"), F.lit("register").alias("source"), F.lit("2026-01-01").alias("fetched_iso"), codes("k % 3 = 0").alias("foreign_custody_members"), codes("k % 3 = 1").alias("foreign_execution_brokers"), codes("k % 3 = 2 or k = 1").alias("domestic_despite_foreign_parent"))
-    return reference.custody(doc.select(F.to_json(F.struct("*")).alias("payload"))).select("bucket", "code", "name")
+    doc = s.groupBy("edition").agg(F.lit(1).alias("schema_version"), F.lit("register").alias("source"), F.lit("2026-01-01").alias("fetched_iso"), codes("k % 3 = 0").alias("foreign_custody_members"), codes("k % 3 = 1").alias("foreign_execution_brokers"), codes("k % 3 = 2 or k = 1").alias("domestic_despite_foreign_parent"))
+    return reference.custody(doc.select("edition", F.to_json(F.struct(*doc.drop("edition").columns)).alias("payload")), "edition").select("bucket", "code", "name")
 
 
 @add("board_interlocks", "WITH s AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS c FROM lineitem) SELECT x.c AS a, y.c AS b, count(*) AS n_people FROM s x JOIN s y ON x.p = y.p AND x.c < y.c GROUP BY 1, 2")

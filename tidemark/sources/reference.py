@@ -79,35 +79,39 @@ CUSTODY_VERSION = 1
 CUSTODY_MAPS = {"foreign_custody_members": "custody", "foreign_execution_brokers": "execution", "domestic_despite_foreign_parent": "domestic"}
 
 
-def custody(documents: DataFrame) -> DataFrame:
+def custody(documents: DataFrame, edition: str | None = None) -> DataFrame:
     """(bucket, code, name, source, fetched) of the custody reference: one document of JSON in ``payload``.
 
     Refused as a whole, rather than half trusted: another version, a code that is not
     three capital letters or digits, no custody codes at all, and a custody code that is
     also an execution broker's or a domestic one, which would count its flow twice or with
     the wrong sign.
+
+    With ``edition`` there is one document for each value of that column, which the rows
+    keep. A code may stand for another member in another edition, so each is checked by
+    itself; only custody codes need not be in every one.
     """
     form = "struct<schema_version:int,source:string,fetched_iso:string," + ",".join(f"{m}:struct<codes:map<string,string>>" for m in CUSTODY_MAPS) + ">"
-    found = documents.select(F.from_json("payload", form).alias("d")).limit(2).collect()
-    if len(found) != 1 or found[0]["d"] is None:
+    key = F.col(edition) if edition else F.lit(1)
+    read = cut(documents.select(key.alias("_edition"), F.from_json("payload", form).alias("d")))
+    each = read.groupBy("_edition").agg(F.count("*").alias("n"), F.count("d").alias("known"), F.max("d.schema_version").alias("version"))
+    wrong = each.where((F.col("n") != 1) | (F.col("known") != 1) | ~F.col("version").eqNullSafe(F.lit(CUSTODY_VERSION))).orderBy("_edition").first()
+    if wrong and (wrong["n"] != 1 or wrong["known"] != 1) or not read.select("_edition").head(1):
         raise Refused("a custody reference is one document")
-    version = found[0]["d"]["schema_version"]
-    if version != CUSTODY_VERSION:
-        raise Refused(f"the custody reference has version {version}, not {CUSTODY_VERSION}")
-    doc = documents.select(F.from_json("payload", form).alias("d"))
-    rows = None
-    for field, bucket in CUSTODY_MAPS.items():
-        part = doc.select(F.lit(bucket).alias("bucket"), F.explode(f"d.{field}.codes").alias("code", "name"), F.col("d.source").alias("source"), F.to_date("d.fetched_iso").alias("fetched"))
-        rows = part if rows is None else rows.unionByName(part)
+    if wrong:
+        raise Refused(f"the custody reference has version {wrong['version']}, not {CUSTODY_VERSION}")
+    maps = F.explode(F.array(*(F.struct(F.lit(bucket).alias("bucket"), F.col(f"d.{field}.codes").alias("codes")) for field, bucket in CUSTODY_MAPS.items())))
+    flat = read.select("_edition", "d.source", F.to_date("d.fetched_iso").alias("fetched"), maps.alias("m"))
+    rows = cut(flat.select("_edition", "m.bucket", F.explode("m.codes").alias("code", "name"), "source", "fetched"))
     n = lambda b: F.count_if(F.col("bucket") == b)
-    codes = rows.groupBy("code").agg(n("custody").alias("custody"), n("execution").alias("execution"), n("domestic").alias("domestic"))
+    codes = rows.groupBy("_edition", "code").agg(n("custody").alias("custody"), n("execution").alias("execution"), n("domestic").alias("domestic"))
     problem = F.when(~F.col("code").rlike("^[A-Z0-9]{3}$"), "malformed").when((F.col("custody") > 0) & (F.col("execution") > 0), "in both custody and execution").when((F.col("custody") > 0) & (F.col("domestic") > 0), "in both custody and domestic")
     bad = [f"{r['code']}: {r['problem']}" for r in codes.select("code", problem.alias("problem")).where("problem is not null").orderBy("code").limit(5).collect()]
     if bad:
         raise Refused("; ".join(bad))
     if not rows.where("bucket = 'custody'").head(1):
         raise Refused("no custody codes; the foreign leg would be empty")
-    return rows
+    return rows.withColumnRenamed("_edition", edition) if edition else rows.drop("_edition")
 
 
 def custody_set(reference: DataFrame, bucket: str) -> DataFrame:
