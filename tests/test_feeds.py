@@ -445,6 +445,33 @@ def test_interlocks(spark, monkeypatch):
     assert {tuple(r) for r in graph.board_seats(roles, nodes("p1"), nodes("A", "B")).collect()} == {("p1", "A", "chair", date(2020, 1, 1)), ("p1", "B", "member", date(2021, 1, 1))}
 
 
+def test_interlocks_in_parts_that_grow_with_the_pairs(spark, monkeypatch):
+    from tidemark import tables
+
+    used = []
+
+    def few(df, rows, *keys, each=0):
+        used.append((keys, rows))
+        return tables.dealt(df, rows, *keys, each=3)
+
+    monkeypatch.setattr(graph, "dealt", few)
+    seats = [(p, c) for p in range(30) for c in range(12) if (p * 7 + c) % 3] + [(99, c) for c in range(25)]
+    want = {}
+    for p in {p for p, _ in seats}:
+        own = sorted(c for q, c in seats if q == p)
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame(seats, "src long, dst long")
+    for block, busy in ((200, 1000), (4, 1000), (4, 5)):
+        got = graph.interlocks(df, block=block, busy=busy)
+        assert {(r["a"], r["b"]): r["n_people"] for r in got.collect()} == want
+        assert got.rdd.getNumPartitions() > 4  # the session's number
+    assert (("a", "part"), sum(want.values())) in used
+    assert tables.dealt(spark.range(100), 100, "id", each=30).rdd.getNumPartitions() == spark.range(100).rdd.getNumPartitions()
+    assert tables.dealt(spark.range(100), 100, "id", each=10).rdd.getNumPartitions() == 10
+
+
 def test_onboarding_goes_on_where_it_broke(spark, tmp_path):
     store, calls, down = Store(spark, str(tmp_path / "l2")), [], [True]
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ControlCycle
-from ..tables import cut
+from ..tables import cut, dealt
 from .risk import reach
 
 
@@ -182,25 +182,31 @@ def board_seats(rows: DataFrame, people: DataFrame, companies: DataFrame) -> Dat
     return ok.groupBy("src", "dst").agg(first.alias("r")).select("src", "dst", "r.role", "r.since")
 
 
-def interlocks(seats: DataFrame, *, block: int = 200, names: bool = False) -> DataFrame:
+def interlocks(seats: DataFrame, *, block: int = 200, busy: int = 200_000, names: bool = False) -> DataFrame:
     """(a, b, n_people), and with ``names`` people: pairs of companies that share board members, from (src person, dst company).
 
-    A person's seats are dealt into blocks of about ``block``, and each pair of blocks is a
-    unit of work of its own, so a person with very many seats is spread over tasks; pairs
-    are added up where they arise before they are shuffled. The pairs of such a person
-    themselves grow with the square of the seats: they are the result.
+    A person's seats are dealt into blocks of about ``block``, and each seat meets one
+    block at a time, so a person with very many seats is spread over tasks. What is met
+    goes to its first company as a list and becomes pairs only where they are counted, in
+    as many parts as there are pairs; a company with more than ``busy`` seats is dealt by
+    its pairs. The pairs of such a person themselves grow with the square of the seats:
+    they are the result.
     """
-    held = cut(seats.where("src is not null and dst is not null").select("src", "dst").distinct(), "seats")
-    blocks = held.groupBy("src").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 0")
-    dealt = held.join(blocks, "src").withColumn("own", F.pmod(F.xxhash64("dst"), F.col("blocks")).cast("int"))
-    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("src", "dst", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    one, two = units.where("own = low").alias("x"), units.where("own = high").alias("y")
-    unit = (F.col("x.src") == F.col("y.src")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    # within a block each pair comes from both sides; between two blocks from one
-    met = one.join(two, unit).where("x.dst != y.dst and (x.low != x.high or x.dst < y.dst)")
-    pairs = met.select(F.least("x.dst", "y.dst").alias("a"), F.greatest("x.dst", "y.dst").alias("b"), F.col("x.src").alias("person"))
-    count = [F.count("*").alias("n_people")]
-    return pairs.groupBy("a", "b").agg(*count, *([F.array_sort(F.collect_list("person")).alias("people")] if names else []))
+    seats = seats.where("src is not null and dst is not null").select("src", "dst")
+    held = cut(dealt(seats, seats.count(), "src", "dst").distinct(), "seats")
+    n = held.groupBy("src").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    rows, pairs = n.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0))).first()
+    many = cut(n.where("blocks > 1").select("src", "blocks"))
+    placed = held.join(many, "src", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    boards = dealt(placed.select("src", "dst", F.pmod(F.xxhash64("dst"), "blocks").cast("int").alias("block")), rows, "src", "block").groupBy("src", "block").agg(F.collect_list("dst").alias("board"))
+    one = dealt(placed.select("src", F.col("dst").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), rows, "src", "block")
+    met = one.join(boards, ["src", "block"]).select("a", F.col("src").alias("person"), F.filter("board", lambda b: b > F.col("a")).alias("others")).where(F.size("others") > 0)
+    often = cut(held.groupBy(F.col("dst").alias("a")).agg(F.count("*").alias("n")).where(F.col("n") > busy).select("a", F.lit(True).alias("often")))
+    lists = F.when(F.col("often"), F.transform("others", lambda b: F.array(b))).otherwise(F.array("others"))
+    stripes = met.join(often, "a", "left").select("a", "person", "often", F.explode(lists).alias("others")).withColumn("part", F.when(F.col("often"), F.xxhash64(F.col("others")[0])).otherwise(F.lit(0)))
+    each = dealt(stripes, pairs // 2, "a", "part", each=4_000_000).select("a", "part", "person", F.explode("others").alias("b"))
+    people = [F.array_sort(F.collect_list("person")).alias("people")] if names else []
+    return each.groupBy("a", "part", "b").agg(F.count("*").alias("n_people"), *people).drop("part")
 
 
 def parents(controls: DataFrame, subsidiaries: DataFrame) -> DataFrame:

@@ -21,3 +21,9 @@ def cut(df: DataFrame, name: str = "round") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, each: int = 1_000_000) -> DataFrame:
+    """The same rows, dealt by keys into parts of about ``each`` of ``rows``, so that one task's share does not grow with the table; left to the session's number of parts where that suffices."""
+    parts = -(-rows // each)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
