@@ -95,6 +95,24 @@ def test_record_matching(spark):
     assert got == {1: ("L3", 1.0, "matched"), 2: ("L4", 0.4, "below_threshold"), 3: ("L5", 1.0, "matched"), 4: (None, None, "no_candidates"), 5: ("L6", 1.0, "matched")}
 
 
+def test_record_matching_with_common_words(spark, monkeypatch):
+    from tidemark import tables
+
+    used = []
+
+    def few(df, rows, *keys, each=0):
+        used.append((keys, rows))
+        return tables.dealt(df, rows, *keys, each=5)
+
+    monkeypatch.setattr(entities, "dealt", few)
+    c = spark.createDataFrame([(1, "Sanko Tekstil Boya"), (2, "Tekstil"), (3, "Sanko"), (4, "Tekstil Boya"), (5, "Nobody Tekstil"), (6, "Boya Sanko")], "uuid long, name string")
+    r = spark.createDataFrame([(f"L{k}", f"TEKSTIL BOYA X{k}", "ACTIVE") for k in range(9)] + [("M1", "SANKO TEKSTIL", "ACTIVE"), ("M2", "SANKO BOYA TEKSTIL", "LAPSED")], "lei string, legal_name string, status string")
+    for common in (50_000, 2, 1, 0):
+        got = {x["key"]: (x["lei"], x["score"]) for x in entities.match_records(c, r, common=common).collect()}
+        assert got == {1: ("M2", 0.95), 2: ("M1", 1.0), 3: ("M1", 1.0), 4: ("L0", 1.0), 5: (None, None), 6: ("M2", 0.95)}, common
+    assert min(rows for keys, rows in used if keys == ("one", "two")) < 20  # of 76 pairs of words
+
+
 def test_lead_lag_is_numpys(spark):
     r = np.random.default_rng(3)
     names, days = ["a", "b", "c"], [date(2024, 1, 1) + timedelta(i) for i in range(90)]
