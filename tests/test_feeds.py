@@ -490,6 +490,17 @@ def test_interlocks_in_parts_that_grow_with_the_pairs(spark, monkeypatch):
     assert tables.dealt(spark.range(100), 100, "id", each=10).rdd.getNumPartitions() == 10
 
 
+def test_links_in_parts_that_grow_with_the_rows(spark, monkeypatch):
+    from tidemark import tables
+
+    monkeypatch.setattr(graph, "dealt", lambda df, rows, *keys: tables.dealt(df, rows, *keys, each=10))
+    rows = spark.range(100).selectExpr("id % 7 as src", "id % 5 as dst", "id as q")
+    ends = spark.range(4).selectExpr("id as uuid")
+    got = graph.link(rows, ends, ends, properties=("q",))
+    assert got.rdd.getNumPartitions() == 10
+    assert {tuple(r) for r in got.collect()} == {(s, d, max(k for k in range(100) if (k % 7, k % 5) == (s, d))) for s in range(4) for d in range(4)}
+
+
 def test_onboarding_goes_on_where_it_broke(spark, tmp_path):
     store, calls, down = Store(spark, str(tmp_path / "l2")), [], [True]
 

@@ -29,6 +29,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 def link(rows: DataFrame, left: DataFrame, right: DataFrame, left_key: str = "uuid", right_key: str = "uuid", properties: tuple[str, ...] = ()) -> DataFrame:
     """Edges (src, dst, properties) whose ends both exist, one for each pair (the greatest properties)."""
     ok = rows.join(left.select(F.col(left_key).alias("src")).distinct(), "src", "left_semi").join(right.select(F.col(right_key).alias("dst")).distinct(), "dst", "left_semi")
+    ok = dealt(ok, rows.count(), "src", "dst")
     return ok.groupBy("src", "dst").agg(*(F.max(p).alias(p) for p in properties)) if properties else ok.select("src", "dst").distinct()
 
 
