@@ -419,3 +419,12 @@ def test_letters_that_fold(spark):
     got = spark.createDataFrame([(text,)], "t string").select(I.fold(F.col("t"))).first()[0]
     assert got.split(" ")[0] == "iISsGgUuOoCc" and got.split(" ")[1:3] == ["eAnA", "yz"]
     assert got.split(" ")[3:] == ["ﬁ", "ß", "Æ", "œ", "½", "Ø", "ł"]
+
+
+def test_companies_that_no_name_tells_apart_are_compared_once(spark):
+    c = spark.range(1000, 1400).selectExpr("id as uuid", "concat('Firma O12', id, ' Tekstil') as name")
+    known = matching.index(c)
+    assert known.count() == 400
+    assert {(r["company"], r["key"]) for r in matching.classes(known).collect()} == {(f"Firma O12{k} Tekstil", k) for k in (1000, 1100, 1200, 1300)}
+    n = spark.createDataFrame([("Firma O121399 Tekstil",), ("Firma O121234",), ("Firma O129 Tekstil",)], "name string")
+    assert {r["name"]: (r["key"], r["score"]) for r in matching.match(n, c).collect()} == {"Firma O121399 Tekstil": (1300, 1.0), "Firma O121234": (1200, 1.0), "Firma O129 Tekstil": (None, None)}

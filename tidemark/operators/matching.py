@@ -25,6 +25,12 @@ def index(companies: DataFrame, key: str = "uuid", name: str = "name") -> DataFr
     return each.join(df, "token").groupBy("own", "etype", "head").agg(tokens.alias("tokens")).select("etype", "tokens", F.col("head.name").alias("company"), F.col("head.key").alias("key"))
 
 
+def classes(known: DataFrame, rare: int = RARE) -> DataFrame:
+    """(etype, tokens, company, key): the first company of those that no name can tell apart; tokens are structs (prefix, soft, df), df up to the first number that is not rare."""
+    marks = F.array_sort(F.transform("tokens", lambda t: F.struct(t["prefix"].alias("prefix"), t["token"].isin(*SOFT).alias("soft"), F.least(t["df"], F.lit(rare + 1)).alias("df"))))
+    return known.groupBy("etype", marks.alias("tokens")).agg(F.min(F.struct("company", "key")).alias("head")).select("etype", "tokens", "head.*")
+
+
 def match(names: DataFrame, companies: DataFrame, *, threshold: float = 0.6, rare: int = RARE, key: str = "uuid", name: str = "name") -> DataFrame:
     """(name, key, score, status) for each distinct name.
 
@@ -33,30 +39,34 @@ def match(names: DataFrame, companies: DataFrame, *, threshold: float = 0.6, rar
     leading one, a compatible type, and no rare token that the name has not. The largest
     share wins, then fewest extra tokens, then the name.
 
-    Names and companies with the same tokens are looked up once. Who fits shares the
-    leading token and one more that is known beforehand: the company's rarest token, if
-    that is rare, as the name must have it; else any other of the name's (or none, for a
-    name of one token). The join is on both, so common words alone bring nobody together.
+    Names with the same prefixes are looked up once, and companies with the same prefixes,
+    equally rare as far as it counts, are represented by the first, which would win among
+    them (``classes``); so work grows with different prefixes, not with names times
+    companies. Who fits shares the leading token and one more that is known beforehand:
+    the company's rarest token, if that is rare, as the name must have it; else any other
+    of the name's (or none, for a name of one token). The join is on both, so common words
+    alone bring nobody together.
     """
     n = names.select("name").distinct().select("name", I.identity_tokens(F.col("name")).alias("own"), I.entity_type(F.col("name")).alias("itype"))
-    asked = n.where(F.size("own") > 0).select("own", "itype").distinct()
-    asked = asked.select("own", "itype", F.transform("own", lambda t: F.substring(t, 1, PREFIX)).alias("have")).withColumn("lead", F.element_at("have", F.lit(1)))
-    known = index(companies, key, name).withColumn("theirs", F.array_distinct(F.transform("tokens", lambda t: t["prefix"])))
-    must = F.array_min(F.transform(F.filter("tokens", lambda t: (t["df"] <= rare) & ~t["token"].isin(*SOFT)), lambda t: F.struct(t["df"].alias("df"), t["prefix"].alias("prefix"))))
+    n = n.withColumn("have", F.transform("own", lambda t: F.substring(t, 1, PREFIX)))
+    asked = n.where(F.size("have") > 0).select("have", "itype").distinct().withColumn("lead", F.element_at("have", F.lit(1)))
+    known = classes(index(companies, key, name), rare)
+    known = known.withColumn("theirs", F.array_distinct(F.transform("tokens", lambda t: t["prefix"])))
+    must = F.array_min(F.transform(F.filter("tokens", lambda t: (t["df"] <= rare) & ~t["soft"]), lambda t: F.struct(t["df"].alias("df"), t["prefix"].alias("prefix"))))
     known = known.withColumn("must", must["prefix"])
     # a name asks under (leading token, each of its tokens), a company answers under (each of its tokens, the one that must be shared)
-    ask = asked.select("own", "itype", "have", "lead", F.explode(F.array_distinct("have")).alias("other"))
+    ask = asked.select("itype", "have", "lead", F.explode(F.array_distinct("have")).alias("other"))
     answer = known.withColumn("lead", F.explode("theirs")).withColumn("others", F.when(F.col("must").isNotNull(), F.array("must")).otherwise(F.col("theirs")))
     pairs = ask.join(answer.select("etype", "tokens", "company", "key", "theirs", "must", "lead", F.explode("others").alias("other")), ["lead", "other"])
     # without a rare token, the leading one alone brings only names of one token
     pairs = pairs.where(F.col("must").isNotNull() | (F.col("other") != F.col("lead")) | (F.size(F.array_distinct("have")) == 1))
     shared = F.size(F.filter("have", lambda p: F.array_contains("theirs", p)))
-    extra = F.filter("tokens", lambda t: ~F.array_contains("have", t["prefix"]) & ~t["token"].isin(*SOFT))
-    scored = pairs.select("own", "itype", "etype", "company", "key", (shared / F.size("own")).alias("share"), F.size(extra).alias("extras"), F.coalesce(F.array_min(F.transform(extra, lambda t: t["df"])), F.lit(rare + 1)).alias("rarest"))
+    extra = F.filter("tokens", lambda t: ~F.array_contains("have", t["prefix"]) & ~t["soft"])
+    scored = pairs.select("have", "itype", "etype", "company", "key", (shared / F.size("have")).alias("share"), F.size(extra).alias("extras"), F.coalesce(F.array_min(F.transform(extra, lambda t: t["df"])), F.lit(rare + 1)).alias("rarest"))
     fit = scored.where((F.col("share") >= threshold) & (F.col("rarest") > rare) & ~I.type_conflict(F.col("itype"), F.col("etype")))
-    best = fit.groupBy("own", "itype").agg(F.min(F.struct((-F.round("share", 6)).alias("o"), "extras", "company", "key", "share")).alias("b")).select("own", F.col("itype").alias("_itype"), F.col("b.key").alias("key"), F.round("b.share", 3).alias("score"))
+    best = fit.groupBy("have", "itype").agg(F.min(F.struct((-F.round("share", 6)).alias("o"), "extras", "company", "key", "share")).alias("b")).select(F.col("have").alias("_have"), F.col("itype").alias("_itype"), F.col("b.key").alias("key"), F.round("b.share", 3).alias("score"))
     status = F.when(F.size("own") == 0, "no-identity-tokens").when(F.col("key").isNotNull(), "matched").otherwise("no-confident-match")
-    return n.join(best.withColumnRenamed("own", "_own"), (F.col("own") == F.col("_own")) & F.col("itype").eqNullSafe(F.col("_itype")), "left").select("name", "key", "score", status.alias("status"))
+    return n.join(best, (F.col("have") == F.col("_have")) & F.col("itype").eqNullSafe(F.col("_itype")), "left").select("name", "key", "score", status.alias("status"))
 
 
 def backfill(relations: DataFrame, companies: DataFrame, controls: DataFrame, *, threshold: float = 0.6) -> DataFrame:
