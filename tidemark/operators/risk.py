@@ -62,7 +62,8 @@ def empirical_scenario(levels: DataFrame, methods: dict[str, str], start: str, e
 def exposures(betas: DataFrame, channel_factor: dict[str, str] = CHANNEL_FACTOR) -> DataFrame:
     """(symbol, channel, beta): the row of each channel's last day; a symbol of the channel without a beta on that day has NULL, not an older one."""
     channel = F.create_map(*(F.lit(x) for c, f in channel_factor.items() for x in (f, c)))[F.col("factor")]
-    known = betas.where(F.col("factor").isin(*channel_factor.values())).select("symbol", channel.alias("channel"), "bar_date", "beta")
+    # used twice here, and by every reader of the result
+    known = cut(betas.where(F.col("factor").isin(*channel_factor.values())).select("symbol", channel.alias("channel"), "bar_date", "beta"))
     last = known.groupBy("channel").agg(F.max("bar_date").alias("last"))
     held = known.join(F.broadcast(last), "channel")  # a row for each channel
     return held.groupBy("symbol", "channel").agg(F.max(F.when((F.col("bar_date") == F.col("last")) & ~F.isnan("beta"), F.col("beta"))).alias("beta"))
@@ -118,7 +119,7 @@ def type_stress(exposed: DataFrame, events_: DataFrame) -> DataFrame:
 
     once = events_.groupBy("event_id").agg(F.max(F.struct("event_type", "severity")).alias("e")).select("e.*")
     severity = F.avg(F.when(~F.isnan("severity"), F.col("severity")))
-    types = once.groupBy("event_type").agg(F.count("*").alias("n_events"), F.coalesce(severity, F.lit(1.0)).alias("mean_severity"))
+    types = cut(once.groupBy("event_type").agg(F.count("*").alias("n_events"), F.coalesce(severity, F.lit(1.0)).alias("mean_severity")))  # used at both ends
     shocks = types.join(F.broadcast(prior(events_.sparkSession)), "event_type").select(F.col("event_type").alias("scenario"), "channel", (F.col("shock_sign") * F.col("mean_severity")).alias("shock"))  # types times channels
     return stress_summary(reprice(exposed, shocks), "scenario").withColumnRenamed("scenario", "event_type").join(types, "event_type").select("event_type", "n_events", "mean_severity", "n", "mean_pnl", "worst", "best", "mean_coverage")
 
